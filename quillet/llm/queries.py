@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillet.llm import chunks, decontaminate, hilbert, quality, sentencepieces
+from quillet.llm import chunks, decontaminate, hilbert, ngramjoin, quality, sentencepieces
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.mark_benchmark(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.digest(chunks.dedup_chunks(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -40,5 +44,5 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_hilbert_shards, op6_decontaminate, op8_chunk_dedup, op9_sentencepiece, op10_line_frequency)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_hilbert_shards, op6_decontaminate, op7_ngram_join, op8_chunk_dedup, op9_sentencepiece, op10_line_frequency)}
 SQL: dict[str, str] = {}
