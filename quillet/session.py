@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -28,6 +29,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished jobs: it does so when their plans are collected as garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Stored:
     """A table written to the shared folder. `df` reads it; `drop()` deletes it once nothing reads it any more."""
 
@@ -35,6 +42,7 @@ class Stored:
         spark = df.sparkSession
         self.path = f"{shared_dir(spark)}/quillet-{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
+        release(spark)
         self.df = spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
