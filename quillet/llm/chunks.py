@@ -108,7 +108,7 @@ def dedup_chunks(docs: DataFrame, text: str = "text", **cutting: int) -> DataFra
 
 
 def cut_spans(df: DataFrame, text: str, gone: str) -> DataFrame:
-    """Add kept_text, n_bytes, n_removed and n_spans from sorted disjoint byte spans (begin, end); drops `gone`. Spans that touch count as one."""
+    """Add kept_text, n_bytes, n_removed and n_spans from sorted byte spans (begin, end); drops `gone`. Spans that touch or overlap count as one."""
     fields = [StructField("kept_text", BinaryType()), StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType())]
     names = [c for c in df.columns if c != gone and c not in {f.name for f in fields}]
     source = df.select(*[df[c].alias(f"c{i}") for i, c in enumerate(names)], F.transform(gone, lambda x: x["begin"].cast("int")).alias("a"), F.transform(gone, lambda x: x["end"].cast("int")).alias("b"))
@@ -124,8 +124,11 @@ def cut_spans(df: DataFrame, text: str, gone: str) -> DataFrame:
                 raw = (x or "").encode()
                 out, end, lost, runs = [], 0, 0, 0
                 for s, e in zip(a or [], b or [], strict=True):
+                    if e <= end:
+                        continue
                     if s > end or not runs:
                         runs += 1
+                    s = max(s, end)
                     out.append(raw[end:s])
                     lost += e - s
                     end = e

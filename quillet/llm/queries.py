@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillet.llm import chunks, decontaminate, hilbert, ngramjoin, quality, sentencepieces
+from quillet.llm import chunks, decontaminate, hilbert, ngramjoin, quality, sentencepieces, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.repeat_spans(table(spark, sf_dir, "documents")))
+
+
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.hilbert_shards(table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_hilbert_shards, op6_decontaminate, op7_ngram_join, op8_chunk_dedup, op9_sentencepiece, op10_line_frequency)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_suffix_dedup, op3_hilbert_shards, op6_decontaminate, op7_ngram_join, op8_chunk_dedup, op9_sentencepiece, op10_line_frequency)}
 SQL: dict[str, str] = {}
