@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillet.llm import chunks, decontaminate, hilbert, ngramjoin, quality, sentencepieces, substrings
+from quillet.llm import chunks, decontaminate, hilbert, linejoin, ngramjoin, quality, sentencepieces, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,11 @@ def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.hilbert_shards(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linejoin.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digest(decontaminate.mark_benchmark(docs, table(spark, sf_dir, "benchmark")))
@@ -48,5 +54,5 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_suffix_dedup, op3_hilbert_shards, op6_decontaminate, op7_ngram_join, op8_chunk_dedup, op9_sentencepiece, op10_line_frequency)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_suffix_dedup, op3_hilbert_shards, op5_line_dedup, op6_decontaminate, op7_ngram_join, op8_chunk_dedup, op9_sentencepiece, op10_line_frequency)}
 SQL: dict[str, str] = {}
