@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillet.llm import chunks, decontaminate, hilbert, linejoin, ngramjoin, quality, sentencepieces, substrings
+from quillet.llm import chunks, decontaminate, hilbert, linejoin, ngramjoin, pages, quality, sentencepieces, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.repeat_spans(table(spark, sf_dir, "documents")))
 
@@ -54,5 +58,5 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_suffix_dedup, op3_hilbert_shards, op5_line_dedup, op6_decontaminate, op7_ngram_join, op8_chunk_dedup, op9_sentencepiece, op10_line_frequency)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_wrapper_text, op2_suffix_dedup, op3_hilbert_shards, op5_line_dedup, op6_decontaminate, op7_ngram_join, op8_chunk_dedup, op9_sentencepiece, op10_line_frequency)}
 SQL: dict[str, str] = {}
