@@ -57,10 +57,10 @@ SPACE = re.compile(r"\s+")
 class Node:
     """An element: tag, the name it is matched by, attributes, and children (elements and texts)."""
 
-    __slots__ = ("attrs", "children", "key", "kids", "tag")
+    __slots__ = ("attrs", "children", "key", "kids", "plains", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children, self.kids = tag, attrs, [], None
+        self.tag, self.attrs, self.children, self.kids, self.plains = tag, attrs, [], None, None
         self.key = (tag, attrs.get("class", ""))
 
 
@@ -126,8 +126,15 @@ def children(node: Node) -> list[Node | str]:
     return node.kids
 
 
-def match(a: Node, b: Node, pairs: dict[int, str | Node], memo: dict[tuple[int, int], int]) -> None:
-    """Align the children of two matched nodes and go down; pairs: the partner of each node of `a`, and of each text by its place."""
+def plain_texts(node: Node) -> list[str | None]:
+    """The children's texts with their white space collapsed; None for elements."""
+    if node.plains is None:
+        node.plains = [plain(x) if isinstance(x, str) else None for x in children(node)]
+    return node.plains
+
+
+def match(a: Node, b: Node, pairs: list[tuple[int, int]], memo: dict[tuple[int, int], int]) -> None:
+    """Align the children of two matched nodes and go down; pairs gets the texts (node, place) whose partner is the same text."""
     x, y = children(a), children(b)
     i = 0
     while i < len(x) and i < len(y) and alike(x[i], y[i]):  # equal ends need no table
@@ -141,7 +148,8 @@ def match(a: Node, b: Node, pairs: dict[int, str | Node], memo: dict[tuple[int,
         found += [(i + p, i + q) for p, q in best(mid_x, mid_y, memo)]
     for p, q in found:
         if isinstance(x[p], str):
-            pairs[(id(a), p)] = y[q]
+            if plain_texts(a)[p] == plain_texts(b)[q]:
+                pairs.append((id(a), p))
         else:
             match(x[p], y[q], pairs, memo)
 
@@ -209,9 +217,8 @@ def template_votes(page: Node, references: list[Node]) -> tuple[dict[tuple[int,
     votes: dict[tuple[int, int], int] = {}
     counted = 0
     for ref in references:
-        pairs: dict = {}
-        match(page, ref, pairs, {})
-        same = [k for k, partner in pairs.items() if (text := children(own[k[0]])[k[1]]) == partner or plain(text) == plain(partner)]
+        same: list[tuple[int, int]] = []
+        match(page, ref, same, {})
         if 2 * sum(len(children(own[node])[place]) for node, place in same) > total:
             continue
         counted += 1
