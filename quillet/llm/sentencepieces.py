@@ -201,12 +201,16 @@ def sha256(column: Column) -> Column:
     return F.sha2(column.cast("binary"), 256)
 
 
-def digest(encoded: DataFrame) -> DataFrame:
-    """The contract's columns, from encode_spans()."""
-    return encoded.select(
+def digest_columns() -> list[Column | str]:
+    return [
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         sha256(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
         sha256(F.col("decoded")).alias("decoded_sha256"),
         F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("n_bytes_covered"),
-    )
+    ]
+
+
+def digest(encoded: DataFrame) -> DataFrame:
+    """The contract's columns, from encode_spans()."""
+    return encoded.select(*digest_columns())
