@@ -39,7 +39,7 @@ def vbyte_back(code: bytes) -> list[int]:
 
 
 def to_gaps(numbers: list[int], add: int = 0) -> list[int]:
-    gaps = [b - a for a, b in zip([0, *numbers[:-1]], numbers, strict=True)]
+    gaps = [b - a for a, b in zip([0, *numbers], numbers, strict=False)]
     if any(g < 0 for g in gaps):
         raise ValueError("numbers must ascend")
     return [g + add for g in gaps]

@@ -29,7 +29,7 @@ def read_files(spark: SparkSession, directory: str, glob: str | None = None, whe
         raise ValueError(f"{directory} is not a directory")
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(directory)
-    out = files.select("path", F.regexp_extract("path", "[^/]*$", 0).alias("filename"), F.col("length").alias("size_bytes"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    out = files.select("path", F.regexp_extract("path", "[^/]*$", 0).alias("filename"), F.col("length").alias("size_bytes"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
     return out.where(where(out)) if where else out
 
 
