@@ -8,14 +8,16 @@ sequence is its one shingle; a text without words has an empty set and links wit
 2. Under one order of shingles by rarity, a set of n gives its first n - ceil(t n) + slack(n) shingles to the inverted lists. Two sets
    that link share slack of the smaller or more of these (all of a small set), so that number T is the occurrences to search for.
    Lists of one entry are dropped. Slack is 1 + n // 32.
-3. Each list names three hubs, the least of its entries under three hashes. Each class is verified against those it meets most. Links
-   found so join most copies of a group, with as many pairs as classes.
-4. Lists that still hold more than one component are searched exactly: each entry outside its list's least component asks the list
-   for entries of lesser components (so it asks all lists that it shares with such an entry); the short ones are merged by a heap with the threshold T less the number of long ones, the long ones are probed by binary search, and
-   what reaches T is verified on the whole texts. Large lists are cut in blocks by the hash of the entry, so a task holds one block.
+3. Each list names three hubs: its most central entry and two random ones. Each class is verified against those it meets most. Links
+   found so join most copies of a group, with at most three pairs a class.
+4. Lists that still hold more than one component are searched exactly. Documents that are in enough of these are dealt into blocks by a hash of
+   the id; a task holds the inverted lists of one block. Each entry outside its list's least component asks the blocks for entries of
+   lesser components (so it asks all lists that it shares with such an entry): the short lists are merged by a heap with the threshold
+   T less the number of long ones, the long ones are probed by binary search. What reaches T is compared by a sketch that bounds the
+   difference, then verified on the whole sets.
 5. Links of both rounds give the components. Pairs within a component aren't compared again; no other pair is left out.
 
-Null texts count as empty; a null id counts as the least long. An id stands for one text: rows that repeat an id must repeat the text, and
+Null texts count as empty; a row with a null id is linked with nothing and has no component. An id stands for one text: rows that repeat an id must repeat the text, and
 give equal results. An empty table gives an empty result.
 """
 
@@ -32,13 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField
 
-from quillet.llm.bytesview import U, Texts, bounds, lists, map_texts, mix, slices, windows, words
+from quillet.llm.bytesview import U, Texts, bounds, lists, map_texts, slices, windows, words
 from quillet.llm.components import components
-from quillet.llm.rarity import Rarity, frequent, sort_within
+from quillet.llm.rarity import Rarity, frequent, shared_keys, sort_within
 from quillet.session import Stored, checkpoint
 
 WIDTH, PERCENT = 5, 80
-HUBS, BLOCK = 3, 4096
+HUBS, BLOCK, SALTS = 3, 8192, 64
 NO_ID = -(1 << 63)
 
 
@@ -108,62 +110,26 @@ def with_prefixes(docs: DataFrame, text: str, width: int, rarity: Rarity) -> Dat
     return map_texts(docs, text, [StructField("n", LongType()), StructField("prefix", ArrayType(LongType()))], work, ["id"])
 
 
-def hub_rank(ids: np.ndarray, k: int) -> np.ndarray:
-    return mix(ids.view(U) + U((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
-
-
-def linked_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (key, id, n) sorted by key: those of lists with two entries or more, with the hubs of the list."""
-    held: list[np.ndarray] | None = None
-
-    def emit(cols: list[np.ndarray]) -> pa.RecordBatch:
-        key, ids, n = cols
-        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        size = np.diff(np.concatenate([edge, [len(key)]]))
-        often = np.repeat(size > 1, size)
-        key, ids, n, size = key[often], ids[often], n[often], size[size > 1]
-        start = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-        hubs = []
-        for k in range(HUBS):
-            if not len(key):
-                hubs.append(ids)
-                continue
-            rank = hub_rank(ids, k)
-            least = np.repeat(np.minimum.reduceat(rank, start), size)
-            at = np.flatnonzero(rank == least)
-            # one place for each list: entries of a list are distinct, and the rank is one to one
-            hubs.append(np.repeat(ids[at[np.searchsorted(at, start)]], size))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, ids, n, *hubs)], names=["key", "id", "n", *[f"hub{k}" for k in range(HUBS)]])
-
-    for batch in batches:
-        cols = [batch.column(i).to_numpy() for i in range(3)]
-        if held is not None:
-            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-        if not len(cols[0]):
-            continue
-        last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last list may go on
-        held = [x[last:] for x in cols]
-        if last:
-            yield emit([x[:last] for x in cols])
-    if held is not None:
-        yield emit(held)
+def postings(prefixes: DataFrame) -> DataFrame:
+    """key, id and n of the lists with two entries or more; lists of frequent keys are dealt over SALTS tasks and kept whatever they hold."""
+    flat = prefixes.select(F.explode("prefix").alias("key"), "id", "n")
+    salt = F.when(F.shiftright("key", 56) > 0, F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0).cast("int")
+    dealt = flat.repartition("key", salt).sortWithinPartitions("key")
+    return dealt.mapInArrow(lambda b: shared_keys(b, frequent_too=True), "key bigint, id bigint, n bigint")
 
 
-def postings(prefixes: DataFrame) -> DataFrame:
-    """key, id, n and hubs of the lists with two entries or more.
+def hub_pairs(entries: DataFrame) -> DataFrame:
+    """entries: key, id, n, lists. x, y: each entry with the HUBS it meets in most lists.
 
-    Lists of infrequent keys are built task by task; those of frequent keys (at most rarity.KEEP) stay where they are and get
-    their hubs by a pre-aggregated minimum.
+    A list names its most central entry (the one with most lists for its size: an original is in the lists of all its copies) and two random
+    ones, the same for all lists that hold them.
     """
-    flat = prefixes.select("id", "n", F.explode("prefix").alias("key"))
-    frequent_key = F.shiftright("key", 56) > 0
-    schema = "key bigint, id bigint, n bigint, " + ", ".join(f"hub{k} bigint" for k in range(HUBS))
-    rare = flat.where(~frequent_key).select("key", "id", "n").repartition("key").sortWithinPartitions("key").mapInArrow(linked_lists, schema)
-    hot = flat.where(frequent_key)
-    ranks = [F.struct(F.xxhash64(F.col("id"), F.lit(k)).alias("r"), F.col("id").alias("i")) for k in range(HUBS)]
-    hubs = hot.groupBy("key").agg(F.count("*").alias("m"), *[F.min(r)["i"].alias(f"hub{k}") for k, r in enumerate(ranks)]).where("m > 1")
-    # at most rarity.KEEP rows
-    return rare.unionByName(hot.join(F.broadcast(hubs), "key").select("key", "id", "n", *[f"hub{k}" for k in range(HUBS)]))
+    ranks = [F.struct((-F.col("lists") / F.col("n")).alias("r"), F.xxhash64("id").alias("h"), F.col("id").alias("i"))] + [F.struct(F.xxhash64(F.col("id"), F.lit(k)).alias("r"), F.lit(0).cast("long").alias("h"), F.col("id").alias("i")) for k in range(1, HUBS)]
+    hubs = entries.groupBy("key").agg(*[F.min(r)["i"].alias(f"hub{k}") for k, r in enumerate(ranks)])
+    met = entries.join(hubs, "key").select("id", F.explode(F.array_distinct(F.array(*[f"hub{k}" for k in range(HUBS)]))).alias("hub")).where("id <> hub")
+    times = met.groupBy("id", "hub").agg(F.count("*").alias("times")).where("times > 1")
+    best = times.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("times", "hub")), asc=False), 1, HUBS).alias("best"))
+    return best.select("id", F.explode("best.hub").alias("hub")).select(F.least("id", "hub").alias("x"), F.greatest("id", "hub").alias("y")).distinct()
 
 
 def divide_skip(lists_: list[np.ndarray], threshold: int) -> list[int]:
@@ -198,56 +164,102 @@ def divide_skip(lists_: list[np.ndarray], threshold: int) -> list[int]:
     return found
 
 
-def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, n, part, comp, ids, ns, comps: a list's block) sorted by (id, part); gives the pairs to verify.
-
-    T of a pair depends on the smaller set, so entries are searched with the least T that any partner may have, then filtered.
-    """
-    query, own = None, []
-
-    def answer() -> tuple[list[int], list[int]]:
-        ident, n, _, comp = query
-        sizes: dict[int, int] = {}
-        fit = []
-        for ids, ns, comps in own:
-            ids, ns, comps = np.asarray(ids), np.asarray(ns), np.asarray(comps)
-            ok = (comps < comp) & (np.minimum(ns, n) * 100 >= PERCENT * np.maximum(ns, n))
-            order = np.argsort(ids[ok])
-            fit.append(ids[ok][order])
-            sizes.update(zip(ids[ok].tolist(), ns[ok].tolist(), strict=True))
-        fit = [x for x in fit if len(x)]
+SKETCH = 1024
+
+
+def sketches(h: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Of each set the parity of its elements in each of SKETCH bits. Two sets differ in as many elements as their sketches in bits, or more."""
+    count = len(edges) - 1
+    own = np.repeat(np.arange(count), np.diff(edges))
+    odd = np.bincount(own * SKETCH + (h & U(SKETCH - 1)).astype(np.int64), minlength=count * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(count, SKETCH), axis=1).view(U)
+
+
+class Block:
+    """The documents of one part: their sets, sketches, sizes and components, and the inverted lists of their keys."""
+
+    def __init__(self, width: int):
+        self.width = width
+        self.ids, self.comps, self.keys, self.sets, self.sketches = [], [], [], [], []
+        self.lists: dict[int, np.ndarray] | None = None
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        """rows: id, comp, keys, text."""
+        self.ids += rows.column(0).to_pylist()
+        self.comps += rows.column(1).to_pylist()
+        self.keys += [x.values.to_numpy() for x in rows.column(2)]
+        for t in slices(rows.column(3)):
+            h, edges = shingles(t, self.width)
+            self.sets += [h[a:b].copy() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            self.sketches.append(sketches(h, edges))
+
+    def close(self) -> None:
+        sizes = [len(k) for k in self.keys]
+        flat = np.concatenate([np.zeros(0, np.int64), *self.keys])
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((owner, flat))
+        flat, owner = flat[order], owner[order]
+        edge = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1], [True]])) if len(flat) else np.zeros(1, np.int64)
+        self.lists = {int(flat[a]): owner[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)}
+        self.comp = np.array(self.comps, np.int64)
+        self.n = np.array([len(x) for x in self.sets], np.int64)
+        self.bits = np.concatenate([np.zeros((0, SKETCH // 64), U), *self.sketches])
+        self.keys, self.sketches = [], []
+
+    def ask(self, comp: int, keys: np.ndarray, own: np.ndarray, sketch: np.ndarray) -> list[int]:
+        """Ids of documents of lesser components that link with the set `own`: one for each component."""
+        n = len(own)
+        fit = (self.comp < comp) & (np.minimum(self.n, n) * 100 >= PERCENT * np.maximum(self.n, n))
+        lists_ = [x[fit[x]] for k in keys.tolist() if (x := self.lists.get(k)) is not None]
         least = int(need(n))
-        threshold = min(int(slack(least)), least)
-        out = divide_skip(fit, threshold) if fit else []
-        times: dict[int, int] = {}
-        if out:
-            wanted = set(out)
-            for x in fit:
-                for i in x.tolist():
-                    if i in wanted:
-                        times[i] = times.get(i, 0) + 1
-        good = [y for y in out if times[y] >= min(int(slack(min(n, sizes[y]))), int(need(max(n, sizes[y]))))]
-        return [ident] * len(good), good
-
-    xs, ys = [], []
+        found = np.array(divide_skip([x for x in lists_ if len(x)], min(int(slack(least)), least)), np.int64)
+        if not len(found):
+            return []
+        overlap = -(-PERCENT * (n + self.n[found]) // (100 + PERCENT))
+        differ = np.bitwise_count(self.bits[found] ^ sketch).sum(1, dtype=np.int64)
+        found = found[differ <= n + self.n[found] - 2 * overlap]
+        out: dict[int, int] = {}
+        for i in found.tolist():
+            other = self.sets[i]
+            if self.comp[i] not in out:
+                place = np.minimum(np.searchsorted(other, own), len(other) - 1)
+                inter = int((other[place] == own).sum())
+                if inter * 100 >= PERCENT * (n + len(other) - inter):
+                    out[self.comp[i]] = self.ids[i]
+        return list(out.values())
+
+
+def search(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Rows (part, kind, id, comp, keys, text) sorted by part and kind: the documents of a part (kind 0), then what asks them (kind 1). Gives links."""
+    part, block = None, Block(width)
     for batch in batches:
-        rows = batch.to_pydict()
-        for i, head in enumerate(zip(rows["id"], rows["n"], rows["part"], rows["comp"], strict=True)):
-            if query is None or head[0] != query[0] or head[2] != query[2]:
-                if query is not None:
-                    a, b = answer()
-                    xs += a
-                    ys += b
-                query, own = head, []
-            own.append((rows["ids"][i], rows["ns"][i], rows["comps"][i]))
-        if len(xs) > 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
+        parts, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        edge = np.flatnonzero(np.concatenate([[True], (parts[1:] != parts[:-1]) | (kinds[1:] != kinds[:-1]), [True]])) if len(parts) else []
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            rows = pa.RecordBatch.from_arrays(batch.slice(a, b - a).columns[2:], names=["id", "comp", "keys", "text"])
+            if parts[a] != part:
+                part, block = parts[a], Block(width)
+            if kinds[a] == 0:
+                block.add(rows)
+                continue
+            if block.lists is None:
+                block.close()
             xs, ys = [], []
-    if query is not None:
-        a, b = answer()
-        xs += a
-        ys += b
-    yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
+            ids, comps = rows.column(0).to_pylist(), rows.column(1).to_pylist()
+            for t in slices(rows.column(3)):
+                h, edges = shingles(t, width)
+                bits = sketches(h, edges)
+                for i in range(t.n):
+                    found = block.ask(comps[t.lo + i], rows.column(2)[t.lo + i].values.to_numpy(), h[edges[i] : edges[i + 1]], bits[i])
+                    xs += [ids[t.lo + i]] * len(found)
+                    ys += found
+            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
+
+
+def threshold(n: str = "n"):
+    """The least T that a set of n elements may have with any partner."""
+    floor = F.ceil(F.col(n) * PERCENT / 100)
+    return F.least(F.floor(floor / 32) + 1, floor)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -283,42 +295,39 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     named = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
     rarity = frequent(named, "text", lambda t: shingles(t, width)[0])
     sets = Stored(with_sets(named, "text", width), "sets")
-    classes = checkpoint(sets.df.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep")))
+    classes = checkpoint(sets.df.where((F.col("n") > 0) & (F.col("id") != NO_ID)).groupBy("d1", "d2").agg(F.min("id").alias("rep")))
     reps = classes.select(F.col("rep").alias("id")).distinct()
     lists_ = Stored(postings(with_prefixes(named, "text", width, rarity).where("n > 0").join(reps, "id", "left_semi").dropDuplicates(["id"])), "lists")
-    entries = lists_.df
-    # round 1: hubs
-    met = entries.select("id", F.explode(F.array_distinct(F.array(*[f"hub{k}" for k in range(HUBS)]))).alias("hub")).where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("times")).where("times > 1")
-    best = met.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("times", "hub")), asc=False), 1, HUBS).alias("best"))
-    # the texts that both rounds may verify: those with lists enough
-    counts = entries.groupBy("id").agg(F.count("*").alias("lists"), F.first("n").alias("n"))
-    floor = F.ceil(F.col("n") * PERCENT / 100)
-    live = checkpoint(counts.where(F.col("lists") >= F.least(F.floor(floor / 32) + 1, floor)).select("id", "n"))
+    # only those with lists enough can link
+    counts = lists_.df.groupBy("id").agg(F.count("*").alias("lists"), F.first("n").alias("n"))
+    live = checkpoint(counts.where(F.col("lists") >= threshold()))
     texts = Stored(named.join(live, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    hub_pairs = best.join(live, "id", "left_semi").select(F.col("id").alias("x"), F.explode("best.hub").alias("y")).join(live.select(F.col("id").alias("y")), "y", "left_semi")
-    hub_pairs = hub_pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    first = checkpoint(verified(hub_pairs, texts.df, width))
+    entries = Stored(lists_.df.select("key", "id").join(live, "id").select("key", "id", "n", "lists"), "entries")
+    lists_.drop()
+    # round 1: hubs
+    first = checkpoint(verified(hub_pairs(entries.df), texts.df, width))
     labels = components(first)
     # round 2: lists with several components
-    marked = entries.select("key", "id").join(live, "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("comp"))
+    marked = entries.df.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("comp"))
     marked = Stored(marked, "marked")
-    mixed = marked.df.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "lo", "m")
-    mixed = marked.df.join(mixed, "key")
-    largest = mixed.agg(F.max("m")).first()[0] or 0
-    parts = max(1, -(-largest // BLOCK))
+    mixed = marked.df.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "lo")
+    mixed = Stored(marked.df.join(mixed, "key"), "mixed")
+    marked.drop()
+    enough = checkpoint(mixed.df.groupBy("id").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.collect_list("key").alias("keys")).where(F.size("keys") >= threshold()))
+    parts = max(1, -(-enough.count() // BLOCK))
     part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
-    blocks = mixed.withColumn("part", part).groupBy("key", "part").agg(F.collect_list("id").alias("ids"), F.collect_list("n").alias("ns"), F.collect_list("comp").alias("comps"))
-    asked = mixed.where("comp <> lo").select("key", "id", "n", "comp", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    asked = asked.join(blocks, ["key", "part"]).select("id", "n", "part", "comp", "ids", "ns", "comps")
-    found = asked.repartition("id", "part").sortWithinPartitions("id", "part").mapInArrow(search, "x bigint, y bigint")
-    found = checkpoint(found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
-    second = verified(found, texts.df, width)
+    shared = enough.select(F.explode("keys").alias("key"), part.alias("part")).distinct()
+    asking = mixed.df.where("comp <> lo").join(enough.select("id"), "id", "left_semi").join(shared, "key")
+    asking = asking.groupBy("part", "id").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.collect_list("key").alias("keys")).where(F.size("keys") >= threshold())
+    rows = enough.select(part.alias("part"), F.lit(0).alias("kind"), "id", "comp", "keys").unionByName(asking.select("part", F.lit(1).alias("kind"), "id", "comp", "keys"))
+    rows = rows.join(texts.df.select("id", "text"), "id").select("part", "kind", "id", "comp", "keys", "text")
+    second = rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(lambda b: search(b, width), "x bigint, y bigint")
     links = checkpoint(first.unionByName(second))
     labels = components(links)
-    for x in (lists_, texts, marked):
+    for x in (texts, entries, mixed):
         x.drop()
     member = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("label", "rep").alias("component"))
     out = sets.df.join(member, ["d1", "d2"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-    plain = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
-    return out.select(plain("id").alias(id_col), "n_shingles", plain("component_id"))
+    named_row = F.col("id") != NO_ID
+    return out.select(F.when(named_row, F.col("id")).alias(id_col), "n_shingles", F.when(named_row, F.col("component_id")).alias("component_id"))
 

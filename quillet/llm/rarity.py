@@ -1,6 +1,6 @@
 """An order of tokens by rarity that every task shares.
 
-Tokens (64-bit hashes) that are frequent get a class by their count; all others are class 0. A key holds the class in its upper 8 bits
+Tokens (64-bit hashes) that are frequent get a class by their count (in quarters of a doubling); all others are class 0. A key holds the class in its upper 8 bits
 and the upper 56 bits of the hash below, so that sorting keys puts rare tokens first. Set joins stay exact under any shared order;
 the counts only decide how short the inverted lists of a prefix are.
 
@@ -36,33 +36,48 @@ class Rarity:
         return key
 
 
-def frequent(docs: DataFrame, text: str, tokens: Callable[[Texts], np.ndarray]) -> Rarity:
-    """tokens: the hashes of a slice's tokens, each counted once for each set it is in."""
+class Counter:
+    """Counts tokens in blocks of BLOCK; gives those seen LOCAL times or more in a block, with their counts."""
+
+    def __init__(self):
+        self.parts, self.size = [], 0
 
-    def count(parts: list[np.ndarray]) -> pa.RecordBatch:
-        h = np.sort(np.concatenate(parts)) if parts else np.zeros(0, U)
+    def add(self, tokens: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        self.parts.append(tokens)
+        self.size += len(tokens)
+        return [self.flush()] if self.size >= BLOCK else []
+
+    def flush(self) -> tuple[np.ndarray, np.ndarray]:
+        h = np.sort(np.concatenate([np.zeros(0, U), *self.parts]))
+        self.parts, self.size = [], 0
         edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         times = np.diff(np.concatenate([edge, [len(h)]]))
         often = times >= LOCAL
-        return pa.RecordBatch.from_arrays([pa.array(h[edge[often]].view(np.int64)), pa.array(times[often], pa.int64())], names=["h", "n"])
+        return h[edge[often]].view(np.int64), times[often]
+
+
+def top(counts: DataFrame, min_count: int = MIN_COUNT) -> Rarity:
+    """The order of the tokens from all blocks' counts (h, n)."""
+    sums = counts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    best = sums.orderBy(F.desc("n"), "h").limit(KEEP).collect()
+    hashes, times = np.array([r.h for r in best], np.int64).view(U), np.array([r.n for r in best], np.float64)
+    order = np.argsort(hashes)
+    classes = np.clip(np.floor(np.log2(np.maximum(times, 1)) * 4).astype(np.int64), 1, 126)
+    return Rarity(hashes[order], classes[order])
+
+
+def frequent(docs: DataFrame, text: str, tokens: Callable[[Texts], np.ndarray]) -> Rarity:
+    """tokens: the hashes of a slice's tokens, each counted once for each set it is in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
+        counter = Counter()
+        batch_of = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1], pa.int64())], names=["h", "n"])
         for batch in batches:
             for t in slices(batch.column(0)):
-                parts.append(tokens(t))
-                size += len(parts[-1])
-                if size >= BLOCK:
-                    yield count(parts)
-                    parts, size = [], 0
-        yield count(parts)
-
-    sums = docs.select(text).mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
-    top = sums.orderBy(F.desc("n"), "h").limit(KEEP).collect()
-    hashes, times = np.array([r.h for r in top], np.int64).view(U), np.array([r.n for r in top], np.float64)
-    order = np.argsort(hashes)
-    classes = np.clip(np.floor(np.log2(np.maximum(times, 1)) * 8).astype(np.int64), 1, 126)
-    return Rarity(hashes[order], classes[order])
+                yield from map(batch_of, counter.add(tokens(t)))
+        yield batch_of(counter.flush())
+
+    return top(docs.select(text).mapInArrow(run, "h bigint, n bigint"))
 
 
 def sort_within(values: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -71,3 +86,23 @@ def sort_within(values: np.ndarray, group: np.ndarray) -> np.ndarray:
     own = group[first]
     small = own.astype(np.uint16) if len(group) and int(group[-1]) < 65_536 else own
     return first[np.argsort(small, kind="stable")]
+
+
+def shared_keys(batches: Iterator[pa.RecordBatch], frequent_too: bool = False) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key (the first column), those of keys with two rows or more; and all of frequent keys if frequent_too."""
+    pending, last = None, None  # a row that may yet be alone, and the key before
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        same, keep = key[1:] == key[:-1], np.zeros(len(key), bool)
+        keep[1:] |= same
+        keep[:-1] |= same
+        if frequent_too:
+            keep |= key >> 56 > 0
+        if last is not None and key[0] == last:
+            keep[0] = True
+            if pending is not None:
+                yield pending
+        pending, last = None if keep[-1] else batch.slice(len(key) - 1), key[-1]
+        yield batch.filter(pa.array(keep))
