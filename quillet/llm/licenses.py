@@ -3,7 +3,7 @@
 Words are runs of ASCII letters and digits or of characters beyond ASCII, A-Z as a-z. A template's fingerprints are, of each WINDOW
 consecutive hashes of GRAM words, the least (the last of equals), so any stretch of WINDOW + GRAM - 1 words shared with a text holds one;
 a shorter template has at least one. Texts look up all their GRAM-word hashes. Hits of a template on nearby diagonals make a candidate,
-which is aligned word by word in a band of BAND around its diagonals (matches count one, gaps and mismatches nothing; ties prefer the
+which is aligned word by word in a band of BAND (a quarter of the template at most) around its diagonals (matches count one, gaps and mismatches nothing; ties prefer the
 start of the text). A match reports matched words, coverage (matched words of the template's words) and the byte span from
 the first to the last matched word. Of matches that overlap, those with more matched words stay, then the earlier, then by template name.
 
@@ -100,7 +100,7 @@ def align(template: list[bytes], text: list[bytes], low: int, high: int) -> tupl
     return n, -first, -last
 
 
-def candidates(hits: list[tuple[int, int]], size: int, band: int) -> Iterator[list[tuple[int, int]]]:
+def candidates(hits: list[tuple[int, int]], band: int) -> Iterator[list[tuple[int, int]]]:
     """hits: (text place, template place). Groups those whose template starts are within the band of their neighbours'."""
     hits = sorted(hits, key=lambda x: x[0] - x[1])
     group: list[tuple[int, int]] = []
@@ -118,17 +118,19 @@ def scan(index: Index, hits: dict[int, list[tuple[int, int]]], text: list[bytes]
     found = []
     for number, own in hits.items():
         template = index.words[number]
-        for group in candidates(own, len(template), band):
+        near = min(band, len(template) // 4)  # so that a short notice said twice in a row is two
+        step = max(1, 2 * near)
+        for group in candidates(own, near):
             if 5 * len({place for _, place in group}) < index.prints[number]:
                 continue
             starts = [a - b for a, b in group]
             # a chain of diagonals longer than the band is cut: each part is aligned with its own band
-            for low in range(min(starts), max(starts) + 1, 2 * band):
-                part = [s for s in starts if low <= s < low + 2 * band]
+            for low in range(min(starts), max(starts) + 1, step):
+                part = [s for s in starts if low <= s < low + step]
                 if part:
-                    lo = max(0, min(part) - band)
-                    piece = text[lo : max(part) + len(template) + band]
-                    n, first, last = align(template, piece, min(part) - lo - band, max(part) - lo + band)
+                    lo = max(0, min(part) - near)
+                    piece = text[lo : max(part) + len(template) + near]
+                    n, first, last = align(template, piece, min(part) - lo - near, max(part) - lo + near)
                     if n >= coverage * len(template):
                         found.append((number, n, lo + first, lo + last))
     found.sort(key=lambda x: (-x[1], x[2], index.names[x[0]]))
