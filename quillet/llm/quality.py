@@ -51,8 +51,9 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     twice = F.filter("__sorted", lambda x, i: (x["h"] == F.get("__sorted", i - 1)["h"]) | (x["h"] == F.get("__sorted", i + 1)["h"]))
     covered = F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
     df = df.withColumn("n_repeat_words", F.when(F.col("__repeats"), covered).otherwise(0).cast("long"))
-    # __row is not deterministic, so that a filter that reads it isn't moved below and worked out from the text again
-    return df.withColumns({"base_failed": (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50), "__row": F.monotonically_increasing_id()}).drop("__text", "__hashes", "__filled", "__windows", "__repeats", "__sorted")
+    df = df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
+    # through a generator, so that no filter on these is moved below and worked out from the text again, word by word
+    return df.select(*docs.columns, F.inline(F.array(F.struct(*BASE, "base_failed", "__lines"))))
 
 
 def line_hash(line: Column) -> Column:
@@ -70,7 +71,7 @@ def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", min_d
     return often.join(hosts, often.host.eqNullSafe(hosts.host)).where(F.col("docs") > F.greatest(F.lit(float(min_docs)), F.col("all") * share)).select(often.host, "h")
 
 
-def assess(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, depleted: float = DEPLETED, keep_row: bool = False) -> DataFrame:
+def assess(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
     """Add the base counts, base_failed, removed_chars, boiler (hashes of the removed lines) and kept.
 
     Columns of docs with these names give way to them.
@@ -83,13 +84,13 @@ def assess(docs: DataFrame, text: str = "text", host: str = "source", min_docs:
     lost = F.aggregate(F.filter("__lines", lambda x: F.array_contains("boiler", x["h"])), F.lit(0).cast("long"), lambda a, x: a + x["n"])
     judged = joined.withColumn("removed_chars", F.when(F.col("boiler").isNull(), 0).otherwise(lost).cast("long"))
     verdict = ~F.col("base_failed") & (F.col("removed_chars") <= F.col("word_chars") * depleted)
-    return judged.withColumn("kept", verdict).drop("__lines") if keep_row else judged.withColumn("kept", verdict).drop("__lines", "__row")
+    return judged.withColumn("kept", verdict).drop("__lines")
 
 
 def apply_rules(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The kept documents without their boilerplate lines, with the columns of docs; n_chars follows the text."""
     packed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", text, F.col(host).alias("host_of"))
-    judged = assess(packed, text, "host_of", keep_row=True).where("kept and __row >= 0")
+    judged = assess(packed, text, "host_of").where("kept")
     lines = F.filter(F.split(f"row.{text}", "\n"), lambda x: ~(F.array_contains("boiler", line_hash(x)) & (F.length(without(x, SPACES)) > 0)))
     cleaned = judged.withColumn("cleaned", F.when(F.col("removed_chars") > 0, F.array_join(lines, "\n")).otherwise(F.col(f"row.{text}")))
     new = {text: F.col("cleaned"), "n_chars": F.length("cleaned").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
