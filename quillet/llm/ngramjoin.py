@@ -11,7 +11,7 @@ sequence is its one shingle; a text without words has an empty set and links wit
 3. Each list names three hubs: its most central entry and two random ones. Each class is verified against those it meets most. Links
    found so join most copies of a group, with at most three pairs a class.
 4. Lists that still hold more than one component are searched exactly. Documents that are in enough of these are dealt into blocks by a hash of
-   the id; a task holds the inverted lists of one block. Each entry outside its list's least component asks the blocks for entries of
+   the id; a task holds the inverted lists of one block and answers a share of what asks it. Each entry outside its list's least component asks the blocks for entries of
    lesser components (so it asks all lists that it shares with such an entry): the short lists are merged by a heap with the threshold
    T less the number of long ones, the long ones are probed by binary search. What reaches T is compared by a sketch that bounds the
    difference, then verified on the whole sets.
@@ -40,7 +40,8 @@ from quillet.llm.rarity import Rarity, frequent, shared_keys, sort_within
 from quillet.session import Stored, checkpoint
 
 WIDTH, PERCENT = 5, 80
-HUBS, BLOCK, SALTS = 3, 8192, 64
+#: Hubs of a list; documents of a block and what asks a task that holds it; tasks that a frequent key's list is dealt over.
+HUBS, BLOCK, ASKED, SALTS = 3, 4096, 2048, 64
 NO_ID = -(1 << 63)
 
 
@@ -319,8 +320,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     shared = enough.select(F.explode("keys").alias("key"), part.alias("part")).distinct()
     asking = mixed.df.where("comp <> lo").join(enough.select("id"), "id", "left_semi").join(shared, "key")
     asking = asking.groupBy("part", "id").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.collect_list("key").alias("keys")).where(F.size("keys") >= threshold())
-    rows = enough.select(part.alias("part"), F.lit(0).alias("kind"), "id", "comp", "keys").unionByName(asking.select("part", F.lit(1).alias("kind"), "id", "comp", "keys"))
-    rows = rows.join(texts.df.select("id", "text"), "id").select("part", "kind", "id", "comp", "keys", "text")
+    asking = checkpoint(asking.select("part", "id", "comp", "keys"))
+    # what asks one block is dealt over tasks that each hold the block
+    shares = max(1, -(-asking.count() // (parts * ASKED)))
+    held = texts.df.select("id", "text")
+    whole = enough.select(part.alias("part"), F.lit(0).alias("kind"), "id", "comp", "keys").join(held, "id").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    asked = asking.withColumns({"kind": F.lit(1), "share": F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shares)).cast("int")}).join(held, "id")
+    rows = whole.unionByName(asked).select((F.col("part") * shares + F.col("share")).alias("part"), "kind", "id", "comp", "keys", "text")
     second = rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(lambda b: search(b, width), "x bigint, y bigint")
     links = checkpoint(first.unionByName(second))
     labels = components(links)

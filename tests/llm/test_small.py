@@ -94,6 +94,7 @@ def test_op7_search_alone_is_whole(docs, rows, monkeypatch):
     """Without hubs, the T-occurrence search finds all links itself."""
     monkeypatch.setattr(ngramjoin, "hub_pairs", lambda entries: entries.selectExpr("id as x", "id as y").limit(0))
     monkeypatch.setattr(ngramjoin, "BLOCK", 7)
+    monkeypatch.setattr(ngramjoin, "ASKED", 2)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.jaccard_components(docs).collect()}
     assert got == brute_components(rows)
 
@@ -138,11 +139,11 @@ def brute_lines(rows, min_tokens=5):
     return out
 
 
-@pytest.mark.parametrize(("count", "few", "short"), [(1000, 4, 64), (3, 4, 64), (3, 1, 2), (1000, 1, 2)])
-def test_op5(spark, rows, count, few, short, monkeypatch):
+@pytest.mark.parametrize(("count", "short"), [(1000, 64), (3, 64), (3, 2), (1000, 2)])
+def test_op5(spark, rows, count, short, monkeypatch):
     from quillet.llm import rarity
 
-    for module, name, value in ((linejoin, "MIN_COUNT", count), (linejoin, "FEW", few), (linejoin, "SHORT", short), (linejoin, "TILE", 3), (rarity, "LOCAL", 1)):
+    for module, name, value in ((linejoin, "MIN_COUNT", count), (linejoin, "SHORT", short), (linejoin, "FEW", short // 2 - 1), (linejoin, "TILE", 3), (rarity, "LOCAL", 1)):
         monkeypatch.setattr(module, name, value)
     rng = random.Random(5)
     base = [rng.choice(WORDS) for _ in range(30)]
