@@ -3,17 +3,18 @@
 A line's set is its distinct words (runs of non-space characters, A-Z as a-z). Lines of fewer than MIN_TOKENS distinct words are left alone.
 A line is removed when an earlier line (by document, then line number), removed or not, has 100 * |A & B| >= PERCENT * |A | B|.
 
-1. Lines with equal sets are one class, known by its first occurrence; its other occurrences are removed.
-2. Words are ordered by rarity. A class is entered under each infrequent word of its prefix (the n - ceil(t n) + 1 rarest words), and under
+1. Lines with equal sets are one class; all occurrences but its first are removed. A task enters a set once.
+2. Words are ordered by rarity: uncounted ones first, then by count. A class is entered under each infrequent word of its prefix (the n - ceil(t n) + 1 rarest words), and under
    each pair of frequent words of the prefix longer by one: two sets that link share two words of that, and if the rarer is infrequent
    it lies in the prefix; else both are frequent and the pair is a key. Frequent keys alone would make lists that grow with the corpus.
-3. Within a list, entries meet if they pass the length filter, the positional filter (words before the shared one are lost to the overlap
-   if they are before it in one set only) and a bitmap filter: 128 bits of hashed words, whose differing bits bound the words that differ.
-4. Each entry proposes the first earlier entry that passes; proposals are verified on the whole sets. Classes that found no match
-   propose all entries that pass, which are verified likewise. No entry is left out and no group gives all its pairs: copies end in
-   the first round with one proposal a list.
-
-Null texts have no lines. Blank and short lines stay. Ties don't occur: rows that repeat an id must repeat the text, then equal lines of equal place
+3. Within a list, entries meet if they pass the length filter, the positional filter (sets that link also meet under the first words
+   they share, so these and the words behind them must be enough) and a sketch filter: 64 parities of hashed words; two sets differ in as many
+   words as their sketches in bits, or more.
+4. Each entry proposes the earlier entries that pass (in lists of over SHORT entries the first FEW + 1); proposals are tested again by
+   sketches of 512 bits; the one that most lists make is verified on the whole sets, then the others of lines without a match. Lines that still have none while entries were left out propose
+   all that pass, which are verified likewise. So no pair is left out, and no large group gives all its pairs.
+
+Null texts have no lines; rows with a null id are left alone. Blank and short lines stay. Ties don't occur: rows that repeat an id must repeat the text, then equal lines of equal place
 count as one occurrence and share its fate. Documents that lose all their lines with words are empty afterwards. An empty table gives an
 empty result.
 """
@@ -27,104 +28,125 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField
 
-from quillet.llm.bytesview import LOWER_TABLE, NOT_SPACE, U, Texts, hash_ranges, lists, map_texts, mix, runs, slices
-from quillet.llm.rarity import Rarity, frequent, sort_within
-from quillet.session import Stored, checkpoint
+from quillet.llm.bytesview import LOWER_TABLE, NOT_SPACE, U, Texts, hash_ranges, lists, mix, runs, slices
+from quillet.llm.rarity import Counter, Rarity, class_of, top
+from quillet.session import Stored, checkpoint, release
 
 PERCENT, MIN_TOKENS = 80, 5
-NO_ID = -(1 << 63)
-FIELDS = ["key", "id", "no", "n", "b1", "b2", "place"]
+#: Words in so many lines are frequent; words in COUNTED lines or more are ordered by their counts, of these KEPT at most.
+MIN_COUNT, COUNTED, KEPT = 1000, 12, 1 << 18
+FIELDS = ["key", "id", "no", "n", "sketch", "place"]
 #: Entries of a list that are compared at once.
 TILE = 1024
+#: Entries of a short list, proposals of an entry in a long one, and pairs that are tested at once.
+SHORT, FEW, PAIRS = 64, 1024, 500_000
+LOW48 = U((1 << 48) - 1)
+
+
+def packed_sort(group: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sort 48-bit values within their groups (which need no order). One sort of one number where 16 bits hold the groups."""
+    if not len(group) or int(group.max()) < 1 << 16:
+        both = np.sort(group.astype(U) << U(48) | value)
+        return (both >> U(48)).astype(np.int64), both & LOW48
+    order = np.lexsort((value, group))
+    return group[order], value[order]
+
 
+def distinct(group: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    group, value = packed_sort(group, value)
+    new = np.ones(len(group), bool)
+    new[1:] = (group[1:] != group[:-1]) | (value[1:] != value[:-1])
+    return group[new], value[new]
 
-def line_sets(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of all lines, distinct in each line and sorted by hash; their edges by line; the edges of lines by text; and line numbers."""
-    newline = t.buf == 10
+
+def line_words(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line (counted over the slice) and word (48 bits of its hash) of each line's distinct words, and the edges of lines by text."""
     starts, ends = runs(NOT_SPACE[t.buf], t.offs)
-    h = hash_ranges(t.buf, starts, ends, LOWER_TABLE)
+    h = hash_ranges(t.buf, starts, ends, LOWER_TABLE) >> U(16)
     doc = np.searchsorted(t.offs, starts, "right") - 1
-    lines_before = np.concatenate([[0], np.cumsum(newline)])
-    number = lines_before[starts] - lines_before[t.offs[doc]]
-    count = lines_before[t.offs[1:]] - lines_before[t.offs[:-1]] + 1
-    line_of_text = np.concatenate([[0], np.cumsum(count)])
-    line = line_of_text[doc] + number
-    order = sort_within(h, line)
-    h, line = h[order], line[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-    h, line = h[new], line[new]
-    return h, np.searchsorted(line, np.arange(int(line_of_text[-1]) + 1)), line_of_text, line
+    newlines = np.flatnonzero(t.buf == 10)
+    before = np.searchsorted(newlines, t.offs)
+    edges = before - before[0] + np.arange(t.n + 1)  # a text of k newlines has k + 1 lines
+    return *distinct(np.searchsorted(newlines, starts) + doc, h), edges
 
 
 def need(n: np.ndarray) -> np.ndarray:
     return -(-PERCENT * n // 100)
 
 
-LINE = [StructField(x, ArrayType(LongType())) for x in ("no", "d1", "d2")]
-
-
 def with_lines(rows: DataFrame, min_tokens: int) -> DataFrame:
-    """Number and digest of each line that takes part."""
+    """Rows of kind 0: id, number and digest of each line that takes part; of kind 1: a word and its count."""
 
-    def work(t: Texts) -> list[pa.Array]:
-        h, edges, texts, _ = line_sets(t)
-        n = np.diff(edges)
-        part = np.flatnonzero(n >= min_tokens)
-        raw, at = h.tobytes(), (edges * 8).tolist()
-        halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[at[k] : at[k + 1]]) for k in part.tolist()), np.int64).reshape(-1, 2)
-        doc = np.searchsorted(texts, part, "right") - 1
-        cols = [part - texts[doc], halves[:, 0], halves[:, 1]]
-        own = np.searchsorted(doc, np.arange(t.n + 1))
-        return [lists(np.ascontiguousarray(c), own, pa.int64()) for c in cols]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter()
+        batch_of = lambda kind, *cols: pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), kind, np.int32)), *(pa.array(np.ascontiguousarray(c), pa.int64()) for c in cols)], names=["kind", "id", "no", "d1", "d2"])
+        counts = lambda x: batch_of(1, x[0], x[1], x[1], x[1])
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for t in slices(batch.column(1)):
+                line, h, texts = line_words(t)
+                yield from map(counts, counter.add(h << U(16)))
+                edges = np.searchsorted(line, np.arange(int(texts[-1]) + 1))
+                part = np.flatnonzero(np.diff(edges) >= min_tokens)
+                raw, at = h.tobytes(), (edges * 8).tolist()
+                halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[at[k] : at[k + 1]]) for k in part.tolist()), np.int64).reshape(-1, 2)
+                doc = np.searchsorted(texts, part, "right") - 1
+                yield batch_of(0, ids[t.lo + doc], part - texts[doc], halves[:, 0], halves[:, 1])
+        yield counts(counter.flush())
+
+    return rows.select("id", "text").mapInArrow(run, "kind int, id bigint, no bigint, d1 bigint, d2 bigint")
 
-    return map_texts(rows, "text", LINE, work, ["id"])
 
+def line_prefixes(rows: DataFrame, rarity: Rarity, min_tokens: int) -> DataFrame:
+    """A row of FIELDS for each key of each line that takes part; place is that of the key's later word, sketch the parity of the hashed words
+    in each of 64 bits. A task leaves out lines whose sets it has seen in an earlier line: copies by the thousand are a few entries of each
+    task, its earliest among them.
 
-def line_prefixes(rows: DataFrame, rarity: Rarity) -> DataFrame:
-    """rows: id, text, nos (the numbers of lines that stand for a class). Gives a row of FIELDS for each key; place is that of
-    its later word."""
+    Here a word is its class (7 bits) and 41 bits of its hash; words that agree in these only make lists longer."""
     shared = rows.sparkSession.sparkContext.broadcast((rarity.hashes, rarity.classes))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order_ = Rarity(*shared.value)
+        order_, seen = Rarity(*shared.value), {}
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for t in slices(batch.column(1)):
-                h, edges, texts, _ = line_sets(t)
-                wanted = batch.column(2).slice(t.lo, t.n)
-                own = np.diff(wanted.offsets.to_numpy())
-                line = wanted.flatten().to_numpy() + np.repeat(texts[:-1], own)
-                doc = np.repeat(np.arange(t.n), own)
-                n = np.diff(edges)[line]
-                # the words of these lines, by rarity
-                place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                h = h[np.repeat(edges[:-1][line], n) + place]
-                which = np.repeat(np.arange(len(line)), n)
-                key = order_.keys(h)
-                key = key[sort_within(key, which)]
-                bits = [np.zeros(len(line), U), np.zeros(len(line), U)]
+                line, h, texts = line_words(t)
+                chosen = np.zeros(int(texts[-1]), bool)
+                edges = np.searchsorted(line, np.arange(len(chosen) + 1))
+                raw, at = h.tobytes(), (edges * 8).tolist()
+                for k in np.flatnonzero(np.diff(edges) >= min_tokens).tolist():
+                    digest = xxhash.xxh3_128_digest(raw[at[k] : at[k + 1]])
+                    doc = int(np.searchsorted(texts, k, "right")) - 1
+                    place = (int(ids[t.lo + doc]), k - int(texts[doc]))
+                    if digest not in seen or place < seen[digest]:
+                        seen[digest] = place
+                        chosen[k] = True
+                stay = chosen[line]
+                line, h = line[stay], h[stay]
+                which, key = packed_sort(line, (order_.keys(h << U(16)) >> U(15)))
+                n_all = np.bincount(which, minlength=int(texts[-1]))
+                start = np.cumsum(n_all) - n_all
+                place = np.arange(len(which)) - start[which]
+                sketch = np.zeros(len(n_all), U)
+                some = np.flatnonzero(n_all)
                 if len(h):
-                    for k in (0, 1):
-                        one = np.where((h >> U(6) & U(1)) == U(k), U(1) << (h & U(63)), U(0))
-                        bits[k] = np.bitwise_or.reduceat(one, np.cumsum(n) - n)
-                length = n - need(n) + 1
-                often = key >> U(56) > 0
-                alone = np.flatnonzero((place < np.repeat(length, n)) & ~often)
+                    sketch[some] = np.bitwise_xor.reduceat(U(1) << (h & U(63)), start[some])
+                length = (n_all - need(n_all) + 1)[which]
+                often = key >> U(41) >= U(int(class_of(MIN_COUNT)))
+                alone = np.flatnonzero((place < length) & ~often)
                 outs = [(which[alone], key[alone], place[alone])]
-                longer = (place < np.repeat(length + 1, n)) & often
-                at = np.flatnonzero(longer)
-                size = np.bincount(which[at], minlength=len(line)) if len(at) else np.zeros(len(line), np.int64)
+                at = np.flatnonzero((place < length + 1) & often)
+                size = np.bincount(which[at], minlength=1)
                 for step in range(1, int(size.max(initial=0))):  # pairs of frequent words that are `step` apart
                     left = at[:-step][which[at[:-step]] == which[at[step:]]]
-                    right = left + step
-                    outs.append((which[left], mix(key[left] * U(3) + mix(key[right])) | U(1 << 63), place[right]))
+                    outs.append((which[left], mix(key[left] * U(3) + mix(key[left + step])) | U(1 << 63), place[left + step]))
                 who, keys, last = (np.concatenate(x) for x in zip(*outs, strict=True))
-                cols = [keys, ids[t.lo + doc[who]], (line - texts[doc])[who], n[who], *(b[who] for b in bits), last]
+                doc = np.searchsorted(texts, who, "right") - 1
+                cols = [keys, ids[t.lo + doc], who - texts[doc], n_all[who], sketch[who], last]
                 yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in cols], names=FIELDS)
 
-    return rows.select("id", "text", "nos").mapInArrow(run, ", ".join(f"{x} bigint" for x in FIELDS))
+    return rows.select("id", "text").mapInArrow(run, ", ".join(f"{x} bigint" for x in FIELDS))
 
 
 def passes(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> np.ndarray:
@@ -132,25 +154,24 @@ def passes(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> np.ndarray:
     nx, ny = x["n"][:, None], y["n"][None, :]
     least = -(-PERCENT * (nx + ny) // (100 + PERCENT))
     ok = np.minimum(nx, ny) * 100 >= PERCENT * np.maximum(nx, ny)
-    # at most the words up to the shared one in the set that has fewer of them, and those behind it
-    before = np.minimum(x["place"][:, None], y["place"][None, :]) + 1
-    behind = np.minimum(nx - x["place"][:, None], ny - y["place"][None, :]) - 1
-    ok &= before + behind >= least
-    differ = np.bitwise_count(x["b1"][:, None] ^ y["b1"][None, :]).astype(np.int64)
-    differ += np.bitwise_count(x["b2"][:, None] ^ y["b2"][None, :])
+    # the key's words taken as the first that both share: they and at most the words behind them are shared
+    ok &= np.minimum(nx - x["place"][:, None], ny - y["place"][None, :]) + (x["key"] < 0)[:, None] >= least
+    differ = np.bitwise_count(x["sketch"][:, None] ^ y["sketch"][None, :])
     return ok & (differ <= nx + ny - 2 * least)
 
 
 def proposals(batches: Iterator[pa.RecordBatch], all_: bool) -> Iterator[pa.RecordBatch]:
-    """Rows of FIELDS and `open`, sorted by key, id, no: pairs (later entry, earlier entry) that pass. One for each later entry, or, if
-    all_, all of those that are open. A list is held while it is read: some 60 bytes an entry."""
+    """Rows of FIELDS and `open`, sorted by key, id, no: pairs (later entry, earlier entry) that pass, and whether others were left out: all
+    of them in short lists, the first FEW + 1 of each later entry in long ones; if all_, all pairs of the open entries. A list is held while it is
+    read: some 60 bytes an entry."""
     held: dict[str, np.ndarray] | None = None
 
-    def tiles(rows: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def tiles(rows: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         size, out = len(rows["id"]), []
         for lo in range(0, size, TILE):
             x = {k: v[lo : lo + TILE] for k, v in rows.items()}
             left = np.flatnonzero(x["open"]) if all_ else np.arange(len(x["id"]))
+            have = np.zeros(len(left), np.int64)
             for start in range(0, min(size, lo + TILE), TILE):
                 if not len(left):
                     break
@@ -158,41 +179,48 @@ def proposals(batches: Iterator[pa.RecordBatch], all_: bool) -> Iterator[pa.Reco
                 fit = passes({k: v[left] for k, v in x.items()}, y)
                 if start == lo:
                     fit &= np.arange(len(y["id"]))[None, :] < left[:, None]
-                if all_:
-                    a, b = np.nonzero(fit)
-                    out.append((lo + left[a], start + b))
-                else:
-                    found = fit.any(1)
-                    out.append((lo + left[found], start + fit[found].argmax(1)))
-                    left = left[~found]
+                many = have + fit.sum(1)
+                if not all_:
+                    fit &= fit.cumsum(1) + have[:, None] <= FEW + 1
+                a, b = np.nonzero(fit)
+                out.append((lo + left[a], start + b, (many[a] > FEW).astype(np.int64)))
+                stay = (many <= FEW) | all_
+                left, have = left[stay], many[stay]
         return out
 
+    def short(rows: dict[str, np.ndarray], begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pairs of lists of at most SHORT entries, at once."""
+        offset = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        entry = np.repeat(begin, size) + offset
+        x = np.repeat(entry, offset)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(offset) - offset, offset) + np.repeat(np.repeat(begin, size), offset)
+        fit = pair_passes({k: v[x] for k, v in rows.items()}, {k: v[y] for k, v in rows.items()})
+        if all_:
+            fit &= rows["open"][x] > 0
+        return x[fit], y[fit], np.zeros(int(fit.sum()), np.int64)
+
     def emit(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
         key = rows["key"]
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         size = np.diff(edge)
-        two = edge[:-1][size == 2]
-        if len(two):  # most lists: compared at once
-            fit = pair_passes({k: v[two + 1] for k, v in rows.items()}, {k: v[two] for k, v in rows.items()})
-            if all_:
-                fit &= rows["open"][two + 1] > 0
-            xs.append(two[fit] + 1)
-            ys.append(two[fit])
-        for a, b in zip(edge[:-1][size > 2].tolist(), edge[1:][size > 2].tolist(), strict=True):
-            for x, y in tiles({k: v[a:b] for k, v in rows.items()}):
-                xs.append(a + x)
-                ys.append(a + y)
-        x, y = np.concatenate(xs), np.concatenate(ys)
-        same = (rows["id"][x] == rows["id"][y]) & (rows["no"][x] == rows["no"][y])
-        x, y = x[~same], y[~same]
-        return pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)) for v in (rows["id"][x], rows["no"][x], rows["id"][y], rows["no"][y])], names=["id", "no", "to_id", "to_no"])
+        none = np.zeros(0, np.int64)
+        found = [(none, none, none)]
+        few = (size > 1) & (size <= SHORT)
+        begin, small = edge[:-1][few], size[few]
+        parts = np.cumsum(small * (small - 1) // 2) // PAIRS
+        for k in range(int(parts[-1]) + 1 if len(parts) else 0):
+            found.append(short(rows, begin[parts == k], small[parts == k]))
+        for a, b in zip(edge[:-1][size > SHORT].tolist(), edge[1:][size > SHORT].tolist(), strict=True):
+            found += [(a + x, a + y, cut) for x, y, cut in tiles({k: v[a:b] for k, v in rows.items()})]
+        x, y, cut = (np.concatenate(v) for v in zip(*found, strict=True))
+        other = (rows["id"][x] != rows["id"][y]) | (rows["no"][x] != rows["no"][y])
+        x, y, cut = x[other], y[other], cut[other]
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (rows["id"][x], rows["no"][x], rows["id"][y], rows["no"][y], cut)], names=["id", "no", "to_id", "to_no", "cut"])
 
     for batch in batches:
         names = [*FIELDS, "open"] if all_ else FIELDS
         rows = {k: batch.column(i).to_numpy() for i, k in enumerate(names)}
-        for k in ("b1", "b2"):
-            rows[k] = rows[k].view(U)
+        rows["sketch"] = rows["sketch"].view(U)
         if held is not None:
             rows = {k: np.concatenate([held[k], v]) for k, v in rows.items()}
         if not len(rows["key"]):
@@ -209,15 +237,45 @@ def pair_passes(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> np.ndarra
     """passes() for row against row."""
     least = -(-PERCENT * (x["n"] + y["n"]) // (100 + PERCENT))
     ok = np.minimum(x["n"], y["n"]) * 100 >= PERCENT * np.maximum(x["n"], y["n"])
-    ok &= np.minimum(x["place"], y["place"]) + np.minimum(x["n"] - x["place"], y["n"] - y["place"]) >= least
-    differ = np.bitwise_count(x["b1"] ^ y["b1"]).astype(np.int64) + np.bitwise_count(x["b2"] ^ y["b2"])
+    ok &= np.minimum(x["n"] - x["place"], y["n"] - y["place"]) + (x["key"] < 0) >= least
+    differ = np.bitwise_count(x["sketch"] ^ y["sketch"])
     return ok & (differ <= x["n"] + y["n"] - 2 * least)
 
 
-def tokens_of(line: bytes) -> np.ndarray:
-    buf = np.frombuffer(line, np.uint8)
-    starts, ends = runs(NOT_SPACE[buf], np.array([0, len(buf)]))
-    return np.unique(hash_ranges(buf, starts, ends, LOWER_TABLE))
+def row_words(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and word of each row's distinct words; a row is one line."""
+    for t in slices(lines, 1 << 62):
+        starts, ends = runs(NOT_SPACE[t.buf], t.offs)
+        return distinct(np.searchsorted(t.offs, starts, "right") - 1, hash_ranges(t.buf, starts, ends, LOWER_TABLE) >> U(16))
+    return np.zeros(0, np.int64), np.zeros(0, U)
+
+
+SKETCH = 512
+
+
+def with_sketches(lines: DataFrame) -> DataFrame:
+    """lines: id, no, line. Adds n, the size of the set, and bits, its parities in SKETCH bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                row, h = row_words(part.column(2))
+                odd = np.bincount(row * SKETCH + (h & U(SKETCH - 1)).astype(np.int64), minlength=part.num_rows * SKETCH) & 1
+                bits = np.packbits(odd.astype(np.uint8).reshape(part.num_rows, SKETCH), axis=1).view(np.int64).ravel()
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.bincount(row, minlength=part.num_rows)), lists(bits, np.arange(0, len(bits) + 1, SKETCH // 64), pa.int64())], names=["id", "no", "line", "n", "bits"])
+
+    return lines.select("id", "no", "line").mapInArrow(run, "id bigint, no bigint, line string, n bigint, bits array<bigint>")
+
+
+def similar(pairs: DataFrame, shown: DataFrame) -> DataFrame:
+    """The pairs whose larger sketches allow them to link; most that passed the small one don't."""
+    one = shown.select("id", "no", "n", "bits")
+    other = shown.select(F.col("id").alias("to_id"), F.col("no").alias("to_no"), F.col("n").alias("m"), F.col("bits").alias("to_bits"))
+    both = pairs.join(one, ["id", "no"]).join(other, ["to_id", "to_no"])
+    differ = F.aggregate(F.zip_with("bits", "to_bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
+    least = F.expr(f"({PERCENT} * (n + m) + {100 + PERCENT - 1}) div {100 + PERCENT}")
+    return both.where(differ <= F.col("n") + F.col("m") - 2 * least).select("id", "no", "to_id", "to_no", "times")
 
 
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -226,78 +284,80 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     both = pairs.join(lines, ["id", "no"]).join(other, ["to_id", "to_no"]).select("id", "no", "line", "to_line")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str | None, np.ndarray] = (None, np.zeros(0, U))
         for batch in batches:
-            good = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if b != last[0]:
-                    last = (b, tokens_of(b.encode()))
-                x, y = tokens_of(a.encode()), last[1]
-                inter = int(np.isin(x, y, assume_unique=True).sum())
-                good.append(inter * 100 >= PERCENT * (len(x) + len(y) - inter))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["id", "no"])
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                (row_x, x), (row_y, y) = row_words(part.column(2)), row_words(part.column(3))
+                size = np.bincount(row_x, minlength=part.num_rows) + np.bincount(row_y, minlength=part.num_rows)
+                row, h = packed_sort(np.concatenate([row_x, row_y]), np.concatenate([x, y]))
+                twice = row[1:][(row[1:] == row[:-1]) & (h[1:] == h[:-1])]
+                inter = np.bincount(twice, minlength=part.num_rows)
+                keep = pa.array(inter * 100 >= PERCENT * (size - inter))
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], names=["id", "no"])
 
     return both.mapInArrow(run, "id bigint, no bigint").distinct()
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """id, no: the lines (numbered from 0) to remove. A null id stands as the least long."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rarity = frequent(rows, "text", lambda t: line_sets(t)[0])
-    each = Stored(with_lines(rows, min_tokens).select("id", F.explode(F.arrays_zip("no", "d1", "d2")).alias("l")).select("id", "l.*"), "lines")
-    first = F.min(F.struct("id", "no")).alias("first")
-    classes = checkpoint(each.df.groupBy("d1", "d2").agg(first).select("d1", "d2", "first.*"))
-    copies = each.df.join(classes.select("d1", "d2", F.col("id").alias("i"), F.col("no").alias("k")), ["d1", "d2"]).where("id <> i or no <> k").select("id", "no")
-    nos = classes.groupBy("id").agg(F.collect_list("no").alias("nos"))
-    stand = rows.join(nos, "id").dropDuplicates(["id"])
-    keyed = line_prefixes(stand, rarity)
-    lists_ = Stored(keyed.repartition("key").sortWithinPartitions("key", "id", "no").mapInArrow(shared_keys, keyed.schema), "keys")
-    propose = lambda df, names, all_: df.select(*names).repartition("key").sortWithinPartitions("key", "id", "no").mapInArrow(lambda b: proposals(b, all_), "id bigint, no bigint, to_id bigint, to_no bigint").distinct()
-    pairs = checkpoint(propose(lists_.df, FIELDS, False))
+    """id, no: the lines (numbered from 0) to remove."""
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    spark = docs.sparkSession
+    pass_ = Stored(with_lines(rows, min_tokens), "lines")
+    rarity = top(pass_.df.where("kind = 1").select(F.col("id").alias("h"), F.col("no").alias("n")), COUNTED, KEPT)
+    each = pass_.df.where("kind = 0")
+    classes = checkpoint(each.groupBy("d1", "d2").agg(F.min(F.struct("id", "no")).alias("first")).select("d1", "d2", "first.*"))
+    copies = checkpoint(each.join(classes.select("d1", "d2", F.col("id").alias("i"), F.col("no").alias("k")), ["d1", "d2"]).where("id <> i or no <> k").select("id", "no"))
+    keyed = line_prefixes(rows, rarity, min_tokens)
+    pair = ["id", "no", "to_id", "to_no"]
+
+    def propose(entries: DataFrame, all_: bool) -> DataFrame:
+        dealt = entries.repartition("key").sortWithinPartitions("key", "id", "no")
+        found = dealt.mapInArrow(lambda b: proposals(b, all_), "id bigint, no bigint, to_id bigint, to_no bigint, cut bigint")
+        return found.groupBy(*pair).agg(F.count("*").alias("times"), F.max("cut").alias("cut"))
 
     def lines_of(found: DataFrame) -> DataFrame:
-        wanted = found.select("id", "no").union(found.select("to_id", "to_no")).distinct()
-        return rows.join(wanted.groupBy("id").agg(F.collect_list("no").alias("nos")), "id").dropDuplicates(["id"]).select("id", F.explode(F.transform("nos", lambda k: F.struct(k.alias("no"), F.get(F.split("text", "\n"), k.cast("int")).alias("line")))).alias("x")).select("id", "x.*")
-
-    shown = Stored(lines_of(pairs), "shown")
-    gone = checkpoint(verified(pairs, shown.df))
-    # proposals that failed: their lines propose all others
-    failed = checkpoint(pairs.select("id", "no").distinct().join(gone, ["id", "no"], "left_anti"))
-    opened = lists_.df.join(failed.withColumn("o", F.lit(1).cast("long")), ["id", "no"], "left").withColumn("open", F.coalesce("o", F.lit(0).cast("long")))
-    alive = opened.groupBy("key").agg(F.max("open").alias("some")).where("some > 0").select("key")
-    more = propose(opened.join(alive, "key", "left_semi"), [*FIELDS, "open"], True).join(pairs, ["id", "no", "to_id", "to_no"], "left_anti")
-    more = checkpoint(more)
-    shown_more = Stored(lines_of(more), "more")
-    late = verified(more, shown_more.df)
-    out = checkpoint(copies.unionByName(gone).unionByName(late).distinct())
-    for x in (each, lists_, shown, shown_more):
-        x.drop()
-    return out
-
-
-def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key (the first column), those of keys with two rows or more."""
-    pending, last = None, None  # a row that may yet be alone, and the key before
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = batch.column(0).to_numpy()
-        same, keep = key[1:] == key[:-1], np.zeros(len(key), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        if last is not None and key[0] == last:
-            keep[0] = True
-            if pending is not None:
-                yield pending
-        pending, last = None if keep[-1] else batch.slice(len(key) - 1), key[-1]
-        yield batch.filter(pa.array(keep))
+        wanted = found.select("id", "no").union(found.select("to_id", "to_no")).distinct().groupBy("id").agg(F.collect_list("no").alias("nos"))
+        one = lambda k: F.struct(k.alias("no"), F.get(F.col("lines"), k.cast("int")).alias("line"))
+        return rows.join(wanted, "id").dropDuplicates(["id"]).select("id", "nos", F.split("text", "\n").alias("lines")).select("id", F.explode(F.transform("nos", one)).alias("x")).select("id", "x.*")
+
+    # a copy proposes nothing, and is proposed by its first occurrence
+    second = copies.select(F.col("id").alias("to_id"), F.col("no").alias("to_no"))
+    own = lambda df: df.join(copies, ["id", "no"], "left_anti").join(second, ["to_id", "to_no"], "left_anti").select(*pair, "times", "cut")
+
+    def settled(found: DataFrame) -> DataFrame:
+        """id, no of the lines of which a pair links."""
+        shown = Stored(with_sketches(lines_of(found)), "shown")
+        near = checkpoint(similar(found, shown.df))
+        release(spark)
+        # the proposal that most lists make is verified first, the others where it fails
+        best = F.max(F.struct("times", (-F.col("to_id")).alias("i"), (-F.col("to_no")).alias("k"))).alias("b")
+        likely = checkpoint(near.groupBy("id", "no").agg(best).select("id", "no", (-F.col("b.i")).alias("to_id"), (-F.col("b.k")).alias("to_no")))
+        lines = shown.df.select("id", "no", "line")
+        gone = checkpoint(verified(likely, lines))
+        rest = near.join(gone, ["id", "no"], "left_anti").join(likely, pair, "left_anti").select(*pair)
+        gone = checkpoint(gone.unionByName(verified(rest, lines)))
+        shown.drop()
+        release(spark)
+        return gone
+
+    pairs = Stored(own(propose(keyed, False)), "pairs")
+    gone = settled(pairs.df)
+    out = copies.unionByName(gone)
+    # lines without a match that left entries of long lists out: all pairs of their lists
+    failed = checkpoint(pairs.df.where("cut > 0").select("id", "no").distinct().join(gone, ["id", "no"], "left_anti"))
+    if failed.limit(1).count():
+        few = rows.join(failed.select("id").distinct(), "id", "left_semi")
+        alive = checkpoint(line_prefixes(few, rarity, min_tokens).join(failed, ["id", "no"]).select("key").distinct())
+        opened = keyed.join(alive, "key", "left_semi").join(failed.withColumn("o", F.lit(1).cast("long")), ["id", "no"], "left").withColumn("open", F.coalesce("o", F.lit(0).cast("long")))
+        more = Stored(own(propose(opened.select(*FIELDS, "open"), True)).join(pairs.df.select(*pair), pair, "left_anti"), "more")
+        out = out.unionByName(settled(more.df))
+    return checkpoint(out.distinct())
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_tokens: int = MIN_TOKENS) -> DataFrame:
     """docs with n_lines, n_removed_lines and kept_text."""
     gone = duplicate_lines(docs, id_col, text, min_tokens).groupBy("id").agg(F.collect_set("no").alias("__gone")).withColumnRenamed("id", "__id")
-    joined = docs.join(gone, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col("__id"), "left").drop("__id")
+    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     kept = F.array_join(F.filter(lines, lambda x, k: ~F.array_contains("__gone", k.cast("long"))), "\n")
     out = joined.withColumns({"n_lines": F.size(lines).cast("long"), "n_removed_lines": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"), "kept_text": F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept)})

@@ -56,13 +56,17 @@ class Counter:
         return h[edge[often]].view(np.int64), times[often]
 
 
-def top(counts: DataFrame, min_count: int = MIN_COUNT) -> Rarity:
+def class_of(times: np.ndarray | float) -> np.ndarray:
+    return np.clip(np.floor(np.log2(np.maximum(times, 1)) * 4).astype(np.int64), 1, 126)
+
+
+def top(counts: DataFrame, min_count: int = MIN_COUNT, keep: int = KEEP) -> Rarity:
     """The order of the tokens from all blocks' counts (h, n)."""
     sums = counts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    best = sums.orderBy(F.desc("n"), "h").limit(KEEP).collect()
+    best = sums.orderBy(F.desc("n"), "h").limit(keep).collect()
     hashes, times = np.array([r.h for r in best], np.int64).view(U), np.array([r.n for r in best], np.float64)
     order = np.argsort(hashes)
-    classes = np.clip(np.floor(np.log2(np.maximum(times, 1)) * 4).astype(np.int64), 1, 126)
+    classes = class_of(times)
     return Rarity(hashes[order], classes[order])
 
 
