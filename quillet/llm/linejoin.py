@@ -105,6 +105,7 @@ def line_prefixes(rows: DataFrame, rarity: Rarity, min_tokens: int) -> DataFrame
 
     Here a word is its class (7 bits) and 41 bits of its hash; words that agree in these only make lists longer."""
     shared = rows.sparkSession.sparkContext.broadcast((rarity.hashes, rarity.classes))
+    frequent = U(int(class_of(MIN_COUNT)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order_, seen = Rarity(*shared.value), {}
@@ -133,7 +134,7 @@ def line_prefixes(rows: DataFrame, rarity: Rarity, min_tokens: int) -> DataFrame
                 if len(h):
                     sketch[some] = np.bitwise_xor.reduceat(U(1) << (h & U(63)), start[some])
                 length = (n_all - need(n_all) + 1)[which]
-                often = key >> U(41) >= U(int(class_of(MIN_COUNT)))
+                often = key >> U(41) >= frequent
                 alone = np.flatnonzero((place < length) & ~often)
                 outs = [(which[alone], key[alone], place[alone])]
                 at = np.flatnonzero((place < length + 1) & often)
@@ -160,7 +161,7 @@ def passes(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> np.ndarray:
     return ok & (differ <= nx + ny - 2 * least)
 
 
-def proposals(batches: Iterator[pa.RecordBatch], all_: bool) -> Iterator[pa.RecordBatch]:
+def proposals(batches: Iterator[pa.RecordBatch], all_: bool, short_size: int, few: int, tile: int) -> Iterator[pa.RecordBatch]:
     """Rows of FIELDS and `open`, sorted by key, id, no: pairs (later entry, earlier entry) that pass, and whether others were left out: all
     of them in short lists, the first FEW + 1 of each later entry in long ones; if all_, all pairs of the open entries. A list is held while it is
     read: some 60 bytes an entry."""
@@ -168,23 +169,23 @@ def proposals(batches: Iterator[pa.RecordBatch], all_: bool) -> Iterator[pa.Reco
 
     def tiles(rows: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         size, out = len(rows["id"]), []
-        for lo in range(0, size, TILE):
-            x = {k: v[lo : lo + TILE] for k, v in rows.items()}
+        for lo in range(0, size, tile):
+            x = {k: v[lo : lo + tile] for k, v in rows.items()}
             left = np.flatnonzero(x["open"]) if all_ else np.arange(len(x["id"]))
             have = np.zeros(len(left), np.int64)
-            for start in range(0, min(size, lo + TILE), TILE):
+            for start in range(0, min(size, lo + tile), tile):
                 if not len(left):
                     break
-                y = {k: v[start : start + TILE] for k, v in rows.items()}
+                y = {k: v[start : start + tile] for k, v in rows.items()}
                 fit = passes({k: v[left] for k, v in x.items()}, y)
                 if start == lo:
                     fit &= np.arange(len(y["id"]))[None, :] < left[:, None]
                 many = have + fit.sum(1)
                 if not all_:
-                    fit &= fit.cumsum(1) + have[:, None] <= FEW + 1
+                    fit &= fit.cumsum(1) + have[:, None] <= few + 1
                 a, b = np.nonzero(fit)
-                out.append((lo + left[a], start + b, (many[a] > FEW).astype(np.int64)))
-                stay = (many <= FEW) | all_
+                out.append((lo + left[a], start + b, (many[a] > few).astype(np.int64)))
+                stay = (many <= few) | all_
                 left, have = left[stay], many[stay]
         return out
 
@@ -205,12 +206,12 @@ def proposals(batches: Iterator[pa.RecordBatch], all_: bool) -> Iterator[pa.Reco
         size = np.diff(edge)
         none = np.zeros(0, np.int64)
         found = [(none, none, none)]
-        few = (size > 1) & (size <= SHORT)
-        begin, small = edge[:-1][few], size[few]
+        brief = (size > 1) & (size <= short_size)
+        begin, small = edge[:-1][brief], size[brief]
         parts = np.cumsum(small * (small - 1) // 2) // PAIRS
         for k in range(int(parts[-1]) + 1 if len(parts) else 0):
             found.append(short(rows, begin[parts == k], small[parts == k]))
-        for a, b in zip(edge[:-1][size > SHORT].tolist(), edge[1:][size > SHORT].tolist(), strict=True):
+        for a, b in zip(edge[:-1][size > short_size].tolist(), edge[1:][size > short_size].tolist(), strict=True):
             found += [(a + x, a + y, cut) for x, y, cut in tiles({k: v[a:b] for k, v in rows.items()})]
         x, y, cut = (np.concatenate(v) for v in zip(*found, strict=True))
         other = (rows["id"][x] != rows["id"][y]) | (rows["no"][x] != rows["no"][y])
@@ -308,11 +309,11 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     classes = checkpoint(each.groupBy("d1", "d2").agg(F.min(F.struct("id", "no")).alias("first")).select("d1", "d2", "first.*"))
     copies = checkpoint(each.join(classes.select("d1", "d2", F.col("id").alias("i"), F.col("no").alias("k")), ["d1", "d2"]).where("id <> i or no <> k").select("id", "no"))
     keyed = line_prefixes(rows, rarity, min_tokens)
-    pair = ["id", "no", "to_id", "to_no"]
+    pair, limits = ["id", "no", "to_id", "to_no"], (SHORT, FEW, TILE)
 
     def propose(entries: DataFrame, all_: bool) -> DataFrame:
         dealt = entries.repartition("key").sortWithinPartitions("key", "id", "no")
-        found = dealt.mapInArrow(lambda b: proposals(b, all_), "id bigint, no bigint, to_id bigint, to_no bigint, cut bigint")
+        found = dealt.mapInArrow(lambda b: proposals(b, all_, *limits), "id bigint, no bigint, to_id bigint, to_no bigint, cut bigint")
         return found.groupBy(*pair).agg(F.count("*").alias("times"), F.max("cut").alias("cut"))
 
     def lines_of(found: DataFrame) -> DataFrame:
@@ -340,16 +341,17 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         release(spark)
         return gone
 
-    pairs = Stored(own(propose(keyed, False)), "pairs")
-    gone = settled(pairs.df)
+    raw = Stored(propose(keyed, False), "pairs")
+    pairs = own(raw.df)
+    gone = settled(pairs)
     out = copies.unionByName(gone)
     # lines without a match that left entries of long lists out: all pairs of their lists
-    failed = checkpoint(pairs.df.where("cut > 0").select("id", "no").distinct().join(gone, ["id", "no"], "left_anti"))
+    failed = checkpoint(raw.df.where("cut > 0").select("id", "no").distinct().join(copies, ["id", "no"], "left_anti").join(gone, ["id", "no"], "left_anti"))
     if failed.limit(1).count():
         few = rows.join(failed.select("id").distinct(), "id", "left_semi")
         alive = checkpoint(line_prefixes(few, rarity, min_tokens).join(failed, ["id", "no"]).select("key").distinct())
         opened = keyed.join(alive, "key", "left_semi").join(failed.withColumn("o", F.lit(1).cast("long")), ["id", "no"], "left").withColumn("open", F.coalesce("o", F.lit(0).cast("long")))
-        more = Stored(own(propose(opened.select(*FIELDS, "open"), True)).join(pairs.df.select(*pair), pair, "left_anti"), "more")
+        more = Stored(own(propose(opened.select(*FIELDS, "open"), True)).join(raw.df.select(*pair), pair, "left_anti"), "more")
         out = out.unionByName(settled(more.df))
     return checkpoint(out.distinct())
 

@@ -141,10 +141,9 @@ def brute_lines(rows, min_tokens=5):
 
 @pytest.mark.parametrize(("count", "short"), [(1000, 64), (3, 64), (3, 2), (1000, 2)])
 def test_op5(spark, rows, count, short, monkeypatch):
-    from quillet.llm import rarity
-
-    for module, name, value in ((linejoin, "MIN_COUNT", count), (linejoin, "SHORT", short), (linejoin, "FEW", short // 2 - 1), (linejoin, "TILE", 3), (rarity, "LOCAL", 1)):
-        monkeypatch.setattr(module, name, value)
+    # these are read on the driver and sent along
+    for name, value in (("MIN_COUNT", count), ("SHORT", short), ("FEW", short // 2 - 1), ("TILE", 3)):
+        monkeypatch.setattr(linejoin, name, value)
     rng = random.Random(5)
     base = [rng.choice(WORDS) for _ in range(30)]
     extra = [(1000 + k, "\n".join(" ".join(vary(base, rng, rng.randrange(6))) for _ in range(3)), "en", "s", 1) for k in range(15)]
