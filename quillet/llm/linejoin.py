@@ -1,9 +1,10 @@
 """Line dedup by an exact set-similarity join of line tokens.
 
-A line's set is its distinct words (runs of non-space characters, A-Z as a-z). Lines of fewer than MIN_TOKENS distinct words are left alone.
+A line's set is its distinct words (runs of non-space characters, A-Z as a-z). Every line with a word takes part.
 A line is removed when an earlier line (by document, then line number), removed or not, has 100 * |A & B| >= PERCENT * |A | B|.
 
-1. Lines with equal sets are one class; all occurrences but its first are removed. A task enters a set once.
+1. Lines with equal sets are one class; all occurrences but its first are removed. A task enters a set once. Sets of fewer than LISTED words link with
+   equal ones only, so they are settled here and enter no list (a set of LISTED words links with one that has a word more).
 2. Words are ordered by rarity: uncounted ones first, then by count. A class is entered under each infrequent word of its prefix (the n - ceil(t n) + 1 rarest words), and under
    each pair of frequent words of the prefix longer by one: two sets that link share two words of that, and if the rarer is infrequent
    it lies in the prefix; else both are frequent and the pair is a key. Frequent keys alone would make lists that grow with the corpus.
@@ -14,7 +15,7 @@ A line is removed when an earlier line (by document, then line number), removed
    sketches of 512 bits; the one that most lists make is verified on the whole sets, then the others of lines without a match. Lines that still have none while entries were left out propose
    all that pass, which are verified likewise. So no pair is left out, and no large group gives all its pairs.
 
-Null texts have no lines; rows with a null id are left alone. Blank and short lines stay. Ties don't occur: rows that repeat an id must repeat the text, then equal lines of equal place
+Null texts have no lines; rows with a null id are left alone. Lines without words stay. Ties don't occur: rows that repeat an id must repeat the text, then equal lines of equal place
 count as one occurrence and share its fate. Documents that lose all their lines with words are empty afterwards. An empty table gives an
 empty result.
 """
@@ -33,7 +34,9 @@ from quillet.llm.bytesview import LOWER_TABLE, NOT_SPACE, U, Texts, hash_ranges,
 from quillet.llm.rarity import Counter, Rarity, class_of, top
 from quillet.session import Stored, checkpoint, release
 
-PERCENT, MIN_TOKENS = 80, 5
+PERCENT, MIN_TOKENS = 80, 1
+#: The least words of a set that links with another than itself: n of n + 1.
+LISTED = -(-PERCENT // (100 - PERCENT))
 #: Words in so many lines are frequent; words in COUNTED lines or more are ordered by their counts, of these KEPT at most.
 MIN_COUNT, COUNTED, KEPT = 1000, 12, 1 << 18
 FIELDS = ["key", "id", "no", "n", "sketch", "place"]
@@ -116,7 +119,7 @@ def line_prefixes(rows: DataFrame, rarity: Rarity, min_tokens: int) -> DataFrame
                 chosen = np.zeros(int(texts[-1]), bool)
                 edges = np.searchsorted(line, np.arange(len(chosen) + 1))
                 raw, at = h.tobytes(), (edges * 8).tolist()
-                for k in np.flatnonzero(np.diff(edges) >= min_tokens).tolist():
+                for k in np.flatnonzero(np.diff(edges) >= max(min_tokens, LISTED)).tolist():
                     digest = xxhash.xxh3_128_digest(raw[at[k] : at[k + 1]])
                     doc = int(np.searchsorted(texts, k, "right")) - 1
                     place = (int(ids[t.lo + doc]), k - int(texts[doc]))

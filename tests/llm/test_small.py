@@ -159,6 +159,19 @@ def test_op5_edges(spark, none):
     assert got == [(1, 0, "a b c d e"), (1, 0, "a b c d e"), (2, 0, None), (None, 0, "a b c d e")]
 
 
+@pytest.mark.parametrize("count", [1000, 3])
+def test_op5_short_lines(spark, count, monkeypatch):
+    """Lines of 1 to 4 words link with equal sets, and those of 4 also with one that has a word more."""
+    monkeypatch.setattr(linejoin, "MIN_COUNT", count)
+    rng = random.Random(7)
+    rows = [(1, "Les.\nand so\n\na b c\nd e f g"), (2, "les.\nSO and so\n\na b c d\nd x e f g"), (3, "p q r s t\np q r s\na c b\n \nh i j"), (4, "Les."), (5, None), (6, "h i j k")]
+    rows += [(100 + k, "\n".join(" ".join(rng.choices(WORDS[:7], k=rng.randrange(7))) for _ in range(6))) for k in range(40)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: (r.n_lines, r.n_removed_lines, r.kept_text or "") for r in linejoin.dedup_lines(table).collect()}
+    assert got == brute_lines(rows, min_tokens=1)
+    assert got[2] == (5, 3, "\na b c d") and got[3][2] == "p q r s t\n \nh i j" and got[4] == (1, 1, "") and got[6][1] == 0
+
+
 def brute_repeats(rows, length):
     seen = Counter()
     raw = {r[0]: (r[1] or "").encode() for r in rows}
