@@ -1,11 +1,11 @@
 """Main text of HTML pages by wrapper induction.
 
 1. Pages become trees of elements; scripts, styles and comments are dropped by the parser, character references decoded.
-2. For each host, REFERENCES pages (those of least hash of the address, a bounded documented sample that every page is measured against,
+2. For each host, REFERENCES + 1 different pages (those of least hash; a page is measured against REFERENCES others; a bounded documented sample,
    not a filter) are the wrapper. Simple tree matching aligns each page with each reference: two trees match at their roots if their tags and
    classes agree, and their children by a maximal order-keeping match.
-3. A text node whose partners in most references have the same text is template and is dropped; inside an article all of REFERENCES - 1 or more
-   must agree, as short articles repeat lines by chance. The others are varying slots. References that copy the page don't count.
+3. A text node whose partners in most references have the same text is template and is dropped; inside an article three
+   quarters of them and two at least must agree, as short articles repeat lines by chance. The others are varying slots. References that copy the page don't count.
 4. Varying slots under elements that name furniture (menus, headers, footers, sidebars, notices, adverts, forms, reader comments: by tag, role,
    class or id) are dropped. Of the rest, the content is what lies in the article (or main) element, or, on pages without one, in the
    smallest element with most of the varying text.
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillet.session import checkpoint
@@ -271,8 +271,8 @@ def extract(page: Node, references: list[Node]) -> str:
     votes, counted = template_votes(page, references) if references else ({}, 0)
     start = content_root(page)
     article = start.tag in ("article", "main")
-    # in an article, chance and quotation repeat texts too: there all of many references must agree
-    least = max(counted, REFERENCES - 1) if article else counted // 2 + 1
+    # in an article, chance and quotation repeat texts too: there more of the references must agree, and never one alone
+    least = max(2, -(-3 * counted // 4)) if article else counted // 2 + 1
     blocks: list[str] = []
     line: list[str] = []
 
@@ -312,13 +312,31 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
+def least_pages(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """host, h, page: the pages of the `most` least different hashes of each host in the task."""
+    held: dict[str, dict[int, str]] = {}
+    for batch in batches:
+        for k, (host, h) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            own = held.setdefault(host, {})
+            if h in own or len(own) == most and h > max(own):
+                continue
+            own[h] = batch.column(2)[k].as_py()
+            if len(own) > most:
+                del own[max(own)]
+    rows = [(host, h, page) for host, own in held.items() for h, page in own.items()]
+    for lo in range(0, len(rows), 1000):
+        hosts, hashes, texts = zip(*rows[lo : lo + 1000], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(texts, pa.string())], names=["host", "h", "page"])
+
+
 def main_text(pages: DataFrame, url: str = "url", html: str = "html", references: int = REFERENCES) -> DataFrame:
     """pages with text and n_chars."""
     hosted = pages.withColumn("__host", host_of(F.col(url)))
-    named = hosted.where(F.col(html).isNotNull()).select(F.col("__host").alias("host"), F.xxhash64(url, html).alias("h"), F.col(html).alias("page"))
-    # the minima are pre-aggregated: a host is `references` rows a task
-    firsts = named.groupBy("host").agg(*[F.min(F.struct(F.xxhash64("h", F.lit(k)).alias("r"), F.col("page"))).alias(f"r{k}") for k in range(references)])
-    wrapper = checkpoint(firsts.select("host", F.array_distinct(F.array(*[f"r{k}.page" for k in range(references)])).alias("refs")))
+    named = hosted.where(F.col(html).isNotNull()).select(F.col("__host").alias("host"), F.xxhash64(html).alias("h"), F.col(html).alias("page"))
+    # the least hashes are pre-aggregated: a host is references + 1 rows a task
+    firsts = named.mapInArrow(lambda b: least_pages(b, references + 1), "host string, h bigint, page string").groupBy("host", "h").agg(F.min("page").alias("page"))
+    ranked = firsts.withColumn("k", F.row_number().over(Window.partitionBy("host").orderBy("h"))).where(F.col("k") <= references + 1)
+    wrapper = checkpoint(ranked.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("k", "page"))).alias("r")).select("host", F.col("r.page").alias("refs")))
     size = wrapper.agg(F.sum(F.aggregate("refs", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x)))).first()[0] or 0
     shared = None
     if size <= BROADCAST_BYTES:
@@ -340,12 +358,12 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", references
                     texts.append("")
                     continue
                 refs = shared.value.get(host, []) if shared else refs or []
-                if len(trees) > 500:
+                if len(trees) > 600:
                     trees.clear()
                 for r in refs:
                     if r not in trees:
                         trees[r] = parse(r)
-                texts.append(extract(parse(page), [trees[r] for r in refs if r != page]))
+                texts.append(extract(parse(page), [trees[r] for r in refs if r != page][:references]))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(at)), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=[f.name for f in schema])
 
     return source.mapInArrow(run, schema).toDF(*names, "text", "n_chars")

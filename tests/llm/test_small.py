@@ -415,6 +415,17 @@ def test_op1_template_without_article(spark):
     assert pages.main_text(table).where("page_id = 4").first().text == "Story 4 tells of things number 4.\n\nIt goes on 4."
 
 
+@pytest.mark.parametrize("n", [4, 9, 30])
+def test_op1_template_in_article(spark, n):
+    """A constant paragraph goes on small and large hosts, also where one page lacks it."""
+    page = "<body><article><h1>Title {k} of this</h1><p>{story}</p>{ask}</article></body>"
+    story = lambda k: " ".join(random.Random(k).choices(WORDS, k=40))
+    html = {k: page.format(k=k, story=story(k), ask="" if k == 1 and n > 4 else "<p>Write to us</p>") for k in range(n)}
+    table = spark.createDataFrame([(k, f"http://a.example/{k}", x) for k, x in html.items()], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in pages.main_text(table).collect()}
+    assert got == {k: f"Title {k} of this\n\n{story(k)}" for k in html}
+
+
 def brute_matching(a, b):
     def weight(x, y):
         if not pages.alike(x, y):
