@@ -7,8 +7,9 @@
 3. A text node whose partners in most references have the same text is template and is dropped; inside an article three
    quarters of them and two at least must agree, as short articles repeat lines by chance. The others are varying slots. References that copy the page don't count.
 4. Varying slots under elements that name furniture (menus, headers, footers, sidebars, notices, adverts, forms, reader comments: by tag, role,
-   class or id) are dropped. Of the rest, the content is what lies in the article (or main) element, or, on pages without one, in the
-   smallest element with most of the varying text.
+   class or id) are dropped. Inside an article a name is often a topic (search-algorithms, share-prices): there only tags, roles and the classes in OWN_NAMES
+   tell alone, other names when half of the element's text or more is template or links. Of the rest, the content is what lies in the smallest element that
+   holds all articles (or main elements), or, on pages without one, all varying slots.
 
 Text in one block (paragraph, heading, list item, table cell and so on) is joined, its white space made one space and trimmed; blocks are joined
 by two newlines, in page order. A line break is white space. A host with one page has no partner to align with, so its text nodes all vary.
@@ -45,6 +46,8 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form
 NAMES = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|adbox|adslot|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice\w*|alert\w*|popup|modal|newsletter|subscribe\w*|signup|login|nav\w*|menu\w*|breadcrumbs?|pagination|pager|footer|foot|copyright|sidebar\w*|side|aside|widget\w*|related\w*|recommend\w*|share|sharing|social\w*|comments?|commentlist|respond|replies|disqus|toolbar|tags|skip\w*|search\w*)(?:$|[-_ 0-9])", re.I)
 #: The same, but outside an article only.
 HEADS = re.compile(r"(?:^|[-_ ])(?:header|masthead|banner|topbar)(?:$|[-_ 0-9])", re.I)
+#: Whole classes that name furniture inside an article too, whatever its topic.
+OWN_NAMES = re.compile(r"ads?|advert\w*|adbox|adslot|sponsored|cookies?|consent|gdpr|cookie-\w+|newsletter|subscribe|signup|login|breadcrumbs?|pagination|pager|sidebar|widget|comments?|commentlist|respond|replies|disqus", re.I)
 #: A start ends these open elements.
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Nothing inside these is ended from within by ENDED_BY.
@@ -238,41 +241,72 @@ def furniture(node: Node, inside: bool = False) -> bool:
         return True
     if node.tag in ("html", "body", "article", "main"):
         return False
+    if inside:
+        return any(OWN_NAMES.fullmatch(x) for x in a.get("class", "").split())
     names = f"{a.get('class', '')} {a.get('id', '')}"
-    return bool(NAMES.search(names)) or not inside and bool(HEADS.search(names))
+    return bool(NAMES.search(names)) or bool(HEADS.search(names))
 
 
-def content_root(root: Node) -> Node:
-    """The article or main element with most text, or else the smallest element with over half of the text outside furniture."""
+def named(node: Node) -> bool:
+    """Whether class or id have a word that is used for furniture, or for a topic."""
+    return bool(node.attrs) and node.tag not in ("article", "main") and bool(NAMES.search(f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}"))
 
-    def length(node: Node) -> int:
-        return 0 if furniture(node) else sum(len(x.strip()) if isinstance(x, str) else length(x) for x in node.children)
 
-    found, todo = [], [(root, False)]
+def proven(node: Node, votes: dict[tuple[int, int], int], least: int) -> bool:
+    """Whether half of an element's text or more is template or in links."""
+    total = told = 0
+    todo = [(node, node.tag == "a")]
     while todo:
-        node, inside = todo.pop()
-        if node.tag in ("article", "main") or node.attrs.get("role", "").lower() in ("main", "article") or node.attrs.get("itemprop") == "articleBody":
-            found.append(node)
-        if not furniture(node):
-            todo += [(x, inside) for x in node.children if not isinstance(x, str)]
-    articles = [x for x in found if x.tag == "article" or x.attrs.get("itemprop")]
-    for group in (articles, found):
-        if group and max(map(length, group)):
-            return max(group, key=length)
-    total, node = length(root), root
-    while True:
-        inner = next((x for x in node.children if not isinstance(x, str) and 2 * length(x) > total), None)
-        if inner is None or inner.tag in ("p", "li", "td", "span", "b", "i", "em", "strong", "a", "ul", "ol", "table"):
-            return node
-        node = inner
+        x, link = todo.pop()
+        for place, y in enumerate(children(x)):
+            if isinstance(y, str):
+                total += len(plain(y))
+                told += len(plain(y)) if link or votes.get((id(x), place), 0) >= least else 0
+            else:
+                todo.append((y, link or y.tag == "a"))
+    return 2 * told >= total
+
+
+def content_root(root: Node) -> tuple[Node, set[int]]:
+    """The smallest element that holds all articles with text (or else all main elements), and the ids of these; the root where there is none: what is
+    dropped outside the smallest element with all varying slots is template or furniture."""
+    articles: list[list[Node]] = []
+    mains: list[list[Node]] = []
+
+    def look(path: list[Node], within: bool) -> None:
+        node = path[-1]
+        if node.tag == "article" or node.attrs.get("itemprop") == "articleBody" or node.attrs.get("role", "").lower() == "article":
+            if shows(node):
+                articles.append(path)
+            return
+        if not within and (node.tag == "main" or node.attrs.get("role", "").lower() == "main") and shows(node):
+            mains.append(path)
+            within = True
+        if not furniture(node, within):
+            for x in children(node):
+                if not isinstance(x, str):
+                    look([*path, x], within)
+
+    look([root], False)
+    parts = articles or mains
+    if not parts:
+        return root, set()
+    common = parts[0]
+    for path in parts[1:]:
+        common = common[: next((k for k, (x, y) in enumerate(zip(common, path, strict=False)) if x is not y), min(len(common), len(path)))]
+    return common[-1], {id(path[-1]) for path in parts}
+
+
+def shows(node: Node) -> bool:
+    """Whether there is text outside furniture."""
+    return any(isinstance(x, str) or not furniture(x, True) and shows(x) for x in children(node))
 
 
 def extract(page: Node, references: list[Node]) -> str:
     votes, counted = template_votes(page, references) if references else ({}, 0)
-    start = content_root(page)
-    article = start.tag in ("article", "main")
+    start, parts = content_root(page)
     # in an article, chance and quotation repeat texts too: there more of the references must agree, and never one alone
-    least = max(2, -(-3 * counted // 4)) if article else counted // 2 + 1
+    many, most = max(2, -(-3 * counted // 4)), counted // 2 + 1
     blocks: list[str] = []
     line: list[str] = []
 
@@ -282,7 +316,8 @@ def extract(page: Node, references: list[Node]) -> str:
             blocks.append(text)
         line.clear()
 
-    def walk(node: Node) -> None:
+    def walk(node: Node, inside: bool) -> None:
+        inside = inside or id(node) in parts
         block = node.tag in BLOCKS
         if block:
             flush()
@@ -291,19 +326,19 @@ def extract(page: Node, references: list[Node]) -> str:
             if isinstance(x, str):
                 if x.strip():
                     place += 1
-                    if votes.get((id(node), place), 0) >= least:
+                    if votes.get((id(node), place), 0) >= (many if inside else most):
                         continue
                 line.append(x)
             else:
                 place += 1
                 if x.tag == "br":
                     line.append(" ")
-                elif not furniture(x, article):
-                    walk(x)
+                elif id(x) in parts or not (furniture(x, inside) or inside and named(x) and proven(x, votes, many)):
+                    walk(x, inside)
         if block:
             flush()
 
-    walk(start)
+    walk(start, False)
     flush()
     return "\n\n".join(blocks)
 

@@ -426,6 +426,20 @@ def test_op1_template_in_article(spark, n):
     assert got == {k: f"Title {k} of this\n\n{story(k)}" for k in html}
 
 
+def test_op1_whole_text(spark):
+    """A title beside the story, two parts, several articles, and names that are topics."""
+    parts = {
+        "a": "<body><div>All about this site</div><h1>Title {k}</h1><div><p>{s}</p></div><div><p>Then {k} {s}</p></div></body>",
+        "b": "<body><div><article><h1>One {k}</h1><p>{s}</p></article><h2>Between {k}</h2><article><p>Two {k}</p></article></div></body>",
+        "c": "<body><article><h2 id=search-algorithms>Search {k}</h2><section id=related-work><p>Work {k} {s}</p></section><div class=share-prices>Prices {k}</div><ul class=share-box><li><a href=/>Send {k}</a></ul><div class=ad>Buy {k}</div></article></body>",
+    }
+    want = {"a": "Title {k}\n\n{s}\n\nThen {k} {s}", "b": "One {k}\n\n{s}\n\nBetween {k}\n\nTwo {k}", "c": "Search {k}\n\nWork {k} {s}\n\nPrices {k}"}
+    story = [" ".join(random.Random(k).choices(WORDS, k=30)) for k in range(6)]
+    rows = [(f"{x}{k}", f"http://{x}.example/{k}", page.format(k=k, s=story[k])) for x, page in parts.items() for k in range(6)]
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    assert got == {f"{x}{k}": t.format(k=k, s=story[k]) for x, t in want.items() for k in range(6)}
+
+
 def brute_matching(a, b):
     def weight(x, y):
         if not pages.alike(x, y):
