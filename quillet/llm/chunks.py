@@ -5,7 +5,8 @@ after a byte where the upper bits of h are zero, once it has min_bytes, or at ma
 cuts only until the next common cut, so equal passages give equal chunks.
 
 Chunks are known by a 128-bit digest. The first occurrence (least doc_id, then position) stays and later ones are removed. A
-chunk that ends with the text short of min_bytes is kept: such tails are too short to tell copies. Digests are pre-aggregated
+tail (a chunk that ends with the text short of min_bytes) is too short to tell copies alone: if tails is set, as the registered query does, a later
+occurrence is removed where it is its document's only chunk or the chunk before it is removed; else tails stay. Digests are pre-aggregated
 before they are shuffled; the first occurrence of each is found by a minimum, so a chunk that a third of all documents hold is a row for
 each task.
 
@@ -89,19 +90,23 @@ def chunk_texts(docs: DataFrame, text: str = "text", min_bytes: int = MIN_BYTES,
     return map_texts(docs, text, ADDED, work)
 
 
-def removed_chunks(docs: DataFrame, text: str = "text", min_bytes: int = MIN_BYTES, **cutting: int) -> DataFrame:
-    """doc_id, text_hash, pos, begin, end: the chunks of which an earlier occurrence stays."""
+def removed_chunks(docs: DataFrame, text: str = "text", min_bytes: int = MIN_BYTES, tails: bool = False, **cutting: int) -> DataFrame:
+    """doc_id, text_hash, pos, begin, end, tail: the chunks of which an earlier occurrence stays; with tails, those short of min_bytes too."""
     chunked = chunk_texts(docs.select("doc_id", text), text, min_bytes, **cutting).drop(text)
     begin = F.when(F.col("pos") == 0, 0).otherwise(F.get("chunk_ends", F.col("pos") - 1))
-    each = chunked.select("doc_id", "text_hash", "chunk_ends", "digests2", F.posexplode("digests").alias("pos", "a")).select("doc_id", "text_hash", "pos", "a", F.get("digests2", F.col("pos")).alias("b"), begin.alias("begin"), F.get("chunk_ends", F.col("pos")).alias("end")).where(F.col("end") - F.col("begin") >= min_bytes)
+    each = chunked.select("doc_id", "text_hash", "chunk_ends", "digests2", F.posexplode("digests").alias("pos", "a")).select("doc_id", "text_hash", "pos", "a", F.get("digests2", F.col("pos")).alias("b"), begin.alias("begin"), F.get("chunk_ends", F.col("pos")).alias("end")).withColumn("tail", F.col("end") - F.col("begin") < min_bytes)
+    if not tails:
+        each = each.where("not tail")
     place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.col("text_hash").alias("t"), F.col("pos").alias("p"))
     first = each.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1")
-    return each.join(first, ["a", "b"]).where(place != F.col("first")).select("doc_id", "text_hash", "pos", "begin", "end")
+    return each.join(first, ["a", "b"]).where(place != F.col("first")).select("doc_id", "text_hash", "pos", "begin", "end", "tail")
 
 
-def dedup_chunks(docs: DataFrame, text: str = "text", **cutting: int) -> DataFrame:
+def dedup_chunks(docs: DataFrame, text: str = "text", tails: bool = False, **cutting: int) -> DataFrame:
     """docs with kept_text (a binary: the bytes that stay, cuts may part a character), n_removed and n_spans."""
-    gone = removed_chunks(docs, text, **cutting).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("gone"))
+    spans = removed_chunks(docs, text, tails=tails, **cutting).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("begin", "end", "tail"))).alias("all"))
+    # a tail goes with the chunk before it, or as the only chunk
+    gone = spans.select("doc_id", "text_hash", F.filter("all", lambda x: ~x["tail"] | (x["begin"] == 0) | F.exists("all", lambda y: y["end"] == x["begin"])).alias("gone"))
     own = map_texts(docs, text, [ADDED[-1]], lambda t: [pa.array([xxhash.xxh3_64_intdigest(t.buf[a:b].tobytes()) - (1 << 63) for a, b in zip(t.offs[:-1], t.offs[1:], strict=True)], pa.int64())])
     joined = own.join(gone.withColumnRenamed("doc_id", "__id").withColumnRenamed("text_hash", "__hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left").drop("__id", "__hash", "text_hash")
     return cut_spans(joined, text, "gone")

@@ -51,7 +51,7 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.digest(chunks.dedup_chunks(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return chunks.digest(chunks.dedup_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), tails=True))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

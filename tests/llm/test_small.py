@@ -295,6 +295,16 @@ def test_op8(docs, rows, none):
     assert chunks.dedup_chunks(none).count() == 0
 
 
+def test_op8_tails(spark, tmp_path):
+    """Exact copies go as wholes, short ones too; a tail that follows a chunk of its own document stays."""
+    long, other = (" ".join(random.Random(k).choices(WORDS, k=200)) for k in range(2))
+    rows = [(1, "By be in."), (2, "By be in."), (3, long), (4, long), (5, other), (6, None), (7, "By be in, no.")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in queries.op8_chunk_dedup(spark, str(tmp_path)).collect()}
+    size = {i: len((t or "").encode()) for i, t in rows}
+    assert got == {i: (n, n if i in (2, 4) else 0) for i, n in size.items()}
+
+
 def test_chunks_resist_shifts():
     import pyarrow as pa
     from quillet.llm.bytesview import slices
