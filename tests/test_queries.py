@@ -37,3 +37,10 @@ def test_against_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
 def test_runs(spark, name):
     assert queries.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_incremental_covers_the_table(spark):
+    whole = queries.QUERIES["inverted_index"](spark, DATA)
+    assert queries.SQL["incremental_index_whole"] == queries.SQL["inverted_index"]
+    got = queries.QUERIES["incremental_index_whole"](spark, DATA)
+    assert got.count() == whole.count() and got.exceptAll(whole.select(*got.columns)).count() == 0
