@@ -44,3 +44,9 @@ def test_incremental_covers_the_table(spark):
     assert queries.SQL["incremental_index_whole"] == queries.SQL["inverted_index"]
     got = queries.QUERIES["incremental_index_whole"](spark, DATA)
     assert got.count() == whole.count() and got.exceptAll(whole.select(*got.columns)).count() == 0
+
+
+def test_formats_are_measured(spark):
+    got = queries.QUERIES["measured_formats"](spark, DATA).collect()
+    assert {r.fmt for r in got} == {"parquet", "text", "json"} and sum(r.best for r in got) == 1
+    assert all(r.save_ms > 0 and r.load_ms > 0 and r.size_bytes > 1000 for r in got)
