@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillet.llm import chunks, decontaminate, hilbert, licenses, linejoin, ngramjoin, pages, quality, queries, sentencepieces, substrings
 
@@ -274,35 +275,76 @@ def test_op6_edges(spark, none, docs):
     assert decontaminate.mark_benchmark(none, empty).count() == 0
 
 
-def test_op8(docs, rows, none):
-    got = {r.doc_id: r for r in chunks.dedup_chunks(docs).collect()}
-    seen = set()
-    for i, text, *_ in sorted(rows):
+def brute_chunk_runs(raw):
+    """Begins and ends of the runs of a text, byte by byte, with a hash of its own making."""
+    cuts, last = [0], -1
+    for end in range(1, len(raw)):
+        h = 0
+        for x in raw[max(0, end - 16) : end]:
+            h = (2 * h + int(chunks.GEAR[x])) % 65536
+        if end >= 16 and h < 65536 >> chunks.MASK_BITS:
+            if last < 0 or end - last >= chunks.APART:
+                cuts.append(end)
+            last = end
+    cuts.append(len(raw))
+    full = [x for a, b in zip(cuts[:-1], cuts[1:], strict=True) for x in range(a, b, chunks.MAX_BYTES)] + [len(raw)]
+    if len(raw) < chunks.RUN_BYTES:
+        return [(0, len(raw))] if raw else []
+    found = set()
+    for a in full:
+        if a + chunks.RUN_BYTES <= len(raw):
+            found.add((a, min(x for x in full if x >= a + chunks.RUN_BYTES)))
+    return sorted(found | {(max(x for x in full if x + chunks.RUN_BYTES <= len(raw)), len(raw))})
+
+
+def brute_chunk_dedup(rows):
+    """Which bytes stay, of rows (id, text) with different ids."""
+    seen, out = set(), {}
+    for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
         raw = (text or "").encode()
-        from quillet.llm.bytesview import slices
-        import pyarrow as pa
-
-        ends = next((chunks.cuts(t)[0] for t in slices(pa.array([text or ""]))), [])
-        out, a = [], 0
-        for e in ends:
-            part = raw[a:e]
-            if len(part) < chunks.MIN_BYTES or part not in seen:
-                out.append(part)
-            if len(part) >= chunks.MIN_BYTES:
-                seen.add(part)
-            a = e
-        assert bytes(got[i].kept_text) == b"".join(out) and got[i].n_removed == len(raw) - len(b"".join(out))
+        stay = [True] * len(raw)
+        for a, b in brute_chunk_runs(raw):
+            run = (raw[a:b], b - a < chunks.RUN_BYTES)
+            if run in seen:
+                stay[a:b] = [False] * (b - a)
+            seen.add(run)
+        out[i] = bytes(x for x, k in zip(raw, stay, strict=True) if k)
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 19, 50])
+def test_op8(docs, rows, none, block, monkeypatch):
+    monkeypatch.setattr(chunks, "BLOCK", block)
+    got = {r.doc_id: r for r in chunks.dedup_chunks(docs).collect()}
+    want = brute_chunk_dedup([r[:2] for r in rows])
+    assert {i: bytes(r.kept_text) for i, r in got.items()} == want
+    assert any(r.n_spans for r in got.values()) and all(r.n_removed == r.n_bytes - len(r.kept_text) for r in got.values())
     assert chunks.dedup_chunks(none).count() == 0
 
 
-def test_op8_tails(spark, tmp_path):
-    """Exact copies go as wholes, short ones too; a tail that follows a chunk of its own document stays."""
-    long, other = (" ".join(random.Random(k).choices(WORDS, k=200)) for k in range(2))
-    rows = [(1, "By be in."), (2, "By be in."), (3, long), (4, long), (5, other), (6, None), (7, "By be in, no.")]
+def test_op8_wholes(spark, tmp_path):
+    """Exact copies go as wholes, short ones too; a short text within another stays; passages go but for their ends; clean texts stay."""
+    long, other, third = (" ".join(random.Random(k).choices(WORDS, k=200)) for k in range(3))
+    passage = " ".join(random.Random(9).choices(WORDS, k=80))
+    rows = [(1, "By be in."), (2, "By be in."), (3, long), (4, long), (5, other + "\n" + passage), (6, None), (7, "By be in, no."), (8, third + "\n" + passage + "\n" + long[:100]), (9, "By be in. " + third[:90])]
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: (r.n_bytes, r.n_removed) for r in queries.op8_chunk_dedup(spark, str(tmp_path)).collect()}
     size = {i: len((t or "").encode()) for i, t in rows}
-    assert got == {i: (n, n if i in (2, 4) else 0) for i, n in size.items()}
+    assert {i: x for i, x in got.items() if i != 8} == {i: (n, n if i in (2, 4) else 0) for i, n in size.items() if i != 8}
+    assert 0.6 * len(passage) < got[8][1] <= len(passage) + 2
+
+
+def test_op8_edges(spark):
+    """Equal rows of one id: one stays. Rows of one id with different texts, null ids, long texts, and columns with the names of added ones."""
+    long = " ".join(random.Random(5).choices(WORDS, k=400_000))
+    rows = [(1, long, 7), (1, long, 7), (2, long, 8), (1, "short", 9), (None, "short", 1), (None, None, 2), (3, "", 3)]
+    names = "doc_id bigint, text string, n_spans int"
+    docs = spark.createDataFrame(rows, names).withColumns({"gone": F.lit("g"), "__id": F.lit(1), "row": F.lit(2), "rest": F.lit(3), "doc": F.lit(4), "key": F.lit(5)})
+    got = chunks.dedup_chunks(docs).select("doc_id", "text", "n_bytes", "n_removed", "n_spans", "gone", "__id", "row", "rest", "doc", "key").collect()
+    assert len(long) > 1 << 20 and all(tuple(r[5:]) == ("g", 1, 2, 3, 4, 5) for r in got)
+    whole = Counter((r.doc_id, len(r.text or ""), r.n_removed, r.n_spans) for r in got)
+    n = len(long)
+    assert whole == Counter([(1, n, 0, 0), (1, n, n, 1), (2, n, n, 1), (1, 5, 5, 1), (None, 5, 0, 0), (None, 0, 0, 0), (3, 0, 0, 0)])
 
 
 def test_chunks_resist_shifts():
@@ -313,9 +355,9 @@ def test_chunks_resist_shifts():
     text = "".join(rng.choice("abcdefgh ") for _ in range(20000))
     parts = []
     for x in (text, text[:500] + "inserted" + text[500:]):
-        ends = next(chunks.cuts(t)[0] for t in slices(pa.array([x])))
-        parts.append({x[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)})
-        assert all(b - a <= chunks.MAX_BYTES for a, b in zip([0, *ends[:-1]], ends, strict=True))
+        ends = next(chunks.edges(t).tolist() for t in slices(pa.array([x])))
+        parts.append({x[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)})
+        assert all(b - a <= chunks.MAX_BYTES for a, b in zip(ends[:-1], ends[1:], strict=True))
     assert len(parts[0] & parts[1]) > 0.95 * len(parts[0])
 
 
