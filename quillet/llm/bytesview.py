@@ -135,6 +135,21 @@ def lists(values: np.ndarray, edges: np.ndarray, kind: pa.DataType) -> pa.ListAr
     return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(values, kind))
 
 
+def earlier(rows: np.ndarray) -> np.ndarray:
+    """rows: a digest in two columns, then columns by which equal ones are ordered. Which rows have an equal digest before them."""
+    order = np.argsort(rows[0], kind="stable")
+    key = rows[0][order]
+    same = np.zeros(len(key), bool)
+    same[1:] = key[1:] == key[:-1]
+    same[:-1] |= same[1:]
+    some = order[same]
+    some = some[np.lexsort(rows[::-1, some])]
+    found = np.zeros(len(key), bool)
+    a, b = some[:-1], some[1:]
+    found[b] = (rows[0][a] == rows[0][b]) & (rows[1][a] == rows[1][b])
+    return found
+
+
 def map_texts(df: DataFrame, text: str, added: list[StructField], work: Callable[[Texts], list[pa.Array]], keep: list[str] | None = None, limit: int = SLICE_BYTES) -> DataFrame:
     """Keep the columns of df (or `keep`) and add those that `work` computes for each slice of texts.
 

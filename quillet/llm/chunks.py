@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField
 
-from quillet.llm.bytesview import Texts, mix, slices
+from quillet.llm.bytesview import Texts, earlier, mix, slices
 from quillet.session import Stored
 
 MASK_BITS, APART, MAX_BYTES, RUN_BYTES = 4, 10, 1024, 160
@@ -93,29 +93,14 @@ def runs(t: Texts, run_bytes: int = RUN_BYTES, **cutting: int) -> tuple[np.ndarr
     return tuple(np.concatenate(x) for x in (b, e, d))
 
 
-def settle(rows: np.ndarray) -> np.ndarray:
-    """rows: one column for each of NAMES' first six. Which of them repeat an earlier one."""
-    order = np.argsort(rows[0], kind="stable")
-    key = rows[0][order]
-    same = np.zeros(len(key), bool)
-    same[1:] = key[1:] == key[:-1]
-    same[:-1] |= same[1:]
-    some = order[same]
-    some = some[np.lexsort([rows[i][some] for i in (4, 3, 2, 1, 0)])]
-    gone = np.zeros(len(key), bool)
-    a, b = some[:-1], some[1:]
-    gone[b] = (rows[0][a] == rows[0][b]) & (rows[1][a] == rows[1][b])
-    return gone
-
-
-def keyed(batches: Iterator[pa.RecordBatch], run_bytes: int, cutting: dict[str, int]) -> Iterator[pa.RecordBatch]:
+def keyed(batches: Iterator[pa.RecordBatch], run_bytes: int, block: int, cutting: dict[str, int]) -> Iterator[pa.RecordBatch]:
     """Rows doc, row, text. Gives RUN, dealt by key: the first of each run in a block, and those of which an earlier one is in the block."""
     held: list[np.ndarray] = []
 
     def flush() -> pa.RecordBatch:
         rows = np.concatenate([np.zeros((6, 0), np.int64), *held], axis=1)
         held.clear()
-        gone = settle(rows)
+        gone = earlier(rows)
         rows[0][gone], rows[1][gone] = mix(rows[3][gone].view(np.uint64)).view(np.int64), 0
         return pa.RecordBatch.from_arrays([*(pa.array(x) for x in rows), pa.array(gone.astype(np.int64))], names=NAMES)
 
@@ -128,7 +113,7 @@ def keyed(batches: Iterator[pa.RecordBatch], run_bytes: int, cutting: dict[str,
             halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             start = t.offs[d]
             held.append(np.stack([halves[:, 0], halves[:, 1], docs[t.lo + d], ids[t.lo + d], b - start, e - start]))
-            if sum(x.shape[1] for x in held) >= BLOCK:
+            if sum(x.shape[1] for x in held) >= block:
                 yield flush()
     yield flush()
 
@@ -138,7 +123,7 @@ def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = np.zeros((7, 0), np.int64)
 
     def emit(rows: np.ndarray) -> pa.RecordBatch:
-        gone = settle(rows[:6]) | (rows[6] > 0)
+        gone = earlier(rows[:6]) | (rows[6] > 0)
         return pa.RecordBatch.from_arrays([pa.array(rows[i][gone]) for i in (3, 4, 5)], names=["row", "begin", "end"])
 
     for batch in batches:
@@ -154,10 +139,11 @@ def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup_chunks(docs: DataFrame, text: str = "text", id_col: str = "doc_id", run_bytes: int = RUN_BYTES, **cutting: int) -> DataFrame:
     """docs with kept_text (a binary: the bytes that stay, cuts may part a character), n_bytes, n_removed and n_spans. cutting: what edges() takes."""
+    block = BLOCK
     others = [c for c in docs.columns if c != text]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col(f"`{text}`").alias("text"))
     store = Stored(packed.withColumn("row", F.monotonically_increasing_id()), "texts")
-    dealt = store.df.select("doc", "row", "text").mapInArrow(lambda b: keyed(b, run_bytes, cutting), RUN).repartition("key").sortWithinPartitions("key")
+    dealt = store.df.select("doc", "row", "text").mapInArrow(lambda b: keyed(b, run_bytes, block, cutting), RUN).repartition("key").sortWithinPartitions("key")
     gone = dealt.mapInArrow(later, "row bigint, begin bigint, end bigint").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("gone"))
     spans = Stored(gone, "spans")
     cut = cut_spans(store.df.join(spans.df, "row", "left").select("rest", "text", "gone"), "text", "gone")

@@ -3,21 +3,22 @@
 A line's set is its distinct words (runs of non-space characters, A-Z as a-z). Every line with a word takes part.
 A line is removed when an earlier line (by document, then line number), removed or not, has 100 * |A & B| >= PERCENT * |A | B|.
 
-1. Lines with equal sets are one class; all occurrences but its first are removed. A task enters a set once. Sets of fewer than LISTED words link with
-   equal ones only, so they are settled here and enter no list (a set of LISTED words links with one that has a word more).
+1. Lines with equal sets are one class, known by a digest; all occurrences but its first are removed. Each task settles the repeats among a block of
+   its lines, so that a line by the million is a row for each block. Sets of fewer than LISTED words link with equal ones only, so they are
+   settled here and enter no list (a set of LISTED words links with one that has a word more).
 2. Words are ordered by rarity: uncounted ones first, then by count. A class is entered under each infrequent word of its prefix (the n - ceil(t n) + 1 rarest words), and under
    each pair of frequent words of the prefix longer by one: two sets that link share two words of that, and if the rarer is infrequent
    it lies in the prefix; else both are frequent and the pair is a key. Frequent keys alone would make lists that grow with the corpus.
 3. Within a list, entries meet if they pass the length filter, the positional filter (sets that link also meet under the first words
    they share, so these and the words behind them must be enough) and a sketch filter: 64 parities of hashed words; two sets differ in as many
-   words as their sketches in bits, or more.
-4. Each entry proposes the earlier entries that pass (in lists of over SHORT entries the first FEW + 1); proposals are tested again by
-   sketches of 512 bits; the one that most lists make is verified on the whole sets, then the others of lines without a match. Lines that still have none while entries were left out propose
-   all that pass, which are verified likewise. So no pair is left out, and no large group gives all its pairs.
-
-Null texts have no lines; rows with a null id are left alone. Lines without words stay. Ties don't occur: rows that repeat an id must repeat the text, then equal lines of equal place
-count as one occurrence and share its fate. Documents that lose all their lines with words are empty afterwards. An empty table gives an
-empty result.
+   words as their sketches in bits, or more. A list gives its entries that meet another, never pairs: a group of near copies is
+   a row for each member and list.
+4. The lines of these entries are dealt by list once more, with their words. There each line is compared with the earlier ones that pass the length
+   filter and a sketch of 512 bits, by their whole sets, until one links. Only the lines to remove leave the list. No pair is left out.
+
+Null texts have no lines; rows with a null id are left alone. Lines without words stay. Rows that repeat an id are rows of their own: they are ordered by id, then by a hash of the
+text, then at random. Documents that lose all their lines with words are empty afterwards. Texts of any length are taken whole. Columns with the names of added
+ones give way to them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,25 +27,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillet.llm.bytesview import LOWER_TABLE, NOT_SPACE, U, Texts, hash_ranges, lists, mix, runs, slices
+from quillet.llm.bytesview import LOWER_TABLE, NOT_SPACE, U, Texts, earlier, hash_ranges, mix, runs, slices
+from quillet.llm.hilbert import ranked
 from quillet.llm.rarity import Counter, Rarity, class_of, top
 from quillet.session import Stored, checkpoint, release
 
-PERCENT, MIN_TOKENS = 80, 1
+PERCENT = 80
 #: The least words of a set that links with another than itself: n of n + 1.
 LISTED = -(-PERCENT // (100 - PERCENT))
 #: Words in so many lines are frequent; words in COUNTED lines or more are ordered by their counts, of these KEPT at most.
 MIN_COUNT, COUNTED, KEPT = 1000, 12, 1 << 18
-FIELDS = ["key", "id", "no", "n", "sketch", "place"]
-#: Entries of a list that are compared at once.
-TILE = 1024
-#: Entries of a short list, proposals of an entry in a long one, and pairs that are tested at once.
-SHORT, FEW, PAIRS = 64, 1024, 500_000
+#: span is n << 32 | place: the size of the set and the place of the key's later word.
+FIELDS = ["key", "d1", "span", "sketch"]
+#: Lines of a block; entries of a short list; entries of a long list that are compared at once; pairs that are tested at once.
+BLOCK, SHORT, TILE, PAIRS = 1 << 19, 64, 512, 250_000
+#: 64-bit words of the large sketch.
+SKETCH = 8
 LOW48 = U((1 << 48) - 1)
+LOW32 = (1 << 32) - 1
 
 
 def packed_sort(group: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,307 +66,306 @@ def distinct(group: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return group[new], value[new]
 
 
-def line_words(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Line (counted over the slice) and word (48 bits of its hash) of each line's distinct words, and the edges of lines by text."""
-    starts, ends = runs(NOT_SPACE[t.buf], t.offs)
-    h = hash_ranges(t.buf, starts, ends, LOWER_TABLE) >> U(16)
-    doc = np.searchsorted(t.offs, starts, "right") - 1
-    newlines = np.flatnonzero(t.buf == 10)
-    before = np.searchsorted(newlines, t.offs)
-    edges = before - before[0] + np.arange(t.n + 1)  # a text of k newlines has k + 1 lines
-    return *distinct(np.searchsorted(newlines, starts) + doc, h), edges
+class Lines:
+    """The lines with words of a slice: their sets, one after another (line counted over the slice; 48 bits of each word's hash, sorted), which lines
+    they are, where each begins, its size, and two halves of a digest: sums of hashes, as a set has no order."""
+
+    def __init__(self, t: Texts):
+        starts, ends = runs(NOT_SPACE[t.buf], t.offs)
+        h = hash_ranges(t.buf, starts, ends, LOWER_TABLE) >> U(16)
+        doc = np.searchsorted(t.offs, starts, "right") - 1
+        newlines = np.flatnonzero(t.buf == 10)
+        before = np.searchsorted(newlines, t.offs)
+        self.texts = before - before[0] + np.arange(t.n + 1)  # a text of k newlines has k + 1 lines
+        self.line, self.words = distinct(np.searchsorted(newlines, starts) + doc, h)
+        new = np.ones(len(self.line), bool)
+        new[1:] = self.line[1:] != self.line[:-1]
+        self.start = np.flatnonzero(new)
+        self.which = self.line[self.start]
+        self.size = np.diff(np.concatenate([self.start, [len(self.line)]]))
+        none = np.zeros(0, U)
+        self.d1, self.d2 = (np.add.reduceat(mix(self.words ^ U(salt)), self.start) if len(self.start) else none for salt in (0x51ED27, 0xB5297A4D))
+
+    def docs(self) -> np.ndarray:
+        """The text of each line."""
+        return np.searchsorted(self.texts, self.which, "right") - 1
 
 
 def need(n: np.ndarray) -> np.ndarray:
     return -(-PERCENT * n // 100)
 
 
-def with_lines(rows: DataFrame, min_tokens: int) -> DataFrame:
-    """Rows of kind 0: id, number and digest of each line that takes part; of kind 1: a word and its count."""
+KINDS = ["kind", "d1", "d2", "id", "no"]
+
+
+def with_lines(rows: DataFrame) -> DataFrame:
+    """Rows of kind 0: digest, id and number of the first line of each set in a block; of kind 1: the block's other lines; of kind 2: a word (d1) and its count (d2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter()
-        batch_of = lambda kind, *cols: pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), kind, np.int32)), *(pa.array(np.ascontiguousarray(c), pa.int64()) for c in cols)], names=["kind", "id", "no", "d1", "d2"])
-        counts = lambda x: batch_of(1, x[0], x[1], x[1], x[1])
+        counter, held = Counter(), []
+
+        def counts(x: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+            zero = np.zeros(len(x[0]), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32) + 2), *(pa.array(c, pa.int64()) for c in (x[0], x[1], zero, zero))], names=KINDS)
+
+        def flush() -> pa.RecordBatch:
+            lines = np.concatenate([np.zeros((4, 0), np.int64), *held], axis=1)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(earlier(lines).astype(np.int32)), *(pa.array(x) for x in lines)], names=KINDS)
+
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for t in slices(batch.column(1)):
-                line, h, texts = line_words(t)
-                yield from map(counts, counter.add(h << U(16)))
-                edges = np.searchsorted(line, np.arange(int(texts[-1]) + 1))
-                part = np.flatnonzero(np.diff(edges) >= min_tokens)
-                raw, at = h.tobytes(), (edges * 8).tolist()
-                halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[at[k] : at[k + 1]]) for k in part.tolist()), np.int64).reshape(-1, 2)
-                doc = np.searchsorted(texts, part, "right") - 1
-                yield batch_of(0, ids[t.lo + doc], part - texts[doc], halves[:, 0], halves[:, 1])
+                own = Lines(t)
+                yield from map(counts, counter.add(own.words << U(16)))
+                doc = own.docs()
+                held.append(np.stack([own.d1.view(np.int64), own.d2.view(np.int64), ids[t.lo + doc], own.which - own.texts[doc]]))
+                if sum(x.shape[1] for x in held) >= BLOCK:
+                    yield flush()
+        yield flush()
         yield counts(counter.flush())
 
-    return rows.select("id", "text").mapInArrow(run, "kind int, id bigint, no bigint, d1 bigint, d2 bigint")
+    return rows.select("id", "text").mapInArrow(run, "kind int, d1 bigint, d2 bigint, id bigint, no bigint")
+
+
+def by_key(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[pa.Table]:
+    """Of rows sorted by a column, tables that hold all rows of their keys."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(column).to_numpy()
+        last = int(np.searchsorted(key, key[-1]))
+        if last or held and held[-1].column(column)[0].as_py() != key[0]:
+            if last:
+                held.append(batch.slice(0, last))
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """d1, d2, id, no, sorted by d1. Adds whether the line is not the first of its set."""
+    for table in by_key(batches):
+        lines = np.stack([table.column(k).to_numpy() for k in range(4)])
+        yield pa.RecordBatch.from_arrays([pa.array(lines[0]), pa.array(lines[2]), pa.array(lines[3]), pa.array(earlier(lines))], names=["d1", "id", "no", "copy"])
 
 
-def line_prefixes(rows: DataFrame, rarity: Rarity, min_tokens: int) -> DataFrame:
-    """A row of FIELDS for each key of each line that takes part; place is that of the key's later word, sketch the parity of the hashed words
-    in each of 64 bits. A task leaves out lines whose sets it has seen in an earlier line: copies by the thousand are a few entries of each
-    task, its earliest among them.
+def line_prefixes(rows: DataFrame, rarity: Rarity) -> DataFrame:
+    """A row of FIELDS for each key of each line; sketch is the parity of the hashed words in each of 64 bits. A task leaves out lines whose sets it has
+    seen not long before.
 
     Here a word is its class (7 bits) and 41 bits of its hash; words that agree in these only make lists longer."""
     shared = rows.sparkSession.sparkContext.broadcast((rarity.hashes, rarity.classes))
     frequent = U(int(class_of(MIN_COUNT)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order_, seen = Rarity(*shared.value), {}
+        order_, seen = Rarity(*shared.value), np.zeros(0, U)
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for t in slices(batch.column(1)):
-                line, h, texts = line_words(t)
-                chosen = np.zeros(int(texts[-1]), bool)
-                edges = np.searchsorted(line, np.arange(len(chosen) + 1))
-                raw, at = h.tobytes(), (edges * 8).tolist()
-                for k in np.flatnonzero(np.diff(edges) >= max(min_tokens, LISTED)).tolist():
-                    digest = xxhash.xxh3_128_digest(raw[at[k] : at[k + 1]])
-                    doc = int(np.searchsorted(texts, k, "right")) - 1
-                    place = (int(ids[t.lo + doc]), k - int(texts[doc]))
-                    if digest not in seen or place < seen[digest]:
-                        seen[digest] = place
-                        chosen[k] = True
-                stay = chosen[line]
-                line, h = line[stay], h[stay]
-                which, key = packed_sort(line, (order_.keys(h << U(16)) >> U(15)))
-                n_all = np.bincount(which, minlength=int(texts[-1]))
-                start = np.cumsum(n_all) - n_all
+            for t in slices(batch.column(0)):
+                own = Lines(t)
+                digest = own.d1 ^ mix(own.d2)
+                chosen = np.zeros(len(digest), bool)
+                chosen[np.unique(digest, return_index=True)[1]] = True
+                chosen &= own.size >= LISTED
+                if len(seen):
+                    chosen &= seen[np.minimum(np.searchsorted(seen, digest), len(seen) - 1)] != digest
+                seen = np.sort(np.concatenate([seen if len(seen) < BLOCK else seen[:0], digest[chosen]]))
+                size = own.size[chosen]
+                stay = np.repeat(chosen, own.size)
+                h, line = own.words[stay], np.repeat(np.arange(len(size)), size)
+                start = np.cumsum(size) - size
+                if not len(h):
+                    continue
+                sketch = np.bitwise_xor.reduceat(U(1) << (h & U(63)), start)
+                which, key = packed_sort(line, order_.keys(h << U(16)) >> U(15))
                 place = np.arange(len(which)) - start[which]
-                sketch = np.zeros(len(n_all), U)
-                some = np.flatnonzero(n_all)
-                if len(h):
-                    sketch[some] = np.bitwise_xor.reduceat(U(1) << (h & U(63)), start[some])
-                length = (n_all - need(n_all) + 1)[which]
+                length = (size - need(size) + 1)[which]
                 often = key >> U(41) >= frequent
                 alone = np.flatnonzero((place < length) & ~often)
                 outs = [(which[alone], key[alone], place[alone])]
                 at = np.flatnonzero((place < length + 1) & often)
-                size = np.bincount(which[at], minlength=1)
-                for step in range(1, int(size.max(initial=0))):  # pairs of frequent words that are `step` apart
+                for step in range(1, int(np.bincount(which[at], minlength=1).max(initial=0))):  # pairs of frequent words that are `step` apart
                     left = at[:-step][which[at[:-step]] == which[at[step:]]]
                     outs.append((which[left], mix(key[left] * U(3) + mix(key[left + step])) | U(1 << 63), place[left + step]))
                 who, keys, last = (np.concatenate(x) for x in zip(*outs, strict=True))
-                doc = np.searchsorted(texts, who, "right") - 1
-                cols = [keys, ids[t.lo + doc], who - texts[doc], n_all[who], sketch[who], last]
+                cols = [keys, own.d1[chosen][who], size[who] << 32 | last, sketch[who]]
                 yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in cols], names=FIELDS)
 
-    return rows.select("id", "text").mapInArrow(run, ", ".join(f"{x} bigint" for x in FIELDS))
+    return rows.select("text").mapInArrow(run, ", ".join(f"{x} bigint" for x in FIELDS))
 
 
 def passes(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> np.ndarray:
-    """Which pairs (rows of x, columns of y) may link, by length, position and bitmap."""
-    nx, ny = x["n"][:, None], y["n"][None, :]
-    least = -(-PERCENT * (nx + ny) // (100 + PERCENT))
-    ok = np.minimum(nx, ny) * 100 >= PERCENT * np.maximum(nx, ny)
-    # the key's words taken as the first that both share: they and at most the words behind them are shared
-    ok &= np.minimum(nx - x["place"][:, None], ny - y["place"][None, :]) + (x["key"] < 0)[:, None] >= least
-    differ = np.bitwise_count(x["sketch"][:, None] ^ y["sketch"][None, :])
-    return ok & (differ <= nx + ny - 2 * least)
-
-
-def proposals(batches: Iterator[pa.RecordBatch], all_: bool, short_size: int, few: int, tile: int) -> Iterator[pa.RecordBatch]:
-    """Rows of FIELDS and `open`, sorted by key, id, no: pairs (later entry, earlier entry) that pass, and whether others were left out: all
-    of them in short lists, the first FEW + 1 of each later entry in long ones; if all_, all pairs of the open entries. A list is held while it is
-    read: some 60 bytes an entry."""
-    held: dict[str, np.ndarray] | None = None
-
-    def tiles(rows: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        size, out = len(rows["id"]), []
-        for lo in range(0, size, tile):
-            x = {k: v[lo : lo + tile] for k, v in rows.items()}
-            left = np.flatnonzero(x["open"]) if all_ else np.arange(len(x["id"]))
-            have = np.zeros(len(left), np.int64)
-            for start in range(0, min(size, lo + tile), tile):
-                if not len(left):
-                    break
-                y = {k: v[start : start + tile] for k, v in rows.items()}
-                fit = passes({k: v[left] for k, v in x.items()}, y)
-                if start == lo:
-                    fit &= np.arange(len(y["id"]))[None, :] < left[:, None]
-                many = have + fit.sum(1)
-                if not all_:
-                    fit &= fit.cumsum(1) + have[:, None] <= few + 1
-                a, b = np.nonzero(fit)
-                out.append((lo + left[a], start + b, (many[a] > few).astype(np.int64)))
-                stay = (many <= few) | all_
-                left, have = left[stay], many[stay]
-        return out
-
-    def short(rows: dict[str, np.ndarray], begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All pairs of lists of at most SHORT entries, at once."""
-        offset = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        entry = np.repeat(begin, size) + offset
-        x = np.repeat(entry, offset)
-        y = np.arange(len(x)) - np.repeat(np.cumsum(offset) - offset, offset) + np.repeat(np.repeat(begin, size), offset)
-        fit = pair_passes({k: v[x] for k, v in rows.items()}, {k: v[y] for k, v in rows.items()})
-        if all_:
-            fit &= rows["open"][x] > 0
-        return x[fit], y[fit], np.zeros(int(fit.sum()), np.int64)
-
-    def emit(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-        key = rows["key"]
-        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        size = np.diff(edge)
-        none = np.zeros(0, np.int64)
-        found = [(none, none, none)]
-        brief = (size > 1) & (size <= short_size)
-        begin, small = edge[:-1][brief], size[brief]
-        parts = np.cumsum(small * (small - 1) // 2) // PAIRS
-        for k in range(int(parts[-1]) + 1 if len(parts) else 0):
-            found.append(short(rows, begin[parts == k], small[parts == k]))
-        for a, b in zip(edge[:-1][size > short_size].tolist(), edge[1:][size > short_size].tolist(), strict=True):
-            found += [(a + x, a + y, cut) for x, y, cut in tiles({k: v[a:b] for k, v in rows.items()})]
-        x, y, cut = (np.concatenate(v) for v in zip(*found, strict=True))
-        other = (rows["id"][x] != rows["id"][y]) | (rows["no"][x] != rows["no"][y])
-        x, y, cut = x[other], y[other], cut[other]
-        return pa.RecordBatch.from_arrays([pa.array(v) for v in (rows["id"][x], rows["no"][x], rows["id"][y], rows["no"][y], cut)], names=["id", "no", "to_id", "to_no", "cut"])
-
-    for batch in batches:
-        names = [*FIELDS, "open"] if all_ else FIELDS
-        rows = {k: batch.column(i).to_numpy() for i, k in enumerate(names)}
-        rows["sketch"] = rows["sketch"].view(U)
-        if held is not None:
-            rows = {k: np.concatenate([held[k], v]) for k, v in rows.items()}
-        if not len(rows["key"]):
-            continue
-        last = int(np.searchsorted(rows["key"], rows["key"][-1]))
-        held = {k: v[last:] for k, v in rows.items()}
-        if last:
-            yield emit({k: v[:last] for k, v in rows.items()})
-    if held is not None:
-        yield emit(held)
-
-
-def pair_passes(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> np.ndarray:
-    """passes() for row against row."""
-    least = -(-PERCENT * (x["n"] + y["n"]) // (100 + PERCENT))
+    """Which pairs may link, by length, position and sketch. key is that of both."""
+    total = x["n"] + y["n"]
+    least = -(-PERCENT * total // (100 + PERCENT))
     ok = np.minimum(x["n"], y["n"]) * 100 >= PERCENT * np.maximum(x["n"], y["n"])
+    # the key's words taken as the first that both share: they and at most the words behind them are shared
     ok &= np.minimum(x["n"] - x["place"], y["n"] - y["place"]) + (x["key"] < 0) >= least
-    differ = np.bitwise_count(x["sketch"] ^ y["sketch"])
-    return ok & (differ <= x["n"] + y["n"] - 2 * least)
-
-
-def row_words(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Row and word of each row's distinct words; a row is one line."""
-    for t in slices(lines, 1 << 62):
-        starts, ends = runs(NOT_SPACE[t.buf], t.offs)
-        return distinct(np.searchsorted(t.offs, starts, "right") - 1, hash_ranges(t.buf, starts, ends, LOWER_TABLE) >> U(16))
-    return np.zeros(0, np.int64), np.zeros(0, U)
-
-
-SKETCH = 512
-
-
-def with_sketches(lines: DataFrame) -> DataFrame:
-    """lines: id, no, line. Adds n, the size of the set, and bits, its parities in SKETCH bits."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
-                row, h = row_words(part.column(2))
-                odd = np.bincount(row * SKETCH + (h & U(SKETCH - 1)).astype(np.int64), minlength=part.num_rows * SKETCH) & 1
-                bits = np.packbits(odd.astype(np.uint8).reshape(part.num_rows, SKETCH), axis=1).view(np.int64).ravel()
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.bincount(row, minlength=part.num_rows)), lists(bits, np.arange(0, len(bits) + 1, SKETCH // 64), pa.int64())], names=["id", "no", "line", "n", "bits"])
-
-    return lines.select("id", "no", "line").mapInArrow(run, "id bigint, no bigint, line string, n bigint, bits array<bigint>")
-
-
-def similar(pairs: DataFrame, shown: DataFrame) -> DataFrame:
-    """The pairs whose larger sketches allow them to link; most that passed the small one don't."""
-    one = shown.select("id", "no", "n", "bits")
-    other = shown.select(F.col("id").alias("to_id"), F.col("no").alias("to_no"), F.col("n").alias("m"), F.col("bits").alias("to_bits"))
-    both = pairs.join(one, ["id", "no"]).join(other, ["to_id", "to_no"])
-    differ = F.aggregate(F.zip_with("bits", "to_bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
-    least = F.expr(f"({PERCENT} * (n + m) + {100 + PERCENT - 1}) div {100 + PERCENT}")
-    return both.where(differ <= F.col("n") + F.col("m") - 2 * least).select("id", "no", "to_id", "to_no", "times")
-
+    return ok & (np.bitwise_count(x["sketch"] ^ y["sketch"]) <= total - 2 * least)
+
+
+def short_pairs(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (later, earlier) of rows of lists."""
+    offset = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    first = np.repeat(begin, size)
+    x = np.repeat(first + offset, offset)
+    return x, np.arange(len(x)) - np.repeat(np.cumsum(offset) - offset, offset) + np.repeat(first, offset)
+
+
+def parts(size: np.ndarray) -> Iterator[np.ndarray]:
+    """The short lists in groups of some PAIRS pairs."""
+    group = np.cumsum(size * (size - 1) // 2) // PAIRS
+    for k in np.unique(group).tolist():
+        yield np.flatnonzero(group == k)
+
+
+def meeting(batches: Iterator[pa.RecordBatch], brief: int = SHORT, tile: int = TILE) -> Iterator[pa.RecordBatch]:
+    """Rows of FIELDS sorted by key: the entries (key, d1) that pass with another of their list. A list is held while it is read: 32 bytes an entry."""
+    for table in by_key(batches):
+        key, d1 = table.column(0).to_numpy(), table.column(1).to_numpy()
+        same = np.zeros(len(key), bool)
+        same[1:] = key[1:] == key[:-1]
+        same[:-1] |= same[1:]
+        some = np.flatnonzero(same)
+        # copies from several tasks are one entry
+        some = some[np.lexsort((d1[some], key[some]))]
+        new = np.ones(len(some), bool)
+        new[1:] = (key[some[1:]] != key[some[:-1]]) | (d1[some[1:]] != d1[some[:-1]])
+        some = some[new]
+        key, d1, span, sketch = key[some], d1[some], table.column(2).to_numpy()[some], table.column(3).to_numpy()[some].view(U)
+        rows = {"key": key, "n": span >> 32, "place": span & LOW32, "sketch": sketch}
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
+        size, met = np.diff(edge), np.zeros(len(key), bool)
+        few = (size > 1) & (size <= brief)
+        begin, small = edge[:-1][few], size[few]
+        for group in parts(small):
+            x, y = short_pairs(begin[group], small[group])
+            fit = passes({k: v[x] for k, v in rows.items()}, {k: v[y] for k, v in rows.items()})
+            met[x[fit]] = met[y[fit]] = True
+        for a, b in zip(edge[:-1][size > brief].tolist(), edge[1:][size > brief].tolist(), strict=True):
+            for lo in range(a, b, tile):
+                x = {k: v[lo : min(b, lo + tile)][:, None] for k, v in rows.items()}
+                for other in range(a, lo + 1, tile):
+                    y = {k: v[other : min(b, other + tile)][None, :] for k, v in rows.items()}
+                    fit = passes(x, y)
+                    if other == lo:
+                        np.fill_diagonal(fit, False)
+                    met[lo : lo + fit.shape[0]] |= fit.any(1)
+                    met[other : other + fit.shape[1]] |= fit.any(0)
+        yield pa.RecordBatch.from_arrays([pa.array(key[met]), pa.array(d1[met])], names=["key", "d1"])
+
+
+class Sets:
+    """The words of some lines, for comparisons by whole sets."""
+
+    def __init__(self, lines: pa.Array):
+        row = h = np.zeros(0, np.int64)
+        for t in slices(lines, 1 << 62):
+            starts, ends = runs(NOT_SPACE[t.buf], t.offs)
+            row, h = distinct(np.searchsorted(t.offs, starts, "right") - 1, hash_ranges(t.buf, starts, ends, LOWER_TABLE) >> U(16))
+        self.words = h.view(U)
+        self.n = np.bincount(row, minlength=len(lines))
+        self.start = np.cumsum(self.n) - self.n
+        self.bits = np.zeros((len(lines), SKETCH), U)
+        np.bitwise_xor.at(self.bits, (row, (self.words >> U(6) & U(SKETCH - 1)).astype(np.int64)), U(1) << (self.words & U(63)))
+
+    def near(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which pairs may link, by length and sketch."""
+        n, m = self.n[x], self.n[y]
+        least = -(-PERCENT * (n + m) // (100 + PERCENT))
+        fit = np.minimum(n, m) * 100 >= PERCENT * np.maximum(n, m)
+        return fit & (np.bitwise_count(self.bits[x] ^ self.bits[y]).sum(-1, dtype=np.int64) <= n + m - 2 * least)
+
+    def link(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which pairs link."""
+        out = np.zeros(len(x), bool)
+        total = np.cumsum(self.n[x] + self.n[y]) // 4_000_000
+        for k in np.unique(total).tolist():
+            some = np.flatnonzero(total == k)
+            n, m = self.n[x[some]], self.n[y[some]]
+            both = np.concatenate([self.n[x[some]], self.n[y[some]]])
+            first = np.concatenate([self.start[x[some]], self.start[y[some]]])
+            at = np.arange(int(both.sum())) - np.repeat(np.cumsum(both) - both, both) + np.repeat(first, both)
+            pair, h = packed_sort(np.repeat(np.concatenate([np.arange(len(some))] * 2), both), self.words[at])
+            twice = pair[1:][(pair[1:] == pair[:-1]) & (h[1:] == h[:-1])]
+            inter = np.bincount(twice, minlength=len(some))
+            out[some] = inter * 100 >= PERCENT * (n + m - inter)
+        return out
 
-def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """id, no of the pairs that link, by their whole sets. lines: id, no, line (of all lines in the pairs)."""
-    other = lines.select(F.col("id").alias("to_id"), F.col("no").alias("to_no"), F.col("line").alias("to_line"))
-    both = pairs.join(lines, ["id", "no"]).join(other, ["to_id", "to_no"]).select("id", "no", "line", "to_line")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
-                (row_x, x), (row_y, y) = row_words(part.column(2)), row_words(part.column(3))
-                size = np.bincount(row_x, minlength=part.num_rows) + np.bincount(row_y, minlength=part.num_rows)
-                row, h = packed_sort(np.concatenate([row_x, row_y]), np.concatenate([x, y]))
-                twice = row[1:][(row[1:] == row[:-1]) & (h[1:] == h[:-1])]
-                inter = np.bincount(twice, minlength=part.num_rows)
-                keep = pa.array(inter * 100 >= PERCENT * (size - inter))
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], names=["id", "no"])
-
-    return both.mapInArrow(run, "id bigint, no bigint").distinct()
-
-
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """id, no: the lines (numbered from 0) to remove."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    spark = docs.sparkSession
-    pass_ = Stored(with_lines(rows, min_tokens), "lines")
-    rarity = top(pass_.df.where("kind = 1").select(F.col("id").alias("h"), F.col("no").alias("n")), COUNTED, KEPT)
-    each = pass_.df.where("kind = 0")
-    classes = checkpoint(each.groupBy("d1", "d2").agg(F.min(F.struct("id", "no")).alias("first")).select("d1", "d2", "first.*"))
-    copies = checkpoint(each.join(classes.select("d1", "d2", F.col("id").alias("i"), F.col("no").alias("k")), ["d1", "d2"]).where("id <> i or no <> k").select("id", "no"))
-    keyed = line_prefixes(rows, rarity, min_tokens)
-    pair, limits = ["id", "no", "to_id", "to_no"], (SHORT, FEW, TILE)
-
-    def propose(entries: DataFrame, all_: bool) -> DataFrame:
-        dealt = entries.repartition("key").sortWithinPartitions("key", "id", "no")
-        found = dealt.mapInArrow(lambda b: proposals(b, all_, *limits), "id bigint, no bigint, to_id bigint, to_no bigint, cut bigint")
-        return found.groupBy(*pair).agg(F.count("*").alias("times"), F.max("cut").alias("cut"))
-
-    def lines_of(found: DataFrame) -> DataFrame:
-        wanted = found.select("id", "no").union(found.select("to_id", "to_no")).distinct().groupBy("id").agg(F.collect_list("no").alias("nos"))
-        one = lambda k: F.struct(k.alias("no"), F.get(F.col("lines"), k.cast("int")).alias("line"))
-        return rows.join(wanted, "id").dropDuplicates(["id"]).select("id", "nos", F.split("text", "\n").alias("lines")).select("id", F.explode(F.transform("nos", one)).alias("x")).select("id", "x.*")
-
-    # a copy proposes nothing, and is proposed by its first occurrence
-    second = copies.select(F.col("id").alias("to_id"), F.col("no").alias("to_no"))
-    own = lambda df: df.join(copies, ["id", "no"], "left_anti").join(second, ["to_id", "to_no"], "left_anti").select(*pair, "times", "cut")
-
-    def settled(found: DataFrame) -> DataFrame:
-        """id, no of the lines of which a pair links."""
-        shown = Stored(with_sketches(lines_of(found)), "shown")
-        near = checkpoint(similar(found, shown.df))
-        release(spark)
-        # the proposal that most lists make is verified first, the others where it fails
-        best = F.max(F.struct("times", (-F.col("to_id")).alias("i"), (-F.col("to_no")).alias("k"))).alias("b")
-        likely = checkpoint(near.groupBy("id", "no").agg(best).select("id", "no", (-F.col("b.i")).alias("to_id"), (-F.col("b.k")).alias("to_no")))
-        lines = shown.df.select("id", "no", "line")
-        gone = checkpoint(verified(likely, lines))
-        rest = near.join(gone, ["id", "no"], "left_anti").join(likely, pair, "left_anti").select(*pair)
-        gone = checkpoint(gone.unionByName(verified(rest, lines)))
-        shown.drop()
-        release(spark)
-        return gone
-
-    raw = Stored(propose(keyed, False), "pairs")
-    pairs = own(raw.df)
-    gone = settled(pairs)
-    out = copies.unionByName(gone)
-    # lines without a match that left entries of long lists out: all pairs of their lists
-    failed = checkpoint(raw.df.where("cut > 0").select("id", "no").distinct().join(copies, ["id", "no"], "left_anti").join(gone, ["id", "no"], "left_anti"))
-    if failed.limit(1).count():
-        few = rows.join(failed.select("id").distinct(), "id", "left_semi")
-        alive = checkpoint(line_prefixes(few, rarity, min_tokens).join(failed, ["id", "no"]).select("key").distinct())
-        opened = keyed.join(alive, "key", "left_semi").join(failed.withColumn("o", F.lit(1).cast("long")), ["id", "no"], "left").withColumn("open", F.coalesce("o", F.lit(0).cast("long")))
-        more = Stored(own(propose(opened.select(*FIELDS, "open"), True)).join(raw.df.select(*pair), pair, "left_anti"), "more")
-        out = out.unionByName(settled(more.df))
-    return checkpoint(out.distinct())
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_tokens: int = MIN_TOKENS) -> DataFrame:
+def linked(batches: Iterator[pa.RecordBatch], brief: int = SHORT, tile: int = TILE) -> Iterator[pa.RecordBatch]:
+    """key, id, no, line, sorted by key: the lines (id, no) that link with an earlier one of their list. The lines of a list are held while it is read."""
+    for table in by_key(batches):
+        key, ids, nos = (table.column(k).to_numpy() for k in range(3))
+        order = np.lexsort((nos, ids, key))
+        key, ids, nos = key[order], ids[order], nos[order]
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        size, gone = np.diff(edge), np.zeros(len(key), bool)
+        sets = Sets(table.column(3).combine_chunks().take(pa.array(order)))
+        few = (size > 1) & (size <= brief)
+        begin, small = edge[:-1][few], size[few]
+        for group in parts(small):
+            x, y = short_pairs(begin[group], small[group])
+            fit = sets.near(x, y)
+            settle(sets, x[fit], y[fit], gone)
+        for a, b in zip(edge[:-1][size > brief].tolist(), edge[1:][size > brief].tolist(), strict=True):
+            for lo in range(a, b, tile):
+                for other in range(a, lo + 1, tile):
+                    left = lo + np.flatnonzero(~gone[lo : min(b, lo + tile)])
+                    right = np.arange(other, min(b, other + tile))
+                    fit = sets.near(left[:, None], right[None, :]) & (right[None, :] < left[:, None])
+                    i, j = np.nonzero(fit)
+                    settle(sets, left[i], right[j], gone)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[gone]), pa.array(nos[gone])], names=["id", "no"])
+
+
+def settle(sets: Sets, x: np.ndarray, y: np.ndarray, gone: np.ndarray) -> None:
+    """x, y: pairs, sorted by x. Marks each x that links with one of its y, the first ones tried first."""
+    tried = 0
+    for most in (1, 8, len(x)):
+        nth = np.arange(len(x)) - np.searchsorted(x, x)
+        now = (nth < most) if not tried else (nth < most) & (nth >= tried) & ~gone[x]
+        gone[x[now][sets.link(x[now], y[now])]] = True
+        tried = most
+
+
+def duplicate_lines(rows: DataFrame) -> DataFrame:
+    """id, no: the lines (numbered from 0) to remove. rows: id (unique, not null), text (not null)."""
+    limits = (SHORT, TILE)
+    lines = Stored(with_lines(rows), "lines")
+    rarity = top(lines.df.where("kind = 2").select(F.col("d1").alias("h"), F.col("d2").alias("n")), COUNTED, KEPT)
+    dealt = lines.df.where("kind = 0").select("d1", "d2", "id", "no").repartition("d1").sortWithinPartitions("d1")
+    first = Stored(dealt.mapInArrow(first_lines, "d1 bigint, id bigint, no bigint, copy boolean"), "first")
+    copies = first.df.where("copy").select("id", "no").unionByName(lines.df.where("kind = 1").select("id", "no"))
+    entries = line_prefixes(rows, rarity).repartition("key").sortWithinPartitions("key")
+    met = Stored(entries.mapInArrow(lambda b: meeting(b, *limits), "key bigint, d1 bigint"), "met")
+    wanted = met.df.join(first.df.where("not copy").select("d1", "id", "no"), "d1").groupBy("id").agg(F.collect_list(F.struct("key", "no")).alias("at"))
+    text = rows.join(wanted, "id").select("id", "at", F.split("text", "\n").alias("lines"))
+    shown = text.select("id", F.explode(F.transform("at", lambda x: F.struct(x["key"].alias("key"), x["no"].alias("no"), F.get("lines", x["no"].cast("int")).alias("line")))).alias("x"))
+    lists_ = shown.select("x.key", "id", "x.no", "x.line").repartition("key").sortWithinPartitions("key")
+    near = checkpoint(lists_.mapInArrow(lambda b: linked(b, *limits), "id bigint, no bigint").distinct())
+    met.drop()
+    release(rows.sparkSession)
+    return copies.unionByName(near)
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with n_lines, n_removed_lines and kept_text."""
-    gone = duplicate_lines(docs, id_col, text, min_tokens).groupBy("id").agg(F.collect_set("no").alias("__gone")).withColumnRenamed("id", "__id")
-    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    kept = F.array_join(F.filter(lines, lambda x, k: ~F.array_contains("__gone", k.cast("long"))), "\n")
-    out = joined.withColumns({"n_lines": F.size(lines).cast("long"), "n_removed_lines": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"), "kept_text": F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept)})
-    return out.drop("__gone")
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = docs.select(rest.alias("rest"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    named = packed.where("id is not null")
+    if named.groupBy("id").count().where("count > 1").limit(1).count():
+        packed = ranked(packed.withColumn("h", F.xxhash64("text")), ["id", "h"])[0].select("rest", F.when(F.col("id").isNotNull(), F.col("rank")).alias("id"), "text")
+        named = packed.where("id is not null")
+    gone = duplicate_lines(named.select("id", F.coalesce("text", F.lit("")).alias("text"))).groupBy("id").agg(F.collect_set("no").alias("gone"))
+    joined = packed.join(gone, "id", "left")
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform("gone", lambda x: x.cast("int")))
+    kept = F.array_join(F.transform(stay, lambda k: F.get(F.col("lines"), k)), "\n")
+    made = F.struct(F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed_lines"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("kept_text"))
+    out = joined.withColumn("lines", lines).select("rest", made.alias("made"))
+    added = ["n_lines", "n_removed_lines", "kept_text"]
+    return out.select(*[F.col(f"rest.`{c}`").alias(c) for c in docs.columns if c not in added], *[F.col(f"made.{c}").alias(c) for c in added])

@@ -123,7 +123,7 @@ def test_sketch_bounds_the_difference():
     assert 0 < np.bitwise_count(s[0] ^ s[1]).sum() <= len(np.setxor1d(a, b))
 
 
-def brute_lines(rows, min_tokens=5):
+def brute_lines(rows, min_tokens=1):
     out, sets = {}, []
     for i, text, *_ in sorted(r for r in rows if r[0] is not None):
         lines = (text or "").split("\n")
@@ -143,7 +143,7 @@ def brute_lines(rows, min_tokens=5):
 @pytest.mark.parametrize(("count", "short"), [(1000, 64), (3, 64), (3, 2), (1000, 2)])
 def test_op5(spark, rows, count, short, monkeypatch):
     # these are read on the driver and sent along
-    for name, value in (("MIN_COUNT", count), ("SHORT", short), ("FEW", short // 2 - 1), ("TILE", 3)):
+    for name, value in (("MIN_COUNT", count), ("SHORT", short), ("TILE", 3), ("BLOCK", 20)):
         monkeypatch.setattr(linejoin, name, value)
     rng = random.Random(5)
     base = [rng.choice(WORDS) for _ in range(30)]
@@ -154,10 +154,17 @@ def test_op5(spark, rows, count, short, monkeypatch):
 
 
 def test_op5_edges(spark, none):
+    """Null ids and texts; rows that repeat an id, with equal and with other texts; long texts; columns with the names of added and inner ones."""
     assert linejoin.dedup_lines(none).count() == 0
-    odd = spark.createDataFrame([(None, "a b c d e"), (1, "a b c d e"), (1, "a b c d e"), (2, None)], "doc_id bigint, text string")
-    got = sorted(((r.doc_id, r.n_removed_lines, r.kept_text) for r in linejoin.dedup_lines(odd).collect()), key=str)
-    assert got == [(1, 0, "a b c d e"), (1, 0, "a b c d e"), (2, 0, None), (None, 0, "a b c d e")]
+    long = "\n".join(" ".join(random.Random(k).choices(WORDS, k=12)) for k in range(30_000))
+    assert len(long) > 1 << 20
+    rows = [(None, "a b c d e"), (1, "a b c d e"), (1, "a b c d e"), (1, "f g h\ni"), (2, None), (2, "i\nf g h"), (3, long), (4, long), (5, "")]
+    odd = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({n: F.lit(n) for n in ("row", "rest", "id", "gone", "__gone", "__id", "lines", "n_lines", "rank", "h", "no")})
+    got = linejoin.dedup_lines(odd).collect()
+    assert all(r[n] == n for r in got for n in ("row", "rest", "id", "gone", "__gone", "__id", "lines", "rank", "h", "no"))
+    n = long.count("\n") + 1
+    kept = Counter((r.doc_id, r.n_lines, r.n_removed_lines, r.kept_text) for r in got)
+    assert kept == Counter([(None, 1, 0, "a b c d e"), (1, 1, 0, "a b c d e"), (1, 1, 1, ""), (1, 2, 0, "f g h\ni"), (2, 1, 0, None), (2, 2, 2, ""), (3, n, 0, long), (4, n, n, ""), (5, 1, 0, "")])
 
 
 @pytest.mark.parametrize("count", [1000, 3])
