@@ -8,17 +8,19 @@ sequence is its one shingle; a text without words has an empty set and links wit
 2. Under one order of shingles by rarity, a set of n gives its first n - ceil(t n) + slack(n) shingles to the inverted lists. Two sets
    that link share slack of the smaller or more of these (all of a small set), so that number T is the occurrences to search for.
    Lists of one entry are dropped. Slack is 1 + n // 32.
-3. Each list names three hubs: its most central entry and two random ones. Each class is verified against those it meets most. Links
-   found so join most copies of a group, with at most three pairs a class.
-4. Lists that still hold more than one component are searched exactly. Documents that are in enough of these are dealt into blocks by a hash of
-   the id; a task holds the inverted lists of one block and answers a share of what asks it. Each entry outside its list's least component asks the blocks for entries of
-   lesser components (so it asks all lists that it shares with such an entry): the short lists are merged by a heap with the threshold
-   T less the number of long ones, the long ones are probed by binary search. What reaches T is compared by a sketch that bounds the
-   difference, then verified on the whole sets.
-5. Links of both rounds give the components. Pairs within a component aren't compared again; no other pair is left out.
-
-Null texts count as empty; a row with a null id is linked with nothing and has no component. An id stands for one text: rows that repeat an id must repeat the text, and
-give equal results. An empty table gives an empty result.
+3. Documents are dealt into blocks of bounded size so that copies meet: each goes with its leader, the document it meets in most lists among those that
+   lists name (the most central entry, and a random one that is the same for all lists). Large groups are dealt over several blocks that all hold the leader.
+4. A task holds the inverted lists of a block. Each document is compared with its leader; then each one that still shares T lists with another component searches
+   its lists: the short ones are merged by a heap with the threshold T less the number of long ones, the long ones are probed by binary search. What reaches T is
+   compared by a sketch that bounds the difference, then verified on the whole sets. One link to each component is enough, so a group gives
+   a tree of links, never all its pairs.
+5. Lists that hold several components after that are searched across blocks: a document asks the other blocks where entries of lesser components share T lists
+   with it, in the same way.
+6. Links of both searches give the components. Pairs within a component aren't compared again; no other pair is left out.
+
+Null texts count as empty; a row with a null id is linked with nothing and has no component. Rows that repeat an id and its text have the same result; rows of one id with
+different texts are documents of their own (the smallest doc_id of a component is then a value, not a row). Texts of any length are taken whole, and columns besides id and text don't matter. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,12 +38,13 @@ from pyspark.sql.types import ArrayType, LongType, StructField
 
 from quillet.llm.bytesview import U, Texts, bounds, lists, map_texts, slices, windows, words
 from quillet.llm.components import components
+from quillet.llm.hilbert import ranked
 from quillet.llm.rarity import Rarity, frequent, shared_keys, sort_within
-from quillet.session import Stored, checkpoint
+from quillet.session import Stored, checkpoint, release
 
 WIDTH, PERCENT = 5, 80
-#: Hubs of a list; documents of a block and what asks a task that holds it; tasks that a frequent key's list is dealt over.
-HUBS, BLOCK, ASKED, SALTS = 3, 4096, 2048, 64
+#: Shingles of a block, and documents that ask a task; tasks that a frequent key's list is dealt over.
+BLOCK, ASKED, SALTS = 1 << 20, 2048, 64
 NO_ID = -(1 << 63)
 
 
@@ -119,18 +122,16 @@ def postings(prefixes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(lambda b: shared_keys(b, frequent_too=True), "key bigint, id bigint, n bigint")
 
 
-def hub_pairs(entries: DataFrame) -> DataFrame:
-    """entries: key, id, n, lists. x, y: each entry with the HUBS it meets in most lists.
+def leaders(entries: DataFrame) -> DataFrame:
+    """entries: key, id, n, lists. id, leader: of the documents that lists name, the one that each meets in most lists; itself if it meets none twice.
 
-    A list names its most central entry (the one with most lists for its size: an original is in the lists of all its copies) and two random
-    ones, the same for all lists that hold them.
+    A list names its most central entry (the one with most lists for its size: an original is in the lists of all its copies) and a random one.
     """
-    ranks = [F.struct((-F.col("lists") / F.col("n")).alias("r"), F.xxhash64("id").alias("h"), F.col("id").alias("i"))] + [F.struct(F.xxhash64(F.col("id"), F.lit(k)).alias("r"), F.lit(0).cast("long").alias("h"), F.col("id").alias("i")) for k in range(1, HUBS)]
-    hubs = entries.groupBy("key").agg(*[F.min(r)["i"].alias(f"hub{k}") for k, r in enumerate(ranks)])
-    met = entries.join(hubs, "key").select("id", F.explode(F.array_distinct(F.array(*[f"hub{k}" for k in range(HUBS)]))).alias("hub")).where("id <> hub")
-    times = met.groupBy("id", "hub").agg(F.count("*").alias("times")).where("times > 1")
-    best = times.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("times", "hub")), asc=False), 1, HUBS).alias("best"))
-    return best.select("id", F.explode("best.hub").alias("hub")).select(F.least("id", "hub").alias("x"), F.greatest("id", "hub").alias("y")).distinct()
+    ranks = [F.struct((-F.col("lists") / F.col("n")).alias("r"), F.xxhash64("id").alias("h"), F.col("id").alias("i")), F.struct(F.lit(0.0).alias("r"), F.xxhash64(F.col("id"), F.lit(1)).alias("h"), F.col("id").alias("i"))]
+    named = entries.groupBy("key").agg(*[F.min(r)["i"].alias(f"named{k}") for k, r in enumerate(ranks)])
+    met = entries.join(named, "key").select("id", F.explode(F.array_distinct(F.array("named0", "named1"))).alias("leader")).where("id <> leader")
+    times = met.groupBy("id", "leader").agg(F.count("*").alias("times")).where("times > 1")
+    return times.groupBy("id").agg(F.max(F.struct("times", "leader"))["leader"].alias("leader"))
 
 
 def divide_skip(lists_: list[np.ndarray], threshold: int) -> list[int]:
@@ -177,10 +178,10 @@ def sketches(h: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """The documents of one part: their sets, sketches, sizes and components, and the inverted lists of their keys."""
+    """The documents of one part: their sets, sketches and sizes, the inverted lists of their keys, and their components."""
 
     def __init__(self, width: int):
-        self.width = width
+        self.width, self.size = width, 0
         self.ids, self.comps, self.keys, self.sets, self.sketches = [], [], [], [], []
         self.lists: dict[int, np.ndarray] | None = None
 
@@ -196,24 +197,30 @@ class Block:
 
     def close(self) -> None:
         sizes = [len(k) for k in self.keys]
-        flat = np.concatenate([np.zeros(0, np.int64), *self.keys])
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        order = np.lexsort((owner, flat))
-        flat, owner = flat[order], owner[order]
-        edge = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1], [True]])) if len(flat) else np.zeros(1, np.int64)
-        self.lists = {int(flat[a]): owner[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)}
+        self.flat = np.concatenate([np.zeros(0, np.int64), *self.keys])
+        self.owner = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((self.owner, self.flat))
+        self.flat, self.owner = self.flat[order], self.owner[order]
+        self.edge = np.flatnonzero(np.concatenate([[True], self.flat[1:] != self.flat[:-1], [True]])) if len(self.flat) else np.zeros(1, np.int64)
+        self.lists = {int(self.flat[a]): self.owner[a:b] for a, b in zip(self.edge[:-1], self.edge[1:], strict=True)}
         self.comp = np.array(self.comps, np.int64)
         self.n = np.array([len(x) for x in self.sets], np.int64)
         self.bits = np.concatenate([np.zeros((0, SKETCH // 64), U), *self.sketches])
-        self.keys, self.sketches = [], []
+        self.sketches = []
 
-    def ask(self, comp: int, keys: np.ndarray, own: np.ndarray, sketch: np.ndarray) -> list[int]:
-        """Ids of documents of lesser components that link with the set `own`: one for each component."""
+    def links(self, own: np.ndarray, i: int) -> bool:
+        """Whether the set `own` links with document i, by the whole sets."""
+        other = self.sets[i]
+        place = np.minimum(np.searchsorted(other, own), len(other) - 1)
+        inter = int((other[place] == own).sum())
+        return inter * 100 >= PERCENT * (len(own) + len(other) - inter)
+
+    def ask(self, fit: np.ndarray, keys: np.ndarray, own: np.ndarray, sketch: np.ndarray) -> list[int]:
+        """Documents out of `fit` that link with the set `own`: one for each component."""
         n = len(own)
-        fit = (self.comp < comp) & (np.minimum(self.n, n) * 100 >= PERCENT * np.maximum(self.n, n))
+        fit = fit & (np.minimum(self.n, n) * 100 >= PERCENT * np.maximum(self.n, n))
         lists_ = [x[fit[x]] for k in keys.tolist() if (x := self.lists.get(k)) is not None]
-        least = int(need(n))
-        found = np.array(divide_skip([x for x in lists_ if len(x)], min(int(slack(least)), least)), np.int64)
+        found = np.array(divide_skip([x for x in lists_ if len(x)], int(least_shared(n))), np.int64)
         if not len(found):
             return []
         overlap = -(-PERCENT * (n + self.n[found]) // (100 + PERCENT))
@@ -221,40 +228,99 @@ class Block:
         found = found[differ <= n + self.n[found] - 2 * overlap]
         out: dict[int, int] = {}
         for i in found.tolist():
-            other = self.sets[i]
-            if self.comp[i] not in out:
-                place = np.minimum(np.searchsorted(other, own), len(other) - 1)
-                inter = int((other[place] == own).sum())
-                if inter * 100 >= PERCENT * (n + len(other) - inter):
-                    out[self.comp[i]] = self.ids[i]
+            if self.comp[i] not in out and self.links(own, i):
+                out[self.comp[i]] = i
         return list(out.values())
 
+    def join(self, leader: np.ndarray) -> list[tuple[int, int]]:
+        """Links that join all documents of the block that any links join. leader: of each document, by its place in the block, or -1."""
+        self.comp = np.arange(len(self.ids))
+        out = []
+
+        def unite(i: int, k: int) -> None:
+            out.append((self.ids[i], self.ids[k]))
+            self.comp[self.comp == max(self.comp[i], self.comp[k])] = min(self.comp[i], self.comp[k])
+
+        for i in np.flatnonzero(leader >= 0).tolist():
+            k = int(leader[i])
+            if self.comp[i] != self.comp[k] and min(self.n[i], self.n[k]) * 100 >= PERCENT * max(self.n[i], self.n[k]) and self.links(self.sets[i], k):
+                unite(i, k)
+        if not len(self.flat):
+            return out
+        # only what shares lists enough with other components searches
+        comp = self.comp[self.owner]
+        several = np.minimum.reduceat(comp, self.edge[:-1]) != np.maximum.reduceat(comp, self.edge[:-1])
+        shared = np.bincount(self.owner, weights=np.repeat(several, np.diff(self.edge)), minlength=len(self.ids))
+        for i in np.flatnonzero(shared >= least_shared(self.n)).tolist():
+            fit = self.comp != self.comp[i]
+            fit[i:] = False  # a pair is asked for once
+            for k in self.ask(fit, self.keys[i], self.sets[i], self.bits[i]):
+                if self.comp[i] != self.comp[k]:
+                    unite(i, k)
+        return out
+
+
+def least_shared(n: np.ndarray | int) -> np.ndarray | int:
+    """The least T that a set of n elements may have with any partner."""
+    return np.minimum(slack(need(n)), need(n))
 
-def search(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Rows (part, kind, id, comp, keys, text) sorted by part and kind: the documents of a part (kind 0), then what asks them (kind 1). Gives links."""
-    part, block = None, Block(width)
+
+def groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Of rows sorted by their first columns, pieces with one value of these."""
     for batch in batches:
-        parts, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        edge = np.flatnonzero(np.concatenate([[True], (parts[1:] != parts[:-1]) | (kinds[1:] != kinds[:-1]), [True]])) if len(parts) else []
-        for a, b in zip(edge[:-1], edge[1:], strict=True):
-            rows = pa.RecordBatch.from_arrays(batch.slice(a, b - a).columns[2:], names=["id", "comp", "keys", "text"])
-            if parts[a] != part:
-                part, block = parts[a], Block(width)
-            if kinds[a] == 0:
-                block.add(rows)
-                continue
-            if block.lists is None:
-                block.close()
-            xs, ys = [], []
-            ids, comps = rows.column(0).to_pylist(), rows.column(1).to_pylist()
-            for t in slices(rows.column(3)):
-                h, edges = shingles(t, width)
-                bits = sketches(h, edges)
-                for i in range(t.n):
-                    found = block.ask(comps[t.lo + i], rows.column(2)[t.lo + i].values.to_numpy(), h[edges[i] : edges[i + 1]], bits[i])
-                    xs += [ids[t.lo + i]] * len(found)
-                    ys += found
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
+        by = [batch.column(k).to_numpy() for k in range(columns)]
+        if batch.num_rows:
+            edge = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in by], axis=0), [True]]))
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                yield tuple(int(x[a]) for x in by), batch.slice(a, b - a)
+
+
+def pairs_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["x", "y"])
+
+
+def search_within(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Rows (part, id, leader, keys, text) sorted by part. Gives links of documents of one part."""
+    part, block, leader = None, Block(width), []
+
+    def settled() -> pa.RecordBatch:
+        block.close()
+        place = {i: k for k, i in enumerate(block.ids)}
+        return pairs_of(block.join(np.array([place.get(x, -1) if x != i else -1 for i, x in zip(block.ids, leader, strict=True)], np.int64)))
+
+    for (at,), rows in groups(batches, 1):
+        if at != part and part is not None:
+            yield settled()
+            block, leader = Block(width), []
+        part = at
+        leader += rows.column(2).to_pylist()
+        block.add(rows.select(["id", "leader", "keys", "text"]))
+    if part is not None:
+        yield settled()
+
+
+def search_across(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Rows (part, kind, id, comp, keys, text) sorted by part and kind: the documents of a part (kind 0), then what asks them (kind 1). Gives links to lesser components."""
+    part, block = None, Block(width)
+    for (at, kind), rows in groups(batches, 2):
+        if at != part:
+            part, block = at, Block(width)
+        rows = rows.select(["id", "comp", "keys", "text"])
+        if kind == 0:
+            block.add(rows)
+            continue
+        if block.lists is None:
+            block.close()
+        found = []
+        ids, comps = rows.column(0).to_pylist(), rows.column(1).to_pylist()
+        for t in slices(rows.column(3)):
+            h, edges = shingles(t, width)
+            bits = sketches(h, edges)
+            for i in range(t.n):
+                k = t.lo + i
+                links = block.ask(block.comp < comps[k], rows.column(2)[k].values.to_numpy(), h[edges[i] : edges[i + 1]], bits[i])
+                found += [(ids[k], block.ids[y]) for y in links]
+        yield pairs_of(found)
 
 
 def threshold(n: str = "n"):
@@ -263,77 +329,69 @@ def threshold(n: str = "n"):
     return F.least(F.floor(floor / 32) + 1, floor)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """The pairs (x, y) whose texts link, by their whole sets."""
-    left = texts.select(F.col("id").alias("x"), F.col("text").alias("text_x"))
-    right = texts.select(F.col("id").alias("y"), F.col("text").alias("text_y"))
-    both = pairs.join(left, "x").join(right, "y").select("x", "y", "text_x", "text_y")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[object, np.ndarray] = (None, np.zeros(0, U))
-        for batch in batches:
-            x, y = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            texts_y, good = batch.column(3), np.zeros(len(x), bool)
-            for t in slices(batch.column(2)):
-                h, edges = shingles(t, width)
-                for i in range(t.n):
-                    at = t.lo + i
-                    text_y = texts_y[at]
-                    if last[0] is None or not last[0].equals(text_y):
-                        last = (text_y, np.concatenate([shingles(s, width)[0] for s in slices(pa.array([text_y.as_py()], pa.string()))]))
-                    a, b = h[edges[i] : edges[i + 1]], last[1]
-                    if len(a) and len(b) and min(len(a), len(b)) * 100 >= PERCENT * max(len(a), len(b)):
-                        place = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                        inter = int((b[place] == a).sum())
-                        good[at] = inter * 100 >= PERCENT * (len(a) + len(b) - inter)
-            yield pa.RecordBatch.from_arrays([pa.array(x[good]), pa.array(y[good])], names=["x", "y"])
-
-    return both.mapInArrow(run, "x bigint, y bigint")
-
-
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """id_col, n_shingles and component_id of each row of docs."""
-    named = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
-    rarity = frequent(named, "text", lambda t: shingles(t, width)[0])
+    named = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"), F.col(f"`{text}`").alias("text"))
     sets = Stored(with_sets(named, "text", width), "sets")
+    differ = sets.df.where(F.col("id") != NO_ID).groupBy("id").agg(*[f(c).alias(f"{n}_{c}") for c in ("d1", "d2") for n, f in (("min", F.min), ("max", F.max))])
+    if differ.where("min_d1 <> max_d1 or min_d2 <> max_d2").limit(1).count():
+        sets.drop()
+        placed = ranked(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("h")), ["id", "h"])[0]
+        names = placed.select(F.col("rank").alias("component_id"), F.col("id").alias("component"))
+        each = jaccard_components(placed.where("id is not null"), "rank", "text", width).join(names, "component_id").select("rank", "n_shingles", "component")
+        counted = each.join(placed.select("rank", "id"), "rank").select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"))
+        return counted.unionByName(jaccard_components(docs.where(F.col(f"`{id_col}`").isNull()), id_col, text, width))
+    rarity = frequent(named, "text", lambda t: shingles(t, width)[0])
     classes = checkpoint(sets.df.where((F.col("n") > 0) & (F.col("id") != NO_ID)).groupBy("d1", "d2").agg(F.min("id").alias("rep")))
     reps = classes.select(F.col("rep").alias("id")).distinct()
     lists_ = Stored(postings(with_prefixes(named, "text", width, rarity).where("n > 0").join(reps, "id", "left_semi").dropDuplicates(["id"])), "lists")
     # only those with lists enough can link
     counts = lists_.df.groupBy("id").agg(F.count("*").alias("lists"), F.first("n").alias("n"))
     live = checkpoint(counts.where(F.col("lists") >= threshold()))
-    texts = Stored(named.join(live, "id", "left_semi").dropDuplicates(["id"]), "texts")
     entries = Stored(lists_.df.select("key", "id").join(live, "id").select("key", "id", "n", "lists"), "entries")
     lists_.drop()
-    # round 1: hubs
-    first = checkpoint(verified(hub_pairs(entries.df), texts.df, width))
+    # blocks, by leader
+    own = live.select("id", "n").join(leaders(entries.df), "id", "left").select("id", "n", F.coalesce("leader", "id").alias("leader"))
+    own = checkpoint(own)
+    parts = max(1, -(-(own.agg(F.sum("n")).first()[0] or 0) // BLOCK))
+    led = own.groupBy("leader").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("subs"))
+    part = F.pmod(F.xxhash64("leader", "sub"), F.lit(parts)).cast("int").alias("part")
+    home = own.join(led, "leader").withColumn("sub", F.pmod(F.xxhash64("id"), "subs").cast("int")).select("id", "leader", part)
+    present = led.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).select(F.col("leader").alias("id"), "leader", part)
+    home = checkpoint(home)
+    # a document once in each part, with its own leader if it has two
+    held = checkpoint(home.unionByName(present).groupBy("part", "id").agg(F.min(F.struct((F.col("leader") == F.col("id")).alias("self"), "leader"))["leader"].alias("leader")))
+    keys = entries.df.groupBy("id").agg(F.collect_list("key").alias("keys"))
+    texts = Stored(named.join(live, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    rows = held.join(keys, "id").join(texts.df, "id").select("part", "id", "leader", "keys", "text")
+    within = rows.repartition("part").sortWithinPartitions("part").mapInArrow(lambda b: search_within(b, width), "x bigint, y bigint")
+    first = checkpoint(within)
+    release(docs.sparkSession)
     labels = components(first)
-    # round 2: lists with several components
-    marked = entries.df.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("comp"))
-    marked = Stored(marked, "marked")
+    # across blocks: lists with several components
+    marked = Stored(entries.df.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("comp")), "marked")
+    entries.drop()
     mixed = marked.df.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "lo")
     mixed = Stored(marked.df.join(mixed, "key"), "mixed")
     marked.drop()
-    enough = checkpoint(mixed.df.groupBy("id").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.collect_list("key").alias("keys")).where(F.size("keys") >= threshold()))
-    parts = max(1, -(-enough.count() // BLOCK))
-    part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
-    shared = enough.select(F.explode("keys").alias("key"), part.alias("part")).distinct()
+    enough = mixed.df.groupBy("id").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.collect_list("key").alias("keys")).where(F.size("keys") >= threshold())
+    enough = checkpoint(enough.join(home.select("id", "part"), "id"))
+    shared = enough.select(F.explode("keys").alias("key"), "part").distinct()
     asking = mixed.df.where("comp <> lo").join(enough.select("id"), "id", "left_semi").join(shared, "key")
     asking = asking.groupBy("part", "id").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.collect_list("key").alias("keys")).where(F.size("keys") >= threshold())
-    asking = checkpoint(asking.select("part", "id", "comp", "keys"))
+    asking = checkpoint(asking.join(held.select("part", "id"), ["part", "id"], "left_anti").select("part", "id", "comp", "keys"))
     # what asks one block is dealt over tasks that each hold the block
-    shares = max(1, -(-asking.count() // (parts * ASKED)))
-    held = texts.df.select("id", "text")
-    whole = enough.select(part.alias("part"), F.lit(0).alias("kind"), "id", "comp", "keys").join(held, "id").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    asked = asking.withColumns({"kind": F.lit(1), "share": F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shares)).cast("int")}).join(held, "id")
-    rows = whole.unionByName(asked).select((F.col("part") * shares + F.col("share")).alias("part"), "kind", "id", "comp", "keys", "text")
-    second = rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(lambda b: search(b, width), "x bigint, y bigint")
+    shares = checkpoint(asking.groupBy("part").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("shares")))
+    each = lambda df, share: df.join(shares, "part").join(texts.df, "id").withColumn("share", share).select("part", "share", "kind", "id", "comp", "keys", "text")
+    whole = each(enough.select("part", F.lit(0).alias("kind"), "id", "comp", "keys"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    asked = each(asking.withColumn("kind", F.lit(1)), F.pmod(F.xxhash64("id", F.lit(1)), "shares").cast("int"))
+    rows = whole.unionByName(asked).select(F.xxhash64("part", "share").alias("part"), "kind", "id", "comp", "keys", "text")
+    second = rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(lambda b: search_across(b, width), "x bigint, y bigint")
     links = checkpoint(first.unionByName(second))
     labels = components(links)
-    for x in (texts, entries, mixed):
+    for x in (texts, mixed):
         x.drop()
     member = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("label", "rep").alias("component"))
     out = sets.df.join(member, ["d1", "d2"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     named_row = F.col("id") != NO_ID
     return out.select(F.when(named_row, F.col("id")).alias(id_col), "n_shingles", F.when(named_row, F.col("component_id")).alias("component_id"))
-

@@ -82,24 +82,35 @@ def brute_components(rows):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("hubs", [1, 3])
-@pytest.mark.parametrize("block", [5, 8192])
-def test_op7(docs, rows, hubs, block, monkeypatch):
-    monkeypatch.setattr(ngramjoin, "HUBS", hubs)
+@pytest.mark.parametrize("block", [100, 1000, 1 << 20])
+def test_op7(docs, rows, block, monkeypatch):
     monkeypatch.setattr(ngramjoin, "BLOCK", block)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.jaccard_components(docs).collect()}
     assert got == brute_components(rows)
 
 
-def test_op7_search_alone_is_whole(docs, rows, monkeypatch):
-    """Without hubs, the T-occurrence search finds all links itself."""
-    monkeypatch.setattr(ngramjoin, "hub_pairs", lambda entries: entries.selectExpr("id as x", "id as y").limit(0))
-    monkeypatch.setattr(ngramjoin, "BLOCK", 7)
+@pytest.mark.parametrize("block", [100, 1 << 20])
+def test_op7_search_alone_is_whole(docs, rows, block, monkeypatch):
+    """Without leaders, the T-occurrence search finds all links itself, within blocks or across them."""
+    monkeypatch.setattr(ngramjoin, "leaders", lambda entries: entries.selectExpr("id", "id as leader").limit(0))
+    monkeypatch.setattr(ngramjoin, "BLOCK", block)
     monkeypatch.setattr(ngramjoin, "ASKED", 2)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.jaccard_components(docs).collect()}
     assert got == brute_components(rows)
 
 
+def test_op7_rows_of_one_id(spark):
+    """Rows of one id with different texts are documents of their own; long texts; other columns don't matter."""
+    long = " ".join(random.Random(5).choices(WORDS, k=300_000))
+    near = long.replace("w7 ", "v ", 200)
+    assert len(long) > 1 << 20
+    base = [" ".join(random.Random(k).choices(WORDS, k=60)) for k in range(3)]
+    rows = [(5, base[0]), (5, base[1]), (6, base[0] + " x"), (2, base[1] + " y"), (9, base[2]), (9, base[2]), (None, base[2]), (11, long), (12, near), (13, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({n: F.lit(1) for n in ("id", "rank", "h", "key", "comp", "component_id", "n_shingles")})
+    got = Counter((r.doc_id, r.component_id) for r in ngramjoin.jaccard_components(docs).collect())
+    assert got == Counter([(5, 5), (6, 5), (5, 2), (2, 2), (9, 9), (9, 9), (None, None), (11, 11), (12, 11), (13, 13)])
+
+
 def test_op7_edges(spark, none):
     assert ngramjoin.jaccard_components(none).count() == 0
     odd = spark.createDataFrame([(None, "a b c"), (None, "x"), (4, "a b c"), (4, "a b c"), (2, "A  b\tC"), (3, None)], "doc_id bigint, text string")
