@@ -11,10 +11,13 @@ A line is removed when an earlier line (by document, then line number), removed
    it lies in the prefix; else both are frequent and the pair is a key. Frequent keys alone would make lists that grow with the corpus.
 3. Within a list, entries meet if they pass the length filter, the positional filter (sets that link also meet under the first words
    they share, so these and the words behind them must be enough) and a sketch filter: 64 parities of hashed words; two sets differ in as many
-   words as their sketches in bits, or more. A list gives its entries that meet another, never pairs: a group of near copies is
-   a row for each member and list.
-4. The lines of these entries are dealt by list once more, with their words. There each line is compared with the earlier ones that pass the length
-   filter and a sketch of 512 bits, by their whole sets, until one links. Only the lines to remove leave the list. No pair is left out.
+   words as their sketches in bits, or more. A list gives its entries that meet another, with a digest of whom they meet there, never pairs: a group of near copies is
+   a row for each member and list. Of an entry's lists in which it meets the same others, the one of least key stands for all. (A pair meets in some lists; for
+   either of its sets these are all lists of some digests; so both keep the least of them, and no pair is lost.)
+4. The entries' sketches of 512 bits are dealt by list. There each line proposes the earlier one that differs least, of those that pass the length filter and these sketches; the best
+   proposal of a line's lists is verified on the whole sets.
+5. Lines whose proposal fails while there were others are settled within their lists, dealt once more with their words: each is compared with all earlier lines that pass, until one links. Only the
+   lines to remove leave the list. No pair is left out.
 
 Null texts have no lines; rows with a null id are left alone. Lines without words stay. Rows that repeat an id are rows of their own: they are ordered by id, then by a hash of the
 text, then at random. Documents that lose all their lines with words are empty afterwards. Texts of any length are taken whole. Columns with the names of added
@@ -223,7 +226,7 @@ def parts(size: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def meeting(batches: Iterator[pa.RecordBatch], brief: int = SHORT, tile: int = TILE) -> Iterator[pa.RecordBatch]:
-    """Rows of FIELDS sorted by key: the entries (key, d1) that pass with another of their list. A list is held while it is read: 32 bytes an entry."""
+    """Rows of FIELDS sorted by key: the entries (key, d1) that pass with others of their list, and a sum of the hashes of these. A list is held while it is read: 32 bytes an entry."""
     for table in by_key(batches):
         key, d1 = table.column(0).to_numpy(), table.column(1).to_numpy()
         same = np.zeros(len(key), bool)
@@ -238,13 +241,16 @@ def meeting(batches: Iterator[pa.RecordBatch], brief: int = SHORT, tile: int = T
         key, d1, span, sketch = key[some], d1[some], table.column(2).to_numpy()[some], table.column(3).to_numpy()[some].view(U)
         rows = {"key": key, "n": span >> 32, "place": span & LOW32, "sketch": sketch}
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
-        size, met = np.diff(edge), np.zeros(len(key), bool)
+        size, met, others, mark = np.diff(edge), np.zeros(len(key), bool), np.zeros(len(key), U), mix(d1.view(U))
         few = (size > 1) & (size <= brief)
         begin, small = edge[:-1][few], size[few]
         for group in parts(small):
             x, y = short_pairs(begin[group], small[group])
             fit = passes({k: v[x] for k, v in rows.items()}, {k: v[y] for k, v in rows.items()})
-            met[x[fit]] = met[y[fit]] = True
+            x, y = x[fit], y[fit]
+            met[x] = met[y] = True
+            np.add.at(others, x, mark[y])
+            np.add.at(others, y, mark[x])
         for a, b in zip(edge[:-1][size > brief].tolist(), edge[1:][size > brief].tolist(), strict=True):
             for lo in range(a, b, tile):
                 x = {k: v[lo : min(b, lo + tile)][:, None] for k, v in rows.items()}
@@ -253,12 +259,30 @@ def meeting(batches: Iterator[pa.RecordBatch], brief: int = SHORT, tile: int = T
                     fit = passes(x, y)
                     if other == lo:
                         np.fill_diagonal(fit, False)
-                    met[lo : lo + fit.shape[0]] |= fit.any(1)
-                    met[other : other + fit.shape[1]] |= fit.any(0)
-        yield pa.RecordBatch.from_arrays([pa.array(key[met]), pa.array(d1[met])], names=["key", "d1"])
+                    i, j = lo + np.arange(fit.shape[0]), other + np.arange(fit.shape[1])
+                    met[i] |= fit.any(1)
+                    others[i] += (fit * mark[j][None, :]).sum(1, dtype=U)
+                    if other < lo:
+                        met[j] |= fit.any(0)
+                        others[j] += (fit * mark[i][:, None]).sum(0, dtype=U)
+        yield pa.RecordBatch.from_arrays([pa.array(key[met]), pa.array(d1[met]), pa.array(others[met].view(np.int64))], names=["key", "d1", "others"])
 
 
-class Sets:
+class Sketches:
+    """Sizes and large sketches of some sets."""
+
+    def __init__(self, n: np.ndarray, bits: np.ndarray):
+        self.n, self.bits = n, bits
+
+    def near(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs may link, by length and sketch; and in how many bits they differ."""
+        n, m = self.n[x], self.n[y]
+        least = -(-PERCENT * (n + m) // (100 + PERCENT))
+        differ = np.bitwise_count(self.bits[x] ^ self.bits[y]).sum(-1, dtype=np.int64)
+        return (np.minimum(n, m) * 100 >= PERCENT * np.maximum(n, m)) & (differ <= n + m - 2 * least), differ
+
+
+class Sets(Sketches):
     """The words of some lines, for comparisons by whole sets."""
 
     def __init__(self, lines: pa.Array):
@@ -267,18 +291,10 @@ class Sets:
             starts, ends = runs(NOT_SPACE[t.buf], t.offs)
             row, h = distinct(np.searchsorted(t.offs, starts, "right") - 1, hash_ranges(t.buf, starts, ends, LOWER_TABLE) >> U(16))
         self.words = h.view(U)
-        self.n = np.bincount(row, minlength=len(lines))
+        super().__init__(np.bincount(row, minlength=len(lines)), np.zeros((len(lines), SKETCH), U))
         self.start = np.cumsum(self.n) - self.n
-        self.bits = np.zeros((len(lines), SKETCH), U)
         np.bitwise_xor.at(self.bits, (row, (self.words >> U(6) & U(SKETCH - 1)).astype(np.int64)), U(1) << (self.words & U(63)))
 
-    def near(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Which pairs may link, by length and sketch."""
-        n, m = self.n[x], self.n[y]
-        least = -(-PERCENT * (n + m) // (100 + PERCENT))
-        fit = np.minimum(n, m) * 100 >= PERCENT * np.maximum(n, m)
-        return fit & (np.bitwise_count(self.bits[x] ^ self.bits[y]).sum(-1, dtype=np.int64) <= n + m - 2 * least)
-
     def link(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Which pairs link."""
         out = np.zeros(len(x), bool)
@@ -296,29 +312,73 @@ class Sets:
         return out
 
 
+def with_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, no, keys, line. Adds n and bits."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 2000):
+            part = batch.slice(lo, 2000)
+            sets = Sets(part.column(3))
+            edge = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * SKETCH)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sets.n, pa.int64()), pa.ListArray.from_arrays(edge, pa.array(sets.bits.view(np.int64).ravel()))], names=["id", "no", "keys", "line", "n", "bits"])
+
+
+def in_lists(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The order of rows by key, id and no (the first columns); ids and nos in it, and the edges of lists."""
+    key, ids, nos = (table.column(k).to_numpy() for k in range(3))
+    order = np.lexsort((nos, ids, key))
+    key = key[order]
+    return order, ids[order], nos[order], np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+
+
+def pairs_in(edge: np.ndarray, open_: np.ndarray, brief: int, tile: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (x, y) of rows of one list, x open and y before it, sorted by x and y, in bounded numbers; open_ may change meanwhile."""
+    size = np.diff(edge)
+    few = (size > 1) & (size <= brief)
+    begin, small = edge[:-1][few], size[few]
+    for group in parts(small):
+        x, y = short_pairs(begin[group], small[group])
+        yield x[open_[x]], y[open_[x]]
+    for a, b in zip(edge[:-1][size > brief].tolist(), edge[1:][size > brief].tolist(), strict=True):
+        for lo in range(a, b, tile):
+            for other in range(a, lo + 1, tile):
+                left = lo + np.flatnonzero(open_[lo : min(b, lo + tile)])
+                right = np.arange(other, min(b, other + tile))
+                i, j = np.nonzero(right[None, :] < left[:, None])
+                yield left[i], right[j]
+
+
+def proposals(batches: Iterator[pa.RecordBatch], brief: int = SHORT, tile: int = TILE) -> Iterator[pa.RecordBatch]:
+    """key, id, no, n, bits, sorted by key. For each line that may link with earlier ones of its list: the one that differs least (the first of these), by
+    how much, and how many they are."""
+    for table in by_key(batches):
+        order, ids, nos, edge = in_lists(table)
+        bits = table.column(4).combine_chunks()
+        sketches = Sketches(table.column(3).to_numpy()[order], bits.flatten().to_numpy().view(U).reshape(-1, SKETCH)[order])
+        best, times, least = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), np.full(len(ids), 1 << 32)
+        for x, y in pairs_in(edge, np.ones(len(ids), bool), brief, tile):
+            fit, differ = sketches.near(x, y)
+            x, y, differ = x[fit], y[fit], differ[fit]
+            np.add.at(times, x, 1)
+            first = np.lexsort((y, differ, x))
+            first = first[np.concatenate([[True], x[first][1:] != x[first][:-1]])] if len(x) else first
+            first = first[differ[first] < least[x[first]]]
+            best[x[first]], least[x[first]] = y[first], differ[first]
+        some = times > 0
+        cols = [ids[some], nos[some], ids[best[some]], nos[best[some]], least[some], times[some]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["id", "no", "to_id", "to_no", "differ", "times"])
+
+
 def linked(batches: Iterator[pa.RecordBatch], brief: int = SHORT, tile: int = TILE) -> Iterator[pa.RecordBatch]:
-    """key, id, no, line, sorted by key: the lines (id, no) that link with an earlier one of their list. The lines of a list are held while it is read."""
+    """key, id, no, line, open, sorted by key: the open lines (id, no) that link with an earlier one of their list. The lines of a list are held while it is read."""
     for table in by_key(batches):
-        key, ids, nos = (table.column(k).to_numpy() for k in range(3))
-        order = np.lexsort((nos, ids, key))
-        key, ids, nos = key[order], ids[order], nos[order]
-        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        size, gone = np.diff(edge), np.zeros(len(key), bool)
+        order, ids, nos, edge = in_lists(table)
         sets = Sets(table.column(3).combine_chunks().take(pa.array(order)))
-        few = (size > 1) & (size <= brief)
-        begin, small = edge[:-1][few], size[few]
-        for group in parts(small):
-            x, y = short_pairs(begin[group], small[group])
-            fit = sets.near(x, y)
+        open_ = table.column(4).to_numpy()[order].astype(bool)
+        gone = np.zeros(len(ids), bool)
+        for x, y in pairs_in(edge, open_, brief, tile):
+            fit = sets.near(x, y)[0]
             settle(sets, x[fit], y[fit], gone)
-        for a, b in zip(edge[:-1][size > brief].tolist(), edge[1:][size > brief].tolist(), strict=True):
-            for lo in range(a, b, tile):
-                for other in range(a, lo + 1, tile):
-                    left = lo + np.flatnonzero(~gone[lo : min(b, lo + tile)])
-                    right = np.arange(other, min(b, other + tile))
-                    fit = sets.near(left[:, None], right[None, :]) & (right[None, :] < left[:, None])
-                    i, j = np.nonzero(fit)
-                    settle(sets, left[i], right[j], gone)
+            open_ &= ~gone
         yield pa.RecordBatch.from_arrays([pa.array(ids[gone]), pa.array(nos[gone])], names=["id", "no"])
 
 
@@ -327,11 +387,22 @@ def settle(sets: Sets, x: np.ndarray, y: np.ndarray, gone: np.ndarray) -> None:
     tried = 0
     for most in (1, 8, len(x)):
         nth = np.arange(len(x)) - np.searchsorted(x, x)
-        now = (nth < most) if not tried else (nth < most) & (nth >= tried) & ~gone[x]
+        now = (nth < most) & (nth >= tried) & ~gone[x]
         gone[x[now][sets.link(x[now], y[now])]] = True
         tried = most
 
 
+def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, no, line, other line: the id and no of those that link."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 2000):
+            part = batch.slice(lo, 2000)
+            sets = Sets(pa.concat_arrays([part.column(2), part.column(3)]))
+            x = np.arange(part.num_rows)
+            keep = pa.array(sets.link(x, x + part.num_rows))
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], names=["id", "no"])
+
+
 def duplicate_lines(rows: DataFrame) -> DataFrame:
     """id, no: the lines (numbered from 0) to remove. rows: id (unique, not null), text (not null)."""
     limits = (SHORT, TILE)
@@ -341,13 +412,27 @@ def duplicate_lines(rows: DataFrame) -> DataFrame:
     first = Stored(dealt.mapInArrow(first_lines, "d1 bigint, id bigint, no bigint, copy boolean"), "first")
     copies = first.df.where("copy").select("id", "no").unionByName(lines.df.where("kind = 1").select("id", "no"))
     entries = line_prefixes(rows, rarity).repartition("key").sortWithinPartitions("key")
-    met = Stored(entries.mapInArrow(lambda b: meeting(b, *limits), "key bigint, d1 bigint"), "met")
-    wanted = met.df.join(first.df.where("not copy").select("d1", "id", "no"), "d1").groupBy("id").agg(F.collect_list(F.struct("key", "no")).alias("at"))
+    met = entries.mapInArrow(lambda b: meeting(b, *limits), "key bigint, d1 bigint, others bigint").groupBy("d1", "others").agg(F.min("key").alias("key"))
+    met = Stored(met.groupBy("d1").agg(F.collect_set("key").alias("keys")), "met")
+    wanted = met.df.join(first.df.where("not copy").select("d1", "id", "no"), "d1").groupBy("id").agg(F.collect_list(F.struct("no", "keys")).alias("at"))
     text = rows.join(wanted, "id").select("id", "at", F.split("text", "\n").alias("lines"))
-    shown = text.select("id", F.explode(F.transform("at", lambda x: F.struct(x["key"].alias("key"), x["no"].alias("no"), F.get("lines", x["no"].cast("int")).alias("line")))).alias("x"))
-    lists_ = shown.select("x.key", "id", "x.no", "x.line").repartition("key").sortWithinPartitions("key")
-    near = checkpoint(lists_.mapInArrow(lambda b: linked(b, *limits), "id bigint, no bigint").distinct())
+    each = text.select("id", F.explode(F.transform("at", lambda x: F.struct(x["no"].alias("no"), x["keys"].alias("keys"), F.get("lines", x["no"].cast("int")).alias("line")))).alias("x"))
+    shown = Stored(each.select("id", "x.*").mapInArrow(with_sketches, "id bigint, no bigint, keys array<bigint>, line string, n bigint, bits array<bigint>"), "shown")
     met.drop()
+    by_list = shown.df.select(F.explode("keys").alias("key"), "id", "no", "n", "bits").repartition("key").sortWithinPartitions("key")
+    found = by_list.mapInArrow(lambda b: proposals(b, *limits), "id bigint, no bigint, to_id bigint, to_no bigint, differ bigint, times bigint")
+    to = F.struct("differ", "to_id", "to_no")
+    best = checkpoint(found.groupBy("id", "no").agg(F.min(to).alias("to"), ((F.max("times") > 1) | (F.min(F.struct("to_id", "to_no")) < F.max(F.struct("to_id", "to_no")))).alias("more")))
+    lines_ = shown.df.select("id", "no", "line")
+    both = best.select("id", "no", "to.to_id", "to.to_no").join(lines_, ["id", "no"]).join(lines_.toDF("to_id", "to_no", "other"), ["to_id", "to_no"])
+    near = checkpoint(both.select("id", "no", "line", "other").mapInArrow(verified, "id bigint, no bigint"))
+    left = checkpoint(best.where("more").select("id", "no").join(near, ["id", "no"], "left_anti"))
+    if left.limit(1).count():
+        keyed = shown.df.join(left.withColumn("open", F.lit(True)), ["id", "no"], "left").select(F.explode("keys").alias("key"), "id", "no", "line", F.coalesce("open", F.lit(False)).alias("open"))
+        alive = keyed.where("open").select("key").distinct()
+        lists_ = keyed.join(alive, "key", "left_semi").select("key", "id", "no", "line", "open").repartition("key").sortWithinPartitions("key")
+        near = near.unionByName(checkpoint(lists_.mapInArrow(lambda b: linked(b, *limits), "id bigint, no bigint").distinct()))
+    shown.drop()
     release(rows.sparkSession)
     return copies.unionByName(near)
 
