@@ -288,9 +288,31 @@ def test_op6(spark, docs, rows, block):
 
 
 def test_op6_edges(spark, none, docs):
+    """Empty tables; null and repeated item ids; items of several pieces; long texts; repeated rows; columns with the names of added and inner ones."""
     empty = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.mark_benchmark(docs, empty).where("n_hit > 0").count() == 0
     assert decontaminate.mark_benchmark(none, empty).count() == 0
+    words = [f"v{k}" for k in range(200_000)]
+    long = " ".join(words[:150_000]) + " x " + " ".join(words[150_000:])
+    items = [(None, "none of these"), (7, "none of these"), (7, "and more"), (None, "and that"), (8, " ".join(words[4080:9000])), (9, None)]
+    rows = [(1, "None of these."), (1, "None of these."), (2, "and that"), (None, "x and more"), (3, long), (4, None)]
+    clash = {n: F.lit(n) for n in ("row", "scanned", "n_hit", "item_ids", "c0", "gone", "item")}
+    odd = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns(clash)
+    for block in (1 << 20, 2000):
+        marked = decontaminate.mark_benchmark(odd, spark.createDataFrame(items, "item_id bigint, text string"), block_bytes=block)
+        got = Counter((r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids), r.row, r.item) for r in marked.collect())
+        assert got == Counter({(1, 3, 3, (7,), "row", "item"): 2, (2, 2, 2, (), "row", "item"): 1, (None, 3, 2, (7,), "row", "item"): 1, (3, 200_001, 4920, (8,), "row", "item"): 1, (4, 0, 0, (), "row", "item"): 1})
+    assert len(long) > 1 << 20
+    assert [(r.doc_id, r.n_hit) for r in decontaminate.remove_contaminated(odd, spark.createDataFrame(items, "item_id bigint, text string")).collect()] == [(4, "n_hit")]
+
+
+def test_op6_block_is_bounded():
+    """A full block: its arrays hold some 40 bytes a window besides the text."""
+    rng = np.random.default_rng(0)
+    text = " ".join(f"{x:x}" for x in rng.integers(0, 1 << 20, 200_000).tolist()).encode()
+    grams = decontaminate.Grams([(1, text, 200_000)], 10)
+    size = sum(x.nbytes for own in grams.by_length.values() for x in own)
+    assert size < 45 * 200_000 and len(grams.by_length[10][0]) == 200_000 - 9
 
 
 def brute_chunk_runs(raw):
