@@ -3,25 +3,32 @@
 1. Pages become trees of elements; scripts, styles and comments are dropped by the parser, character references decoded.
 2. For each host, REFERENCES + 1 different pages (those of least hash; a page is measured against REFERENCES others; a bounded documented sample,
    not a filter) are the wrapper. Simple tree matching aligns each page with each reference: two trees match at their roots if their tags and
-   classes agree, and their children by a maximal order-keeping match.
-3. A text node whose partners in most references have the same text is template and is dropped; inside an article three
-   quarters of them and two at least must agree, as short articles repeat lines by chance. The others are varying slots. References that copy the page don't count.
-4. Varying slots under elements that name furniture (menus, headers, footers, sidebars, notices, adverts, forms, reader comments: by tag, role,
-   class or id) are dropped. Inside an article a name is often a topic (search-algorithms, share-prices): there only tags, roles and the classes in OWN_NAMES
+   classes agree, and their children by an order-keeping match: equal subtrees that both have once are partners first, as far as they keep order, and between
+   them a maximal match of nodes is taken.
+3. A text node is template if its partners in two references have the same text, or in most of those in which it has one (hosts take turns with menus and adverts). Inside an
+   article it takes three quarters of all references and two at
+   least, as short articles repeat lines by chance. The other text nodes are varying slots. References that copy the page don't count. Template is dropped at
+   every level, whatever its tag or name.
+4. Of the varying slots, those under elements that name furniture (menus, headers, footers, sidebars, notices, adverts, forms, reader comments: by tag, role,
+   class or id) are dropped: a tie-break, as adverts and comments vary too. Inside an article a name is often a topic (search-algorithms, share-prices): there only tags, roles and the classes in OWN_NAMES
    tell alone, other names when half of the element's text or more is template or links. Of the rest, the content is what lies in the smallest element that
    holds all articles (or main elements), or, on pages without one, all varying slots.
+   n_template and n_named count the code points of text nodes (white space collapsed) that the wrapper and the names dropped.
 
 Text in one block (paragraph, heading, list item, table cell and so on) is joined, its white space made one space and trimmed; blocks are joined
 by two newlines, in page order. A line break is white space. A host with one page has no partner to align with, so its text nodes all vary.
 
 Null pages give an empty text; so do empty ones and pages without text. Rows that repeat are rows of their own. An empty table gives an empty
 result. Broken markup is mended like a browser does in the common cases: void elements, paragraphs and list items ended by the next one, end
-tags without a start ignored, open elements ended by the end tag of an outer one.
+tags without a start ignored, open elements ended by the end tag of an outer one. Elements may be nested to any depth. Columns with the names of added ones give way to them.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -34,8 +41,10 @@ from quillet.session import checkpoint
 REFERENCES = 8
 #: Wrappers of all hosts up to this size are broadcast; larger ones are joined to the pages.
 BROADCAST_BYTES = 32 << 20
-#: Open elements that are kept apart; deeper ones count as part of the one above.
-DEEP = 200
+#: Pages of a large host that one task takes, where the wrappers are too large for a broadcast.
+SHARE = 2000
+#: Elements whose text no reader sees.
+UNSEEN = {"head", "script", "style", "noscript", "template", "iframe"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Elements whose content is text up to their end tag; those of them that aren't shown are dropped.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp"}
@@ -60,16 +69,18 @@ SPACE = re.compile(r"\s+")
 class Node:
     """An element: tag, the name it is matched by, attributes, and children (elements and texts)."""
 
-    __slots__ = ("attrs", "children", "key", "kids", "plains", "tag")
+    __slots__ = ("attrs", "children", "digest", "key", "kids", "parent", "plains", "size", "tag")
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children, self.kids, self.plains = tag, attrs, [], None, None
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None = None):
+        self.tag, self.attrs, self.children, self.kids, self.plains, self.parent = tag, attrs, [], None, None, parent
+        self.digest, self.size = None, 0
         self.key = (tag, attrs.get("class", ""))
 
 
 def parse(html: str) -> Node:
     root = Node("#root", {})
     stack, at = [root], 0
+    count = Counter()  # open elements by tag, so that none is looked for in vain
     while at < len(html):
         m = TOKEN.match(html, at)
         at = m.end()
@@ -80,31 +91,39 @@ def parse(html: str) -> Node:
             continue
         name = name.lower()
         if m[1]:
-            close(stack, name)
+            if count[name]:
+                close(stack, name, count)
             continue
-        if name in BLOCKS and stack[-1] is not root:
+        if name in BLOCKS and count["p"]:
             open_p = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "p"), 0)
             if open_p and not any(x.tag in BLOCKS for x in stack[open_p + 1 :]):
-                del stack[open_p:]
-        if name in ENDED_BY:
+                cut(stack, open_p, count)
+        if name in ENDED_BY and any(count[x] for x in ENDED_BY[name]):
             k = len(stack) - 1
             while k > 0 and stack[k].tag not in ENDED_BY[name] and stack[k].tag not in SCOPES:
                 k -= 1
             if k > 0 and stack[k].tag in ENDED_BY[name]:
-                del stack[k:]
+                cut(stack, k, count)
         attrs = {k.lower(): unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(m[3])} if m[3].strip(" /") else {}
-        node = Node(name, attrs)
+        node = Node(name, attrs, stack[-1])
         stack[-1].children.append(node)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|$)[^>]*(?:>|$)", re.I).search(html, at)
             text, at = (html[at : end.start()], end.end()) if end else (html[at:], len(html))
             if name in ("title", "textarea"):
                 add_text(node, text)
-        elif name not in VOID and len(stack) < DEEP:
+        elif name not in VOID:
             stack.append(node)
+            count[name] += 1
     return root
 
 
+def cut(stack: list[Node], k: int, count: Counter) -> None:
+    for x in stack[k:]:
+        count[x.tag] -= 1
+    del stack[k:]
+
+
 def add_text(node: Node, text: str) -> None:
     text = unescape(text) if "&" in text else text
     if node.children and isinstance(node.children[-1], str):
@@ -113,10 +132,10 @@ def add_text(node: Node, text: str) -> None:
         node.children.append(text)
 
 
-def close(stack: list[Node], name: str) -> None:
+def close(stack: list[Node], name: str, count: Counter) -> None:
     for k in range(len(stack) - 1, 0, -1):
         if stack[k].tag == name:
-            del stack[k:]
+            cut(stack, k, count)
             return
         if stack[k].tag in ("td", "th", "table") and name not in ("tr", "tbody", "thead", "tfoot", "table", "body", "html", "div", "article", "section", "main"):
             return
@@ -136,25 +155,75 @@ def plain_texts(node: Node) -> list[str | None]:
     return node.plains
 
 
-def match(a: Node, b: Node, pairs: list[tuple[int, int]], memo: dict[tuple[int, int], int]) -> None:
-    """Align the children of two matched nodes and go down; pairs gets the texts (node, place) whose partner is the same text."""
-    x, y = children(a), children(b)
-    i = 0
-    while i < len(x) and i < len(y) and alike(x[i], y[i]):  # equal ends need no table
-        i += 1
-    j = 0
-    while j < min(len(x), len(y)) - i and alike(x[-1 - j], y[-1 - j]):
-        j += 1
-    found = [(k, k) for k in range(i)] + [(len(x) - 1 - k, len(y) - 1 - k) for k in range(j)]
-    mid_x, mid_y = x[i : len(x) - j], y[i : len(y) - j]
-    if mid_x and mid_y:
-        found += [(i + p, i + q) for p, q in best(mid_x, mid_y, memo)]
-    for p, q in found:
-        if isinstance(x[p], str):
-            if plain_texts(a)[p] == plain_texts(b)[q]:
-                pairs.append((id(a), p))
-        else:
-            match(x[p], y[q], pairs, memo)
+def seal(root: Node) -> None:
+    """Digests of all subtrees: equal ones have equal tags, classes and texts. size: the text nodes of a subtree."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [x for x in children(node) if not isinstance(x, str)]
+    for node in reversed(order):
+        parts = [y if isinstance(x, str) else x.digest for x, y in zip(children(node), plain_texts(node), strict=True)]
+        node.digest = hash((node.key, *parts))
+        node.size = sum(1 if isinstance(x, str) else x.size for x in children(node))
+
+
+def anchors(x: list[Node | str], y: list[Node | str]) -> list[tuple[int, int]]:
+    """Places of equal subtrees with text that both lists have once, as many as keep order."""
+    if len(x) < 2 or len(y) < 2:
+        return []
+    mark = lambda k: plain(k) if isinstance(k, str) else k.digest if k.size else None
+    own, other = [mark(k) for k in x], [mark(k) for k in y]
+    once_x, once_y = Counter(own), Counter(other)
+    place = {k: q for q, k in enumerate(other) if once_y[k] == 1}
+    both = [(p, place[k]) for p, k in enumerate(own) if k is not None and once_x[k] == 1 and k in place and alike(x[p], y[place[k]])]
+    ends: list[int] = []
+    last: list[int] = []
+    before = [-1] * len(both)
+    for n, (_, q) in enumerate(both):  # the longest rising run
+        k = bisect_left(ends, q)
+        ends[k:k + 1], last[k:k + 1] = [q], [n]
+        before[n] = last[k - 1] if k else -1
+    out, n = [], last[-1] if last else -1
+    while n >= 0:
+        out.append(both[n])
+        n = before[n]
+    return out[::-1]
+
+
+def match(a: Node, b: Node, pairs: list[tuple[int, int, bool]], memo: dict[tuple[int, int], int]) -> None:
+    """Align two matched nodes and go down; pairs gets the texts (node, place) that have a partner, and whether it is the same text."""
+    todo = [(a, b)]
+    while todo:
+        a, b = todo.pop()
+        x, y = children(a), children(b)
+        for p, q in aligned(x, y, memo):
+            if isinstance(x[p], str):
+                pairs.append((id(a), p, plain_texts(a)[p] == plain_texts(b)[q]))
+            else:
+                todo.append((x[p], y[q]))
+
+
+def aligned(x: list[Node | str], y: list[Node | str], memo: dict[tuple[int, int], int]) -> list[tuple[int, int]]:
+    """Places of partners in two lists of children."""
+    found, at = [], (0, 0)
+    for p, q in [*anchors(x, y), (len(x), len(y))]:
+        u, v = x[at[0] : p], y[at[1] : q]
+        i = 0
+        while i < len(u) and i < len(v) and alike(u[i], v[i]):  # equal ends need no table
+            i += 1
+        j = 0
+        while j < min(len(u), len(v)) - i and alike(u[-1 - j], v[-1 - j]):
+            j += 1
+        own = [(k, k) for k in range(i)] + [(len(u) - 1 - k, len(v) - 1 - k) for k in range(j)]
+        mid_u, mid_v = u[i : len(u) - j], v[i : len(v) - j]
+        if mid_u and mid_v:
+            own += [(i + m, i + n) for m, n in best(mid_u, mid_v, memo)]
+        found += [(at[0] + m, at[1] + n) for m, n in own]
+        if p < len(x):
+            found.append((p, q))
+        at = (p + 1, q + 1)
+    return found
 
 
 def alike(x: Node | str, y: Node | str) -> bool:
@@ -210,24 +279,26 @@ def plain(text: str) -> str:
     return SPACE.sub(" ", text).strip()
 
 
-def template_votes(page: Node, references: list[Node]) -> tuple[dict[tuple[int, int], int], int]:
-    """For each text node of the page, in how many references its partner has the same text; and the references that count.
+def template_votes(page: Node, references: list[Node]) -> tuple[set[tuple[int, int]], set[tuple[int, int]]]:
+    """Which text nodes of the page (element, place) are template, outside an article and inside.
 
     A reference that agrees with the page in over half of its text is a copy of it and tells nothing.
     """
     own = nodes(page)
     total = sum(len(x) for node in own.values() for x in children(node) if isinstance(x, str))
-    votes: dict[tuple[int, int], int] = {}
+    votes: dict[tuple[int, int], tuple[int, int]] = {}
     counted = 0
     for ref in references:
-        same: list[tuple[int, int]] = []
-        match(page, ref, same, {})
-        if 2 * sum(len(children(own[node])[place]) for node, place in same) > total:
+        pairs: list[tuple[int, int, bool]] = []
+        match(page, ref, pairs, {})
+        if 2 * sum(len(children(own[node])[place]) for node, place, same in pairs if same) > total:
             continue
         counted += 1
-        for k in same:
-            votes[k] = votes.get(k, 0) + 1
-    return votes, counted
+        for node, place, same in pairs:
+            yes, all_ = votes.get((node, place), (0, 0))
+            votes[node, place] = (yes + same, all_ + 1)
+    outside = {k for k, (same, partners) in votes.items() if same >= 2 or 2 * same > partners}
+    return outside, {k for k in outside if votes[k][0] >= max(2, -(-3 * counted // 4))}
 
 
 def furniture(node: Node, inside: bool = False) -> bool:
@@ -252,7 +323,7 @@ def named(node: Node) -> bool:
     return bool(node.attrs) and node.tag not in ("article", "main") and bool(NAMES.search(f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}"))
 
 
-def proven(node: Node, votes: dict[tuple[int, int], int], least: int) -> bool:
+def proven(node: Node, constant: set[tuple[int, int]]) -> bool:
     """Whether half of an element's text or more is template or in links."""
     total = told = 0
     todo = [(node, node.tag == "a")]
@@ -261,54 +332,69 @@ def proven(node: Node, votes: dict[tuple[int, int], int], least: int) -> bool:
         for place, y in enumerate(children(x)):
             if isinstance(y, str):
                 total += len(plain(y))
-                told += len(plain(y)) if link or votes.get((id(x), place), 0) >= least else 0
+                told += len(plain(y)) if link or (id(x), place) in constant else 0
             else:
                 todo.append((y, link or y.tag == "a"))
     return 2 * told >= total
 
 
-def content_root(root: Node) -> tuple[Node, set[int]]:
-    """The smallest element that holds all articles with text (or else all main elements), and the ids of these; the root where there is none: what is
+def content_root(root: Node, constant: set[tuple[int, int]]) -> tuple[Node, set[int]]:
+    """The smallest element that holds all articles (or else all main elements) with text that is neither template nor furniture, and the ids of these; the root where there is none: what is
     dropped outside the smallest element with all varying slots is template or furniture."""
-    articles: list[list[Node]] = []
-    mains: list[list[Node]] = []
-
-    def look(path: list[Node], within: bool) -> None:
-        node = path[-1]
-        if node.tag == "article" or node.attrs.get("itemprop") == "articleBody" or node.attrs.get("role", "").lower() == "article":
-            if shows(node):
-                articles.append(path)
-            return
-        if not within and (node.tag == "main" or node.attrs.get("role", "").lower() == "main") and shows(node):
-            mains.append(path)
+    articles: list[Node] = []
+    mains: list[Node] = []
+    todo = [(root, False)]
+    while todo:
+        node, within = todo.pop()
+        role = node.attrs.get("role", "").lower()
+        if node.tag == "article" or node.attrs.get("itemprop") == "articleBody" or role == "article":
+            if shows(node, constant):
+                articles.append(node)
+            continue
+        if not within and (node.tag == "main" or role == "main") and shows(node, constant):
+            mains.append(node)
             within = True
         if not furniture(node, within):
-            for x in children(node):
-                if not isinstance(x, str):
-                    look([*path, x], within)
-
-    look([root], False)
+            todo += [(x, within) for x in reversed(children(node)) if not isinstance(x, str)]
     parts = articles or mains
     if not parts:
         return root, set()
-    common = parts[0]
-    for path in parts[1:]:
-        common = common[: next((k for k, (x, y) in enumerate(zip(common, path, strict=False)) if x is not y), min(len(common), len(path)))]
-    return common[-1], {id(path[-1]) for path in parts}
+    paths = [path(x) for x in parts]
+    common = paths[0]
+    for other in paths[1:]:
+        common = common[: next((k for k, (x, y) in enumerate(zip(common, other, strict=False)) if x is not y), min(len(common), len(other)))]
+    return common[-1], {id(x) for x in parts}
 
 
-def shows(node: Node) -> bool:
-    """Whether there is text outside furniture."""
-    return any(isinstance(x, str) or not furniture(x, True) and shows(x) for x in children(node))
+def path(node: Node) -> list[Node]:
+    out = [node]
+    while out[-1].parent is not None:
+        out.append(out[-1].parent)
+    return out[::-1]
 
 
-def extract(page: Node, references: list[Node]) -> str:
-    votes, counted = template_votes(page, references) if references else ({}, 0)
-    start, parts = content_root(page)
-    # in an article, chance and quotation repeat texts too: there more of the references must agree, and never one alone
-    many, most = max(2, -(-3 * counted // 4)), counted // 2 + 1
+def shows(node: Node, constant: set[tuple[int, int]]) -> bool:
+    """Whether there is text that is neither template nor under furniture."""
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        for place, y in enumerate(children(x)):
+            if isinstance(y, str):
+                if (id(x), place) not in constant:
+                    return True
+            elif not furniture(y, True):
+                todo.append(y)
+    return False
+
+
+def extract(page: Node, references: list[Node]) -> tuple[str, int, int]:
+    """The main text, and the code points that the wrapper and the names dropped."""
+    outer, inner = template_votes(page, references) if references else (set(), set())
+    start, parts = content_root(page, inner)
+    held = {id(x) for x in path(start)}
     blocks: list[str] = []
     line: list[str] = []
+    dropped = [0, 0]
 
     def flush() -> None:
         text = plain("".join(line))
@@ -316,31 +402,45 @@ def extract(page: Node, references: list[Node]) -> str:
             blocks.append(text)
         line.clear()
 
-    def walk(node: Node, inside: bool) -> None:
+    # from the root, so that all that is dropped is counted; what lies outside the start is dropped like furniture. Ends of blocks are marked by None.
+    todo: list[tuple[Node | None, bool, bool]] = [(page, False, False)]
+    while todo:
+        node, inside, named_ = todo.pop()
+        if node is None:
+            flush()
+            continue
+        if isinstance(node, str):
+            line.append(node)
+            continue
         inside = inside or id(node) in parts
         block = node.tag in BLOCKS
         if block:
             flush()
+        later: list[tuple[Node | None, bool, bool]] = []
+        outside = named_ or node is not start and id(node) in held
         place = -1
         for x in node.children:
             if isinstance(x, str):
                 if x.strip():
                     place += 1
-                    if votes.get((id(node), place), 0) >= (many if inside else most):
+                    if (id(node), place) in (inner if inside else outer):
+                        dropped[0] += len(plain(x))
                         continue
-                line.append(x)
-            else:
-                place += 1
-                if x.tag == "br":
-                    line.append(" ")
-                elif id(x) in parts or not (furniture(x, inside) or inside and named(x) and proven(x, votes, many)):
-                    walk(x, inside)
-        if block:
-            flush()
-
-    walk(start, False)
+                    if outside:
+                        dropped[1] += len(plain(x))
+                        continue
+                if not outside:
+                    later.append((x, inside, False))
+                continue
+            place += 1
+            if x.tag == "br" and not outside:
+                later.append((" ", inside, False))
+            elif x.tag not in UNSEEN:
+                off = named_ or not (id(x) in parts or id(x) in held) and (outside or furniture(x, inside) or inside and named(x) and proven(x, inner))
+                later.append((x, inside, off))
+        todo += ([(None, inside, False)] if block else []) + later[::-1]
     flush()
-    return "\n\n".join(blocks)
+    return "\n\n".join(blocks), *dropped
 
 
 def host_of(url):
@@ -364,41 +464,60 @@ def least_pages(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(texts, pa.string())], names=["host", "h", "page"])
 
 
-def main_text(pages: DataFrame, url: str = "url", html: str = "html", references: int = REFERENCES) -> DataFrame:
-    """pages with text and n_chars."""
-    hosted = pages.withColumn("__host", host_of(F.col(url)))
-    named = hosted.where(F.col(html).isNotNull()).select(F.col("__host").alias("host"), F.xxhash64(html).alias("h"), F.col(html).alias("page"))
+def main_text(pages: DataFrame, url: str = "url", html: str = "html", references: int = REFERENCES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """pages with text, n_chars, n_template and n_named."""
+    added = ["text", "n_chars", "n_template", "n_named"]
+    names = [c for c in pages.columns if c not in added]
+    source = pages.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("page"))
+    schema = source.drop("page", "host").schema.add("text", "string").add("n_chars", "long").add("n_template", "long").add("n_named", "long")
+    at = len(names)
+    shown = source.where(F.col("page").isNotNull()).select("host", F.xxhash64("page").alias("h"), "page")
     # the least hashes are pre-aggregated: a host is references + 1 rows a task
-    firsts = named.mapInArrow(lambda b: least_pages(b, references + 1), "host string, h bigint, page string").groupBy("host", "h").agg(F.min("page").alias("page"))
+    firsts = shown.mapInArrow(lambda b: least_pages(b, references + 1), "host string, h bigint, page string").groupBy("host", "h").agg(F.min("page").alias("page"))
     ranked = firsts.withColumn("k", F.row_number().over(Window.partitionBy("host").orderBy("h"))).where(F.col("k") <= references + 1)
     wrapper = checkpoint(ranked.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("k", "page"))).alias("r")).select("host", F.col("r.page").alias("refs")))
     size = wrapper.agg(F.sum(F.aggregate("refs", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x)))).first()[0] or 0
-    shared = None
-    if size <= BROADCAST_BYTES:
+    if size <= broadcast_bytes:
         shared = pages.sparkSession.sparkContext.broadcast({r.host: r.refs for r in wrapper.toLocalIterator()})
-        joined = hosted.withColumn("__refs", F.lit(None).cast("array<string>"))
+        dealt = source
     else:
-        joined = hosted.join(wrapper.withColumnRenamed("refs", "__refs"), F.col("__host") == F.col("host"), "left").drop("host")
-    names = [c for c in pages.columns if c not in ("text", "n_chars")]
-    source = joined.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(html).alias("page"), "__host", "__refs")
-    schema = source.drop("page", "__host", "__refs").schema.add("text", "string").add("n_chars", "long")
-    at = len(names)
+        # pages are sorted by host and stand behind the host's wrapper; a large host is dealt over several tasks that all get its wrapper
+        shared = None
+        share = wrapper.join(source.groupBy("host").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")), "host")
+        first = share.select(*[F.lit(None).cast(source.schema[f"c{i}"].dataType).alias(f"c{i}") for i in range(at)], "host", F.lit(None).cast("string").alias("page"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "refs")
+        rest = source.join(share.select("host", "shares"), "host", "left").select(*[f"c{i}" for i in range(at)], "host", "page", F.coalesce(F.pmod(F.xxhash64("page"), "shares"), F.lit(0)).cast("int").alias("share"), F.lit(None).cast("array<string>").alias("refs"))
+        dealt = first.unionByName(rest).withColumn("later", F.col("refs").isNull()).repartition("host", "share").sortWithinPartitions("host", "share", "later").drop("share", "later")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: dict[str, Node] = {}
+        held: tuple[str | None, list[str]] = (None, [])
+
+        def tree(page: str) -> Node:
+            root = parse(page)
+            seal(root)
+            return root
+
         for batch in batches:
-            texts = []
-            for page, host, refs in zip(*(batch.column(at + k).to_pylist() for k in range(3)), strict=True):
+            rows, took = [], []
+            for k, (host, page) in enumerate(zip(batch.column(at).to_pylist(), batch.column(at + 1).to_pylist(), strict=True)):
+                if shared is None and (refs := batch.column(at + 2)[k].as_py()) is not None:
+                    held = (host, refs)
+                    trees.clear()
+                    continue
+                took.append(k)
                 if not page:
-                    texts.append("")
+                    rows.append(("", 0, 0))
                     continue
-                refs = shared.value.get(host, []) if shared else refs or []
+                refs = shared.value.get(host, []) if shared else held[1] if held[0] == host else []
                 if len(trees) > 600:
                     trees.clear()
                 for r in refs:
                     if r not in trees:
-                        trees[r] = parse(r)
-                texts.append(extract(parse(page), [trees[r] for r in refs if r != page][:references]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(at)), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=[f.name for f in schema])
-
-    return source.mapInArrow(run, schema).toDF(*names, "text", "n_chars")
+                        trees[r] = tree(r)
+                sys.setrecursionlimit(max(sys.getrecursionlimit(), 3 * max(len(page), *map(len, refs), 1) // 2 + 1000))  # an element is three characters or more, and two calls
+                rows.append(extract(tree(page), [trees[r] for r in refs if r != page][:references]))
+            texts, told, named_ = ([r[k] for r in rows] for k in range(3))
+            kept = batch.take(pa.array(took, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(kept.column(i) for i in range(at)), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), pa.array(told, pa.int64()), pa.array(named_, pa.int64())], names=[f.name for f in schema])
+
+    return dealt.mapInArrow(run, schema).toDF(*names, *added)

@@ -489,16 +489,48 @@ def test_op1(spark):
     assert got[3][0] == "Title 3\n\nFirst & bold3 text after\n\nSecond 3\n\none 3\n\ntwo" and got[3][1] == len(got[3][0])
     assert got[50] == ("alone", 5) and got[51] == got[52] == ("", 0) and got[53] == ("deep", 4)
     assert pages.main_text(table.limit(0)).count() == 0
-    joined = {r.page_id: r.text for r in _joined(table)}
+    joined = {r.page_id: r.text for r in pages.main_text(table, broadcast_bytes=-1).collect()}
     assert joined == {k: v[0] for k, v in got.items()}
 
 
-def _joined(table):
-    was, pages.BROADCAST_BYTES = pages.BROADCAST_BYTES, -1
-    try:
-        return pages.main_text(table).collect()
-    finally:
-        pages.BROADCAST_BYTES = was
+def test_op1_edges(spark, monkeypatch):
+    """Columns with the names of added and inner ones, repeated rows, null ids and urls, a host over several tasks, deep and long pages."""
+    monkeypatch.setattr(pages, "SHARE", 3)
+    deep = "<div class=x>" * 20_000 + "<nav>Menu</nav><p>Low {k}</p>"
+    long = "<article>" + "".join(f"<p>{' '.join(random.Random(k).choices(WORDS, k=2000))}</p>" for k in range(150)) + "</article>"
+    assert len(long) > 1 << 20
+    rows = [(k % 9, "http://a.example/", PAGE.format(k=k % 9)) for k in range(18)] + [(None, None, "<p>x</p>"), (20, "http://b.example/", deep.format(k=1)), (21, "http://b.example/", deep.format(k=2)), (22, "http://c.example/", long)]
+    names = ("host", "page", "refs", "share", "text", "n_named", "h", "r", "c0")
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({n: F.lit(n) for n in names})
+    one, two = (Counter((r.page_id, r.text, r.n_chars, r.host, r.page, r.c0) for r in pages.main_text(table, broadcast_bytes=b).collect()) for b in (-1, 1 << 25))
+    assert one == two and {x[3:] for x in one} == {("host", "page", "c0")}
+    got = {x[0]: x[1] for x in one}
+    assert sorted(one.values()) == [1] * 4 + [2] * 9 and got[None] == "x" and got[20] == "Low 1"
+    assert got[22] == long[12:-14].replace("</p><p>", "\n\n")
+
+
+def brute_host(html):
+    """Main text of pages without telling tags or names: paragraphs whose text no other page of the host has."""
+    texts = {k: re.findall(r"<p>(.*?)</p>", x) for k, x in html.items()}
+    times = Counter(t for own in texts.values() for t in set(own))
+    return {k: "\n\n".join(t for t in own if times[t] == 1) for k, own in texts.items()}
+
+
+def test_op1_wrapper_decides(spark):
+    """Hosts whose names say nothing, without articles: notices stand at other places of each page. Without references the result is wrong, with them right."""
+    story = lambda *k: " ".join(random.Random(str(k)).choices(WORDS, k=12))
+    html = {}
+    for k in range(12):
+        own = [f"<p>{story(k, j)}</p>" for j in range(3 + k % 4)]
+        places = sorted(random.Random(k).choices(range(len(own) + 1), k=3), reverse=True)
+        for at, notice in zip(places, ("Write to us today", "All rights are ours", "Read this too"), strict=True):
+            own.insert(at, f"<p>{notice}</p>")
+        html[k] = f"<body><div class=q1><p>Start here</p></div><div class=z{k % 2}>{''.join(own)}</div><div class=q2><p>The end of it</p></div></body>"
+    table = spark.createDataFrame([(k, f"http://w.example/{k}", x) for k, x in html.items()], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in pages.main_text(table).collect()}
+    assert got == brute_host(html)
+    alone = {r.page_id: r.text for r in pages.main_text(table, references=0).collect()}
+    assert all(alone[k] != got[k] for k in html)
 
 
 def test_op1_template_without_article(spark):
