@@ -41,8 +41,8 @@ from quillet.session import Stored, checkpoint, release
 PERCENT = 80
 #: The least words of a set that links with another than itself: n of n + 1.
 LISTED = -(-PERCENT // (100 - PERCENT))
-#: Words in so many lines are frequent; words in COUNTED lines or more are ordered by their counts, of these KEPT at most.
-MIN_COUNT, COUNTED, KEPT = 1000, 12, 1 << 18
+#: Words in so many lines are frequent; words in COUNTED lines or more are ordered by their counts.
+MIN_COUNT, COUNTED = 1000, 12
 #: span is n << 32 | place: the size of the set and the place of the key's later word.
 FIELDS = ["key", "d1", "span", "sketch"]
 #: Lines of a block; entries of a short list; entries of a long list that are compared at once; pairs that are tested at once.
@@ -161,11 +161,11 @@ def line_prefixes(rows: DataFrame, rarity: Rarity) -> DataFrame:
     seen not long before.
 
     Here a word is its class (7 bits) and 41 bits of its hash; words that agree in these only make lists longer."""
-    shared = rows.sparkSession.sparkContext.broadcast((rarity.hashes, rarity.classes))
+    shared = rows.sparkSession.sparkContext.broadcast(rarity)
     frequent = U(int(class_of(MIN_COUNT)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order_, seen = Rarity(*shared.value), np.zeros(0, U)
+        order_, seen = shared.value, np.zeros(0, U)
         for batch in batches:
             for t in slices(batch.column(0)):
                 own = Lines(t)
@@ -403,37 +403,60 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], names=["id", "no"])
 
 
+def met_lines(rows: DataFrame, lines: Stored, limits: tuple[int, int]) -> DataFrame:
+    """d1, keys: the sets that meet others, and the lists that stand for all in which they do."""
+    rarity = top(lines.df.where("kind = 2").select(F.col("d1").alias("h"), F.col("d2").alias("n")), COUNTED)
+    entries = line_prefixes(rows, rarity).repartition("key").sortWithinPartitions("key")
+    met = entries.mapInArrow(lambda b: meeting(b, *limits), "key bigint, d1 bigint, others bigint").groupBy("d1", "others").agg(F.min("key").alias("key"))
+    return met.groupBy("d1").agg(F.collect_set("key").alias("keys"))
+
+
+def shown_lines(rows: DataFrame, met: DataFrame, first: DataFrame) -> DataFrame:
+    """id, no, keys, line, n, bits of the first line of each set in `met`."""
+    wanted = met.join(first.where("not copy").select("d1", "id", "no"), "d1").groupBy("id").agg(F.collect_list(F.struct("no", "keys")).alias("at"))
+    # the wanted places of a task are few beside its texts, which needn't be sorted
+    text = rows.join(wanted.hint("shuffle_hash"), "id").select("id", "at", F.split("text", "\n").alias("lines"))
+    each = text.select("id", F.explode(F.transform("at", lambda x: F.struct(x["no"].alias("no"), x["keys"].alias("keys"), F.get("lines", x["no"].cast("int")).alias("line")))).alias("x"))
+    return each.select("id", "x.*").mapInArrow(with_sketches, "id bigint, no bigint, keys array<bigint>, line string, n bigint, bits array<bigint>")
+
+
+def best_proposals(shown: DataFrame, limits: tuple[int, int]) -> DataFrame:
+    """id, no, to (differ, to_id, to_no), more: the best proposal of each line, and whether it had others."""
+    by_list = shown.select(F.explode("keys").alias("key"), "id", "no", "n", "bits").repartition("key").sortWithinPartitions("key")
+    found = by_list.mapInArrow(lambda b: proposals(b, *limits), "id bigint, no bigint, to_id bigint, to_no bigint, differ bigint, times bigint")
+    one = F.struct("to_id", "to_no")
+    return found.groupBy("id", "no").agg(F.min(F.struct("differ", "to_id", "to_no")).alias("to"), ((F.max("times") > 1) | (F.min(one) < F.max(one))).alias("more"))
+
+
+def settled(shown: DataFrame, best: DataFrame, limits: tuple[int, int]) -> DataFrame:
+    """id, no of the lines that link with an earlier one."""
+    lines = shown.select("id", "no", "line")
+    both = best.select("id", "no", "to.to_id", "to.to_no").join(lines, ["id", "no"]).join(lines.toDF("to_id", "to_no", "other"), ["to_id", "to_no"])
+    near = checkpoint(both.select("id", "no", "line", "other").mapInArrow(verified, "id bigint, no bigint"))
+    left = checkpoint(best.where("more").select("id", "no").join(near, ["id", "no"], "left_anti"))
+    if not left.limit(1).count():
+        return near
+    each = shown.select(F.explode("keys").alias("key"), "id", "no")
+    alive = each.join(left, ["id", "no"], "left_semi").select("key").distinct()
+    asked = each.join(alive, "key", "left_semi").groupBy("id", "no").agg(F.collect_list("key").alias("keys")).join(left.withColumn("open", F.lit(True)), ["id", "no"], "left")
+    lists_ = asked.join(lines, ["id", "no"]).select(F.explode("keys").alias("key"), "id", "no", "line", F.coalesce("open", F.lit(False)).alias("open")).repartition("key").sortWithinPartitions("key")
+    return near.unionByName(checkpoint(lists_.mapInArrow(lambda b: linked(b, *limits), "id bigint, no bigint").distinct()))
+
+
 def duplicate_lines(rows: DataFrame) -> DataFrame:
-    """id, no: the lines (numbered from 0) to remove. rows: id (unique, not null), text (not null)."""
+    """id, no: the lines (numbered from 0) to remove. rows: id (unique, not null), text (not null).
+
+    Each step is a function of its own, so that nothing holds its shuffle files when release() has them dropped."""
     limits = (SHORT, TILE)
     lines = Stored(with_lines(rows), "lines")
-    rarity = top(lines.df.where("kind = 2").select(F.col("d1").alias("h"), F.col("d2").alias("n")), COUNTED, KEPT)
     dealt = lines.df.where("kind = 0").select("d1", "d2", "id", "no").repartition("d1").sortWithinPartitions("d1")
     first = Stored(dealt.mapInArrow(first_lines, "d1 bigint, id bigint, no bigint, copy boolean"), "first")
     copies = first.df.where("copy").select("id", "no").unionByName(lines.df.where("kind = 1").select("id", "no"))
-    entries = line_prefixes(rows, rarity).repartition("key").sortWithinPartitions("key")
-    met = entries.mapInArrow(lambda b: meeting(b, *limits), "key bigint, d1 bigint, others bigint").groupBy("d1", "others").agg(F.min("key").alias("key"))
-    met = Stored(met.groupBy("d1").agg(F.collect_set("key").alias("keys")), "met")
-    wanted = met.df.join(first.df.where("not copy").select("d1", "id", "no"), "d1").groupBy("id").agg(F.collect_list(F.struct("no", "keys")).alias("at"))
-    text = rows.join(wanted, "id").select("id", "at", F.split("text", "\n").alias("lines"))
-    each = text.select("id", F.explode(F.transform("at", lambda x: F.struct(x["no"].alias("no"), x["keys"].alias("keys"), F.get("lines", x["no"].cast("int")).alias("line")))).alias("x"))
-    shown = Stored(each.select("id", "x.*").mapInArrow(with_sketches, "id bigint, no bigint, keys array<bigint>, line string, n bigint, bits array<bigint>"), "shown")
+    met = Stored(met_lines(rows, lines, limits), "met")
+    shown = Stored(shown_lines(rows, met.df, first.df), "shown")
     met.drop()
-    by_list = shown.df.select(F.explode("keys").alias("key"), "id", "no", "n", "bits").repartition("key").sortWithinPartitions("key")
-    found = by_list.mapInArrow(lambda b: proposals(b, *limits), "id bigint, no bigint, to_id bigint, to_no bigint, differ bigint, times bigint")
-    to = F.struct("differ", "to_id", "to_no")
-    best = checkpoint(found.groupBy("id", "no").agg(F.min(to).alias("to"), ((F.max("times") > 1) | (F.min(F.struct("to_id", "to_no")) < F.max(F.struct("to_id", "to_no")))).alias("more")))
-    lines_ = shown.df.select("id", "no", "line")
-    both = best.select("id", "no", "to.to_id", "to.to_no").join(lines_, ["id", "no"]).join(lines_.toDF("to_id", "to_no", "other"), ["to_id", "to_no"])
-    near = checkpoint(both.select("id", "no", "line", "other").mapInArrow(verified, "id bigint, no bigint"))
-    left = checkpoint(best.where("more").select("id", "no").join(near, ["id", "no"], "left_anti"))
-    if left.limit(1).count():
-        keyed = shown.df.join(left.withColumn("open", F.lit(True)), ["id", "no"], "left").select(F.explode("keys").alias("key"), "id", "no", "line", F.coalesce("open", F.lit(False)).alias("open"))
-        alive = keyed.where("open").select("key").distinct()
-        lists_ = keyed.join(alive, "key", "left_semi").select("key", "id", "no", "line", "open").repartition("key").sortWithinPartitions("key")
-        near = near.unionByName(checkpoint(lists_.mapInArrow(lambda b: linked(b, *limits), "id bigint, no bigint").distinct()))
+    near = settled(shown.df, checkpoint(best_proposals(shown.df, limits)), limits)
     shown.drop()
-    release(rows.sparkSession)
     return copies.unionByName(near)
 
 
@@ -446,7 +469,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
         packed = ranked(packed.withColumn("h", F.xxhash64("text")), ["id", "h"])[0].select("rest", F.when(F.col("id").isNotNull(), F.col("rank")).alias("id"), "text")
         named = packed.where("id is not null")
     gone = duplicate_lines(named.select("id", F.coalesce("text", F.lit("")).alias("text"))).groupBy("id").agg(F.collect_set("no").alias("gone"))
-    joined = packed.join(gone, "id", "left")
+    release(docs.sparkSession)
+    joined = packed.join(gone.hint("shuffle_hash"), "id", "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform("gone", lambda x: x.cast("int")))
     kept = F.array_join(F.transform(stay, lambda k: F.get(F.col("lines"), k)), "\n")

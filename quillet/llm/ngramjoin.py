@@ -98,12 +98,12 @@ def with_sets(docs: DataFrame, text: str, width: int) -> DataFrame:
 
 def with_prefixes(docs: DataFrame, text: str, width: int, rarity: Rarity) -> DataFrame:
     """id, n and the keys of the prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast((rarity.hashes, rarity.classes))
+    shared = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def work(t: Texts) -> list[pa.Array]:
         h, edges = shingles(t, width)
         own = np.repeat(np.arange(t.n), np.diff(edges))
-        keys = Rarity(*shared.value).keys(h)
+        keys = shared.value.keys(h)
         keys = keys[sort_within(keys, own)]
         n = np.diff(edges)
         length = np.minimum(n, n - need(n) + slack(n))

@@ -1,11 +1,12 @@
 """An order of tokens by rarity that every task shares.
 
-Tokens (64-bit hashes) that are frequent get a class by their count (in quarters of a doubling); all others are class 0. A key holds the class in its upper 8 bits
-and the upper 56 bits of the hash below, so that sorting keys puts rare tokens first. Set joins stay exact under any shared order;
-the counts only decide how short the inverted lists of a prefix are.
+Tokens (64-bit hashes) fall into BUCKETS by their upper bits; a bucket has a class by the count of its tokens (in quarters of a doubling, from MIN_COUNT on), else
+class 0. A key holds the class in its upper 8 bits and the upper 56 bits of the hash below, so that sorting keys puts rare tokens first. Set
+joins stay exact under any shared order; the counts only decide how short the inverted lists of a prefix are, so it does no harm that a rare token may
+share a frequent one's bucket.
 
-Counts cover all tokens of all documents: each task counts its tokens in blocks of BLOCK and sends those seen LOCAL times in a block;
-the sums are added up, and the KEEP most frequent with MIN_COUNT or more are held by the driver and every task (KEEP bounds their size).
+Counts cover all tokens of all documents: each task counts its tokens in blocks of BLOCK and sends the buckets seen LOCAL times in a block;
+the sums are added up. The driver and every task hold a byte for each bucket, whatever the number of tokens.
 """
 
 from __future__ import annotations
@@ -19,55 +20,48 @@ from pyspark.sql import functions as F
 
 from quillet.llm.bytesview import U, Texts, slices
 
-BLOCK, LOCAL, MIN_COUNT, KEEP = 4_000_000, 8, 64, 65_536
+BITS = 20
+BLOCK, LOCAL, MIN_COUNT = 4_000_000, 8, 64
 
 
 class Rarity:
-    """Keys of tokens, from the frequent tokens' hashes (sorted) and classes."""
+    """Keys of tokens, from the buckets' classes (one byte each)."""
 
-    def __init__(self, hashes: np.ndarray, classes: np.ndarray):
-        self.hashes, self.classes = hashes, classes
+    def __init__(self, classes: np.ndarray):
+        self.classes = classes
 
     def keys(self, h: np.ndarray) -> np.ndarray:
-        key = h >> U(8)
-        if len(self.hashes) and len(h):
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            key |= np.where(self.hashes[at] == h, self.classes[at], 0).astype(U) << U(56)
-        return key
+        return h >> U(8) | self.classes[h >> U(64 - BITS)].astype(U) << U(56)
 
 
 class Counter:
-    """Counts tokens in blocks of BLOCK; gives those seen LOCAL times or more in a block, with their counts."""
+    """Counts tokens by bucket in blocks of BLOCK; gives the buckets seen LOCAL times or more in a block, with their counts."""
 
     def __init__(self):
-        self.parts, self.size = [], 0
+        self.counts, self.size = np.zeros(1 << BITS, np.int32), 0
 
     def add(self, tokens: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        self.parts.append(tokens)
+        np.add.at(self.counts, tokens >> U(64 - BITS), 1)
         self.size += len(tokens)
         return [self.flush()] if self.size >= BLOCK else []
 
     def flush(self) -> tuple[np.ndarray, np.ndarray]:
-        h = np.sort(np.concatenate([np.zeros(0, U), *self.parts]))
-        self.parts, self.size = [], 0
-        edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        times = np.diff(np.concatenate([edge, [len(h)]]))
-        often = times >= LOCAL
-        return h[edge[often]].view(np.int64), times[often]
+        often = np.flatnonzero(self.counts >= LOCAL)
+        out = often, self.counts[often].astype(np.int64)
+        self.counts[:], self.size = 0, 0
+        return out
 
 
 def class_of(times: np.ndarray | float) -> np.ndarray:
     return np.clip(np.floor(np.log2(np.maximum(times, 1)) * 4).astype(np.int64), 1, 126)
 
 
-def top(counts: DataFrame, min_count: int = MIN_COUNT, keep: int = KEEP) -> Rarity:
-    """The order of the tokens from all blocks' counts (h, n)."""
-    sums = counts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    best = sums.orderBy(F.desc("n"), "h").limit(keep).collect()
-    hashes, times = np.array([r.h for r in best], np.int64).view(U), np.array([r.n for r in best], np.float64)
-    order = np.argsort(hashes)
-    classes = class_of(times)
-    return Rarity(hashes[order], classes[order])
+def top(counts: DataFrame, min_count: int = MIN_COUNT) -> Rarity:
+    """The order of the tokens from all blocks' counts (h, n): a row for each bucket at most comes to the driver, two million bytes."""
+    best = counts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).toArrow()
+    classes = np.zeros(1 << BITS, np.uint8)
+    classes[best.column("h").to_numpy()] = class_of(best.column("n").to_numpy().astype(np.float64))
+    return Rarity(classes)
 
 
 def frequent(docs: DataFrame, text: str, tokens: Callable[[Texts], np.ndarray]) -> Rarity:
@@ -75,7 +69,7 @@ def frequent(docs: DataFrame, text: str, tokens: Callable[[Texts], np.ndarray])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter()
-        batch_of = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1], pa.int64())], names=["h", "n"])
+        batch_of = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0], pa.int64()), pa.array(x[1], pa.int64())], names=["h", "n"])
         for batch in batches:
             for t in slices(batch.column(0)):
                 yield from map(batch_of, counter.add(tokens(t)))
