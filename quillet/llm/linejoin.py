@@ -69,6 +69,12 @@ def distinct(group: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return group[new], value[new]
 
 
+def numbered(starts: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """How many marks stand at or before each start; both ascend."""
+    at = np.searchsorted(starts, marks)
+    return np.repeat(np.arange(len(marks) + 1), np.diff(np.concatenate([[0], at, [len(starts)]])))
+
+
 class Lines:
     """The lines with words of a slice: their sets, one after another (line counted over the slice; 48 bits of each word's hash, sorted), which lines
     they are, where each begins, its size, and two halves of a digest: sums of hashes, as a set has no order."""
@@ -76,11 +82,10 @@ class Lines:
     def __init__(self, t: Texts):
         starts, ends = runs(NOT_SPACE[t.buf], t.offs)
         h = hash_ranges(t.buf, starts, ends, LOWER_TABLE) >> U(16)
-        doc = np.searchsorted(t.offs, starts, "right") - 1
         newlines = np.flatnonzero(t.buf == 10)
-        before = np.searchsorted(newlines, t.offs)
-        self.texts = before - before[0] + np.arange(t.n + 1)  # a text of k newlines has k + 1 lines
-        self.line, self.words = distinct(np.searchsorted(newlines, starts) + doc, h)
+        self.texts = np.searchsorted(newlines, t.offs) + np.arange(t.n + 1)  # a text of k newlines has k + 1 lines
+        # words by the newlines and texts before them, of which there are fewer
+        self.line, self.words = distinct(numbered(starts, newlines) + numbered(starts, t.offs[1:]), h)
         new = np.ones(len(self.line), bool)
         new[1:] = self.line[1:] != self.line[:-1]
         self.start = np.flatnonzero(new)
@@ -233,19 +238,27 @@ def meeting(batches: Iterator[pa.RecordBatch], brief: int = SHORT, tile: int = T
         same[1:] = key[1:] == key[:-1]
         same[:-1] |= same[1:]
         some = np.flatnonzero(same)
-        # copies from several tasks are one entry
-        some = some[np.lexsort((d1[some], key[some]))]
+        n = table.column(2).to_numpy()[some] >> 32
+        # by size, so that the partners of an entry follow each other; copies from several tasks are one entry
+        order = np.lexsort((d1[some], n, key[some]))
+        some, n = some[order], n[order]
         new = np.ones(len(some), bool)
         new[1:] = (key[some[1:]] != key[some[:-1]]) | (d1[some[1:]] != d1[some[:-1]])
-        some = some[new]
+        some, n = some[new], n[new]
         key, d1, span, sketch = key[some], d1[some], table.column(2).to_numpy()[some], table.column(3).to_numpy()[some].view(U)
-        rows = {"key": key, "n": span >> 32, "place": span & LOW32, "sketch": sketch}
+        rows = {"key": key, "n": n, "place": span & LOW32, "sketch": sketch}
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
         size, met, others, mark = np.diff(edge), np.zeros(len(key), bool), np.zeros(len(key), U), mix(d1.view(U))
-        few = (size > 1) & (size <= brief)
-        begin, small = edge[:-1][few], size[few]
-        for group in parts(small):
-            x, y = short_pairs(begin[group], small[group])
+        # entries of short lists, each with those before it that are large enough
+        of = np.repeat(np.arange(len(size)), size)
+        least = np.searchsorted(of << 33 | n, of << 33 | need(n))
+        entry = np.flatnonzero(size[of] <= brief)
+        times = entry - least[entry]
+        group = np.cumsum(times) // PAIRS
+        for k in np.unique(group[times > 0]).tolist():
+            own = (group == k) & (times > 0)
+            x = np.repeat(entry[own], times[own])
+            y = np.arange(len(x)) - np.repeat(np.cumsum(times[own]) - times[own], times[own]) + np.repeat(least[entry[own]], times[own])
             fit = passes({k: v[x] for k, v in rows.items()}, {k: v[y] for k, v in rows.items()})
             x, y = x[fit], y[fit]
             met[x] = met[y] = True
@@ -471,10 +484,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     gone = duplicate_lines(named.select("id", F.coalesce("text", F.lit("")).alias("text"))).groupBy("id").agg(F.collect_set("no").alias("gone"))
     release(docs.sparkSession)
     joined = packed.join(gone.hint("shuffle_hash"), "id", "left")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform("gone", lambda x: x.cast("int")))
-    kept = F.array_join(F.transform(stay, lambda k: F.get(F.col("lines"), k)), "\n")
-    made = F.struct(F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed_lines"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("kept_text"))
-    out = joined.withColumn("lines", lines).select("rest", made.alias("made"))
+    text_ = F.coalesce("text", F.lit(""))
+    # the lines are bound to a name, once, where some go; else only their ends are counted
+    stay = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.transform("gone", lambda k: k.cast("int")))
+    kept = F.get(F.transform(F.array(F.split(text_, "\n")), lambda x: F.array_join(F.transform(stay(x), lambda k: F.get(x, k)), "\n")), F.lit(0))
+    count = F.octet_length(text_) - F.octet_length(F.replace(text_, F.lit("\n"), F.lit(""))) + 1
+    made = F.struct(count.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed_lines"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("kept_text"))
+    out = joined.select("rest", made.alias("made"))
     added = ["n_lines", "n_removed_lines", "kept_text"]
     return out.select(*[F.col(f"rest.`{c}`").alias(c) for c in docs.columns if c not in added], *[F.col(f"made.{c}").alias(c) for c in added])

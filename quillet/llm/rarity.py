@@ -38,18 +38,18 @@ class Counter:
     """Counts tokens by bucket in blocks of BLOCK; gives the buckets seen LOCAL times or more in a block, with their counts."""
 
     def __init__(self):
-        self.counts, self.size = np.zeros(1 << BITS, np.int32), 0
+        self.parts, self.size = [], 0
 
     def add(self, tokens: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        np.add.at(self.counts, tokens >> U(64 - BITS), 1)
+        self.parts.append((tokens >> U(64 - BITS)).astype(np.int32))
         self.size += len(tokens)
         return [self.flush()] if self.size >= BLOCK else []
 
     def flush(self) -> tuple[np.ndarray, np.ndarray]:
-        often = np.flatnonzero(self.counts >= LOCAL)
-        out = often, self.counts[often].astype(np.int64)
-        self.counts[:], self.size = 0, 0
-        return out
+        counts = np.bincount(np.concatenate([np.zeros(0, np.int32), *self.parts]), minlength=1)
+        self.parts, self.size = [], 0
+        often = np.flatnonzero(counts >= LOCAL)
+        return often, counts[often]
 
 
 def class_of(times: np.ndarray | float) -> np.ndarray:
