@@ -73,14 +73,16 @@ def runs(member: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of true bytes; no run crosses an offset."""
     if not len(member):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first = member.copy()
-    first[1:] &= ~member[:-1]
-    last = member.copy()
-    last[:-1] &= ~member[1:]
+    # where membership changes, runs begin and end in turn
+    at = np.flatnonzero(member[1:] != member[:-1]) + 1
+    at = np.concatenate([[0] * int(member[0]), at, [len(member)] * int(member[-1])]).astype(np.int64)
+    starts, ends = at[::2], at[1::2]
     inner = offs[(offs > 0) & (offs < len(member))]
-    first[inner] = member[inner]
-    last[inner - 1] = member[inner - 1]
-    return np.flatnonzero(first), np.flatnonzero(last) + 1
+    cut = np.unique(inner[member[inner] & member[inner - 1]])
+    if len(cut):
+        k = np.searchsorted(starts, cut)
+        starts, ends = np.insert(starts, k, cut), np.insert(ends, k - 1, cut)
+    return starts, ends
 
 
 #: Bytes that end a word: the space and U+0009 to U+000D.
@@ -99,8 +101,8 @@ def hash_ranges(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np
     if not len(starts):
         return np.zeros(0, U)
     up, down = powers(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, U)
-    np.cumsum(table[buf] * up[: len(buf)], out=total[1:])
+    total, each = np.zeros(len(buf) + 1, U), np.take(table, buf)
+    np.cumsum(np.multiply(each, up[: len(buf)], out=each), out=total[1:])
     h = (total[ends] - total[starts]) * down[starts]
     return mix(h + (ends - starts).astype(U))
 
@@ -110,7 +112,7 @@ LOWER_TABLE = TABLE[LOWER]
 
 def words(t: Texts, member: np.ndarray = NOT_SPACE, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends, hashes and text numbers of the words of a slice; A-Z count as a-z."""
-    starts, ends = runs(member[LOWER][t.buf] if lower else member[t.buf], t.offs)
+    starts, ends = runs(np.take(member[LOWER] if lower else member, t.buf), t.offs)
     hashes = hash_ranges(t.buf, starts, ends, LOWER_TABLE if lower else TABLE)
     return starts, ends, hashes, np.searchsorted(t.offs, starts, "right") - 1
 

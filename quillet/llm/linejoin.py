@@ -80,7 +80,7 @@ class Lines:
     they are, where each begins, its size, and two halves of a digest: sums of hashes, as a set has no order."""
 
     def __init__(self, t: Texts):
-        starts, ends = runs(NOT_SPACE[t.buf], t.offs)
+        starts, ends = runs(np.take(NOT_SPACE, t.buf), t.offs)
         h = hash_ranges(t.buf, starts, ends, LOWER_TABLE) >> U(16)
         newlines = np.flatnonzero(t.buf == 10)
         self.texts = np.searchsorted(newlines, t.offs) + np.arange(t.n + 1)  # a text of k newlines has k + 1 lines
@@ -301,7 +301,7 @@ class Sets(Sketches):
     def __init__(self, lines: pa.Array):
         row = h = np.zeros(0, np.int64)
         for t in slices(lines, 1 << 62):
-            starts, ends = runs(NOT_SPACE[t.buf], t.offs)
+            starts, ends = runs(np.take(NOT_SPACE, t.buf), t.offs)
             row, h = distinct(np.searchsorted(t.offs, starts, "right") - 1, hash_ranges(t.buf, starts, ends, LOWER_TABLE) >> U(16))
         self.words = h.view(U)
         super().__init__(np.bincount(row, minlength=len(lines)), np.zeros((len(lines), SKETCH), U))
