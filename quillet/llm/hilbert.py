@@ -1,14 +1,17 @@
 """Shards cut from a Hilbert curve over quantised metadata. DataFrame functions only.
 
-Each row becomes a cell of a grid: `bits` bits for each dimension (language and source by hash, size by its logarithm, id by its
-place between the least and greatest). Rows are ordered by the cell's place on the Hilbert curve, then by id, and cut into runs of
+Each row becomes a cell of a grid: `bits` bits for each dimension (language, source, size, id). Cells are quantiles of the table: a dimension is cut at the values below which equal
+shares of the rows lie (from one aggregate over all rows; a value never spans cells). Language and source are placed by their first six bytes as a number, so the cells keep their order.
+Rows are ordered by the cell's place on the Hilbert curve, then by id, and cut into runs of
 equal row counts, so that a shard covers a compact box of the grid and readers skip shards by the ranges of each dimension.
 
 Ranks come from one range shuffle of narrow rows: partitions are sorted, numbered in place and written to the shared folder; the
 offsets of the partitions (a row for each partition) are added by a join. No text is shuffled.
 
-Nulls: a null text has size 1 (0 bytes plus 1) and the CRC of no bytes; null dimensions count as the empty string or 0. Ties and
-repeated rows get places of their own. An empty table gives an empty result.
+The law is `rows`: it fixes the counts, so equal texts aren't kept together; they are rows of their own, placed by the curve like others.
+
+Nulls: a null text has size 1 (0 bytes plus 1) and the CRC of no bytes; null dimensions count as the empty string or the least id. Ties and
+repeated rows get places of their own, in no set order among equal ones. Texts of any length count by their size alone. Other columns don't matter. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -53,26 +56,36 @@ def curve_index(df: DataFrame, cells: list[str], bits: int, out: str) -> DataFra
     return df.withColumn(out, index).drop("__x", "__g", "__t")
 
 
+DIMENSIONS = ["d_lang", "d_source", "d_size", "d_id"]
+
+
+def place_of(text: Column) -> Column:
+    """The first six bytes of a string as a number that keeps their order; null is the empty string."""
+    raw = F.coalesce(text.cast("string"), F.lit("")).cast("binary")
+    return F.conv(F.rpad(F.hex(F.substring(raw, 1, 6)), 12, "0"), 16, 10).cast("double")
+
+
+def cells(values: DataFrame, names: list[str], bits: int) -> DataFrame:
+    """The numbers of the columns `names` as cells below 2**bits: in how many of the 2**bits - 1 quantile cuts they lie above."""
+    side = 1 << bits
+    shares = [k / side for k in range(1, side)]
+    cuts = values.agg(*[F.percentile_approx(c, shares, 10_000).alias(c) for c in names]).first()
+    above = lambda c: sum(((F.col(c) > F.lit(x)).cast("int") for x in cuts[c] or []), F.lit(0))
+    return values.withColumns({c: above(c) for c in names})
+
+
 def metadata_cells(docs: DataFrame, bits: int = BITS, text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32 and the cells d_lang, d_source, d_size, d_id."""
-    span = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    lo, width, side = span.lo or 0, (span.hi or 0) - (span.lo or 0) + 1, 1 << bits
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
-    place = F.coalesce(F.col("doc_id"), F.lit(lo)) - lo
-    return docs.select(
-        "doc_id",
-        size.alias("size"),
-        F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).cast("long").alias("text_crc32"),
-        F.pmod(F.xxhash64(F.coalesce("lang", F.lit(""))), F.lit(side)).cast("int").alias("d_lang"),
-        F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(side)).cast("int").alias("d_source"),
-        F.least(F.floor(F.log2(size.cast("double")) * side / 32), F.lit(side - 1)).cast("int").alias("d_size"),
-        F.least(F.floor(place.cast("double") * side / width), F.lit(side - 1)).cast("int").alias("d_id"),
-    )
+    # what the cuts are made of leaves the texts' checksums alone
+    dimensions = {"d_lang": place_of(F.col("lang")), "d_source": place_of(F.col("source")), "d_size": size.cast("double"), "d_id": F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("double")}
+    crc = F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).cast("long")
+    return cells(docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), *[v.alias(k) for k, v in dimensions.items()]), DIMENSIONS, bits)
 
 
 def ranked(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
     """df with `rank`, its 0-based place in that order, and the number of rows."""
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())  # df has no such names: callers pack theirs
     stored = Stored(placed, "ranked").df.withColumn("__part", F.shiftright("__at", 33)).withColumn("__row", F.col("__at").bitwiseAND((1 << 33) - 1))
     sizes = stored.groupBy("__part").agg(F.count("*").alias("__rows"))
     total = sizes.agg(F.sum("__rows")).first()[0] or 0
@@ -88,21 +101,23 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, text
 
     The law is `rows`: counts differ by one at most. slot is the place in the shard, in curve order.
     """
-    cells = ["d_lang", "d_source", "d_size", "d_id"]
-    placed, total = ranked(curve_index(metadata_cells(docs, bits, text), cells, bits, "hilbert"), ["hilbert", "doc_id", "text_crc32", "size"])
+    placed, total = ranked(curve_index(metadata_cells(docs, bits, text), DIMENSIONS, bits, "hilbert"), ["hilbert", "doc_id", "text_crc32", "size"])
     shard = F.expr(f"rank * {shards} div {max(total, 1)}")
     start = F.expr(f"(shard * {total} + {shards - 1}) div {shards}")
     cut = placed.withColumn("shard", shard).withColumn("slot", F.col("rank") - start)
-    return cut.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"), *cells, "hilbert")
+    return cut.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"), *DIMENSIONS, "hilbert")
 
 
 def shard_ranges(assigned: DataFrame) -> DataFrame:
     """For each shard its rows, bytes and the range of each dimension: what a reader prunes files by."""
-    ranges = [f(c).alias(f"{n}_{c}") for c in ("d_lang", "d_source", "d_size", "d_id", "doc_id") for n, f in (("min", F.min), ("max", F.max))]
+    ranges = [f(c).alias(f"{n}_{c}") for c in (*DIMENSIONS, "doc_id") for n, f in (("min", F.min), ("max", F.max))]
     return assigned.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), *ranges)
 
 
 def write_shards(docs: DataFrame, assigned: DataFrame, path: str) -> None:
-    """Write docs as one folder a shard, rows in curve order; doc_id must be unique in docs."""
-    placed = docs.join(assigned.select("doc_id", "shard", "slot", "d_lang", "d_source", "d_size", "d_id"), "doc_id")
-    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write docs as one folder a shard, rows in curve order; doc_id must be unique in docs. The cells stand beside the columns of docs under their names, which give way: readers prune by
+    them, or by the columns they were made from."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id")
+    placed = packed.join(assigned.select("doc_id", "shard", "slot", *DIMENSIONS), "doc_id").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    added = ["shard", "slot", *DIMENSIONS]
+    placed.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in added], *added).write.partitionBy("shard").parquet(path)
