@@ -1,18 +1,20 @@
 """License scans: winnowed fingerprints of templates in an inverted index pick candidates, banded alignment confirms them.
 
-Words are runs of ASCII letters and digits or of characters beyond ASCII, A-Z as a-z. A template's fingerprints are, of each WINDOW
-consecutive hashes of GRAM words, the least (the last of equals), so any stretch of WINDOW + GRAM - 1 words shared with a text holds one;
-a shorter template has at least one. Texts look up all their GRAM-word hashes. Hits of a template on nearby diagonals make a candidate,
+Words are runs of ASCII letters and digits or of characters beyond ASCII, A-Z as a-z. A template's fingerprints are, of each `window`
+consecutive hashes of `gram` words, the least (the last of equals), so any stretch of window + gram - 1 words shared with a text holds one. Both are at most GRAM and WINDOW and small
+enough that a text which has `coverage` of the template's words, others in place of the rest, shares a fingerprint: n words of which e differ have e + 1 equal
+stretches, the longest of (n - e) / (e + 1) words or more. Texts look up all their hashes. Hits of a template on nearby diagonals make a candidate,
 which is aligned word by word in a band of BAND (a quarter of the template at most) around its diagonals (matches count one, gaps and mismatches nothing; ties prefer the
-start of the text). A match reports matched words, coverage (matched words of the template's words) and the byte span from
+start of the text), unless the words that both have, counted, are too few for any alignment. Where a template's candidates are too small alone, neighbours that are no further apart than the template is long are
+aligned as one, so a notice with a sentence put in is found whole. A match reports matched words, coverage (matched words of the template's words) and the byte span from
 the first to the last matched word. Of matches that overlap, those with more matched words stay, then the earlier, then by template name.
 
-Null and empty texts give no rows. Rows that repeat give their matches again. An empty table gives an empty result.
+Null and empty texts give no rows. Rows that repeat give their matches again, null ids too. Texts of any length are taken whole; other columns don't matter. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quillet.llm.bytesview import IS_ALNUM, U, slices, windows, words
 
-GRAM, WINDOW, BAND, COVERAGE = 3, 4, 12, 0.8
+GRAM, WINDOW, BAND, COVERAGE = 3, 2, 12, 0.8
 BITS = 20
 
 # The wording of public license notices.
@@ -38,6 +40,10 @@ TEMPLATES = {
     "bsd-conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "agpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "lgpl-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "bsd-disclaimer": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
@@ -51,28 +57,32 @@ def tokens(text: str) -> tuple[list[bytes], np.ndarray]:
     return [], np.zeros(0, U)
 
 
-def fingerprints(hashes: np.ndarray, gram: int, window: int) -> list[tuple[int, int]]:
-    """(hash, place) of the winnowed grams; a template of fewer words than a gram is one gram of its own length."""
-    size = min(gram, len(hashes))
-    h = windows(hashes, size)[: len(hashes) - size + 1].tolist()
-    width = min(window, len(h))
+def fingerprints(hashes: np.ndarray, gram: int, window: int, coverage: float = COVERAGE) -> tuple[int, list[tuple[int, int]]]:
+    """Words of a gram, and (hash, place) of the winnowed grams."""
+    count = len(hashes)
+    differ = int(count * (1 - coverage) + 1e-9)
+    stretch = -(-(count - differ) // (differ + 1))  # equal words that follow each other, at least
+    size = max(1, min(gram, stretch))
+    h = windows(hashes, size)[: count - size + 1].tolist()
+    width = max(1, min(window, stretch - size + 1))
     places = {max(range(k, k + width), key=lambda i: (-h[i], i)) for k in range(len(h) - width + 1)}
-    return sorted((h[i], i) for i in places)
+    return size, sorted((h[i], i) for i in places)
 
 
 class Index:
     """The inverted index of all templates. Templates are a parameter; they and their index are small and go to every task."""
 
-    def __init__(self, templates: dict[str, str], gram: int, window: int):
+    def __init__(self, templates: dict[str, str], gram: int, window: int, coverage: float = COVERAGE):
         self.names = sorted(templates)
-        self.words, self.lists, self.prints = [], defaultdict(list), []
+        self.words, self.counts, self.lists = [], [], defaultdict(list)
         for number, name in enumerate(self.names):
             own, hashes = tokens(templates[name])
             self.words.append(own)
-            marks = fingerprints(hashes, gram, window)
-            self.prints.append(len(marks))
-            for h, place in marks:
-                self.lists[min(gram, len(own)), h].append((number, place))
+            self.counts.append(Counter(own))
+            if own:
+                size, marks = fingerprints(hashes, gram, window, coverage)
+                for h, place in marks:
+                    self.lists[size, h].append((number, place))
         self.sizes = sorted({size for size, _ in self.lists})
         self.sieve = {size: np.zeros(1 << BITS, bool) for size in self.sizes}
         for size, h in self.lists:
@@ -116,23 +126,38 @@ def candidates(hits: list[tuple[int, int]], band: int) -> Iterator[list[tuple[in
 def scan(index: Index, hits: dict[int, list[tuple[int, int]]], text: list[bytes], coverage: float, band: int) -> list[tuple[int, int, int, int]]:
     """(template, matched words, first word, last word) of the accepted matches of one text."""
     found = []
-    for number, own in hits.items():
+
+    def accept(number: int, least: int, most: int, near: int) -> bool:
+        """Align a template along the diagonals least..most."""
         template = index.words[number]
-        near = min(band, len(template) // 4)  # so that a short notice said twice in a row is two
+        lo = max(0, least - near)
+        piece = text[lo : most + len(template) + near]
+        if (Counter(piece) & index.counts[number]).total() < coverage * len(template):
+            return False
+        n, first, last = align(template, piece, least - lo - near, most - lo + near)
+        if n >= coverage * len(template):
+            found.append((number, n, lo + first, lo + last))
+            return True
+        return False
+
+    for number, own in hits.items():
+        size = len(index.words[number])
+        near = min(band, size // 4)  # so that a short notice said twice in a row is two
         step = max(1, 2 * near)
+        alone: list[tuple[int, int]] = []
         for group in candidates(own, near):
-            if 5 * len({place for _, place in group}) < index.prints[number]:
-                continue
             starts = [a - b for a, b in group]
+            good = False
             # a chain of diagonals longer than the band is cut: each part is aligned with its own band
             for low in range(min(starts), max(starts) + 1, step):
                 part = [s for s in starts if low <= s < low + step]
                 if part:
-                    lo = max(0, min(part) - near)
-                    piece = text[lo : max(part) + len(template) + near]
-                    n, first, last = align(template, piece, min(part) - lo - near, max(part) - lo + near)
-                    if n >= coverage * len(template):
-                        found.append((number, n, lo + first, lo + last))
+                    good |= accept(number, min(part), max(part), near)
+            if not good:
+                alone.append((min(starts), max(starts)))
+        for (a, b), (c, d) in zip(alone, alone[1:], strict=False):
+            if d - a <= size:
+                accept(number, a, d, near)
     found.sort(key=lambda x: (-x[1], x[2], index.names[x[0]]))
     out: list[tuple[int, int, int, int]] = []
     for x in found:
@@ -147,7 +172,7 @@ def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not opened:
-            opened.append(Index(templates, gram, window))
+            opened.append(Index(templates, gram, window, coverage))
         index = opened[0]
         for batch in batches:
             rows = []
