@@ -7,9 +7,10 @@ Line rule: lines are lower-cased, their white space is collapsed and they are ha
 occurs in more than max(min_docs, share * documents of the host) distinct documents. Boilerplate lines are removed; a text that loses more
 than `depleted` of its word characters is rejected.
 
-Counts are of distinct doc_id; rows that share an id count as one document of the host. Line counts are pre-aggregated before they
-are shuffled, so a line that all documents share is a row for each task. Null texts have no words or lines and fail; a null host is a
-host of its own. An empty table gives an empty result.
+Counts are of distinct doc_id; rows that share an id count as one document of the host, and null ids as none. A line's documents are shuffled by host, line and document
+first and counted by host and line after that, so a line that all documents share is dealt over all tasks. Null texts have no words or lines and fail; a null host is a
+host of its own. Rows that repeat are rows of their own; texts of any length are taken whole. Columns with the names of added ones give way to them. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,9 +31,9 @@ def without(text: Column | str, characters: str) -> Column:
     return F.translate(text, characters, "")
 
 
-def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add the base counts and __lines: (hash, word characters) of each line that has a word, in order."""
-    df = docs.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
+def base_counts(packed: DataFrame) -> DataFrame:
+    """packed: row, host, text. Add the base counts and __lines: (hash, word characters) of each line that has a word, in order."""
+    df = packed.withColumn("__text", F.coalesce("text", F.lit("")))
     df = df.withColumns({
         "__hashes": F.transform(F.filter(F.split("__text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w)),
         "__filled": F.filter(F.split("__text", "\n"), lambda x: F.length(without(x, SPACES)) > 0),
@@ -53,7 +54,7 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("n_repeat_words", F.when(F.col("__repeats"), covered).otherwise(0).cast("long"))
     df = df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
     # through a generator, so that no filter on these is moved below and worked out from the text again, word by word
-    return df.select(*docs.columns, F.inline(F.array(F.struct(*BASE, "base_failed", "__lines"))))
+    return df.select("row", "host", F.inline(F.array(F.struct(*BASE, "base_failed", "__lines"))))
 
 
 def line_hash(line: Column) -> Column:
@@ -63,36 +64,39 @@ def line_hash(line: Column) -> Column:
 
 def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
     """host, h: the lines above the limit. Each host has at most its lines over its limit."""
-    filled = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.length(without(x, SPACES)) > 0)
-    lines = docs.select(F.col(host).alias("host"), "doc_id", F.explode(F.array_distinct(F.transform(filled, line_hash))).alias("h"))
+    named = docs.select(F.col(f"`{host}`").alias("host"), "doc_id", F.col(f"`{text}`").alias("text"))
+    filled = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.length(without(x, SPACES)) > 0)
+    lines = named.select("host", "doc_id", F.explode(F.array_distinct(F.transform(filled, line_hash))).alias("h"))
     counts = lines.groupBy("host", "h").agg(F.countDistinct("doc_id").alias("docs"))
-    hosts = docs.groupBy(F.col(host).alias("host")).agg(F.countDistinct("doc_id").alias("all"))
+    hosts = named.groupBy("host").agg(F.countDistinct("doc_id").alias("all"))
     often = counts.where(F.col("docs") > min_docs)
     return often.join(hosts, often.host.eqNullSafe(hosts.host)).where(F.col("docs") > F.greatest(F.lit(float(min_docs)), F.col("all") * share)).select(often.host, "h")
 
 
-def assess(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
-    """Add the base counts, base_failed, removed_chars, boiler (hashes of the removed lines) and kept.
-
-    Columns of docs with these names give way to them.
-    """
-    clash = {*BASE, "base_failed", "removed_chars", "boiler", "kept"} - {"doc_id", text, host}
-    plain = docs.drop(*(clash & set(docs.columns)))
-    measured = base_counts(plain, text)
-    often = boilerplate(docs, text, host, min_docs, share).groupBy("host").agg(F.collect_set("h").alias("boiler"))
-    joined = measured.join(often, measured[host].eqNullSafe(often.host), "left").drop("host") if host != "host" else measured.join(often.withColumnRenamed("host", "__host"), measured[host].eqNullSafe(F.col("__host")), "left").drop("__host")
+ADDED = [*BASE, "base_failed", "removed_chars", "boiler", "kept"]
+
+
+def _judged(docs: DataFrame, text: str, host: str, min_docs: int, share: float, depleted: float) -> DataFrame:
+    """row (the columns of docs) and ADDED."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text"))
+    often = boilerplate(docs, text, host, min_docs, share).groupBy("host").agg(F.collect_set("h").alias("boiler")).withColumnRenamed("host", "of")
+    joined = base_counts(packed).join(often, F.col("host").eqNullSafe(F.col("of")), "left")
     lost = F.aggregate(F.filter("__lines", lambda x: F.array_contains("boiler", x["h"])), F.lit(0).cast("long"), lambda a, x: a + x["n"])
     judged = joined.withColumn("removed_chars", F.when(F.col("boiler").isNull(), 0).otherwise(lost).cast("long"))
     verdict = ~F.col("base_failed") & (F.col("removed_chars") <= F.col("word_chars") * depleted)
-    return judged.withColumn("kept", verdict).drop("__lines")
+    return judged.withColumn("kept", verdict).select("row", *ADDED)
+
+
+def assess(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
+    """Add the base counts, base_failed, removed_chars, boiler (hashes of the removed lines) and kept."""
+    return _judged(docs, text, host, min_docs, share, depleted).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ADDED], *ADDED)
 
 
-def apply_rules(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+def apply_rules(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
     """The kept documents without their boilerplate lines, with the columns of docs; n_chars follows the text."""
-    packed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", text, F.col(host).alias("host_of"))
-    judged = assess(packed, text, "host_of").where("kept")
-    lines = F.filter(F.split(f"row.{text}", "\n"), lambda x: ~(F.array_contains("boiler", line_hash(x)) & (F.length(without(x, SPACES)) > 0)))
-    cleaned = judged.withColumn("cleaned", F.when(F.col("removed_chars") > 0, F.array_join(lines, "\n")).otherwise(F.col(f"row.{text}")))
+    judged = _judged(docs, text, host, min_docs, share, depleted).where("kept")
+    lines = F.filter(F.split(F.col(f"row.`{text}`"), "\n"), lambda x: ~(F.array_contains("boiler", line_hash(x)) & (F.length(without(x, SPACES)) > 0)))
+    cleaned = judged.withColumn("cleaned", F.when(F.col("removed_chars") > 0, F.array_join(lines, "\n")).otherwise(F.col(f"row.`{text}`")))
     new = {text: F.col("cleaned"), "n_chars": F.length("cleaned").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return cleaned.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
