@@ -8,13 +8,16 @@ Where no piece has the space mark after another character, no merge crosses a sp
 one and a bounded table of seen words saves work. Texts with leading, trailing or double spaces, and models without that property,
 go to the library whole.
 
-Null texts count as empty and give no pieces. Nothing is cut off, sampled or added.
+Null texts count as empty and give no pieces. Nothing is cut off, sampled or added. Where the pieces don't account for the normalised bytes one by one (a model without byte pieces
+whose unknown pieces swallow several runs), the library's own offsets of the text are taken. Rows that repeat are rows of their own, ties don't occur; columns with the names of added ones
+give way to them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import struct
 from functools import lru_cache
+from hashlib import sha256 as sha256_of
 from itertools import chain
 
 import numpy as np
@@ -148,7 +151,7 @@ class Model:
             wide[start[plain == 0x20] + k] = byte
         origin = np.concatenate([np.repeat(origin[:-1], times), origin[-1:]])
         if self.dummy and not self.suffix:
-            return mark.tobytes() + wide.tobytes(), np.concatenate([np.zeros(len(mark), np.int64), origin])
+            return mark.tobytes() + wide.tobytes(), np.concatenate([np.full(len(mark), origin[0]), origin])
         if self.dummy:
             return wide.tobytes() + mark.tobytes(), np.concatenate([origin, np.full(len(mark), origin[-1])])
         return wide.tobytes(), origin
@@ -159,13 +162,14 @@ class Model:
         size = self.size[ids]
         if (size < 0).any():  # an unknown piece takes what the others leave
             lack = size < 0
-            if lack.sum() > 1:
-                raise ValueError("a model without byte pieces needs the library's own spans")
-            size = np.where(lack, len(normal) - size[~lack].sum(), size)
+            size = np.where(lack, (len(normal) - size[~lack].sum()) if lack.sum() == 1 else 0, size)
         at = np.concatenate([[0], np.cumsum(size)])
-        if at[-1] != len(normal):
-            raise ValueError("pieces don't cover the normalised text")
-        return origin[at]
+        return origin[at] if at[-1] == len(normal) else self.library_spans(source)
+
+    def library_spans(self, source: bytes) -> np.ndarray:
+        """The same by the library."""
+        found = self.library.encode(source.decode(), return_type="proto").pieces
+        return np.array([*(p.begin for p in found), found[-1].end if found else 0], np.int64)
 
 
 @lru_cache(maxsize=4)
@@ -173,11 +177,12 @@ def load(path: str) -> Model:
     return Model(path)
 
 
-ADDED = [StructField("ids", ArrayType(IntegerType())), StructField("begins", ArrayType(IntegerType())), StructField("ends", ArrayType(IntegerType())), StructField("decoded", StringType())]
+ADDED = [StructField("ids", ArrayType(IntegerType())), StructField("begins", ArrayType(IntegerType())), StructField("ends", ArrayType(IntegerType())), StructField("decoded", StringType()), StructField("spans_sha256", StringType())]
 
 
 def encode_spans(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
-    """Add ids, begins and ends (UTF-8 byte spans of each piece in the source) and the decoded text.
+    """Add ids, begins and ends (UTF-8 byte spans of each piece in the source), the decoded text, and spans_sha256: of the begins and the last end as 32-bit
+    little-endian numbers.
 
     The model file must lie at `model_path` on every executor. Null and empty texts give empty lists and an empty text.
     """
@@ -192,7 +197,7 @@ def encode_spans(df: DataFrame, model_path: str, text: str = "text") -> DataFram
         flat = np.fromiter(chain.from_iterable(ids), np.int32, int(edges[-1]))
         spans = [model.spans(x, flat[a:b]) for x, a, b in zip(sources, edges[:-1], edges[1:], strict=True)]
         column = lambda v: pa.ListArray.from_arrays(pa.array(edges), pa.array(v, pa.int32()))
-        return [column(flat), column(np.concatenate([x[:-1] for x in spans])), column(np.concatenate([x[1:] for x in spans])), pa.array(decoded, pa.string())]
+        return [column(flat), column(np.concatenate([x[:-1] for x in spans])), column(np.concatenate([x[1:] for x in spans])), pa.array(decoded, pa.string()), pa.array([sha256_of(x.astype("<i4").tobytes()).hexdigest() for x in spans], pa.string())]
 
     return map_texts(df, text, ADDED, work)
 
@@ -208,6 +213,7 @@ def digest_columns() -> list[Column | str]:
         sha256(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
         sha256(F.col("decoded")).alias("decoded_sha256"),
         F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("n_bytes_covered"),
+        "spans_sha256",
     ]
 
 
