@@ -7,7 +7,7 @@ Items are cut into pieces of PIECE words that overlap by n - 1, and pieces are d
 window, windows that several items share stand once) that are broadcast; the texts are scanned once for each block. So memory is bounded whatever the number and the sizes of the items.
 
 Null texts and items have no words; empty ones neither. Items with equal texts all count; rows that repeat an item_id count as one item. An item with a null item_id is searched for like
-others (n_hit, spans), but isn't among the item_ids. Rows of docs that repeat are rows of their own; texts of any length are taken whole, and texts without a hit are
+others; all such rows are one item, null among the item_ids (it counts in n_items; the digest of the names leaves it out). Rows of docs that repeat are rows of their own; texts of any length are taken whole, and texts without a hit are
 returned unchanged. Columns with the names of added ones give way to them. An empty table of documents gives an empty result, an empty benchmark no hits.
 """
 
@@ -98,7 +98,7 @@ class Grams:
         return out
 
 
-def scan(t: Texts, grams: Grams, sieves: dict[int, tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, list[set[int]], np.ndarray, np.ndarray]:
+def scan(t: Texts, grams: Grams, sieves: dict[int, tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, list[set[int | None]], np.ndarray, np.ndarray]:
     """Edges of each text's words, which words are hit, item ids of each text, and the words' starts and ends."""
     starts, ends, hashes, doc = words(t, IS_ALNUM)
     marks, items = np.zeros(len(hashes) + 1, np.int32), [set() for _ in range(t.n)]
@@ -116,7 +116,7 @@ def scan(t: Texts, grams: Grams, sieves: dict[int, tuple[int, np.ndarray]]) -> t
             for g in range(a, b):
                 if grams.text[begins[g] : stops[g]] == own:
                     span = slice(edges[g], edges[g + 1])
-                    items[doc[k]].update(ids[span][~none[span]].tolist())
+                    items[doc[k]].update(ids[span][~none[span]].tolist(), [None] if none[span].any() else [])
                     marks[k] += 1
                     marks[k + length] -= 1
     return bounds(doc, t.n), np.cumsum(marks[:-1]) > 0, items, starts, ends
@@ -179,7 +179,7 @@ def _scanned(docs: DataFrame, grams: Grams, columns: int, again: bool) -> DataFr
             stops.append((ends[a:b][step[1:] == -1] - o).tolist() if len(step) > 1 else [])
         total = np.concatenate([[0], np.cumsum(hit)])
         spans = pa.list_(pa.int64())
-        return [pa.array(np.diff(edges), pa.int64()), pa.array(total[edges[1:]] - total[edges[:-1]], pa.int64()), pa.array([sorted(x) for x in items], spans), pa.array(begins, spans), pa.array(stops, spans)]
+        return [pa.array(np.diff(edges), pa.int64()), pa.array(total[edges[1:]] - total[edges[:-1]], pa.int64()), pa.array([sorted(x, key=lambda i: (i is not None, i or 0)) for x in items], spans), pa.array(begins, spans), pa.array(stops, spans)]
 
     return docs.mapInArrow(run, schema)
 

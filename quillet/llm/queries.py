@@ -21,7 +21,7 @@ def model_path() -> str:
 
 
 def op1_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+    return pages.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "n_template", "n_named")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

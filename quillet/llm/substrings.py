@@ -345,10 +345,14 @@ def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", le
     return store.df.join(gone, "row", "left").select(F.col("id").alias(id_col), "text", "n_bytes", "text_sha256", "gone")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """docs with kept_text (a binary), n_bytes, n_removed and n_spans; ids must be unique."""
-    gone = repeat_spans(docs, id_col, text, length).select(F.col(id_col).alias("__id"), "gone")
-    return cut_spans(docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id"), text, "gone")
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
+    """docs with kept_text (a binary), n_bytes, n_removed and n_spans. Rows are told apart by a number of their own; columns with these names give way."""
+    rest = F.struct(F.lit(0).alias("0"), *[F.col(f"`{c}`") for c in docs.columns if c != text])
+    store = Stored(docs.select(rest.alias("rest"), F.col(f"`{text}`").alias("text"), F.monotonically_increasing_id().alias("row")), "rows")
+    spans = repeat_spans(store.df, "row", "text", length).where("gone is not null").select("row", "gone")
+    cut = cut_spans(store.df.join(spans, "row", "left").select("rest", "text", "gone"), "text", "gone")
+    added = ["kept_text", "n_bytes", "n_removed", "n_spans"]
+    return cut.select(*[(F.col("text") if c == text else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns if c not in added], *added)
 
 
 def digest(spans: DataFrame) -> DataFrame:

@@ -1,9 +1,12 @@
 """The pipeline's stages, each against a brute-force version on its own input."""
 
-from test_small import SCHEMA, WORDS, brute_components, brute_hits, brute_lines, corpus
+import hashlib
+
+import sentencepiece
+from test_small import SCHEMA, WORDS, brute_components, brute_hits, brute_lines, brute_rules, corpus
 
 import corpus_pipeline
-from quillet.llm import quality
+from quillet.llm import queries
 
 
 def test_stages(spark, tmp_path):
@@ -25,7 +28,7 @@ def test_stages(spark, tmp_path):
         if k < 4:
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         if name == "quality_rules":
-            assert set(now) == {r.doc_id for r in quality.assess(spark.createDataFrame(rows, SCHEMA)).where("kept").collect()}
+            assert {i: r.text for i, r in now.items()} == brute_rules(was)
         elif name == "line_dedup":
             expected = {i: x[2] for i, x in brute_lines(was).items() if not x[1] or x[2].split()}
             assert {i: r.text or "" for i, r in now.items()} == expected
@@ -34,7 +37,10 @@ def test_stages(spark, tmp_path):
         elif name == "benchmark_decontamination":
             assert set(now) == {r[0] for r in was if not brute_hits(r[1], items)[-1]} and 509 not in now
         else:
-            assert set(now) == {r[0] for r in was} and all(r.n_tokens == len(r.ids) for r in now.values())
+            library = sentencepiece.SentencePieceProcessor(model_file=queries.model_path())
+            sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+            encoded = {r[0]: library.encode(r[1]) for r in was}
+            assert {i: (r.ids, r.n_tokens, r.ids_sha256, r.decoded_sha256) for i, r in now.items()} == {i: (x, len(x), sha(",".join(map(str, x))), sha(library.decode(x))) for i, x in encoded.items()}
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(now)
 
 

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillet.llm.bytesview import SLICE_BYTES
 from quillet.llm import chunks, decontaminate, hilbert, licenses, linejoin, ngramjoin, pages, quality, queries, sentencepieces, substrings
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -221,6 +222,25 @@ def test_op2_edges(spark, none):
     assert got == [(1, 230, 230, 1), (1, 230, 230, 1), (2, 0, 0, 0), (None, 199, 0, 0)]
 
 
+def test_op2_columns_and_long_texts(spark):
+    """Repeated rows and ids, null ids, texts above a slice, several slices in a batch, and columns with the names of added and inner ones."""
+    long = " ".join(random.Random(6).choices([f"q{k}" for k in range(50_000)], k=60_000))
+    part = long[200_000:200_300]
+    rows = [(1, long), (1, "p" * 150 + part), (1, "p" * 150 + part), (None, "short"), (2, None), (3, long[-100_000:] + "z"), (4, "r" * 90 + "s")]
+    names = ("gone", "row", "rest", "id", "m", "n_spans", "pieces", "__id")
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).withColumns({n: F.lit(n) for n in names})
+    got = substrings.remove_repeats(table).collect()
+    assert len(long) > 2 * SLICE_BYTES and all(r[n] == n for r in got for n in names if n != "n_spans")
+    texts = [t for _, t in rows]
+    windows = Counter(t[k : k + 200] for t in texts if t for k in range(len(t) - 199))
+    for r in got:
+        raw, stay = r.text or "", [True] * len(r.text or "")
+        for k in range(len(raw) - 199):
+            if windows[raw[k : k + 200]] > 1:
+                stay[k : k + 200] = [False] * 200
+        assert bytes(r.kept_text).decode() == "".join(c for c, s in zip(raw, stay, strict=True) if s) and r.n_removed == stay.count(False)
+
+
 def test_deep_shallow_sorts():
     rng = np.random.default_rng(3)
     buf = np.concatenate([rng.integers(97, 99, 3000), np.zeros(8, int)]).astype(np.uint8)
@@ -250,12 +270,50 @@ def test_op3(docs, rows, none, spark):
     assert hilbert.shard_ranges(got).count() == 16
 
 
-def test_hilbert_curve_is_one(spark):
-    bits = 3
-    grid = spark.range(1 << 2 * bits).selectExpr(f"int(id div {1 << bits}) as a", f"int(id % {1 << bits}) as b")
-    path = {r.h: (r.a, r.b) for r in hilbert.curve_index(grid, ["a", "b"], bits, "h").collect()}
-    assert sorted(path) == list(range(1 << 2 * bits))
-    assert all(abs(path[h][0] - path[h + 1][0]) + abs(path[h][1] - path[h + 1][1]) == 1 for h in range(len(path) - 1))
+@pytest.mark.parametrize(("dims", "bits"), [(2, 3), (4, 2), (3, 3)])
+def test_hilbert_curve_is_one(spark, dims, bits):
+    """Every cell has a place of its own, neighbours on the curve differ by one step in one dimension, and aligned runs of 2**dims cells fill a box."""
+    names = [f"x{k}" for k in range(dims)]
+    grid = spark.range(1 << dims * bits).selectExpr(*[f"int(shiftright(id, {k * bits}) & {(1 << bits) - 1}) as {n}" for k, n in enumerate(names)])
+    path = {r.h: tuple(r[n] for n in names) for r in hilbert.curve_index(grid, names, bits, "h").collect()}
+    assert sorted(path) == list(range(1 << dims * bits)) and len(set(path.values())) == len(path)
+    assert all(sum(abs(p - q) for p, q in zip(path[h], path[h + 1], strict=True)) == 1 for h in range(len(path) - 1))
+    assert all(len({tuple(v >> 1 for v in path[h]) for h in range(lo, lo + (1 << dims))}) == 1 for lo in range(0, len(path), 1 << dims))
+
+
+def test_op3_follows_the_curve(spark, docs, rows):
+    """Shards are runs of equal counts along (curve, id), and cells are quantiles that keep the order of each dimension."""
+    got = hilbert.hilbert_shards(docs).collect()
+    placed = sorted(got, key=lambda r: (r.hilbert, r.doc_id))
+    assert [(r.shard, r.slot) for r in placed] == [(k * 16 // len(rows), k - (-(-(k * 16 // len(rows)) * len(rows) // 16))) for k in range(len(rows))]
+    of = {r[0]: {"d_lang": r[2], "d_source": r[3], "d_size": len((r[1] or "").encode()), "d_id": r[0]} for r in rows}
+    for name in hilbert.DIMENSIONS:
+        own = sorted((of[r.doc_id][name], r[name]) for r in got)
+        assert all(x[1] <= y[1] and (x[0] != y[0] or x[1] == y[1]) for x, y in zip(own, own[1:], strict=False))
+    sizes = Counter(r.d_id for r in got)
+    assert len(sizes) == 16 and max(sizes.values()) <= 2 * len(rows) / 16
+
+
+def test_op3_files_are_pruned(spark, tmp_path, docs, rows):
+    """What a reader of one corner of the grid opens is a part of the shards, and all rows come back in curve order."""
+    clash = docs.withColumn("slot", F.lit("s"))
+    assigned = hilbert.hilbert_shards(clash)
+    hilbert.write_shards(clash, assigned, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert {r.doc_id: r.text for r in back.collect()} == {r[0]: r[1] for r in rows} and {"d_id", "d_size", "shard"} < set(back.columns)
+    ranges = hilbert.shard_ranges(assigned).collect()
+    corner = [r.shard for r in ranges if r.min_d_id <= 3 and r.min_d_size <= 3]
+    assert {r.shard for r in back.where("d_id <= 3 and d_size <= 3").collect()} <= set(corner) and len(corner) <= 8
+    assert sum(r.rows for r in ranges) == len(rows) and sum(r.bytes for r in ranges) == sum(len((r[1] or "").encode()) + 1 for r in rows)
+
+
+def test_op3_edges(spark):
+    """Null and repeated ids, long texts, other columns with inner names."""
+    long = "x y " * 400_000
+    rows = [(None, long, None, "a", 1), (1, "t", "en", None, 1), (1, "t", "en", None, 1), (2, None, "en", "b", 1)]
+    table = spark.createDataFrame(rows, SCHEMA).withColumns({n: F.lit(n) for n in ("shard", "slot", "hilbert", "d_id", "__at", "rank", "size")})
+    got = Counter((r.doc_id, r.size, r.text_crc32) for r in hilbert.hilbert_shards(table).collect())
+    assert got == Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
 
 
 def brute_hits(text, items):
@@ -301,7 +359,7 @@ def test_op6_edges(spark, none, docs):
     for block in (1 << 20, 2000):
         marked = decontaminate.mark_benchmark(odd, spark.createDataFrame(items, "item_id bigint, text string"), block_bytes=block)
         got = Counter((r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids), r.row, r.item) for r in marked.collect())
-        assert got == Counter({(1, 3, 3, (7,), "row", "item"): 2, (2, 2, 2, (), "row", "item"): 1, (None, 3, 2, (7,), "row", "item"): 1, (3, 200_001, 4920, (8,), "row", "item"): 1, (4, 0, 0, (), "row", "item"): 1})
+        assert got == Counter({(1, 3, 3, (None, 7), "row", "item"): 2, (2, 2, 2, (None,), "row", "item"): 1, (None, 3, 2, (7,), "row", "item"): 1, (3, 200_001, 4920, (8,), "row", "item"): 1, (4, 0, 0, (), "row", "item"): 1})
     assert len(long) > 1 << 20
     assert [(r.doc_id, r.n_hit) for r in decontaminate.remove_contaminated(odd, spark.createDataFrame(items, "item_id bigint, text string")).collect()] == [(4, "n_hit")]
 
@@ -445,6 +503,79 @@ def test_character_map():
     assert m.longest(b"abc", 0) == (2, b"X") and m.longest(b"ac", 0) == (1, b"Y") and m.longest(b"c", 0) is None
 
 
+def message(*fields):
+    """A protobuf message of (number, value): bytes, whole numbers or floats."""
+    import struct
+
+    def varint(n):
+        out = bytearray()
+        while n > 127:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*out, n])
+
+    out = b""
+    for number, value in fields:
+        if isinstance(value, float):
+            out += varint(number << 3 | 5) + struct.pack("<f", value)
+        elif isinstance(value, int):
+            out += varint(number << 3) + varint(value)
+        else:
+            out += varint(number << 3 | 2) + varint(len(value)) + value
+    return out
+
+
+def mapped_model(path, kinds):
+    """A small model whose character map leads ab to X and a to Y."""
+    import struct
+
+    units = [0] * 768
+    units[0] = 256 << 10
+    a, child = 256 ^ ord("a"), 300
+    units[a] = (a ^ child) << 10 | 1 << 8 | ord("a")
+    units[child] = 1 << 31 | 2
+    b, leaf = child ^ ord("b"), 400
+    units[b] = (b ^ leaf) << 10 | 1 << 8 | ord("b")
+    units[leaf] = 1 << 31
+    blob = struct.pack("<I", 4 * len(units)) + struct.pack(f"<{len(units)}I", *units) + b"X\0Y\0"
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), ("▁", -2.0, 1), ("X", -3.0, 1), ("Y", -3.5, 1), ("▁X", -2.5, 1), ("c", -4.0, 1), ("Yc", -4.5, 1), *kinds]
+    proto = message(*((1, message((1, x.encode()), (2, score), (3, kind))) for x, score, kind in pieces), (2, message((3, 1), *([(35, 1)] if kinds else []))), (3, message((1, b"own"), (2, blob), (3, 1), (4, 1), (5, 1))))
+    path.write_bytes(proto)
+    return str(path)
+
+
+@pytest.mark.parametrize("bytes_", [True, False])
+def test_op9_spans_through_a_map(spark, tmp_path, bytes_):
+    """Spans by the character map equal the offsets that the library gives; a model without byte pieces takes unknown characters too."""
+    import sentencepiece
+
+    path = mapped_model(tmp_path / "m.model", [(f"<0x{k:02X}>", -9.0, 6) for k in range(256)] if bytes_ else [])
+    library, model = sentencepiece.SentencePieceProcessor(model_file=path), sentencepieces.load(path)
+    texts = ["abc", "ac ab", "  a  abab c ", "c", "", None, "ab" * 400, "aß日c z", "zq ab ß", "ab\u2581c"]
+    got = sentencepieces.encode_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("ids", F.lit(1)), path).collect()
+    assert model.map.longest(b"abc", 0) == (2, b"X") and len(got) == len(texts)
+    for r in got:
+        raw = (r.text or "").encode()
+        assert r.ids == library.encode(r.text or "") and r.decoded == library.decode(r.ids)
+        if not bytes_ or set(raw) <= set(b"abc "):
+            found = library.encode(r.text or "", return_type="proto").pieces
+            assert r.begins == [p.begin for p in found] and r.ends[-1:] == [p.end for p in found[-1:]]
+        assert not r.ids or (r.begins[0] == 0 or raw[:1] == b" ") and r.begins == sorted(r.begins) and r.ends[-1] <= len(raw)
+
+
+def test_op9_edges(spark, none):
+    """Empty tables, repeated rows, null ids, texts above a slice, a batch of several slices, and columns with the names of added ones."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.model_path())
+    long = " ".join(random.Random(4).choices(WORDS, k=300_000)) + "  end \U0001F642"
+    rows = [(1, long), (1, "twice"), (1, "twice"), (None, "no id"), (2, None), (3, ""), (4, long[:200_000]), (5, long[100_000:350_000])]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).withColumns({n: F.lit(n) for n in ("ids", "decoded", "c0", "spans")})
+    got = sentencepieces.encode_spans(table, queries.model_path()).collect()
+    assert len(long) > 1 << 20 and Counter((r.doc_id, tuple(r.ids), r.decoded, r.c0) for r in got) == Counter((i, tuple(x := library.encode(t or "")), library.decode(x), "c0") for i, t in rows)
+    assert sentencepieces.digest(sentencepieces.encode_spans(none, queries.model_path())).count() == 0
+
+
 def brute_base(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
@@ -467,6 +598,40 @@ def test_op10(spark, rows):
     assert quality.apply_rules(table.limit(0)).count() == 0 and quality.apply_rules(table).columns == table.columns
 
 
+def brute_rules(rows):
+    """doc_id: text of what apply_rules keeps, of rows (id, text, lang, host, n) with different ids."""
+    filled = lambda t: [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    norm = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x.lower()).strip(" ")
+    seen, docs = defaultdict(set), Counter(r[3] for r in rows)
+    for i, text, _, host, _ in rows:
+        for x in filled(text):
+            seen[host, norm(x)].add(i)
+    boiler = {k for k, v in seen.items() if len(v) > max(10, 0.1 * docs[k[0]])}
+    out = {}
+    for i, text, _, host, _ in rows:
+        base = brute_base(text)
+        lost = sum(len("".join(words_of(x))) for x in filled(text) if (host, norm(x)) in boiler)
+        if not base[-1] and lost <= 0.5 * base[1]:
+            out[i] = "\n".join(x for x in text.split("\n") if x not in filled(text) or (host, norm(x)) not in boiler)
+    return out
+
+
+def test_op10_edges(spark):
+    """Columns with the names of added and inner ones, null hosts and ids, repeated rows, long texts."""
+    long = " ".join(random.Random(3).choices([f"u{k}" for k in range(100_000)], k=250_000))
+    assert len(long) > 1 << 20
+    rows = [(k, " ".join(random.Random(k).choices(WORDS, k=60)) + "\nsame line in all of them", "en", None, 1) for k in range(15)] + [(20, long, "en", "s", 1), (None, long + " z", "en", "s", 1)]
+    clash = {n: F.lit(n) for n in ("__lines", "__text", "row", "host", "of", "boiler", "kept", "n_words", "cleaned", "h")}
+    table = spark.createDataFrame([*rows, rows[0]], SCHEMA).withColumns(clash)
+    judged = quality.assess(table).collect()
+    assert len(judged) == len(rows) + 1 and all(r["__lines"] == "__lines" and r["row"] == "row" and r["of"] == "of" and r.kept for r in judged)
+    kept = quality.apply_rules(table)
+    assert kept.columns == table.columns
+    want = Counter(brute_rules(rows).items())
+    want[0, brute_rules(rows)[0]] += 1
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == want
+
+
 def test_op10_depleted(spark):
     line = " ".join(WORDS[:60])
     table = spark.createDataFrame([(k, line, "en", "s", 1) for k in range(40)] + [(99, " ".join(WORDS[100:200]), "en", "s", 1)], SCHEMA)
@@ -600,6 +765,67 @@ def test_op4(spark, docs, rows):
     assert licenses.license_matches(docs).count() == 0 and licenses.license_matches(table.limit(0)).count() == 0
 
 
+def brute_licenses(text, coverage=0.8):
+    """Templates of which some stretch of the text, as long as the template and a quarter on each side, has `coverage` of the words in order."""
+    words = licenses.tokens(text or "")[0]
+    out = set()
+    for name, template in licenses.TEMPLATES.items():
+        own = licenses.tokens(template)[0]
+        near = min(licenses.BAND, len(own) // 4)
+        for at in range(-near, len(words)):
+            piece = words[max(0, at) : at + len(own) + near]
+            row = [0] * (len(piece) + 1)
+            for w in own:
+                row = [0, *(x for x in _lcs(row, piece, w))]
+            if row[-1] >= coverage * len(own):
+                out.add(name)
+                break
+    return out
+
+
+def _lcs(row, piece, word):
+    left = 0
+    for j, x in enumerate(piece):
+        left = max(left, row[j + 1], row[j] + (x == word))
+        yield left
+
+
+def test_op4_against_brute_force(spark, rows):
+    """Every template with a fifth of its words replaced is found: recall over edits, against a scan of whole texts. Short templates against brute force."""
+    rng = random.Random(8)
+    texts, want = [(0, None), (1, "")], {}
+    for name, template in licenses.TEMPLATES.items():
+        own = template.split()
+        count = len(licenses.tokens(template)[0])
+        for k in range(4):
+            words = list(own)
+            for at in rng.sample(range(len(words)), int(count * 0.2 * k / 3)):
+                words[at] = "changed"
+            i = len(texts)
+            texts.append((i, " ".join(rng.choices(WORDS, k=20)) + " " + " ".join(words) + " " + " ".join(rng.choices(WORDS, k=20))))
+            if len(licenses.tokens(" ".join(w for w in words if w != "changed"))[0]) >= 0.8 * count:
+                want[i] = name
+    got = defaultdict(set)
+    table = spark.createDataFrame(texts, "doc_id bigint, text string").withColumns({n: F.lit(n) for n in ("id", "template", "begin")})
+    for r in licenses.license_matches(table).collect():
+        got[r.doc_id].add(r.template)
+    related = {"gpl-3.0": {"agpl-3.0"}, "agpl-3.0": {"gpl-3.0"}, "lgpl-2.1": {"gpl-3.0", "agpl-3.0"}}  # of overlapping ones that with more matched words stays
+    assert all(got[i] & ({name} | related.get(name, set())) for i, name in want.items()) and len(want) > 3 * len(licenses.TEMPLATES)
+    small = [(i, t) for i, t in texts if t is None or len(t.split()) < 60]
+    assert all(bool(got[i]) == bool(brute_licenses(t)) and got[i] <= brute_licenses(t) for i, t in small)
+
+
+def test_op4_inserted_sentence(spark):
+    """A notice with 20 foreign words put in is one match over both parts; a very long text; null ids and repeated rows."""
+    words = licenses.TEMPLATES["isc"].split()
+    text = " ".join([*words[:40], *WORDS[:20], *words[40:]])
+    long = " ".join(random.Random(1).choices(WORDS, k=300_000)) + " " + licenses.TEMPLATES["zlib"]
+    assert len(long) > 1 << 20
+    table = spark.createDataFrame([(1, text), (1, text), (None, long)], "doc_id bigint, text string")
+    got = Counter((r.doc_id, r.template, r.coverage, r.end - r.begin) for r in licenses.license_matches(table).collect())
+    assert got == Counter({(1, "isc", 1.0, len(text) - 1): 2, (None, "zlib", 1.0, len(licenses.TEMPLATES["zlib"]) - 1): 1})
+
+
 def test_alignment_against_brute_force():
     rng = random.Random(4)
     for _ in range(60):
