@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillet.functions.text import tokens as tokenise
+from quillet.functions.text import words
 
 #: Zones with their weights, which sum to 1.
 ZONES = {"TITLE": "0.40", "AUTHOR": "0.20", "SUBJECT": "0.25", "BODY": "0.15"}
@@ -16,32 +17,56 @@ ZONES = {"TITLE": "0.40", "AUTHOR": "0.20", "SUBJECT": "0.25", "BODY": "0.15"}
 class Index:
     """docs (doc_id, filename, size_bytes) and tokens (doc_id, pos, term), and what follows from them. Zones (doc_id, zone, text) are optional.
 
+    analysed (doc_id, words; a row for each document) is there when the index is built from documents: then what is known within a
+    document is made within its row, without a shuffle of tokens. Token tables from elsewhere are grouped.
+
+    on_disk says that postings are a table sorted by term, which lookups read in place of tokens.
+
     Nothing is cached here: persist() the tokens, or save() the index and load() it, for more than one query.
     """
 
-    def __init__(self, docs: DataFrame, tokens: DataFrame, zones: DataFrame | None = None):
-        self.docs, self.tokens, self.zones = docs, tokens, zones
+    def __init__(self, docs: DataFrame, tokens: DataFrame, zones: DataFrame | None = None, analysed: DataFrame | None = None):
+        self.docs, self.tokens, self.zones, self.analysed = docs, tokens, zones, analysed
+        self.on_disk = False
 
     @cached_property
     def inverted(self) -> DataFrame:
         """term, doc_id; distinct."""
+        if self.analysed is not None:
+            return self.analysed.select("doc_id", F.explode(F.array_distinct("words")).alias("term")).where("term <> ''").select("term", "doc_id")
         return self.tokens.select("term", "doc_id").distinct()
 
     @cached_property
     def postings(self) -> DataFrame:
         """term, doc_id, tf, positions (ascending)."""
-        return self.tokens.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+        if self.analysed is None:
+            return self.tokens.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+        placed = self.analysed.select("doc_id", F.array_sort(F.transform("words", lambda w, i: F.struct(w.alias("term"), i.alias("pos")))).alias("places"))
+        term = lambda i: F.get("places", i)["term"]
+        starts = F.filter(F.sequence(F.lit(0), F.size("places") - 1), lambda i: (i == 0) | (term(i) != term(i - 1)))
+        runs = placed.select("doc_id", "places", starts.alias("starts")).select("doc_id", "places", "starts", F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("places"))).alias("ends"))
+        lists = F.zip_with("starts", "ends", lambda i, k: F.struct(term(i).alias("term"), F.transform(F.slice("places", i + 1, k - i), lambda x: x["pos"]).alias("positions")))
+        return runs.select("doc_id", F.explode(lists).alias("p")).where("p.term <> ''").select("p.term", "doc_id", F.size("p.positions").alias("tf"), "p.positions")
 
     @cached_property
     def biwords(self) -> DataFrame:
         """biword (two adjacent terms of one document, joined by a space), doc_id; distinct."""
+        if self.analysed is not None:
+            own = F.filter("words", lambda w: w != "")
+            pairs = F.zip_with(own, F.slice(own, 2, F.greatest(F.size(own), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+            return self.analysed.select("doc_id", F.explode(F.array_distinct(pairs)).alias("biword")).where("biword is not null").select("biword", "doc_id")
         behind = F.lead("term").over(Window.partitionBy("doc_id").orderBy("pos"))
         return self.tokens.select("doc_id", "term", behind.alias("behind")).where("behind is not null").select(F.concat_ws(" ", "term", "behind").alias("biword"), "doc_id").distinct()
 
+    @cached_property
+    def frequencies(self) -> DataFrame:
+        """term, doc_id, tf."""
+        return self.postings.select("term", "doc_id", F.col("tf").cast("long").alias("tf")) if self.analysed is not None else self.tokens.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+
     @cached_property
     def lexicon(self) -> DataFrame:
         """term, df (documents), cf (occurrences)."""
-        return self.tokens.groupBy("term", "doc_id").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+        return self.frequencies.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
     @cached_property
     def permuterm(self) -> DataFrame:
@@ -72,8 +97,6 @@ class Index:
         """zone, term, doc_id; distinct."""
         if self.zones is None:
             raise ValueError("this index has no zones")
-        from quillet.functions.text import words
-
         return self.zones.select("zone", "doc_id", F.explode(words("text")).alias("term")).where("term <> ''").distinct().select("zone", "term", "doc_id")
 
     def matrix(self, terms: list[str]) -> DataFrame:
@@ -86,7 +109,7 @@ class Index:
         if kind == "biword":
             return self.biwords.withColumnRenamed("biword", "key")
         if kind in ("index", "matrix", "positional"):
-            return self.tokens.select(F.col("term").alias("key"), "doc_id")
+            return self.inverted.select(F.col("term").alias("key"), "doc_id")
         raise ValueError(f"no structure named {kind}")
 
     def add(self, other: Index) -> Index:
@@ -94,21 +117,35 @@ class Index:
         new = other.docs.join(self.docs.select("filename"), "filename", "left_anti").select("doc_id", "filename", "size_bytes")
         own = lambda df: df.join(new.select("doc_id"), "doc_id", "left_semi")
         zones = self.zones.unionByName(own(other.zones)) if self.zones is not None and other.zones is not None else self.zones
-        return Index(self.docs.unionByName(new), self.tokens.unionByName(own(other.tokens)), zones)
+        analysed = self.analysed.unionByName(own(other.analysed)) if self.analysed is not None and other.analysed is not None else None
+        return Index(self.docs.unionByName(new), self.tokens.unionByName(own(other.tokens)), zones, analysed)
+
+    def without(self, ids: DataFrame) -> Index:
+        """This index without the documents of `ids` (doc_id); without all of them it is cleared."""
+        own = lambda df: df.join(ids.select("doc_id"), "doc_id", "left_anti") if df is not None else None
+        return Index(own(self.docs), own(self.tokens), own(self.zones), own(self.analysed))
+
+    def reindex(self, other: Index) -> Index:
+        """This index with all documents of another; those of a file name that it has are replaced."""
+        old = self.docs.join(other.docs.select("filename"), "filename", "left_semi")
+        return self.without(old).add(other)
 
     def persist(self) -> Index:
-        self.tokens.persist()
+        (self.tokens if self.analysed is None else self.analysed).persist()
         return self
 
     def close(self) -> None:
-        self.tokens.unpersist()
+        (self.tokens if self.analysed is None else self.analysed).unpersist()
 
 
 def build_index(documents: DataFrame, id_col: str = "doc_id", text: str = "text", filename: str | None = None, stem: bool = False, zones: DataFrame | None = None) -> Index:
-    """An index of any table with an id and a text."""
+    """An index of any table with an id (different in all rows) and a text."""
     name = F.col(filename) if filename else F.concat(F.lit("doc-"), F.col(id_col).cast("string"))
     docs = documents.select(F.col(id_col).alias("doc_id"), name.alias("filename"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("size_bytes"))
-    return Index(docs, tokenise(documents, id_col, text, stem), zones)
+    if stem:
+        return Index(docs, tokenise(documents, id_col, text, stem), zones)
+    analysed = documents.where(F.col(text).isNotNull()).select(F.col(id_col).alias("doc_id"), words(text).alias("words"))
+    return Index(docs, analysed.select("doc_id", F.posexplode("words").alias("pos", "term")).where("term <> ''"), zones, analysed)
 
 
 def from_postings(docs: DataFrame, postings: DataFrame) -> Index:
@@ -117,18 +154,47 @@ def from_postings(docs: DataFrame, postings: DataFrame) -> Index:
     return Index(docs, tokens)
 
 
+#: What an index on disk holds besides postings and documents: each table sorted by its first column, so that lookups and prefixes skip row groups.
+VIEWS = {"lexicon": "term", "reverse_terms": "rev", "permuterm": "rotation", "trigrams": "gram", "biwords": "biword"}
+
+
 def index_on_disk(index: Index, path: str, partitions: int | None = None) -> Index:
-    """Build by a range shuffle: postings are written sorted by term, so that a lookup reads the row groups whose range holds its term."""
+    """Build by a range shuffle: postings are written sorted by term, so that a lookup reads the row groups whose range holds its term; then the
+    views, of which those of terms are made from the written lexicon."""
     spark = index.docs.sparkSession
-    order = ["term", "doc_id"]
-    dealt = index.postings.repartitionByRange(partitions, *order) if partitions else index.postings.repartitionByRange(*order)
-    dealt.sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/postings")
+
+    def put(df: DataFrame, name: str, order: list[str]) -> DataFrame:
+        dealt = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+        dealt.sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
+
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
+    put(index.biwords, "biwords", ["biword", "doc_id"])
+    postings = put(index.postings, "postings", ["term", "doc_id"])
+    lexicon = put(postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), "lexicon", ["term"])
+    terms = Index(index.docs, lexicon)  # a row for each term will do for what follows from terms
+    terms.__dict__["terms"] = lexicon.select("term")
+    for name in ("reverse_terms", "permuterm", "trigrams"):
+        put(getattr(terms, name), name, [VIEWS[name], "term"])
     return open_on_disk(spark, path)
 
 
 def open_on_disk(spark: SparkSession, path: str) -> Index:
-    postings = spark.read.parquet(f"{path}/postings")
-    index = from_postings(spark.read.parquet(f"{path}/docs"), postings)
-    index.__dict__["postings"] = postings
+    """An index whose queries read the sorted tables; only tokens are taken from the positions."""
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    postings = read("postings")
+    index = from_postings(read("docs"), postings)
+    index.on_disk = True
+    index.__dict__ |= {name: read(name) for name in VIEWS}
+    index.__dict__ |= {"postings": postings, "inverted": postings.select("term", "doc_id"), "frequencies": postings.select("term", "doc_id", F.col("tf").cast("long").alias("tf")), "terms": index.__dict__["lexicon"].select("term")}
     return index
+
+
+def disk_statistics(spark: SparkSession, path: str) -> dict[str, int]:
+    """Files and bytes of an index on disk, by table, as `name_files` and `name_bytes`; the file system is asked, no data are read."""
+    out = {}
+    for name in ("docs", "postings", *VIEWS):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        summary = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(folder)
+        out |= {f"{name}_files": summary.getFileCount(), f"{name}_bytes": summary.getLength()}
+    return out

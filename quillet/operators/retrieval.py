@@ -41,6 +41,13 @@ def boolean_query(index: Index, query: str, mode: str = "compat", kind: str = "i
     return index.docs.select("doc_id").join(_flagged(index, terms, kind), "doc_id", "left").where(verdict).select("doc_id")
 
 
+def places_of(index: Index, terms: list[str]) -> DataFrame:
+    """term, doc_id, pos of some terms: the filter is on the term column, before positions are opened."""
+    if index.on_disk:
+        return index.postings.where(F.col("term").isin(terms)).select("term", "doc_id", F.explode("positions").alias("pos"))
+    return index.tokens.where(F.col("term").isin(terms)).select("term", "doc_id", "pos")
+
+
 def phrase_search(index: Index, phrase: str, method: str = "positional", stem: bool = False, raw: bool = False) -> DataFrame:
     """Documents with the phrase. positional: at consecutive places. biword: with all its adjacent pairs, wherever (false hits from three words on).
 
@@ -56,14 +63,14 @@ def phrase_search(index: Index, phrase: str, method: str = "positional", stem: b
         hits = index.biwords.where(F.col("biword").isin(pairs))
         return hits.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") == len(pairs)).select("doc_id")
     places = index.docs.sparkSession.createDataFrame([(t, i) for i, t in enumerate(terms)], "term string, off int")
-    starts = index.tokens.where(F.col("term").isin(terms)).join(F.broadcast(places), "term").groupBy("doc_id", (F.col("pos") - F.col("off")).alias("start")).agg(F.count("*").alias("n"))
+    starts = places_of(index, terms).join(F.broadcast(places), "term").groupBy("doc_id", (F.col("pos") - F.col("off")).alias("start")).agg(F.count("*").alias("n"))
     return starts.where(F.col("n") == len(terms)).select("doc_id").distinct()
 
 
 def proximity_matches(index: Index, a: str, b: str, k: int) -> DataFrame:
     """doc_id, position1, position2, distance: all places of a and b at most k apart, in either order."""
-    x = index.tokens.where(F.col("term") == a).select("doc_id", F.col("pos").alias("position1"))
-    y = index.tokens.where(F.col("term") == b).select("doc_id", F.col("pos").alias("position2"))
+    x = places_of(index, [a]).select("doc_id", F.col("pos").alias("position1"))
+    y = places_of(index, [b]).select("doc_id", F.col("pos").alias("position2"))
     gap = F.abs(F.col("position2") - F.col("position1"))
     return x.join(y, (x.doc_id == y.doc_id) & (gap <= k)).select(x.doc_id, "position1", "position2", gap.cast("int").alias("distance"))
 
@@ -82,10 +89,10 @@ def _nearest(index: Index, a: str, b: str) -> DataFrame:
     from pyspark.sql import Window
 
     if a == b:
-        return index.tokens.where(F.col("term") == a).select("doc_id", F.lit(0).alias("near"))
+        return places_of(index, [a]).select("doc_id", F.lit(0).alias("near"))
     upto = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     last = lambda t: F.last(F.when(F.col("term") == t, F.col("pos")), ignorenulls=True).over(upto)
-    both = index.tokens.where(F.col("term").isin(a, b)).select("doc_id", "pos", F.abs(last(a) - last(b)).alias("near"))
+    both = places_of(index, [a, b]).select("doc_id", "pos", F.abs(last(a) - last(b)).alias("near"))
     return both.where("near is not null")
 
 

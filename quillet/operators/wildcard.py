@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillet.operators.index import Index
@@ -23,6 +23,11 @@ def prefix_terms(index: Index, prefix: str) -> DataFrame:
     return index.terms.where(F.col("term").startswith(prefix))
 
 
+def terms_where(index: Index, condition: Column) -> DataFrame:
+    """The terms that any condition on the column `term` holds for, in order: a scan of the lexicon, with what of it Parquet can push down."""
+    return index.terms.where(condition).orderBy("term")
+
+
 def suffix_terms(index: Index, suffix: str) -> DataFrame:
     return index.reverse_terms.where(F.col("rev").startswith(suffix[::-1])).select("term")
 
