@@ -7,10 +7,13 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillet.plans.order import numbered, ranged
+
 
 def vbyte_one(numbers: list[int]) -> bytes:
     out = bytearray()
@@ -84,37 +87,128 @@ def gamma_back(code: bytes) -> list[int]:
     return out
 
 
-def _encoder(encode, gaps: bool, add: int):
+def _flat(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all lists, and the edges of the lists; null lists are empty here."""
+    parts = [np.asarray(x, np.int64) if x is not None else np.zeros(0, np.int64) for x in lists]
+    return np.concatenate([np.zeros(0, np.int64), *parts]), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+
+
+def _gaps(numbers: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    out = np.diff(numbers, prepend=0)
+    first = edges[:-1][np.diff(edges) > 0]
+    out[first] = numbers[first]
+    if (out < 0).any():
+        raise ValueError("numbers must ascend")
+    return out
+
+
+def _sums(gaps: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum(gaps)])
+    return total[1:] - np.repeat(total[edges[:-1]], np.diff(edges))
+
+
+def _bit_length(n: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(n), np.int64)
+    for k in range(63):
+        out += n >> k > 0
+    return out
+
+
+def vbyte_batch(numbers: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """Each list's code, all at once: the k-th last bytes of all numbers are set together."""
+    if (numbers < 0).any():
+        raise ValueError("variable byte codes need numbers of 0 or more")
+    size = np.maximum(1, -(-_bit_length(numbers) // 7))
+    end = np.cumsum(size)
+    out = np.zeros(int(end[-1]) if len(end) else 0, np.uint8)
+    for k in range(int(size.max(initial=0))):
+        some = size > k
+        out[end[some] - 1 - k] = numbers[some] >> 7 * k & 127 | (128 if k == 0 else 0)
+    raw, at = out.tobytes(), np.concatenate([[0], end])[edges].tolist()
+    return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def vbyte_batch_back(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all codes, and the edges of the lists."""
+    raw = np.frombuffer(b"".join(codes), np.uint8)
+    edges = np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int64)
+    last = raw >= 128
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if b > a and not last[b - 1]:
+            return _one_by_one(codes)
+    end = np.flatnonzero(last)
+    number = np.cumsum(last) - last  # which number each byte is of
+    back = end[number] - np.arange(len(raw)) if len(raw) else np.zeros(0, np.int64)
+    value = np.zeros(len(end), np.int64)
+    np.add.at(value, number, (raw & 127).astype(np.int64) << 7 * back)
+    return value, np.concatenate([[0], np.cumsum(last)])[edges]
+
+
+def _one_by_one(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For codes that end within a number: what vbyte_back says of them."""
+    parts = [vbyte_back(c) for c in codes]
+    return np.array([n for p in parts for n in p], np.int64), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+
+
+def gamma_batch(numbers: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """Each list's code, all at once: the bits of one weight of all numbers are set together."""
+    if (numbers <= 0).any():
+        raise ValueError("gamma codes need numbers above 0")
+    width = _bit_length(numbers)
+    bits = np.concatenate([[0], np.cumsum(2 * width - 1)])
+    of = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    size = bits[edges[1:]] - bits[edges[:-1]]
+    start = np.concatenate([[0], np.cumsum(-(-size // 8) * 8)])  # lists begin at whole bytes
+    end = start[of] + bits[1:] - bits[edges[:-1]][of]
+    out = np.zeros(int(start[-1]), np.uint8)
+    for k in range(int(width.max(initial=0))):
+        some = width > k
+        out[end[some] - 1 - k] = numbers[some] >> k & 1
+    raw, at = np.packbits(out).tobytes(), (start // 8).tolist()
+    return [struct.pack(">i", n) + raw[a:b] if n else b"" for n, a, b in zip(np.diff(edges).tolist(), at[:-1], at[1:], strict=True)]
+
+
+def _encoder(batch, gaps: bool, add: int):
     @F.pandas_udf("binary")
     def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda x: encode(to_gaps([int(n) for n in x], add) if gaps else [int(n) for n in x]), na_action="ignore")
+        numbers, edges = _flat(column)
+        codes = batch(_gaps(numbers, edges) + add if gaps else numbers, edges)
+        return pd.Series([None if x is None else c for x, c in zip(column, codes, strict=True)], dtype=object)
 
     return run
 
 
-def _decoder(decode, gaps: bool, add: int):
+def _decoder(back, gaps: bool, add: int):
     @F.pandas_udf("array<bigint>")
     def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda x: from_gaps(decode(x), add) if gaps else decode(x), na_action="ignore")
+        numbers, edges = back([b"" if c is None else bytes(c) for c in column])
+        if gaps:
+            numbers = _sums(numbers - add, edges)
+        return pd.Series([None if c is None else numbers[a:b] for c, a, b in zip(column, edges[:-1].tolist(), edges[1:].tolist(), strict=True)], dtype=object)
 
     return run
 
 
+def _gamma_lists(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    parts = [gamma_back(c) for c in codes]  # a code's length is known when it is read, so one after another
+    return np.array([n for p in parts for n in p], np.int64), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+
+
 def vbyte_encode(column: Column | str, gaps: bool = False) -> Column:
-    return _encoder(vbyte_one, gaps, 0)(column)
+    return _encoder(vbyte_batch, gaps, 0)(column)
 
 
 def vbyte_decode(column: Column | str, gaps: bool = False) -> Column:
-    return _decoder(vbyte_back, gaps, 0)(column)
+    return _decoder(vbyte_batch_back, gaps, 0)(column)
 
 
 def gamma_encode(column: Column | str, gaps: bool = False) -> Column:
     """Gaps are one higher in the code, so that a gap of 0 has one."""
-    return _encoder(gamma_one, gaps, 1)(column)
+    return _encoder(gamma_batch, gaps, 1)(column)
 
 
 def gamma_decode(column: Column | str, gaps: bool = False) -> Column:
-    return _decoder(gamma_back, gaps, 1)(column)
+    return _decoder(_gamma_lists, gaps, 1)(column)
 
 
 def vbyte_size(n: Column) -> Column:
@@ -133,15 +227,28 @@ def gamma_size(n: Column) -> Column:
 
 
 def posting_gaps(pairs: DataFrame) -> DataFrame:
-    """(term, doc_id) with gap, the difference to the term's doc before it (the first: to 0)."""
-    before = Window.partitionBy("term").orderBy("doc_id")
-    return pairs.select("term", "doc_id", (F.col("doc_id") - F.coalesce(F.lag("doc_id").over(before), F.lit(0))).alias("gap"))
+    """(term, doc_id) with gap, the difference to the term's doc before it (the first: to 0).
+
+    Pairs are dealt by ranges of (term, doc_id), so a term that all documents hold is spread over tasks; what stands before a range's first row comes from
+    a table with a row for each range, which is broadcast.
+    """
+    held = ranged(pairs.select("term", "doc_id"), ["term", "doc_id"])
+    ends = held.groupBy("__part").agg(F.max_by(F.struct("term", "doc_id"), "__at").alias("end"))
+    edges = ends.select("__part", F.lag("end").over(Window.orderBy("__part")).alias("edge"))
+    upto = F.lag(F.struct("term", "doc_id")).over(Window.partitionBy("__part").orderBy("__at"))
+    before = held.withColumn("own", upto).join(F.broadcast(edges), "__part").withColumn("last", F.coalesce("own", "edge"))
+    return before.select("term", "doc_id", (F.col("doc_id") - F.when(F.col("last.term") == F.col("term"), F.col("last.doc_id")).otherwise(0)).alias("gap"))
 
 
 def undo_gaps(gaps: DataFrame) -> DataFrame:
-    """The doc ids again, as the running sum of the gaps in doc order."""
-    upto = Window.partitionBy("term").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return gaps.select("term", F.sum("gap").over(upto).alias("doc_id"))
+    """The doc ids again, as the running sum of the gaps in doc order: within ranges, and over ranges from the sums of the terms at their ends."""
+    held = ranged(gaps.select("term", "doc_id", "gap"), ["term", "doc_id"])
+    ends = held.groupBy("__part").agg(F.array_distinct(F.array(F.min("term"), F.max("term"))).alias("ts")).select("__part", F.explode("ts").alias("term"))
+    sums = held.join(F.broadcast(ends), ["__part", "term"]).groupBy("__part", "term").agg(F.sum("gap").alias("all"))
+    carry = sums.select("__part", "term", F.sum("all").over(Window.partitionBy("term").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    upto = F.sum("gap").over(Window.partitionBy("__part", "term").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
+    # two rows for each range are carried
+    return held.withColumn("own", upto).join(F.broadcast(carry), ["__part", "term"], "left").select("term", (F.col("own") + F.coalesce("carried", F.lit(0))).alias("doc_id"))
 
 
 def front_code(terms: DataFrame, block: int = 8) -> DataFrame:
@@ -149,8 +256,6 @@ def front_code(terms: DataFrame, block: int = 8) -> DataFrame:
 
     terms: distinct `term`s. They are numbered over a range shuffle, so no task holds them all; blocks are built by key.
     """
-    from quillet.plans.order import numbered
-
     in_order = numbered(terms.select("term"), ["term"], "rn").withColumn("block", F.expr(f"rn div {block}"))
     members = in_order.groupBy("block").agg(F.array_sort(F.collect_list("term")).alias("terms"))
     limit = lambda a, b: F.least(F.length(a), F.length(b))

@@ -37,9 +37,27 @@ def top_terms(index: Index, n: int) -> DataFrame:
     return index.inverted.groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(n)
 
 
-def build_metadata(unique_terms: int, documents: int, total_bytes: int, index_bytes: int) -> dict[str, float]:
-    """Ratios of a finished build; 0 where there is nothing to divide by."""
-    return {"avg_terms_per_doc": unique_terms / documents if documents else 0.0, "compression_ratio": index_bytes / total_bytes * 100 if total_bytes else 0.0}
+def build_metadata(unique_terms: int, documents: int, total_bytes: int, index_bytes: int, seconds: float = 0.0) -> dict[str, float]:
+    """Ratios of a finished build; 0 where there is nothing to divide by. megabytes_per_second is of the documents."""
+    return {
+        "avg_terms_per_doc": unique_terms / documents if documents else 0.0,
+        "compression_ratio": index_bytes / total_bytes * 100 if total_bytes else 0.0,
+        "megabytes_per_second": total_bytes / 1e6 / seconds if seconds else 0.0,
+    }
+
+
+def measured_build(index: Index, path: str) -> dict[str, float]:
+    """Write the index on disk; its build_metadata with the time that took and the sizes of the files."""
+    import time
+
+    from quillet.operators.index import disk_statistics, index_on_disk
+
+    began = time.perf_counter()
+    built = index_on_disk(index, path)
+    seconds = time.perf_counter() - began
+    docs = built.docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("b")).first()
+    sizes = disk_statistics(index.docs.sparkSession, path)
+    return build_metadata(built.terms.count(), docs.n, docs.b, sum(v for k, v in sizes.items() if k.endswith("_bytes")), seconds)
 
 
 def compression_report(index: Index, block: int = 8) -> DataFrame:

@@ -1,7 +1,8 @@
 """Saving an index and reading it back as parquet (binary), text or json; everything but postings and documents is derived again.
 
-Each format is a folder that many tasks write: parquet of both tables; text lines `term: 1[0, 5]; 2[3]` and `id: name: size`; json lines with the
-same fields. Zones aren't saved.
+Each format is a folder that many tasks write, in sections: metadata (the next free doc_id), postings, and the registry of documents. parquet: a table each. text: `nextDocID: n`, lines
+`term: 1[0, 5]; 2[3]` (a line for the documents of each RANGE ids, so that no row holds a frequent term's whole list), and the registry twice, by id (`id: name`) and by name (`name: size`). json:
+lines with the same fields. Zones aren't saved.
 """
 
 from __future__ import annotations
@@ -18,13 +19,22 @@ FORMATS = ("parquet", "text", "json")
 DOCS = "doc_id bigint, filename string, size_bytes bigint"
 
 
-def term_lines(postings: DataFrame) -> DataFrame:
-    """value: a line for each term. One term's documents are gathered in a row, as in the format itself."""
+#: doc_ids of one line of text.
+RANGE = 1 << 20
+
+
+def term_lines(postings: DataFrame, width: int = RANGE) -> DataFrame:
+    """value: a line for each term and range of ids."""
     one = F.concat(F.col("doc_id").cast("string"), F.lit("["), F.array_join(F.col("positions").cast("array<string>"), ", "), F.lit("]"))
-    gathered = postings.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("doc_id", one.alias("p")))).alias("ps"))
+    gathered = postings.groupBy("term", F.expr(f"doc_id div {width}").alias("part")).agg(F.array_sort(F.collect_list(F.struct("doc_id", one.alias("p")))).alias("ps"))
     return gathered.select(F.concat("term", F.lit(": "), F.array_join(F.transform("ps", lambda x: x["p"]), "; ")).alias("value"))
 
 
+def next_doc_id(docs: DataFrame) -> DataFrame:
+    """nextDocID: one row; 0 without documents."""
+    return docs.agg((F.coalesce(F.max("doc_id"), F.lit(-1)) + 1).alias("nextDocID"))
+
+
 def read_term_lines(lines: DataFrame) -> DataFrame:
     """term, doc_id, tf, positions."""
     at = F.instr("value", ": ")
@@ -37,15 +47,15 @@ def save(index: Index, path: str, fmt: str = "parquet") -> None:
     if fmt not in FORMATS:
         raise ValueError(f"no format named {fmt}")
     docs = index.docs.select("doc_id", "filename", "size_bytes")
-    if fmt == "parquet":
-        index.postings.write.mode("overwrite").option("compression", "gzip").parquet(f"{path}/postings")
-        docs.write.mode("overwrite").option("compression", "gzip").parquet(f"{path}/docs")
-    elif fmt == "json":
-        index.postings.write.mode("overwrite").json(f"{path}/postings")
-        docs.write.mode("overwrite").json(f"{path}/docs")
+    if fmt == "text":
+        sections = {"metadata": next_doc_id(docs).select(F.concat(F.lit("nextDocID: "), F.col("nextDocID").cast("string")).alias("value")), "postings": term_lines(index.postings)}
+        sections["names"] = docs.select(F.concat_ws(": ", F.col("doc_id").cast("string"), "filename").alias("value"))
+        sections["sizes"] = docs.select(F.concat_ws(": ", "filename", F.col("size_bytes").cast("string")).alias("value"))
     else:
-        term_lines(index.postings).write.mode("overwrite").text(f"{path}/postings")
-        docs.select(F.concat_ws(": ", F.col("doc_id").cast("string"), F.col("size_bytes").cast("string"), "filename").alias("value")).write.mode("overwrite").text(f"{path}/docs")
+        sections = {"metadata": next_doc_id(docs), "postings": index.postings, "docs": docs}
+    for name, df in sections.items():
+        writer = df.write.mode("overwrite")
+        (writer.option("compression", "gzip") if fmt == "parquet" else writer).format(fmt).save(f"{path}/{name}")
 
 
 def load(spark: SparkSession, path: str, fmt: str = "parquet") -> Index:
@@ -56,12 +66,22 @@ def load(spark: SparkSession, path: str, fmt: str = "parquet") -> Index:
     elif fmt == "json":
         docs, postings = spark.read.schema(DOCS).json(f"{path}/docs"), spark.read.schema("term string, doc_id bigint, tf int, positions array<int>").json(f"{path}/postings")
     else:
-        parts = F.split("value", ": ", 3)
-        docs = spark.read.text(f"{path}/docs").select(F.get(parts, F.lit(0)).cast("bigint").alias("doc_id"), F.get(parts, F.lit(2)).alias("filename"), F.get(parts, F.lit(1)).cast("bigint").alias("size_bytes"))
+        names = spark.read.text(f"{path}/names").select(F.substring_index("value", ": ", 1).cast("bigint").alias("doc_id"), F.expr("substring(value, instr(value, ': ') + 2)").alias("filename"))
+        # a name may hold the separator, a size doesn't
+        size = F.substring_index("value", ": ", -1)
+        sizes = spark.read.text(f"{path}/sizes").select(F.expr("left(value, length(value) - length(substring_index(value, ': ', -1)) - 2)").alias("filename"), size.cast("bigint").alias("size_bytes"))
+        docs = names.join(sizes.dropDuplicates(["filename"]), "filename", "left").select("doc_id", "filename", "size_bytes")
         postings = read_term_lines(spark.read.text(f"{path}/postings"))
     return from_postings(docs, postings)
 
 
+def load_next_id(spark: SparkSession, path: str, fmt: str = "parquet") -> int:
+    """The doc_id that the next document of a saved index gets."""
+    if fmt == "text":
+        return int(spark.read.text(f"{path}/metadata").first().value.removeprefix("nextDocID: "))
+    return spark.read.schema("nextDocID bigint").format(fmt).load(f"{path}/metadata").first().nextDocID
+
+
 @dataclass
 class FormatMetrics:
     """What saving and loading took; rates are of the bytes on disk."""
