@@ -18,12 +18,20 @@ def initial_centroids(vectors: DataFrame, doc_ids: list[int]) -> DataFrame:
 def assign(vectors: DataFrame, centroids: DataFrame, clusters: int) -> DataFrame:
     """doc_id, cluster_id: the cluster of greatest cosine, among equals the least; documents that share no term with a centroid go to cluster 0."""
     sizes = centroids.groupBy("cluster_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("cn"))
-    dots = vectors.join(centroids, "term").groupBy("doc_id", "cluster_id").agg(F.sum(F.col("tfidf") * F.col("weight")).alias("dot"))
+    dots = vectors.join(_small(centroids), "term").groupBy("doc_id", "cluster_id").agg(F.sum(F.col("tfidf") * F.col("weight")).alias("dot"))
     near = dots.join(F.broadcast(sizes), "cluster_id").join(norms(vectors), "doc_id").withColumn("sim", F.coalesce(F.when((F.col("cn") > 0) & (F.col("norm") > 0), F.round(F.col("dot") / (F.col("cn") * F.col("norm")), 12)), F.lit(0.0)))
     best = near.where("sim > 0").groupBy("doc_id").agg(F.min_by("cluster_id", F.struct(-F.col("sim"), F.col("cluster_id"))).alias("best"))
     return vectors.select("doc_id").distinct().join(best, "doc_id", "left").select("doc_id", F.coalesce("best", F.lit(0)).cast("int").alias("cluster_id"))
 
 
+#: Rows of centroids that are broadcast, some 60 MB; more are joined, where adaptive execution splits the skewed terms of the vectors.
+BROADCAST_ROWS = 1_000_000
+
+
+def _small(centroids: DataFrame) -> DataFrame:
+    return F.broadcast(centroids) if centroids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else centroids
+
+
 def update(vectors: DataFrame, members: DataFrame, old: DataFrame) -> DataFrame:
     """The mean of each term over the members that have it; a cluster without members keeps its centroid."""
     new = vectors.join(members, "doc_id").groupBy("cluster_id", "term").agg(F.avg("tfidf").alias("weight"))

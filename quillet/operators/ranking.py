@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillet.functions.text import analyse
 from quillet.operators.index import ZONES, Index
+from quillet.session import checkpoint
 
 
 def zone_weights(index: Index) -> DataFrame:
@@ -38,10 +39,10 @@ def zone_rank(index: Index, query: str, stem: bool = False) -> DataFrame:
 
 def tfidf(index: Index) -> DataFrame:
     """doc_id, term, tfidf = tf * ln(1 + N / df), N the registered documents."""
-    tf = index.tokens.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    tf = index.frequencies
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     total = index.docs.agg(F.count("*").alias("all"))
-    # `all` is one row
+    # `all` is one row; df is broadcast by adaptive execution if its measured size allows, else a term that all documents hold is a skewed join that it splits
     return tf.join(df, "term").join(F.broadcast(total)).select("doc_id", "term", (F.col("tf") * F.log(1 + F.col("all") / F.col("df"))).alias("tfidf"))
 
 
@@ -52,6 +53,9 @@ def norms(vectors: DataFrame) -> DataFrame:
 
 def cosine(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
     """doc_a, doc_b, cosine of the given pairs; 0 if a norm is 0 or no term is shared."""
+    # both sides and the norms need the vectors of the pairs' documents alone: they are made once
+    wanted = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct()
+    vectors = checkpoint(vectors.join(wanted, "doc_id", "left_semi"))
     a = vectors.select(F.col("doc_id").alias("doc_a"), "term", F.col("tfidf").alias("x"))
     b = vectors.select(F.col("doc_id").alias("doc_b"), "term", F.col("tfidf").alias("y"))
     dots = pairs.join(a, "doc_a").join(b, ["doc_b", "term"]).groupBy("doc_a", "doc_b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
