@@ -25,45 +25,76 @@ class QueryError(ValueError):
     """A query that can't be read."""
 
 
+#: What splits a query in compat mode, and in standard mode. Fixed values.
+COMPAT, STANDARD = r"(AND|OR|NOT|\(|\))", r"([()])"
+
+
 def lex(query: str, mode: str = "compat") -> list[str]:
     if query is None or not query.strip():
         raise QueryError("the query is empty")
-    pattern = r"(AND|OR|NOT|\(|\))" if mode == "compat" else r"([()])"
-    return re.sub(pattern, r" \1 ", query).split()
+    return re.sub(COMPAT if mode == "compat" else STANDARD, r" \1 ", query).split()
+
+
+class _Reader:
+    """Reads a query by climbing precedences; each part is given in postfix form. A missing operand is an empty part, which compile_rpn() finds."""
+
+    def __init__(self, tokens: list[str], mode: str):
+        self.tokens, self.mode, self.at = tokens, mode, 0
+
+    def peek(self) -> str | None:
+        return self.tokens[self.at] if self.at < len(self.tokens) else None
+
+    def take(self, token: str) -> bool:
+        found = self.peek() == token
+        self.at += found
+        return found
+
+    def chain(self, least: int) -> list[str]:
+        """Operands joined by operators of `least` precedence or more, left to right."""
+        out = self.operand()
+        while (token := self.peek()) in ("AND", "OR") and Operator[token] >= least:
+            self.at += 1
+            out += [*self.chain(Operator[token] + 1), token]
+        return out
+
+    def group(self) -> list[str]:
+        """Chains up to the group's end; several stand side by side only in a query that can't be evaluated."""
+        out = self.chain(Operator.OR)
+        while self.peek() not in (None, ")"):
+            out += self.chain(Operator.OR)
+        return out
+
+    def operand(self) -> list[str]:
+        if self.take("NOT"):
+            if self.mode == "standard" or self.peek() not in ("(", "NOT", "AND", "OR", ")", None):
+                return [*self.operand(), "NOT"]
+            # compat: before anything but a word, NOT takes all that is left of its group
+            return [*(self.operand() if self.negated_word() else self.group()), "NOT"]
+        if self.take("("):
+            inner = self.group()
+            if not self.take(")"):
+                raise QueryError("an opening parenthesis has no partner")
+            return inner
+        token = self.peek()
+        if token in (None, ")") or token in Operator.__members__:
+            return []
+        self.at += 1
+        return [token]
+
+    def negated_word(self) -> bool:
+        """Whether NOTs and then a word come next."""
+        k = self.at
+        while k < len(self.tokens) and self.tokens[k] == "NOT":
+            k += 1
+        return k > self.at and k < len(self.tokens) and self.tokens[k] not in ("(", ")", "AND", "OR")
 
 
 def to_rpn(query: str, mode: str = "compat") -> str:
     """The query in postfix form."""
-    out: list[str] = []
-    stack: list[str] = []
-
-    def pop_not() -> None:
-        while stack and stack[-1] == "NOT":
-            out.append(stack.pop())
-
-    for token in lex(query, mode):
-        if token == "(" or token == "NOT":
-            stack.append(token)
-        elif token == ")":
-            while stack and stack[-1] != "(":
-                out.append(stack.pop())
-            if not stack:
-                raise QueryError("a closing parenthesis has no partner")
-            stack.pop()
-            if mode == "standard":
-                pop_not()
-        elif token in Operator.__members__:
-            # NOT stays: in compat it waits for a word, in standard it has been taken off by its operand
-            while stack and stack[-1] not in ("(", "NOT") and Operator[stack[-1]] >= Operator[token]:
-                out.append(stack.pop())
-            stack.append(token)
-        else:
-            out.append(token)
-            pop_not()
-    while stack:
-        if stack[-1] == "(":
-            raise QueryError("an opening parenthesis has no partner")
-        out.append(stack.pop())
+    reader = _Reader(lex(query, mode), mode)
+    out = reader.group()
+    if reader.peek() is not None:
+        raise QueryError("a closing parenthesis has no partner")
     return " ".join(out)
 
 
