@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillet.functions import codecs
 from quillet.operators import cluster, ranking, retrieval, stats, wildcard
+from quillet.operators.compressed import METHODS, compress, posting_parts
 from quillet.operators.index import Index, build_index, from_postings, index_on_disk
 from quillet.plans.boolean import to_rpn
 from quillet.session import shared_dir
@@ -79,6 +80,17 @@ over_table(
     lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", files.strip_xml("html").alias("plain")),
     "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&[a-z]+;', ' ', 'g'), '&#[0-9]+;', ' ', 'g'), '\\s+', ' ', 'g')) AS plain FROM pages",
 )
+
+
+def xml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as XML, read back as text: the id is an element that is skipped, ends of elements are spaces."""
+    legal = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x08\x0B-\x1F]", "")
+    escaped = lambda c: F.replace(F.replace(legal(F.col(c)), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    xml = F.concat(F.lit("<root><id>"), F.col("doc_id").cast("string"), F.lit("</id><title>"), escaped("lang"), F.lit("</title><text>"), escaped("text"), F.lit("</text></root>"))
+    return documents(spark, sf_dir).select("doc_id", files.xml_text(xml).alias("plain"))
+
+
+over_table("xml_documents", xml_documents, r"SELECT doc_id, ' ' || regexp_replace(coalesce(lang, ''), '[\x00-\x08\x0B-\x1F]', '', 'g') || ' ' || regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B-\x1F]', '', 'g') || '  ' AS plain FROM documents")
 over_table("xml_text", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", files.xml_text("html").alias("plain")))
 
 
@@ -114,30 +126,30 @@ over_index("rebuilt_biwords", lambda i: from_postings(i.docs, i.postings).biword
 
 
 def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that cover the table: the second is all documents, of which those of the first are skipped."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    first, more = build_index(docs.where("doc_id % 3 <> 0")), build_index(docs.where("doc_id % 2 = 0"))
-    return first.add(more).inverted
+    return build_index(docs.where("doc_id % 3 <> 0")).add(build_index(docs)).inverted
 
 
-over_table("incremental_index", incremental, TOKENS + "SELECT term, doc_id FROM inv WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0")
+over_table("incremental_index", incremental, SQL["inverted_index"])
 
 
-def incremental_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that cover the table: the second is all documents, of which those of the first are skipped."""
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    return build_index(docs.where("doc_id % 3 <> 0")).add(build_index(docs)).inverted
+def reindexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents replaced by themselves."""
+    return index_of(spark, sf_dir).reindex(index_of(spark, sf_dir)).inverted
 
 
-over_table("incremental_index_whole", incremental_whole, SQL["inverted_index"])
+over_table("reindexed", reindexed, SQL["inverted_index"])
 
 
-def on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
+def disk_of(spark: SparkSession, sf_dir: str) -> Index:
+    """The index written sorted to the shared folder, and opened."""
     import uuid
 
-    return retrieval.term_search(index_on_disk(index_of(spark, sf_dir), f"{shared_dir(spark)}/disk-{uuid.uuid4().hex}"), "from")
+    return index_on_disk(index_of(spark, sf_dir), f"{shared_dir(spark)}/disk-{uuid.uuid4().hex}")
 
 
-over_table("disk_index_search", on_disk, TOKENS + "SELECT doc_id FROM inv WHERE term = 'from'")
+over_index("disk_index_search", lambda i: retrieval.term_search(i, "from"), "SELECT doc_id FROM inv WHERE term = 'from'", make=disk_of)
 
 # lookup and boolean retrieval
 over_index("term_search", lambda i: retrieval.term_search(i, "with"), "SELECT doc_id FROM inv WHERE term = 'with'")
@@ -152,7 +164,8 @@ over_table("boolean_rpn", lambda s, d: s.createDataFrame([(q, to_rpn(q)) for q i
 over_index("phrase_biword", lambda i: retrieval.phrase_search(i, "of the and", "biword"), "SELECT doc_id FROM bi WHERE biword IN ('of the', 'the and') GROUP BY doc_id HAVING count(*) = 2")
 PHRASE = "SELECT DISTINCT x.doc_id FROM tokens x JOIN tokens y ON x.doc_id = y.doc_id AND y.pos = x.pos + 1 JOIN tokens z ON x.doc_id = z.doc_id AND z.pos = x.pos + 2 WHERE x.term = '{}' AND y.term = '{}' AND z.term = '{}'"
 over_index("phrase_positional", lambda i: retrieval.phrase_search(i, "Of, the -- and!"), PHRASE.format("of", "the", "and"))
-over_index("phrase_disk", lambda i: retrieval.phrase_search(i, "is of the", raw=True), PHRASE.format("is", "of", "the"))
+over_index("phrase_disk", lambda i: retrieval.phrase_search(i, "is of the", raw=True), PHRASE.format("is", "of", "the"), make=disk_of)
+over_index("phrase_disk_biword", lambda i: retrieval.phrase_search(i, "of the and", "biword"), SQL["phrase_biword"].removeprefix(TOKENS), make=disk_of)
 NEAR = "SELECT x.doc_id, x.pos AS position1, y.pos AS position2, CAST(abs(y.pos - x.pos) AS INTEGER) AS distance FROM tokens x JOIN tokens y ON x.doc_id = y.doc_id WHERE x.term = 'with' AND y.term = 'from' AND abs(y.pos - x.pos) <= 4"
 over_index("proximity_detailed", lambda i: retrieval.proximity_matches(i, "with", "from", 4), NEAR)
 over_index("proximity_docs", lambda i: retrieval.proximity_docs(i, "with", "from", 4), f"SELECT DISTINCT doc_id FROM ({NEAR})")
@@ -165,6 +178,11 @@ for _name, _query, _strategy, _like in (
     ("wildcard_permuterm_suffix", "*ouer", "permuterm", "%ouer"), ("wildcard_trigram_prefix", "tho*", "three_gram", "tho%"), ("wildcard_exact", "with", "permuterm", "with"),
 ):
     over_index(_name, lambda i, q=_query, s=_strategy: wildcard.wildcard_search(i, q, s), f"SELECT term, doc_id FROM inv WHERE term LIKE '{_like}'")
+for _name, _query, _strategy, _like in (("disk_prefix", "tho*", "btree", "tho%"), ("disk_suffix", "*ouer", "btree", "%ouer"), ("disk_rotation", "th*ou", "permuterm", "th%ou"), ("disk_wildcard_multi", "t*io*ed", "three_gram", "t%io%ed")):
+    over_index(_name, lambda i, q=_query, s=_strategy: wildcard.wildcard_search(i, q, s), f"SELECT term, doc_id FROM inv WHERE term LIKE '{_like}'", make=disk_of)
+over_index("disk_predicate", lambda i: wildcard.terms_where(i, F.length("term") > 12), "SELECT term FROM lex WHERE length(term) > 12", make=disk_of)
+over_index("disk_proximity", lambda i: retrieval.proximity_docs(i, "with", "from", 4), f"SELECT DISTINCT doc_id FROM ({NEAR})", make=disk_of)
+over_index("disk_lexicon", lambda i: i.lexicon, SQL["lexicon"].removeprefix(TOKENS), make=disk_of)
 over_index("wildcard_question", lambda i: wildcard.wildcard_search(i, "th?s", "scan", single=True), "SELECT term, doc_id FROM inv WHERE term LIKE 'th_s'")
 over_index("wildcard_all_terms", lambda i: wildcard.wildcard_terms(i, "*"), "SELECT term FROM lex")
 
@@ -200,7 +218,22 @@ def one_update(index: Index) -> DataFrame:
 
 over_index("kmeans_assign_step", lambda i: one_assign(i)[2], SEED_SQL + " SELECT doc_id, cluster_id FROM m")
 over_index("kmeans_centroid_step", one_update, SEED_SQL + " SELECT cluster_id, term, round(avg(tfidf), 6) AS weight FROM vec JOIN m USING (doc_id) GROUP BY cluster_id, term")
-over_index("kmeans", lambda i: cluster.kmeans(ranking.tfidf(i), 3, 5, SEEDS))
+
+
+def kmeans_sql(rounds: int) -> str:
+    """The rounds written out: each assigns and takes means. Rounds after the last move give the same, so none need stop."""
+    out = f", {NORMS}, c0 AS (SELECT CAST(s.k AS INTEGER) AS cluster_id, term, tfidf AS weight FROM vec JOIN (VALUES (1, 0), (3, 1), (5, 2)) s(d, k) ON doc_id = s.d)"
+    for k in range(rounds):
+        if k:
+            out += f", c{k} AS (SELECT cluster_id, term, avg(tfidf) AS weight FROM vec JOIN m{k - 1} USING (doc_id) GROUP BY cluster_id, term UNION ALL SELECT cluster_id, term, weight FROM c{k - 1} WHERE cluster_id NOT IN (SELECT cluster_id FROM m{k - 1}))"
+        out += f", cn{k} AS (SELECT cluster_id, sqrt(sum(weight * weight)) AS n FROM c{k} GROUP BY cluster_id)"
+        out += f", sims{k} AS (SELECT doc_id, cluster_id, round(sum(tfidf * weight) / (any_value(nrm.n) * any_value(cn{k}.n)), 12) AS sim FROM vec JOIN c{k} USING (term) JOIN cn{k} USING (cluster_id) JOIN nrm USING (doc_id) GROUP BY doc_id, cluster_id)"
+        out += f", m{k} AS (SELECT v.doc_id, CAST(coalesce(b.cluster_id, 0) AS INTEGER) AS cluster_id FROM (SELECT DISTINCT doc_id FROM vec) v LEFT JOIN (SELECT doc_id, cluster_id FROM sims{k} WHERE sim > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, cluster_id) = 1) b ON v.doc_id = b.doc_id)"
+    return out
+
+
+over_index("kmeans", lambda i: cluster.kmeans(ranking.tfidf(i), 3, 5, SEEDS), kmeans_sql(5) + " SELECT doc_id, cluster_id FROM m4")
+over_index("cluster_sizes", lambda i: cluster.cluster_sizes(cluster.kmeans(ranking.tfidf(i), 3, 5, SEEDS)), kmeans_sql(5) + " SELECT cluster_id, count(*) AS docs FROM m4 GROUP BY cluster_id")
 
 # statistics
 for _kind in ("index", "matrix"):
@@ -229,11 +262,10 @@ over_index("gap_roundtrip", stats.roundtrip_errors, "SELECT CAST(0 AS BIGINT) AS
 
 
 def code_bytes(index: Index) -> DataFrame:
-    """Both byte codes of each term's documents, decoded again: whether they are the same, and the sizes."""
-    ids = index.inverted.groupBy("term").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
-    coded = ids.withColumns({"v": codecs.vbyte_encode("ids", gaps=True), "g": codecs.gamma_encode("ids", gaps=True)})
+    """Both byte codes of each term's documents by ranges of ids, decoded again: whether they are the same, and the sizes."""
+    coded = posting_parts(index.inverted).withColumns({"v": codecs.vbyte_encode("ids", gaps=True), "g": codecs.gamma_encode("ids", gaps=True)})
     same = (codecs.vbyte_decode("v", gaps=True) == F.col("ids")) & (codecs.gamma_decode("g", gaps=True) == F.col("ids"))
-    return coded.select("term", F.octet_length("v").cast("long").alias("vbyte"), F.octet_length("g").cast("long").alias("gamma"), same.alias("same"))
+    return coded.groupBy("term").agg(F.sum(F.octet_length("v").cast("long")).alias("vbyte"), F.sum(F.octet_length("g").cast("long")).alias("gamma"), F.bool_and(same).alias("same"))
 
 
 over_index("code_bytes", code_bytes, GAPS + "SELECT term, CAST(sum(greatest(1, ceil(length(bin(gap)) / 7.0))) AS BIGINT) AS vbyte, CAST(4 + ceil(sum(2 * length(bin(gap + 1)) - 1) / 8.0) AS BIGINT) AS gamma, true AS same FROM g GROUP BY term")
@@ -266,4 +298,18 @@ def measured_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 over_table("measured_formats", measured_formats)
-over_table("stemmed_search", lambda s, d: retrieval.term_search(build_index(documents(s, d).select("doc_id", "text"), stem=True), "thing"))
+
+
+def compressed(method: str) -> Callable[[Index], DataFrame]:
+    """The index coded and decoded again."""
+    return lambda i: compress(i, method).inverted()
+
+
+for _method in METHODS:
+    over_index(f"compressed_{_method}", compressed(_method), "SELECT term, doc_id FROM inv")
+over_index("compressed_search", lambda i: compress(i, "gamma").term_search("with"), "SELECT doc_id FROM inv WHERE term = 'with'")
+over_index("compressed_terms", lambda i: compress(i).terms(), "SELECT term FROM lex")
+over_index("compressed_sizes", lambda i: compress(i).sizes(), FRONT + GAPS + """, d AS (SELECT CAST(sum(original) AS BIGINT) AS od, CAST(sum(length(code)) AS BIGINT) AS cd FROM fc), o AS (SELECT CAST(count(*) * 4 AS BIGINT) AS op, CAST(sum(greatest(1, ceil(length(bin(gap)) / 7.0))) AS BIGINT) AS cp FROM g)
+SELECT od AS original_dictionary, cd AS coded_dictionary, op AS original_postings, cp AS coded_postings, round((cd + cp) * 100.0::DOUBLE / (od + op), 4) AS ratio FROM d, o""")
+# the SQL lists the endings that the stemmer takes off `thing`
+over_table("stemmed_search", lambda s, d: retrieval.term_search(build_index(documents(s, d).select("doc_id", "text"), stem=True), "thing"), TOKENS + "SELECT DISTINCT doc_id FROM inv WHERE regexp_full_match(term, 'thing(e|s|es|ed|ing|ings|ly|edly|ingly|lying|lyed)?')")

@@ -1,8 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillet.operators import cluster, ranking, retrieval, stats, wildcard
-from quillet.operators.index import Index, build_index, index_on_disk
+from quillet.functions import codecs
+from quillet.operators import cluster, measure, ranking, retrieval, stats, wildcard
+from quillet.operators.compressed import METHODS, compress
+from quillet.operators.index import VIEWS, Index, build_index, disk_statistics, index_on_disk
 from quillet.sources import files, storage
 from quillet.streaming.tokens import index_stream
 
@@ -103,6 +105,7 @@ def test_save_load(spark, index, tmp_path, fmt):
     back = storage.load(spark, str(tmp_path / fmt), fmt)
     assert sorted(back.tokens.select("doc_id", "pos", "term").collect()) == sorted(index.tokens.collect())
     assert sorted(back.docs.collect()) == sorted(index.docs.collect())
+    assert storage.load_next_id(spark, str(tmp_path / fmt), fmt) == 8
     with pytest.raises(ValueError):
         storage.save(index, str(tmp_path), "xls")
 
@@ -118,11 +121,76 @@ def test_disk_index_prunes(spark, index, tmp_path):
     assert "StringStartsWith(term,mo)" in plan
 
 
+def test_disk_index_has_all_views(spark, index, tmp_path):
+    """What an opened index answers, and that none of it opens positions but where places are asked for."""
+    disk = index_on_disk(index, str(tmp_path), 2)
+    for name in (*VIEWS, "inverted", "postings", "terms", "frequencies", "tokens"):
+        ours, theirs = getattr(disk, name), getattr(index, name)
+        assert sorted(map(str, ours.select(*sorted(ours.columns)).collect())) == sorted(map(str, theirs.select(*sorted(ours.columns)).collect())), name
+    reads = lambda df: [x for x in df._jdf.queryExecution().toString().splitlines() if "ReadSchema" in x]
+    for df in (retrieval.term_search(disk, "moon"), wildcard.prefix_terms(disk, "mo"), wildcard.suffix_terms(disk, "ing"), wildcard.trigram_terms(disk, "m*o*n"), retrieval.phrase_search(disk, "the moon", "biword"), disk.lexicon):
+        assert reads(df) and not any("positions" in x for x in reads(df))
+    assert ids(retrieval.phrase_search(disk, "common with the")) == [2] and ids(retrieval.proximity_docs(disk, "with", "common", 2)) == [2, 3]
+    assert [r.term for r in wildcard.terms_where(disk, F.length("term") > 6).collect()] == ["morning", "singing"]
+    sizes = disk_statistics(spark, str(tmp_path))
+    assert all(sizes[f"{n}_files"] > 0 and sizes[f"{n}_bytes"] > 0 for n in ("docs", "postings", *VIEWS))
+    assert stats.measured_build(index, str(tmp_path / "again"))["megabytes_per_second"] > 0
+
+
+def test_rows_make_what_tokens_make(index):
+    """An index of a token table from elsewhere gives the same tables as one of documents."""
+    other = Index(index.docs, index.tokens)
+    for name in ("inverted", "postings", "biwords", "lexicon", "frequencies"):
+        assert sorted(map(str, getattr(other, name).collect())) == sorted(map(str, getattr(index, name).collect())), name
+    for name in ("inverted", "postings", "biwords"):
+        assert "Exchange" not in getattr(index, name)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("method", METHODS)
+def test_compressed(index, method):
+    small = compress(index, method, block=3, width=2)  # terms of several parts
+    assert sorted(small.inverted().collect()) == sorted(index.inverted.collect()) and ids(small.term_search("moon")) == [1, 2]
+    assert sorted(r.term for r in small.terms().collect()) == sorted(r.term for r in index.terms.collect())
+    sizes = small.sizes().first()
+    assert sizes.original_postings == 4 * index.inverted.count() and 0 < sizes.ratio < 400
+    with pytest.raises(ValueError):
+        compress(index, "zip")
+
+
+def test_gaps_over_ranges(spark):
+    """A term that all documents hold goes over several ranges."""
+    pairs = spark.range(4000).selectExpr("if(id % 10 = 0, concat('t', id % 7), 'all') as term", "id as doc_id")
+    gaps = codecs.posting_gaps(pairs)
+    got, last = {}, {}
+    for term, doc in sorted((r.term, r.doc_id) for r in pairs.collect()):
+        got[term, doc] = doc - last.get(term, 0)
+        last[term] = doc
+    assert {(r.term, r.doc_id): r.gap for r in gaps.collect()} == got
+    assert sorted(codecs.undo_gaps(gaps).collect()) == sorted((t, d) for t, d in got)
+
+
+def test_search_and_codec_times(index):
+    found = measure.search_times(index, ["moon", "the"], warm=0, runs=1).collect()
+    assert len(found) == 10 and sum(r.winner for r in found) == 5 and all(r.micros > 0 for r in found)
+    assert {r.method: r.correct for r in measure.codec_times(index, runs=1).collect()} == {"vbyte": True, "gamma": True}
+    assert measure.trimmed_mean([9.0, 1.0, 2.0, 4.0]) == 3.0 and measure.trimmed_mean([1.0, 2.0]) == 1.5
+    for kind, own in (("term", ["moon"]), ("and", ["moon", "the"]), ("or", ["moon", "sun"]), ("not", ["the"])):
+        by_index = {"term": retrieval.term_search, "not": retrieval.not_search, "and": retrieval.and_search, "or": retrieval.or_search}[kind](index, *own)
+        assert ids(measure._matrix_hits(index, kind, own)) == ids(by_index)
+
+
+def test_reindex(spark, index):
+    more = build_index(spark.createDataFrame([(2, "new words"), (9, "moon")], "doc_id bigint, text string"))
+    new = index.reindex(more)
+    assert ids(retrieval.term_search(new, "moon")) == [1, 9] and ids(retrieval.term_search(new, "words")) == [2] and new.docs.count() == 8
+    assert index.without(index.docs).docs.count() == index.without(index.docs).inverted.count() == 0
+
+
 def test_stats(index):
     assert stats.stats(index, "positional").first().occurrences == index.tokens.count()
     assert stats.top_terms(index, 1).first().term in ("common", "moon", "morning", "the", "with")
     assert stats.roundtrip_errors(index).first().wrong == 0
-    assert stats.build_metadata(10, 5, 100, 20) == {"avg_terms_per_doc": 2.0, "compression_ratio": 20.0} and stats.build_metadata(1, 0, 0, 1)["compression_ratio"] == 0.0
+    assert stats.build_metadata(10, 5, 100, 20) == {"avg_terms_per_doc": 2.0, "compression_ratio": 20.0, "megabytes_per_second": 0.0} and stats.build_metadata(1, 0, 0, 1)["compression_ratio"] == 0.0
     with pytest.raises(ValueError):
         stats.top_terms(index, 0)
 
