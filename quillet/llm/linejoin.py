@@ -103,37 +103,35 @@ def need(n: np.ndarray) -> np.ndarray:
     return -(-PERCENT * n // 100)
 
 
-KINDS = ["kind", "d1", "d2", "id", "no"]
+KINDS = ["kind", "d1", "d2", "id", "no", "counts"]
 
 
 def with_lines(rows: DataFrame) -> DataFrame:
-    """Rows of kind 0: digest, id and number of the first line of each set in a block; of kind 1: the block's other lines; of kind 2: a word (d1) and its count (d2)."""
+    """Rows of kind 0: digest, id and number of the first line of each set in a block; of kind 1: the block's other lines; of kind 2: a piece (d1) of the counts of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, held = Counter(), []
 
-        def counts(x: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-            zero = np.zeros(len(x[0]), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32) + 2), *(pa.array(c, pa.int64()) for c in (x[0], x[1], zero, zero))], names=KINDS)
-
         def flush() -> pa.RecordBatch:
             lines = np.concatenate([np.zeros((4, 0), np.int64), *held], axis=1)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(earlier(lines).astype(np.int32)), *(pa.array(x) for x in lines)], names=KINDS)
+            return pa.RecordBatch.from_arrays([pa.array(earlier(lines).astype(np.int32)), *(pa.array(x) for x in lines), pa.nulls(lines.shape[1], pa.binary())], names=KINDS)
 
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for t in slices(batch.column(1)):
                 own = Lines(t)
-                yield from map(counts, counter.add(own.words << U(16)))
+                counter.add(own.words << U(16))
                 doc = own.docs()
                 held.append(np.stack([own.d1.view(np.int64), own.d2.view(np.int64), ids[t.lo + doc], own.which - own.texts[doc]]))
                 if sum(x.shape[1] for x in held) >= BLOCK:
                     yield flush()
         yield flush()
-        yield counts(counter.flush())
+        numbers, counts = counter.pieces()
+        zero = np.zeros(len(numbers), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32) + 2), *(pa.array(c, pa.int64()) for c in (numbers, zero, zero, zero)), pa.array(counts, pa.binary())], names=KINDS)
 
-    return rows.select("id", "text").mapInArrow(run, "kind int, d1 bigint, d2 bigint, id bigint, no bigint")
+    return rows.select("id", "text").mapInArrow(run, "kind int, d1 bigint, d2 bigint, id bigint, no bigint, counts binary")
 
 
 def by_key(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[pa.Table]:
@@ -418,7 +416,7 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def met_lines(rows: DataFrame, lines: Stored, limits: tuple[int, int]) -> DataFrame:
     """d1, keys: the sets that meet others, and the lists that stand for all in which they do."""
-    rarity = top(lines.df.where("kind = 2").select(F.col("d1").alias("h"), F.col("d2").alias("n")), COUNTED)
+    rarity = top(lines.df.where("kind = 2").select(F.col("d1").alias("part"), "counts"), COUNTED)
     entries = line_prefixes(rows, rarity).repartition("key").sortWithinPartitions("key")
     met = entries.mapInArrow(lambda b: meeting(b, *limits), "key bigint, d1 bigint, others bigint").groupBy("d1", "others").agg(F.min("key").alias("key"))
     return met.groupBy("d1").agg(F.collect_set("key").alias("keys"))

@@ -5,8 +5,8 @@ class 0. A key holds the class in its upper 8 bits and the upper 56 bits of the
 joins stay exact under any shared order; the counts only decide how short the inverted lists of a prefix are, so it does no harm that a rare token may
 share a frequent one's bucket.
 
-Counts cover all tokens of all documents: each task counts its tokens in blocks of BLOCK and sends the buckets seen LOCAL times in a block;
-the sums are added up. The driver and every task hold a byte for each bucket, whatever the number of tokens.
+Counts cover all tokens of all documents, and none is left out: each task adds up its tokens in an array of 2**BITS counts and sends it in PARTS pieces, a few megabytes a task; the pieces are added up,
+piece by piece. The driver and every task hold a byte for each bucket, whatever the number of tokens.
 """
 
 from __future__ import annotations
@@ -16,12 +16,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quillet.llm.bytesview import U, Texts, slices
 
-BITS = 20
-BLOCK, LOCAL, MIN_COUNT = 4_000_000, 8, 64
+BITS, PARTS = 20, 256
+#: Tokens that are counted at once; the least count that has a class.
+BLOCK, MIN_COUNT = 1_000_000, 64
 
 
 class Rarity:
@@ -35,33 +35,51 @@ class Rarity:
 
 
 class Counter:
-    """Counts tokens by bucket in blocks of BLOCK; gives the buckets seen LOCAL times or more in a block, with their counts."""
+    """Counts a task's tokens by bucket."""
 
     def __init__(self):
-        self.parts, self.size = [], 0
+        self.parts, self.size, self.counts = [], 0, np.zeros(1 << BITS, np.int64)
 
-    def add(self, tokens: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    def add(self, tokens: np.ndarray) -> None:
         self.parts.append((tokens >> U(64 - BITS)).astype(np.int32))
         self.size += len(tokens)
-        return [self.flush()] if self.size >= BLOCK else []
+        if self.size >= BLOCK:
+            self._settle()
 
-    def flush(self) -> tuple[np.ndarray, np.ndarray]:
-        counts = np.bincount(np.concatenate([np.zeros(0, np.int32), *self.parts]), minlength=1)
+    def _settle(self) -> None:
+        if self.parts:
+            self.counts += np.bincount(np.concatenate(self.parts), minlength=1 << BITS)
         self.parts, self.size = [], 0
-        often = np.flatnonzero(counts >= LOCAL)
-        return often, counts[often]
+
+    def pieces(self) -> tuple[np.ndarray, list[bytes]]:
+        """Numbers of the pieces that hold a count, and the pieces as 32-bit numbers (a task has fewer tokens)."""
+        self._settle()
+        own = np.minimum(self.counts, (1 << 32) - 1).astype("<u4").reshape(PARTS, -1)
+        some = np.flatnonzero(own.any(1))
+        return some, [own[k].tobytes() for k in some.tolist()]
 
 
 def class_of(times: np.ndarray | float) -> np.ndarray:
     return np.clip(np.floor(np.log2(np.maximum(times, 1)) * 4).astype(np.int64), 1, 126)
 
 
-def top(counts: DataFrame, min_count: int = MIN_COUNT) -> Rarity:
-    """The order of the tokens from all blocks' counts (h, n): a row for each bucket at most comes to the driver, two million bytes."""
-    best = counts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).toArrow()
-    classes = np.zeros(1 << BITS, np.uint8)
-    classes[best.column("h").to_numpy()] = class_of(best.column("n").to_numpy().astype(np.float64))
-    return Rarity(classes)
+def classes(batches: Iterator[pa.RecordBatch], min_count: int) -> Iterator[pa.RecordBatch]:
+    """part, counts: all pieces of some parts. Gives each part's classes."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own = np.frombuffer(counts.as_buffer(), "<u4").astype(np.int64)
+            sums[part] = sums[part] + own if part in sums else own
+    found = [np.where(x >= min_count, class_of(x.astype(np.float64)), 0).astype(np.uint8).tobytes() for x in sums.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(found, pa.binary())], names=["part", "classes"])
+
+
+def top(pieces: DataFrame, min_count: int = MIN_COUNT) -> Rarity:
+    """The order of the tokens from all tasks' pieces (part, counts): a byte for each bucket comes to the driver."""
+    out = np.zeros((PARTS, (1 << BITS) // PARTS), np.uint8)
+    for part, own in zip(*pieces.repartition("part").mapInArrow(lambda b: classes(b, min_count), "part bigint, classes binary").toArrow().to_pydict().values(), strict=True):
+        out[part] = np.frombuffer(own, np.uint8)
+    return Rarity(out.ravel())
 
 
 def frequent(docs: DataFrame, text: str, tokens: Callable[[Texts], np.ndarray]) -> Rarity:
@@ -69,13 +87,13 @@ def frequent(docs: DataFrame, text: str, tokens: Callable[[Texts], np.ndarray])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter()
-        batch_of = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0], pa.int64()), pa.array(x[1], pa.int64())], names=["h", "n"])
         for batch in batches:
             for t in slices(batch.column(0)):
-                yield from map(batch_of, counter.add(tokens(t)))
-        yield batch_of(counter.flush())
+                counter.add(tokens(t))
+        numbers, counts = counter.pieces()
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(counts, pa.binary())], names=["part", "counts"])
 
-    return top(docs.select(text).mapInArrow(run, "h bigint, n bigint"))
+    return top(docs.select(text).mapInArrow(run, "part bigint, counts binary"))
 
 
 def sort_within(values: np.ndarray, group: np.ndarray) -> np.ndarray:
