@@ -1,12 +1,13 @@
 """An order of tokens by rarity that every task shares.
 
-Tokens (64-bit hashes) fall into BUCKETS by their upper bits; a bucket has a class by the count of its tokens (in quarters of a doubling, from MIN_COUNT on), else
-class 0. A key holds the class in its upper 8 bits and the upper 56 bits of the hash below, so that sorting keys puts rare tokens first. Set
+Tokens (64-bit hashes) fall into 2**BITS buckets by their upper bits. All buckets share the rare tokens about evenly, so the median bucket shows what these amount to; by how much a bucket exceeds the
+median and its chance variation is taken for the count of a frequent token, and gives the bucket's class (in quarters of a doubling, from MIN_COUNT on); others have class 0. So the
+frequent tokens stand out however large the corpus is. A key holds the class in its upper 8 bits and the upper 56 bits of the hash below, so that sorting keys puts rare tokens first. Set
 joins stay exact under any shared order; the counts only decide how short the inverted lists of a prefix are, so it does no harm that a rare token may
 share a frequent one's bucket.
 
 Counts cover all tokens of all documents, and none is left out: each task adds up its tokens in an array of 2**BITS counts and sends it in PARTS pieces, a few megabytes a task; the pieces are added up,
-piece by piece. The driver and every task hold a byte for each bucket, whatever the number of tokens.
+piece by piece. The driver gets eight bytes for each bucket, and every task one, whatever the number of tokens.
 """
 
 from __future__ import annotations
@@ -63,23 +64,29 @@ def class_of(times: np.ndarray | float) -> np.ndarray:
     return np.clip(np.floor(np.log2(np.maximum(times, 1)) * 4).astype(np.int64), 1, 126)
 
 
-def classes(batches: Iterator[pa.RecordBatch], min_count: int) -> Iterator[pa.RecordBatch]:
-    """part, counts: all pieces of some parts. Gives each part's classes."""
-    sums: dict[int, np.ndarray] = {}
+def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """part, counts: all pieces of some parts. Gives each part's sums."""
+    found: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             own = np.frombuffer(counts.as_buffer(), "<u4").astype(np.int64)
-            sums[part] = sums[part] + own if part in sums else own
-    found = [np.where(x >= min_count, class_of(x.astype(np.float64)), 0).astype(np.uint8).tobytes() for x in sums.values()]
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(found, pa.binary())], names=["part", "classes"])
+            found[part] = found[part] + own if part in found else own
+    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([x.tobytes() for x in found.values()], pa.binary())], names=["part", "counts"])
 
 
 def top(pieces: DataFrame, min_count: int = MIN_COUNT) -> Rarity:
-    """The order of the tokens from all tasks' pieces (part, counts): a byte for each bucket comes to the driver."""
-    out = np.zeros((PARTS, (1 << BITS) // PARTS), np.uint8)
-    for part, own in zip(*pieces.repartition("part").mapInArrow(lambda b: classes(b, min_count), "part bigint, classes binary").toArrow().to_pydict().values(), strict=True):
-        out[part] = np.frombuffer(own, np.uint8)
-    return Rarity(out.ravel())
+    """The order of the tokens from all tasks' pieces (part, counts): 8 MB come to the driver."""
+    counts = np.zeros((PARTS, (1 << BITS) // PARTS), np.int64)
+    for part, own in zip(*pieces.repartition("part").mapInArrow(sums, "part bigint, counts binary").toArrow().to_pydict().values(), strict=True):
+        counts[part] = np.frombuffer(own, np.int64)
+    return Rarity(ranks(counts.ravel(), min_count))
+
+
+def ranks(counts: np.ndarray, min_count: int) -> np.ndarray:
+    """The buckets' classes."""
+    usual = float(np.median(counts))
+    above = counts - usual - 4 * usual**0.5
+    return np.where(above >= min_count, class_of(above), 0).astype(np.uint8)
 
 
 def frequent(docs: DataFrame, text: str, tokens: Callable[[Texts], np.ndarray]) -> Rarity:

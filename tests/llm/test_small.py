@@ -118,6 +118,27 @@ def test_op7_edges(spark, none):
     assert sorted(ngramjoin.jaccard_components(odd).collect(), key=str) == sorted([(None, 1, None), (None, 1, None), (4, 1, 2), (4, 1, 2), (2, 1, 2), (3, 0, 3)], key=str)
 
 
+def test_rarity_at_any_size():
+    """Rare tokens in full buckets aren't taken for frequent ones; frequent tokens are, and are ordered by count."""
+    from quillet.llm import rarity
+
+    rng = np.random.default_rng(0)
+    for usual in (0, 150, 10_000_000):
+        counts = rng.poisson(usual, 1 << rarity.BITS)
+        counts[7] += 1_000_000
+        counts[8] += 300_000
+        own = rarity.ranks(counts, 64)
+        assert own[7] > own[8] > 0 and (own > 0).sum() < 100
+    counter = rarity.Counter()
+    tokens = rng.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2)
+    counter.add(tokens)
+    parts, pieces = counter.pieces()
+    total = np.zeros((rarity.PARTS, (1 << rarity.BITS) // rarity.PARTS), np.int64)
+    for k, piece in zip(parts, pieces, strict=True):
+        total[k] = np.frombuffer(piece, "<u4")
+    assert (total.ravel() == np.bincount((tokens >> np.uint64(64 - rarity.BITS)).astype(np.int64), minlength=1 << rarity.BITS)).all()
+
+
 @pytest.mark.parametrize("threshold", [1, 2, 3, 5])
 def test_divide_skip(threshold):
     rng = np.random.default_rng(threshold)
