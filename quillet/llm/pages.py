@@ -63,17 +63,16 @@ ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 SCOPES = {"ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "select", "body", "html", "article", "div", "section", "main"}
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|<|[^<]+", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
-SPACE = re.compile(r"\s+")
 
 
 class Node:
     """An element: tag, the name it is matched by, attributes, and children (elements and texts)."""
 
-    __slots__ = ("attrs", "children", "digest", "key", "kids", "parent", "plains", "size", "tag")
+    __slots__ = ("attrs", "children", "digest", "key", "kids", "once", "parent", "plains", "size", "tag", "texts")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None = None):
         self.tag, self.attrs, self.children, self.kids, self.plains, self.parent = tag, attrs, [], None, None, parent
-        self.digest, self.size = None, 0
+        self.digest, self.size, self.once, self.texts = None, 0, None, None
         self.key = (tag, attrs.get("class", ""))
 
 
@@ -168,15 +167,38 @@ def seal(root: Node) -> None:
         node.size = sum(1 if isinstance(x, str) else x.size for x in children(node))
 
 
-def anchors(x: list[Node | str], y: list[Node | str]) -> list[tuple[int, int]]:
-    """Places of equal subtrees with text that both lists have once, as many as keep order."""
+def text_places(node: Node) -> list[tuple[int, int]]:
+    """The text nodes of a subtree, as (element, place), in an order that equal subtrees share."""
+    if node.texts is None:
+        node.texts, todo = [], [node]
+        while todo:
+            x = todo.pop()
+            own = id(x)
+            for place, y in enumerate(children(x)):
+                if isinstance(y, str):
+                    node.texts.append((own, place))
+                else:
+                    todo.append(y)
+    return node.texts
+
+
+def singles(node: Node) -> dict[str | int, int]:
+    """Places of the children with text that equal no other child, by their text or digest."""
+    if node.once is None:
+        marks = [x.digest if y is None and x.size else y for x, y in zip(children(node), plain_texts(node), strict=True)]
+        times = Counter(marks)
+        node.once = {k: p for p, k in enumerate(marks) if k is not None and times[k] == 1}
+    return node.once
+
+
+def anchors(a: Node, b: Node) -> list[tuple[int, int]]:
+    """Places of equal subtrees with text that the children of both nodes have once, as many as keep order."""
+    x, y = children(a), children(b)
     if len(x) < 2 or len(y) < 2:
         return []
-    mark = lambda k: plain(k) if isinstance(k, str) else k.digest if k.size else None
-    own, other = [mark(k) for k in x], [mark(k) for k in y]
-    once_x, once_y = Counter(own), Counter(other)
-    place = {k: q for q, k in enumerate(other) if once_y[k] == 1}
-    both = [(p, place[k]) for p, k in enumerate(own) if k is not None and once_x[k] == 1 and k in place and alike(x[p], y[place[k]])]
+    own, other = singles(a), singles(b)
+    common = own.keys() & other.keys()
+    both = sorted((own[k], other[k]) for k in common if alike(x[own[k]], y[other[k]]))
     ends: list[int] = []
     last: list[int] = []
     before = [-1] * len(both)
@@ -191,23 +213,29 @@ def anchors(x: list[Node | str], y: list[Node | str]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def match(a: Node, b: Node, pairs: list[tuple[int, int, bool]], memo: dict[tuple[int, int], int]) -> None:
-    """Align two matched nodes and go down; pairs gets the texts (node, place) that have a partner, and whether it is the same text."""
+def match(a: Node, b: Node, same: list[tuple[int, int]], other: list[tuple[int, int]], memo: dict[tuple[int, int], int]) -> None:
+    """Align two matched nodes and go down; same and other get the texts (node, place) whose partners are the same text, or another one."""
     todo = [(a, b)]
     while todo:
         a, b = todo.pop()
+        if a.digest is not None and a.digest == b.digest:  # equal subtrees match node by node
+            same += text_places(a)
+            continue
         x, y = children(a), children(b)
-        for p, q in aligned(x, y, memo):
+        for p, q in aligned(a, b, memo):
             if isinstance(x[p], str):
-                pairs.append((id(a), p, plain_texts(a)[p] == plain_texts(b)[q]))
+                (same if plain_texts(a)[p] == plain_texts(b)[q] else other).append((id(a), p))
             else:
                 todo.append((x[p], y[q]))
 
 
-def aligned(x: list[Node | str], y: list[Node | str], memo: dict[tuple[int, int], int]) -> list[tuple[int, int]]:
-    """Places of partners in two lists of children."""
+def aligned(a: Node, b: Node, memo: dict[tuple[int, int], int]) -> list[tuple[int, int]]:
+    """Places of partners among the children of two nodes."""
+    x, y = children(a), children(b)
+    if len(x) == len(y) == 1:
+        return [(0, 0)] if alike(x[0], y[0]) else []
     found, at = [], (0, 0)
-    for p, q in [*anchors(x, y), (len(x), len(y))]:
+    for p, q in [*anchors(a, b), (len(x), len(y))]:
         u, v = x[at[0] : p], y[at[1] : q]
         i = 0
         while i < len(u) and i < len(v) and alike(u[i], v[i]):  # equal ends need no table
@@ -276,7 +304,7 @@ def nodes(root: Node) -> dict[int, Node]:
 
 
 def plain(text: str) -> str:
-    return SPACE.sub(" ", text).strip()
+    return " ".join(text.split())
 
 
 def template_votes(page: Node, references: list[Node]) -> tuple[set[tuple[int, int]], set[tuple[int, int]]]:
@@ -286,18 +314,21 @@ def template_votes(page: Node, references: list[Node]) -> tuple[set[tuple[int, i
     """
     own = nodes(page)
     total = sum(len(x) for node in own.values() for x in children(node) if isinstance(x, str))
-    votes: dict[tuple[int, int], tuple[int, int]] = {}
+    votes: dict[tuple[int, int], list[int]] = {}
     counted = 0
     for ref in references:
-        pairs: list[tuple[int, int, bool]] = []
-        match(page, ref, pairs, {})
-        if 2 * sum(len(children(own[node])[place]) for node, place, same in pairs if same) > total:
+        same: list[tuple[int, int]] = []
+        other: list[tuple[int, int]] = []
+        match(page, ref, same, other, {})
+        if 2 * sum(len(children(own[node])[place]) for node, place in same) > total:
             continue
         counted += 1
-        for node, place, same in pairs:
-            yes, all_ = votes.get((node, place), (0, 0))
-            votes[node, place] = (yes + same, all_ + 1)
-    outside = {k for k, (same, partners) in votes.items() if same >= 2 or 2 * same > partners}
+        for k, yes in ((same, 1), (other, 0)):
+            for text in k:
+                vote = votes.setdefault(text, [0, 0])
+                vote[0] += yes
+                vote[1] += 1
+    outside = {k for k, (yes, partners) in votes.items() if yes >= 2 or 2 * yes > partners}
     return outside, {k for k in outside if votes[k][0] >= max(2, -(-3 * counted // 4))}
 
 

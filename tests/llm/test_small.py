@@ -771,6 +771,29 @@ def test_tree_matching():
     assert pages.weight(a, b, {}) == brute_matching(a, b)
 
 
+def test_equal_subtrees_are_not_aligned(monkeypatch):
+    """Subtrees that two pages share match as node by node, but at once."""
+    menu = lambda k: "".join(f"<li><a href=/{j}>{k} {j}</a> <i>of {j % 3}</i>" for j in range(50))
+    html = [f"<body><nav><ul>{menu('Go')}</ul></nav><ul>{menu(x)}</ul><p>Story {x}<p>Same<p>{x}</body>" for x in "ab"]
+    calls = []
+    aligned = pages.aligned
+    monkeypatch.setattr(pages, "aligned", lambda *x: calls.append(x) or aligned(*x))
+    found = []
+    for sealed in (False, True):
+        a, b = map(pages.parse, html)
+        for root in (a, b):
+            pages.seal(root)
+            for node in () if sealed else list(pages.nodes(root).values()):
+                node.digest = None
+        own = pages.nodes(a)
+        same, other = [], []
+        pages.match(a, b, same, other, {})
+        found.append((len(calls), *(sorted(pages.children(own[n])[k] for n, k in x) for x in (same, other))))
+        calls.clear()
+    assert found[0][1:] == found[1][1:] and len(found[1][1]) == 50 * 3 + 1 and len(found[1][2]) == 50 + 2
+    assert found[0][0] > 250 and found[1][0] < 160
+
+
 def test_op4(spark, docs, rows):
     mit = licenses.TEMPLATES["mit"]
     words = mit.split()
