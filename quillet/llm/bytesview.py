@@ -89,6 +89,13 @@ def runs(member: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 NOT_SPACE = ~IS_SPACE
+
+
+def filled(buf: np.ndarray) -> np.ndarray:
+    """NOT_SPACE of each byte."""
+    return (buf != 0x20) & (buf - np.uint8(0x09) > 0x04)
+
+
 #: Digits, a-z (after lower-casing) and all bytes of characters beyond ASCII.
 IS_ALNUM = np.zeros(256, bool)
 IS_ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True

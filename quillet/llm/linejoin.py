@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillet.llm.bytesview import LOWER_TABLE, NOT_SPACE, U, Texts, earlier, hash_ranges, mix, runs, slices
+from quillet.llm.bytesview import LOWER_TABLE, U, Texts, earlier, filled, hash_ranges, mix, runs, slices
 from quillet.llm.hilbert import ranked
 from quillet.llm.rarity import Counter, Rarity, class_of, top
 from quillet.session import Stored, checkpoint, release
@@ -47,6 +47,8 @@ MIN_COUNT, COUNTED = 1000, 12
 FIELDS = ["key", "d1", "span", "sketch"]
 #: Lines of a block; entries of a short list; entries of a long list that are compared at once; pairs that are tested at once.
 BLOCK, SHORT, TILE, PAIRS = 1 << 19, 64, 512, 250_000
+#: Entries that a task deals into buckets at once; buckets, and words for each of them where that makes more.
+DEALT, BUCKETS, WORDS = 1 << 18, 1024, 1 << 18
 #: 64-bit words of the large sketch.
 SKETCH = 8
 LOW48 = U((1 << 48) - 1)
@@ -80,7 +82,7 @@ class Lines:
     they are, where each begins, its size, and two halves of a digest: sums of hashes, as a set has no order."""
 
     def __init__(self, t: Texts):
-        starts, ends = runs(np.take(NOT_SPACE, t.buf), t.offs)
+        starts, ends = runs(filled(t.buf), t.offs)
         h = hash_ranges(t.buf, starts, ends, LOWER_TABLE) >> U(16)
         newlines = np.flatnonzero(t.buf == 10)
         self.texts = np.searchsorted(newlines, t.offs) + np.arange(t.n + 1)  # a text of k newlines has k + 1 lines
@@ -160,8 +162,8 @@ def first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def line_prefixes(rows: DataFrame, rarity: Rarity) -> DataFrame:
-    """A row of FIELDS for each key of each line; sketch is the parity of the hashed words in each of 64 bits. A task leaves out lines whose sets it has
-    seen not long before.
+    """Entries of FIELDS, one for each key of each line, in buckets (see packed()); sketch is the parity of the hashed words in each of 64 bits. A task leaves out
+    lines whose sets it has seen not long before.
 
     Here a word is its class (7 bits) and 41 bits of its hash; words that agree in these only make lists longer."""
     shared = rows.sparkSession.sparkContext.broadcast(rarity)
@@ -200,7 +202,42 @@ def line_prefixes(rows: DataFrame, rarity: Rarity) -> DataFrame:
                 cols = [keys, own.d1[chosen][who], size[who] << 32 | last, sketch[who]]
                 yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in cols], names=FIELDS)
 
-    return rows.select("text").mapInArrow(run, ", ".join(f"{x} bigint" for x in FIELDS))
+    buckets = max(BUCKETS, rarity.total // WORDS)
+    return rows.select("text").mapInArrow(lambda b: packed(run(b), buckets), "bucket int, entries binary")
+
+
+def packed(batches: Iterator[pa.RecordBatch], buckets: int, most: int = DEALT) -> Iterator[pa.RecordBatch]:
+    """bucket, entries: rows of four numbers, dealt by a hash of the first, the key. The rows of a bucket stand in one binary, so that Spark moves and sorts
+    buckets rather than entries; a key's rows all have one bucket."""
+    held: list[np.ndarray] = []
+
+    def flush() -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        held.clear()
+        at = ((mix(rows[:, 0].view(U)) >> U(32)) * U(buckets) >> U(32)).astype(np.int32)
+        order = np.argsort(at, kind="stable")
+        at, rows = at[order], rows[order]
+        edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
+        return pa.RecordBatch.from_arrays([pa.array(at[edge[:-1]]), pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer((edge * 32).astype(np.int32)), pa.py_buffer(rows)])], names=["bucket", "entries"])
+
+    for batch in batches:
+        for lo in range(0, batch.num_rows, most):
+            held.append(np.stack([c.to_numpy() for c in batch.slice(lo, most).columns], axis=1))
+            if sum(map(len, held)) >= most:
+                yield flush()
+    if held:
+        yield flush()
+
+
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of packed() rows sorted by bucket, a batch for each bucket: the entries sorted by key."""
+    for table in by_key(batches):
+        bucket = table.column(0).to_numpy()
+        edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            rows = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column(1).slice(a, b - a)]).reshape(-1, 4)
+            cols = rows[np.argsort(rows[:, 0])].T
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=FIELDS)
 
 
 def passes(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> np.ndarray:
@@ -299,7 +336,7 @@ class Sets(Sketches):
     def __init__(self, lines: pa.Array):
         row = h = np.zeros(0, np.int64)
         for t in slices(lines, 1 << 62):
-            starts, ends = runs(np.take(NOT_SPACE, t.buf), t.offs)
+            starts, ends = runs(filled(t.buf), t.offs)
             row, h = distinct(np.searchsorted(t.offs, starts, "right") - 1, hash_ranges(t.buf, starts, ends, LOWER_TABLE) >> U(16))
         self.words = h.view(U)
         super().__init__(np.bincount(row, minlength=len(lines)), np.zeros((len(lines), SKETCH), U))
@@ -417,8 +454,8 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def met_lines(rows: DataFrame, lines: Stored, limits: tuple[int, int]) -> DataFrame:
     """d1, keys: the sets that meet others, and the lists that stand for all in which they do."""
     rarity = top(lines.df.where("kind = 2").select(F.col("d1").alias("part"), "counts"), COUNTED)
-    entries = line_prefixes(rows, rarity).repartition("key").sortWithinPartitions("key")
-    met = entries.mapInArrow(lambda b: meeting(b, *limits), "key bigint, d1 bigint, others bigint").groupBy("d1", "others").agg(F.min("key").alias("key"))
+    entries = line_prefixes(rows, rarity).repartition("bucket").sortWithinPartitions("bucket")
+    met = entries.mapInArrow(lambda b: meeting(opened(b), *limits), "key bigint, d1 bigint, others bigint").groupBy("d1", "others").agg(F.min("key").alias("key"))
     return met.groupBy("d1").agg(F.collect_set("key").alias("keys"))
 
 

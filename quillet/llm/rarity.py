@@ -26,10 +26,10 @@ BLOCK, MIN_COUNT = 1_000_000, 64
 
 
 class Rarity:
-    """Keys of tokens, from the buckets' classes (one byte each)."""
+    """Keys of tokens, from the buckets' classes (one byte each). total: how many tokens were counted."""
 
-    def __init__(self, classes: np.ndarray):
-        self.classes = classes
+    def __init__(self, classes: np.ndarray, total: int = 0):
+        self.classes, self.total = classes, total
 
     def keys(self, h: np.ndarray) -> np.ndarray:
         return h >> U(8) | self.classes[h >> U(64 - BITS)].astype(U) << U(56)
@@ -79,7 +79,7 @@ def top(pieces: DataFrame, min_count: int = MIN_COUNT) -> Rarity:
     counts = np.zeros((PARTS, (1 << BITS) // PARTS), np.int64)
     for part, own in zip(*pieces.repartition("part").mapInArrow(sums, "part bigint, counts binary").toArrow().to_pydict().values(), strict=True):
         counts[part] = np.frombuffer(own, np.int64)
-    return Rarity(ranks(counts.ravel(), min_count))
+    return Rarity(ranks(counts.ravel(), min_count), int(counts.sum()))
 
 
 def ranks(counts: np.ndarray, min_count: int) -> np.ndarray:

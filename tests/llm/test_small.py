@@ -7,11 +7,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillet.llm.bytesview import SLICE_BYTES
-from quillet.llm import chunks, decontaminate, hilbert, licenses, linejoin, ngramjoin, pages, quality, queries, sentencepieces, substrings
+from quillet.llm import bytesview, chunks, decontaminate, hilbert, licenses, linejoin, ngramjoin, pages, quality, queries, rarity, sentencepieces, substrings
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 WORDS = [f"w{i}" for i in range(400)]
@@ -200,6 +201,26 @@ def test_op5_edges(spark, none):
     assert kept == Counter([(None, 1, 0, "a b c d e"), (1, 1, 0, "a b c d e"), (1, 1, 1, ""), (1, 2, 0, "f g h\ni"), (2, 1, 0, None), (2, 2, 2, ""), (3, n, 0, long), (4, n, n, ""), (5, 1, 0, "")])
 
 
+def test_op5_entries_move_in_buckets(spark, rows, monkeypatch):
+    """Spark moves a row for each bucket of a task, not for each list entry; all entries of a key come out together."""
+    monkeypatch.setattr(linejoin, "BUCKETS", 8)
+    texts = spark.createDataFrame([(r[1] or "",) for r in rows] * 3, "text string").coalesce(1)
+    moved = linejoin.line_prefixes(texts, rarity.Rarity(np.zeros(1 << rarity.BITS, np.uint8))).sort("bucket")
+    got = moved.collect()
+    entries = [tuple(x) for r in got for x in np.frombuffer(r.entries, np.int64).reshape(-1, 4).tolist()]
+    assert len({r.bucket for r in got}) == len(got) <= 8 and len(entries) > 8 * len(got)
+    batches = pa.Table.from_pylist([r.asDict() for r in got], schema=pa.schema([("bucket", pa.int32()), ("entries", pa.binary())])).to_batches(2)
+    out = pa.Table.from_batches(linejoin.opened(iter(batches))).to_pylist()
+    assert sorted(tuple(r.values()) for r in out) == sorted(entries)
+    keys = [r["key"] for r in out]
+    assert len(set(keys)) == 1 + sum(a != b for a, b in zip(keys, keys[1:], strict=False))
+
+
+def test_filled():
+    every = np.arange(256, dtype=np.uint8)
+    assert (bytesview.filled(every) == bytesview.NOT_SPACE).all()
+
+
 @pytest.mark.parametrize("count", [1000, 3])
 def test_op5_short_lines(spark, count, monkeypatch):
     """Lines of 1 to 4 words link with equal sets, and those of 4 also with one that has a word more."""
