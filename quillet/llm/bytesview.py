@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType
 
+from quillet.session import lean
+
 SLICE_BYTES = 1 << 17  # what numpy makes of it stays in a core's cache
 U = np.uint64
 
@@ -175,4 +177,4 @@ def map_texts(df: DataFrame, text: str, added: list[StructField], work: Callable
                 part = batch.slice(t.lo, t.n)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), *work(t)], names=[f"c{i}" for i in range(len(kept))] + [f.name for f in added])
 
-    return source.mapInArrow(run, schema).toDF(*kept, *[f.name for f in added])
+    return source.mapInArrow(lean(run), schema).toDF(*kept, *[f.name for f in added])

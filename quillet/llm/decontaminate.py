@@ -23,7 +23,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField
 
 from quillet.llm.bytesview import IS_ALNUM, U, Texts, bounds, slices, windows, words
 from quillet.llm.chunks import cut_spans
-from quillet.session import Stored, checkpoint
+from quillet.session import Stored, checkpoint, lean
 
 BLOCK_BYTES = 8 << 20
 PIECE = 4096
@@ -131,7 +131,7 @@ def mark_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", n:
     of the maximal runs of hit words."""
     kept = [c for c in docs.columns if c not in NAMES]
     items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("item"), F.col(f"`{item_text}`").cast("string").alias("text"))
-    cut = checkpoint(items.mapInArrow(lambda b: pieces(b, n), "item bigint, words binary, count bigint"))
+    cut = checkpoint(items.mapInArrow(lean(lambda b: pieces(b, n)), "item bigint, words binary, count bigint"))
     total = cut.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     count = max(1, -(-total // block_bytes))
     marked = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.col(f"`{text}`").alias("text"))
@@ -181,7 +181,7 @@ def _scanned(docs: DataFrame, grams: Grams, columns: int, again: bool) -> DataFr
         spans = pa.list_(pa.int64())
         return [pa.array(np.diff(edges), pa.int64()), pa.array(total[edges[1:]] - total[edges[:-1]], pa.int64()), pa.array([sorted(x, key=lambda i: (i is not None, i or 0)) for x in items], spans), pa.array(begins, spans), pa.array(stops, spans)]
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", n: int = 10) -> DataFrame:

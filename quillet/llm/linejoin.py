@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from quillet.llm.bytesview import LOWER_TABLE, U, Texts, earlier, filled, hash_ranges, mix, runs, slices
 from quillet.llm.hilbert import ranked
 from quillet.llm.rarity import Counter, Rarity, class_of, top
-from quillet.session import Stored, checkpoint, release
+from quillet.session import Stored, checkpoint, lean, release
 
 PERCENT = 80
 #: The least words of a set that links with another than itself: n of n + 1.
@@ -133,7 +133,7 @@ def with_lines(rows: DataFrame) -> DataFrame:
         zero = np.zeros(len(numbers), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32) + 2), *(pa.array(c, pa.int64()) for c in (numbers, zero, zero, zero)), pa.array(counts, pa.binary())], names=KINDS)
 
-    return rows.select("id", "text").mapInArrow(run, "kind int, d1 bigint, d2 bigint, id bigint, no bigint, counts binary")
+    return rows.select("id", "text").mapInArrow(lean(run), "kind int, d1 bigint, d2 bigint, id bigint, no bigint, counts binary")
 
 
 def by_key(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[pa.Table]:
@@ -203,7 +203,7 @@ def line_prefixes(rows: DataFrame, rarity: Rarity) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in cols], names=FIELDS)
 
     buckets = max(BUCKETS, rarity.total // WORDS)
-    return rows.select("text").mapInArrow(lambda b: packed(run(b), buckets), "bucket int, entries binary")
+    return rows.select("text").mapInArrow(lean(lambda b: packed(run(b), buckets)), "bucket int, entries binary")
 
 
 def packed(batches: Iterator[pa.RecordBatch], buckets: int, most: int = DEALT) -> Iterator[pa.RecordBatch]:
@@ -455,7 +455,7 @@ def met_lines(rows: DataFrame, lines: Stored, limits: tuple[int, int]) -> DataFr
     """d1, keys: the sets that meet others, and the lists that stand for all in which they do."""
     rarity = top(lines.df.where("kind = 2").select(F.col("d1").alias("part"), "counts"), COUNTED)
     entries = line_prefixes(rows, rarity).repartition("bucket").sortWithinPartitions("bucket")
-    met = entries.mapInArrow(lambda b: meeting(opened(b), *limits), "key bigint, d1 bigint, others bigint").groupBy("d1", "others").agg(F.min("key").alias("key"))
+    met = entries.mapInArrow(lean(lambda b: meeting(opened(b), *limits)), "key bigint, d1 bigint, others bigint").groupBy("d1", "others").agg(F.min("key").alias("key"))
     return met.groupBy("d1").agg(F.collect_set("key").alias("keys"))
 
 
@@ -465,13 +465,13 @@ def shown_lines(rows: DataFrame, met: DataFrame, first: DataFrame) -> DataFrame:
     # the wanted places of a task are few beside its texts, which needn't be sorted
     text = rows.join(wanted.hint("shuffle_hash"), "id").select("id", "at", F.split("text", "\n").alias("lines"))
     each = text.select("id", F.explode(F.transform("at", lambda x: F.struct(x["no"].alias("no"), x["keys"].alias("keys"), F.get("lines", x["no"].cast("int")).alias("line")))).alias("x"))
-    return each.select("id", "x.*").mapInArrow(with_sketches, "id bigint, no bigint, keys array<bigint>, line string, n bigint, bits array<bigint>")
+    return each.select("id", "x.*").mapInArrow(lean(with_sketches), "id bigint, no bigint, keys array<bigint>, line string, n bigint, bits array<bigint>")
 
 
 def best_proposals(shown: DataFrame, limits: tuple[int, int]) -> DataFrame:
     """id, no, to (differ, to_id, to_no), more: the best proposal of each line, and whether it had others."""
     by_list = shown.select(F.explode("keys").alias("key"), "id", "no", "n", "bits").repartition("key").sortWithinPartitions("key")
-    found = by_list.mapInArrow(lambda b: proposals(b, *limits), "id bigint, no bigint, to_id bigint, to_no bigint, differ bigint, times bigint")
+    found = by_list.mapInArrow(lean(lambda b: proposals(b, *limits)), "id bigint, no bigint, to_id bigint, to_no bigint, differ bigint, times bigint")
     one = F.struct("to_id", "to_no")
     return found.groupBy("id", "no").agg(F.min(F.struct("differ", "to_id", "to_no")).alias("to"), ((F.max("times") > 1) | (F.min(one) < F.max(one))).alias("more"))
 
@@ -480,7 +480,7 @@ def settled(shown: DataFrame, best: DataFrame, limits: tuple[int, int]) -> DataF
     """id, no of the lines that link with an earlier one."""
     lines = shown.select("id", "no", "line")
     both = best.select("id", "no", "to.to_id", "to.to_no").join(lines, ["id", "no"]).join(lines.toDF("to_id", "to_no", "other"), ["to_id", "to_no"])
-    near = checkpoint(both.select("id", "no", "line", "other").mapInArrow(verified, "id bigint, no bigint"))
+    near = checkpoint(both.select("id", "no", "line", "other").mapInArrow(lean(verified), "id bigint, no bigint"))
     left = checkpoint(best.where("more").select("id", "no").join(near, ["id", "no"], "left_anti"))
     if not left.limit(1).count():
         return near
@@ -488,7 +488,7 @@ def settled(shown: DataFrame, best: DataFrame, limits: tuple[int, int]) -> DataF
     alive = each.join(left, ["id", "no"], "left_semi").select("key").distinct()
     asked = each.join(alive, "key", "left_semi").groupBy("id", "no").agg(F.collect_list("key").alias("keys")).join(left.withColumn("open", F.lit(True)), ["id", "no"], "left")
     lists_ = asked.join(lines, ["id", "no"]).select(F.explode("keys").alias("key"), "id", "no", "line", F.coalesce("open", F.lit(False)).alias("open")).repartition("key").sortWithinPartitions("key")
-    return near.unionByName(checkpoint(lists_.mapInArrow(lambda b: linked(b, *limits), "id bigint, no bigint").distinct()))
+    return near.unionByName(checkpoint(lists_.mapInArrow(lean(lambda b: linked(b, *limits)), "id bigint, no bigint").distinct()))
 
 
 def duplicate_lines(rows: DataFrame) -> DataFrame:
@@ -498,7 +498,7 @@ def duplicate_lines(rows: DataFrame) -> DataFrame:
     limits = (SHORT, TILE)
     lines = Stored(with_lines(rows), "lines")
     dealt = lines.df.where("kind = 0").select("d1", "d2", "id", "no").repartition("d1").sortWithinPartitions("d1")
-    first = Stored(dealt.mapInArrow(first_lines, "d1 bigint, id bigint, no bigint, copy boolean"), "first")
+    first = Stored(dealt.mapInArrow(lean(first_lines), "d1 bigint, id bigint, no bigint, copy boolean"), "first")
     copies = first.df.where("copy").select("id", "no").unionByName(lines.df.where("kind = 1").select("id", "no"))
     met = Stored(met_lines(rows, lines, limits), "met")
     shown = Stored(shown_lines(rows, met.df, first.df), "shown")

@@ -40,7 +40,7 @@ from quillet.llm.bytesview import U, Texts, bounds, lists, map_texts, slices, wi
 from quillet.llm.components import components
 from quillet.llm.hilbert import ranked
 from quillet.llm.rarity import Rarity, frequent, shared_keys, sort_within
-from quillet.session import Stored, checkpoint, release
+from quillet.session import Stored, checkpoint, lean, release
 
 WIDTH, PERCENT = 5, 80
 #: Shingles of a block, and documents that ask a task; tasks that a frequent key's list is dealt over.
@@ -119,7 +119,7 @@ def postings(prefixes: DataFrame) -> DataFrame:
     flat = prefixes.select(F.explode("prefix").alias("key"), "id", "n")
     salt = F.when(F.shiftright("key", 56) > 0, F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0).cast("int")
     dealt = flat.repartition("key", salt).sortWithinPartitions("key")
-    return dealt.mapInArrow(lambda b: shared_keys(b, frequent_too=True), "key bigint, id bigint, n bigint")
+    return dealt.mapInArrow(lean(lambda b: shared_keys(b, frequent_too=True)), "key bigint, id bigint, n bigint")
 
 
 def leaders(entries: DataFrame) -> DataFrame:
@@ -364,7 +364,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     keys = entries.df.groupBy("id").agg(F.collect_list("key").alias("keys"))
     texts = Stored(named.join(live, "id", "left_semi").dropDuplicates(["id"]), "texts")
     rows = held.join(keys, "id").join(texts.df, "id").select("part", "id", "leader", "keys", "text")
-    within = rows.repartition("part").sortWithinPartitions("part").mapInArrow(lambda b: search_within(b, width), "x bigint, y bigint")
+    within = rows.repartition("part").sortWithinPartitions("part").mapInArrow(lean(lambda b: search_within(b, width)), "x bigint, y bigint")
     first = checkpoint(within)
     release(docs.sparkSession)
     labels = components(first)
@@ -386,7 +386,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     whole = each(enough.select("part", F.lit(0).alias("kind"), "id", "comp", "keys"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
     asked = each(asking.withColumn("kind", F.lit(1)), F.pmod(F.xxhash64("id", F.lit(1)), "shares").cast("int"))
     rows = whole.unionByName(asked).select(F.xxhash64("part", "share").alias("part"), "kind", "id", "comp", "keys", "text")
-    second = rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(lambda b: search_across(b, width), "x bigint, y bigint")
+    second = rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(lean(lambda b: search_across(b, width)), "x bigint, y bigint")
     links = checkpoint(first.unionByName(second))
     labels = components(links)
     for x in (texts, mixed):

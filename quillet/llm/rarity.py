@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillet.llm.bytesview import U, Texts, slices
+from quillet.session import lean
 
 BITS, PARTS = 20, 256
 #: Tokens that are counted at once; the least count that has a class.
@@ -77,7 +78,7 @@ def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def top(pieces: DataFrame, min_count: int = MIN_COUNT) -> Rarity:
     """The order of the tokens from all tasks' pieces (part, counts): 8 MB come to the driver."""
     counts = np.zeros((PARTS, (1 << BITS) // PARTS), np.int64)
-    for part, own in zip(*pieces.repartition("part").mapInArrow(sums, "part bigint, counts binary").toArrow().to_pydict().values(), strict=True):
+    for part, own in zip(*pieces.repartition("part").mapInArrow(lean(sums), "part bigint, counts binary").toArrow().to_pydict().values(), strict=True):
         counts[part] = np.frombuffer(own, np.int64)
     return Rarity(ranks(counts.ravel(), min_count), int(counts.sum()))
 
@@ -100,7 +101,7 @@ def frequent(docs: DataFrame, text: str, tokens: Callable[[Texts], np.ndarray])
         numbers, counts = counter.pieces()
         yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(counts, pa.binary())], names=["part", "counts"])
 
-    return top(docs.select(text).mapInArrow(run, "part bigint, counts binary"))
+    return top(docs.select(text).mapInArrow(lean(run), "part bigint, counts binary"))
 
 
 def sort_within(values: np.ndarray, group: np.ndarray) -> np.ndarray:

@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillet.llm.bytesview import SLICE_BYTES
 from quillet.llm import bytesview, chunks, decontaminate, hilbert, licenses, linejoin, ngramjoin, pages, quality, queries, rarity, sentencepieces, substrings
+from quillet.session import ROOT
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 WORDS = [f"w{i}" for i in range(400)]
@@ -216,6 +219,26 @@ def test_op5_entries_move_in_buckets(spark, rows, monkeypatch):
     assert len(set(keys)) == 1 + sum(a != b for a, b in zip(keys, keys[1:], strict=False))
 
 
+def test_workers_give_memory_back():
+    """What a task held in small pieces leaves the process at its end, also below a piece that stays."""
+    code = """
+import numpy as np, re, sys
+from quillet.session import lean
+mb = lambda: int(re.search(r"Anonymous:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) // 1024
+kept = []
+def work(batches):
+    held = [np.ones(8_000) for _ in range(4_000)]
+    kept.append(np.ones(8_000))
+    yield mb()
+before = mb()
+most, = (lean(work) if sys.argv[1] == "lean" else work)(iter(()))
+print(most - before, mb() - before)
+"""
+    for kind in ("lean", "plain"):
+        held, left = map(int, subprocess.run([sys.executable, "-c", code, kind], capture_output=True, text=True, check=True, cwd=ROOT).stdout.split())
+        assert held > 200 and (left < 50) == (kind == "lean")
+
+
 def test_filled():
     every = np.arange(256, dtype=np.uint8)
     assert (bytesview.filled(every) == bytesview.NOT_SPACE).all()
