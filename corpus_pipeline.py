@@ -21,7 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that resemble earlier ones; those that lose all their words that way go."""
-    kept = linejoin.dedup_lines(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    kept = linejoin.dedup_lines(docs.select(F.struct(*others).alias("row"), "doc_id", "text"))
     kept = kept.where((F.col("n_removed_lines") == 0) | (F.length(quality.without("kept_text", quality.SPACES)) > 0))
     new = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed_lines") == 0, F.col("row.n_chars")).otherwise(F.length("kept_text")).cast(docs.schema["n_chars"].dataType)}
     return kept.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from quillet.llm.bytesview import LOWER_TABLE, U, Texts, earlier, filled, hash_ranges, mix, runs, slices
 from quillet.llm.hilbert import ranked
 from quillet.llm.rarity import Counter, Rarity, class_of, top
-from quillet.session import Stored, checkpoint, lean, release
+from quillet.session import Stored, checkpoint, lean, release, small_batches
 
 PERCENT = 80
 #: The least words of a set that links with another than itself: n of n + 1.
@@ -510,7 +510,9 @@ def duplicate_lines(rows: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with n_lines, n_removed_lines and kept_text."""
-    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    small_batches(docs.sparkSession)
+    # the text is carried once, beside the others
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
     packed = docs.select(rest.alias("rest"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     named = packed.where("id is not null")
     if named.groupBy("id").count().where("count > 1").limit(1).count():
@@ -525,6 +527,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     kept = F.get(F.transform(F.array(F.split(text_, "\n")), lambda x: F.array_join(F.transform(stay(x), lambda k: F.get(x, k)), "\n")), F.lit(0))
     count = F.octet_length(text_) - F.octet_length(F.replace(text_, F.lit("\n"), F.lit(""))) + 1
     made = F.struct(count.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed_lines"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("kept_text"))
-    out = joined.select("rest", made.alias("made"))
+    out = joined.select("rest", "text", made.alias("made"))
     added = ["n_lines", "n_removed_lines", "kept_text"]
-    return out.select(*[F.col(f"rest.`{c}`").alias(c) for c in docs.columns if c not in added], *[F.col(f"made.{c}").alias(c) for c in added])
+    return out.select(*[(F.col("text") if c == text else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns if c not in added], *[F.col(f"made.{c}").alias(c) for c in added])

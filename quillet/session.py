@@ -16,6 +16,21 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+#: Bytes of rows that Spark hands to a Python worker at once.
+BATCH = 1 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on Spark hands the session's rows to Python by BATCH bytes, or by fewer where fewer are set, in place of by 10,000 rows or 64 MB.
+
+    Whole texts by the 10,000 make buffers of tens of MB outside the heap, two at a time while they grow, and what the system's allocator leaves unused of them stays with the executor. Results
+    don't depend on it. It isn't undone, as a returned table is read later.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset and Spark runs in one process (tests)."""
     sc = spark.sparkContext

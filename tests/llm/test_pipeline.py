@@ -48,3 +48,28 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_line_dedup_bounds_what_moves(spark):
+    """Python gets whole texts by some bytes at once, not by the 10,000; the text is moved once to the place where lines go, not thrice."""
+    import re
+
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.unset(name)
+    docs = spark.createDataFrame(corpus(3), SCHEMA)
+    out = corpus_pipeline.line_dedup(spark, docs, "")
+    texts = spark.range(0, 4000, 1, 1).selectExpr("repeat('words ', 500) as text").mapInArrow(sizes, "n bigint")
+    most = max(r.n for r in texts.collect())
+    spark.conf.set(name, "1000")
+    corpus_pipeline.line_dedup(spark, docs, "")
+    kept = spark.conf.get(name)
+    spark.conf.set(name, was)
+    assert most < 2 << 20 and kept == "1000"
+    assert not re.search(r"\btext, text#", out._jdf.queryExecution().optimizedPlan().toString())
