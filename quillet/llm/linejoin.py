@@ -112,7 +112,7 @@ def with_lines(rows: DataFrame) -> DataFrame:
     """Rows of kind 0: digest, id and number of the first line of each set in a block; of kind 1: the block's other lines; of kind 2: a piece (d1) of the counts of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, held = Counter(), []
+        counter, held, size = Counter(), [], 0
 
         def flush() -> pa.RecordBatch:
             lines = np.concatenate([np.zeros((4, 0), np.int64), *held], axis=1)
@@ -126,8 +126,10 @@ def with_lines(rows: DataFrame) -> DataFrame:
                 counter.add(own.words << U(16))
                 doc = own.docs()
                 held.append(np.stack([own.d1.view(np.int64), own.d2.view(np.int64), ids[t.lo + doc], own.which - own.texts[doc]]))
-                if sum(x.shape[1] for x in held) >= BLOCK:
+                size += len(doc)
+                if size >= BLOCK:
                     yield flush()
+                    size = 0
         yield flush()
         numbers, counts = counter.pieces()
         zero = np.zeros(len(numbers), np.int64)
@@ -170,7 +172,7 @@ def line_prefixes(rows: DataFrame, rarity: Rarity) -> DataFrame:
     frequent = U(int(class_of(MIN_COUNT)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order_, seen = shared.value, np.zeros(0, U)
+        order_, seen = shared.value, np.arange(BLOCK).astype(U) ^ U(1)  # the last digest of each place; at first none that has this place
         for batch in batches:
             for t in slices(batch.column(0)):
                 own = Lines(t)
@@ -178,9 +180,9 @@ def line_prefixes(rows: DataFrame, rarity: Rarity) -> DataFrame:
                 chosen = np.zeros(len(digest), bool)
                 chosen[np.unique(digest, return_index=True)[1]] = True
                 chosen &= own.size >= LISTED
-                if len(seen):
-                    chosen &= seen[np.minimum(np.searchsorted(seen, digest), len(seen) - 1)] != digest
-                seen = np.sort(np.concatenate([seen if len(seen) < BLOCK else seen[:0], digest[chosen]]))
+                place = (digest & U(BLOCK - 1)).astype(np.int64)
+                chosen &= seen[place] != digest
+                seen[place[chosen]] = digest[chosen]
                 size = own.size[chosen]
                 stay = np.repeat(chosen, own.size)
                 h, line = own.words[stay], np.repeat(np.arange(len(size)), size)
@@ -215,7 +217,7 @@ def packed(batches: Iterator[pa.RecordBatch], buckets: int, most: int = DEALT) -
         rows = np.concatenate(held)
         held.clear()
         at = ((mix(rows[:, 0].view(U)) >> U(32)) * U(buckets) >> U(32)).astype(np.int32)
-        order = np.argsort(at, kind="stable")
+        order = np.argsort(at.astype(np.uint16) if buckets <= 1 << 16 else at, kind="stable")
         at, rows = at[order], rows[order]
         edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
         return pa.RecordBatch.from_arrays([pa.array(at[edge[:-1]]), pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer((edge * 32).astype(np.int32)), pa.py_buffer(rows)])], names=["bucket", "entries"])
@@ -229,14 +231,21 @@ def packed(batches: Iterator[pa.RecordBatch], buckets: int, most: int = DEALT) -
         yield flush()
 
 
-def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of packed() rows sorted by bucket, a batch for each bucket: the entries sorted by key."""
+def opened(batches: Iterator[pa.RecordBatch], least: int = 1) -> Iterator[pa.RecordBatch]:
+    """Of packed() rows sorted by bucket, a batch for each bucket: the entries sorted by key, with least=2 those that share theirs alone."""
     for table in by_key(batches):
         bucket = table.column(0).to_numpy()
         edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             rows = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column(1).slice(a, b - a)]).reshape(-1, 4)
-            cols = rows[np.argsort(rows[:, 0])].T
+            key = np.ascontiguousarray(rows[:, 0])
+            order = np.argsort(key)
+            if least > 1:
+                same = np.zeros(len(key), bool)
+                same[1:] = key[order[1:]] == key[order[:-1]]
+                same[:-1] |= same[1:]
+                order = order[same]
+            cols = rows[order].T
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=FIELDS)
 
 
@@ -265,6 +274,27 @@ def parts(size: np.ndarray) -> Iterator[np.ndarray]:
         yield np.flatnonzero(group == k)
 
 
+def by_size(change: np.ndarray, n: np.ndarray, d1: np.ndarray) -> np.ndarray:
+    """The order of sorted lists' entries by list, size and digest. change: the number of the list of each entry but the first.
+
+    One sort of one number where it holds list and size beside 16 bits of the digest or more (copies that others come between stay apart, which only gives more entries)."""
+    of = np.concatenate([np.zeros(min(1, len(n)), np.int64), change])
+    sizes = int(n.max(initial=0)).bit_length()
+    rest = 64 - int(of.max(initial=0)).bit_length() - sizes
+    if rest < 16:
+        return np.lexsort((d1, n, of))
+    return np.argsort((of << sizes | n).astype(U) << U(rest) | d1.view(U) >> U(64 - rest))
+
+
+def meet(rows: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, mark: np.ndarray, met: np.ndarray, others: np.ndarray) -> None:
+    """Of the pairs (x, y), those that pass are noted in met and others."""
+    fit = passes({k: v[x] for k, v in rows.items()}, {k: v[y] for k, v in rows.items()})
+    x, y = x[fit], y[fit]
+    met[x] = met[y] = True
+    np.add.at(others, x, mark[y])
+    np.add.at(others, y, mark[x])
+
+
 def meeting(batches: Iterator[pa.RecordBatch], brief: int = SHORT, tile: int = TILE) -> Iterator[pa.RecordBatch]:
     """Rows of FIELDS sorted by key: the entries (key, d1) that pass with others of their list, and a sum of the hashes of these. A list is held while it is read: 32 bytes an entry."""
     for table in by_key(batches):
@@ -275,7 +305,7 @@ def meeting(batches: Iterator[pa.RecordBatch], brief: int = SHORT, tile: int = T
         some = np.flatnonzero(same)
         n = table.column(2).to_numpy()[some] >> 32
         # by size, so that the partners of an entry follow each other; copies from several tasks are one entry
-        order = np.lexsort((d1[some], n, key[some]))
+        order = by_size(np.cumsum(key[some[1:]] != key[some[:-1]], dtype=np.int64), n, d1[some])
         some, n = some[order], n[order]
         new = np.ones(len(some), bool)
         new[1:] = (key[some[1:]] != key[some[:-1]]) | (d1[some[1:]] != d1[some[:-1]])
@@ -284,35 +314,31 @@ def meeting(batches: Iterator[pa.RecordBatch], brief: int = SHORT, tile: int = T
         rows = {"key": key, "n": n, "place": span & LOW32, "sketch": sketch}
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
         size, met, others, mark = np.diff(edge), np.zeros(len(key), bool), np.zeros(len(key), U), mix(d1.view(U))
-        # entries of short lists, each with those before it that are large enough
+        # an entry's partners are among those before it, from the first that is large enough; each must be within the other's bound
         of = np.repeat(np.arange(len(size)), size)
+        bound = (100 + PERCENT) * (n - rows["place"] + (key < 0)) // PERCENT - n
         least = np.searchsorted(of << 33 | n, of << 33 | need(n))
+        after = np.searchsorted(of << 33 | n, of << 33 | bound, "right")
         entry = np.flatnonzero(size[of] <= brief)
-        times = entry - least[entry]
+        times = np.maximum(np.minimum(after[entry], entry) - least[entry], 0)
         group = np.cumsum(times) // PAIRS
         for k in np.unique(group[times > 0]).tolist():
             own = (group == k) & (times > 0)
             x = np.repeat(entry[own], times[own])
             y = np.arange(len(x)) - np.repeat(np.cumsum(times[own]) - times[own], times[own]) + np.repeat(least[entry[own]], times[own])
-            fit = passes({k: v[x] for k, v in rows.items()}, {k: v[y] for k, v in rows.items()})
-            x, y = x[fit], y[fit]
-            met[x] = met[y] = True
-            np.add.at(others, x, mark[y])
-            np.add.at(others, y, mark[x])
+            near = n[x] <= bound[y]
+            meet(rows, x[near], y[near], mark, met, others)
+        small, bound, enough = n.astype(np.int32), bound.astype(np.int32), need(n).astype(np.int32)
         for a, b in zip(edge[:-1][size > brief].tolist(), edge[1:][size > brief].tolist(), strict=True):
             for lo in range(a, b, tile):
-                x = {k: v[lo : min(b, lo + tile)][:, None] for k, v in rows.items()}
-                for other in range(a, lo + 1, tile):
-                    y = {k: v[other : min(b, other + tile)][None, :] for k, v in rows.items()}
-                    fit = passes(x, y)
-                    if other == lo:
-                        np.fill_diagonal(fit, False)
-                    i, j = lo + np.arange(fit.shape[0]), other + np.arange(fit.shape[1])
-                    met[i] |= fit.any(1)
-                    others[i] += (fit * mark[j][None, :]).sum(1, dtype=U)
-                    if other < lo:
-                        met[j] |= fit.any(0)
-                        others[j] += (fit * mark[i][:, None]).sum(0, dtype=U)
+                i = slice(lo, min(b, lo + tile))
+                for other in range(int(least[lo]), min(i.stop, int(after[i].max())), tile):
+                    j = slice(other, min(i.stop, other + tile))
+                    fit = (small[i, None] <= bound[None, j]) & (small[None, j] <= bound[i, None]) & (small[None, j] >= enough[i, None])
+                    x, y = np.divmod(np.flatnonzero(fit), fit.shape[1])
+                    x, y = x + lo, y + other
+                    before = y < x
+                    meet(rows, x[before], y[before], mark, met, others)
         yield pa.RecordBatch.from_arrays([pa.array(key[met]), pa.array(d1[met]), pa.array(others[met].view(np.int64))], names=["key", "d1", "others"])
 
 
@@ -455,7 +481,7 @@ def met_lines(rows: DataFrame, lines: Stored, limits: tuple[int, int]) -> DataFr
     """d1, keys: the sets that meet others, and the lists that stand for all in which they do."""
     rarity = top(lines.df.where("kind = 2").select(F.col("d1").alias("part"), "counts"), COUNTED)
     entries = line_prefixes(rows, rarity).repartition("bucket").sortWithinPartitions("bucket")
-    met = entries.mapInArrow(lean(lambda b: meeting(opened(b), *limits)), "key bigint, d1 bigint, others bigint").groupBy("d1", "others").agg(F.min("key").alias("key"))
+    met = entries.mapInArrow(lean(lambda b: meeting(opened(b, 2), *limits)), "key bigint, d1 bigint, others bigint").groupBy("d1", "others").agg(F.min("key").alias("key"))
     return met.groupBy("d1").agg(F.collect_set("key").alias("keys"))
 
 
@@ -479,8 +505,10 @@ def best_proposals(shown: DataFrame, limits: tuple[int, int]) -> DataFrame:
 def settled(shown: DataFrame, best: DataFrame, limits: tuple[int, int]) -> DataFrame:
     """id, no of the lines that link with an earlier one."""
     lines = shown.select("id", "no", "line")
-    both = best.select("id", "no", "to.to_id", "to.to_no").join(lines, ["id", "no"]).join(lines.toDF("to_id", "to_no", "other"), ["to_id", "to_no"])
-    near = checkpoint(both.select("id", "no", "line", "other").mapInArrow(lean(verified), "id bigint, no bigint"))
+    # under names of their own the lines would be shuffled twice, so both sides join the same table
+    p, x, y = best.select("id", "no", "to.to_id", "to.to_no").alias("p"), lines.alias("x"), lines.alias("y")
+    both = p.join(x, F.expr("p.id = x.id and p.no = x.no")).join(y, F.expr("p.to_id = y.id and p.to_no = y.no"))
+    near = checkpoint(both.select("p.id", "p.no", "x.line", F.col("y.line").alias("other")).mapInArrow(lean(verified), "id bigint, no bigint"))
     left = checkpoint(best.where("more").select("id", "no").join(near, ["id", "no"], "left_anti"))
     if not left.limit(1).count():
         return near

@@ -219,6 +219,29 @@ def test_op5_entries_move_in_buckets(spark, rows, monkeypatch):
     assert len(set(keys)) == 1 + sum(a != b for a, b in zip(keys, keys[1:], strict=False))
 
 
+@pytest.mark.parametrize("brief", [2, 1 << 30])
+def test_op5_lists_compare_what_fits(brief, monkeypatch):
+    """Entries of a list that can't link by their sizes and places aren't compared pair by pair; those that pass are all found, with whom they meet."""
+    rng = np.random.default_rng(1)
+    n = rng.integers(5, 400, 3000)
+    place = (rng.random(3000) * (n - linejoin.need(n) + 1)).astype(np.int64)
+    key = np.sort(rng.choice(np.array([-9, -2, 3, 8]), 3000, p=[0.1, 0.4, 0.001, 0.499]))
+    d1, sketch = rng.integers(-(1 << 62), 1 << 62, 3000), np.where(rng.random(3000) < 0.5, 0, rng.integers(0, 1 << 40, 3000))
+    rows = np.stack([key, d1, n << 32 | place, sketch])
+    rows = rows[:, np.sort(np.concatenate([np.arange(3000), rng.integers(0, 3000, 500)]))]  # with copies from other tasks
+    one = {"key": key, "n": n, "place": place, "sketch": sketch.view(np.uint64)}
+    fit = linejoin.passes({k: v[:, None] for k, v in one.items()}, {k: v[None, :] for k, v in one.items()}) & (key[:, None] == key)
+    np.fill_diagonal(fit, False)
+    others = (fit * bytesview.mix(d1.view(np.uint64))[None, :]).sum(1, dtype=np.uint64)
+    expected = sorted((k, d, x) for k, d, x, m in zip(key.tolist(), d1.tolist(), others.view(np.int64).tolist(), fit.any(1).tolist(), strict=True) if m)
+    tested, passes = [], linejoin.passes
+    monkeypatch.setattr(linejoin, "passes", lambda x, y: tested.append(np.broadcast(x["n"], y["n"]).size) or passes(x, y))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=linejoin.FIELDS)
+    got = pa.Table.from_batches(linejoin.meeting(iter([batch.slice(k, 700) for k in range(0, 3500, 700)]), brief, 64)).to_pylist()
+    assert expected and sorted(tuple(r.values()) for r in got) == expected
+    assert sum(tested) < 0.1 * (key[:, None] == key).sum() / 2
+
+
 def test_workers_give_memory_back():
     """What a task held in small pieces leaves the process at its end, also below a piece that stays."""
     code = """
