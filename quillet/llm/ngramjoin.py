@@ -329,10 +329,15 @@ def threshold(n: str = "n"):
     return F.least(F.floor(floor / 32) + 1, floor)
 
 
+def gathered(df: DataFrame, *by: str) -> DataFrame:
+    """df, of narrow rows, in partitions of the advisory size: a table to be stored makes a file for each, and each file on a local folder starts two processes or three."""
+    return df.hint("rebalance", *by)
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """id_col, n_shingles and component_id of each row of docs."""
     named = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"), F.col(f"`{text}`").alias("text"))
-    sets = Stored(with_sets(named, "text", width), "sets")
+    sets = Stored(gathered(with_sets(named, "text", width)), "sets")
     differ = sets.df.where(F.col("id") != NO_ID).groupBy("id").agg(*[f(c).alias(f"{n}_{c}") for c in ("d1", "d2") for n, f in (("min", F.min), ("max", F.max))])
     if differ.where("min_d1 <> max_d1 or min_d2 <> max_d2").limit(1).count():
         sets.drop()
@@ -344,7 +349,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     rarity = frequent(named, "text", lambda t: shingles(t, width)[0])
     classes = checkpoint(sets.df.where((F.col("n") > 0) & (F.col("id") != NO_ID)).groupBy("d1", "d2").agg(F.min("id").alias("rep")))
     reps = classes.select(F.col("rep").alias("id")).distinct()
-    lists_ = Stored(postings(with_prefixes(named, "text", width, rarity).where("n > 0").join(reps, "id", "left_semi").dropDuplicates(["id"])), "lists")
+    lists_ = Stored(gathered(postings(with_prefixes(named, "text", width, rarity).where("n > 0").join(reps, "id", "left_semi").dropDuplicates(["id"])), "id"), "lists")
     # only those with lists enough can link
     counts = lists_.df.groupBy("id").agg(F.count("*").alias("lists"), F.first("n").alias("n"))
     live = checkpoint(counts.where(F.col("lists") >= threshold()))
@@ -362,8 +367,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     # a document once in each part, with its own leader if it has two
     held = checkpoint(home.unionByName(present).groupBy("part", "id").agg(F.min(F.struct((F.col("leader") == F.col("id")).alias("self"), "leader"))["leader"].alias("leader")))
     keys = entries.df.groupBy("id").agg(F.collect_list("key").alias("keys"))
-    texts = Stored(named.join(live, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    rows = held.join(keys, "id").join(texts.df, "id").select("part", "id", "leader", "keys", "text")
+    # whole texts are read again where they are needed, not stored; one shuffle by id serves the filter, the distinct rows and the join
+    texts = lambda ids: named.join(ids.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    rows = held.join(keys, "id").join(texts(live), "id").select("part", "id", "leader", "keys", "text")
     within = rows.repartition("part").sortWithinPartitions("part").mapInArrow(lean(lambda b: search_within(b, width)), "x bigint, y bigint")
     first = checkpoint(within)
     release(docs.sparkSession)
@@ -382,15 +388,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     asking = checkpoint(asking.join(held.select("part", "id"), ["part", "id"], "left_anti").select("part", "id", "comp", "keys"))
     # what asks one block is dealt over tasks that each hold the block
     shares = checkpoint(asking.groupBy("part").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("shares")))
-    each = lambda df, share: df.join(shares, "part").join(texts.df, "id").withColumn("share", share).select("part", "share", "kind", "id", "comp", "keys", "text")
+    needed = texts(enough)  # what asks is among these
+    each = lambda df, share: df.join(shares, "part").join(needed, "id").withColumn("share", share).select("part", "share", "kind", "id", "comp", "keys", "text")
     whole = each(enough.select("part", F.lit(0).alias("kind"), "id", "comp", "keys"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
     asked = each(asking.withColumn("kind", F.lit(1)), F.pmod(F.xxhash64("id", F.lit(1)), "shares").cast("int"))
     rows = whole.unionByName(asked).select(F.xxhash64("part", "share").alias("part"), "kind", "id", "comp", "keys", "text")
     second = rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(lean(lambda b: search_across(b, width)), "x bigint, y bigint")
     links = checkpoint(first.unionByName(second))
     labels = components(links)
-    for x in (texts, mixed):
-        x.drop()
+    mixed.drop()
     member = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("label", "rep").alias("component"))
     out = sets.df.join(member, ["d1", "d2"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     named_row = F.col("id") != NO_ID

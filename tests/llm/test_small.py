@@ -7,6 +7,7 @@ import subprocess
 import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quillet.llm.bytesview import SLICE_BYTES
 from quillet.llm import bytesview, chunks, decontaminate, hilbert, licenses, linejoin, ngramjoin, pages, quality, queries, rarity, sentencepieces, substrings
-from quillet.session import ROOT
+from quillet.session import ROOT, Stored
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 WORDS = [f"w{i}" for i in range(400)]
@@ -104,6 +105,22 @@ def test_op7_search_alone_is_whole(docs, rows, block, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_op7_stores_few_files(spark, rows, monkeypatch):
+    """What is stored has files by its size, not one for each partition of the input; whole texts aren't stored."""
+    files = {}
+
+    class Counted(Stored):
+        def __init__(self, df, name="t"):
+            super().__init__(df, name)
+            files[name] = len(list(Path(self.path.removeprefix("file:")).glob("part-*"))), "text" in df.columns
+
+    monkeypatch.setattr(ngramjoin, "Stored", Counted)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string").repartition(24)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.jaccard_components(docs).collect()}
+    assert got == brute_components(rows)
+    assert max(n for n, _ in files.values()) <= 6 and not any(whole for _, whole in files.values()), files
+
+
 def test_op7_rows_of_one_id(spark):
     """Rows of one id with different texts are documents of their own; long texts; other columns don't matter."""
     long = " ".join(random.Random(5).choices(WORDS, k=300_000))
