@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 SYMBOLS = r"[^\p{L}\p{N}\s]+"
 
 
+def plain(text: Column | str) -> Column:
+    """A text's words as they are, with the white space between them."""
+    return F.regexp_replace(F.lower(F.regexp_replace(text, SYMBOLS, "")), r"^\s+|\s+$", "")
+
+
 def words(text: Column | str) -> Column:
     """The words of a text; a blank text gives one empty word, which token tables leave out."""
-    plain = F.lower(F.regexp_replace(text, SYMBOLS, ""))
-    return F.split(F.regexp_replace(plain, r"^\s+|\s+$", ""), r"\s+")
+    return F.split(plain(text), r"\s+")
 
 
 def tokens(docs: DataFrame, id_col: str = "doc_id", text: str = "text", stem: bool = False) -> DataFrame:

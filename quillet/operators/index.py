@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillet.functions.text import tokens as tokenise
-from quillet.functions.text import words
+from quillet.functions.text import plain, words
+from quillet.operators.blocks import blocks_of, can_block, frequencies_of, postings_of, sorted_blocks, sorted_keys
+from quillet.session import partitions_for
 
 #: Zones with their weights, which sum to 1.
 ZONES = {"TITLE": "0.40", "AUTHOR": "0.20", "SUBJECT": "0.25", "BODY": "0.15"}
@@ -17,7 +20,7 @@ ZONES = {"TITLE": "0.40", "AUTHOR": "0.20", "SUBJECT": "0.25", "BODY": "0.15"}
 class Index:
     """docs (doc_id, filename, size_bytes) and tokens (doc_id, pos, term), and what follows from them. Zones (doc_id, zone, text) are optional.
 
-    analysed (doc_id, words; a row for each document) is there when the index is built from documents: then what is known within a
+    analysed (doc_id, words, and plain, the text that they are split from; a row for each document) is there when the index is built from documents: then what is known within a
     document is made within its row, without a shuffle of tokens. Token tables from elsewhere are grouped.
 
     on_disk says that postings are a table sorted by term, which lookups read in place of tokens.
@@ -36,17 +39,17 @@ class Index:
             return self.analysed.select("doc_id", F.explode(F.array_distinct("words")).alias("term")).where("term <> ''").select("term", "doc_id")
         return self.tokens.select("term", "doc_id").distinct()
 
+    @cached_property
+    def blocks(self) -> DataFrame | None:
+        """The postings of blocks of documents: term, docs, ends, positions, n, cf (operators.blocks), a term in any number of rows; None where they are grouped from tokens."""
+        return blocks_of(self.analysed) if self.analysed is not None and can_block(self.analysed) else None
+
     @cached_property
     def postings(self) -> DataFrame:
         """term, doc_id, tf, positions (ascending)."""
-        if self.analysed is None:
+        if self.blocks is None:
             return self.tokens.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-        placed = self.analysed.select("doc_id", F.array_sort(F.transform("words", lambda w, i: F.struct(w.alias("term"), i.alias("pos")))).alias("places"))
-        term = lambda i: F.get("places", i)["term"]
-        starts = F.filter(F.sequence(F.lit(0), F.size("places") - 1), lambda i: (i == 0) | (term(i) != term(i - 1)))
-        runs = placed.select("doc_id", "places", starts.alias("starts")).select("doc_id", "places", "starts", F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("places"))).alias("ends"))
-        lists = F.zip_with("starts", "ends", lambda i, k: F.struct(term(i).alias("term"), F.transform(F.slice("places", i + 1, k - i), lambda x: x["pos"]).alias("positions")))
-        return runs.select("doc_id", F.explode(lists).alias("p")).where("p.term <> ''").select("p.term", "doc_id", F.size("p.positions").alias("tf"), "p.positions")
+        return postings_of(self.blocks)
 
     @cached_property
     def biwords(self) -> DataFrame:
@@ -61,11 +64,15 @@ class Index:
     @cached_property
     def frequencies(self) -> DataFrame:
         """term, doc_id, tf."""
-        return self.postings.select("term", "doc_id", F.col("tf").cast("long").alias("tf")) if self.analysed is not None else self.tokens.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+        if self.blocks is not None:
+            return frequencies_of(self.blocks)
+        return self.tokens.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
     @cached_property
     def lexicon(self) -> DataFrame:
         """term, df (documents), cf (occurrences)."""
+        if self.blocks is not None:
+            return self.blocks.groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"))
         return self.frequencies.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
     @cached_property
@@ -90,7 +97,7 @@ class Index:
     @cached_property
     def terms(self) -> DataFrame:
         """The distinct terms."""
-        return self.tokens.select("term").distinct()
+        return (self.tokens if self.blocks is None else self.blocks).select("term").distinct()
 
     @cached_property
     def zone_postings(self) -> DataFrame:
@@ -99,6 +106,12 @@ class Index:
             raise ValueError("this index has no zones")
         return self.zones.select("zone", "doc_id", F.explode(words("text")).alias("term")).where("term <> ''").distinct().select("zone", "term", "doc_id")
 
+    def holding(self, terms: DataFrame) -> DataFrame:
+        """term, doc_id of the given terms (distinct): rows of blocks meet the terms before their documents are opened."""
+        if self.blocks is None:
+            return self.inverted.join(terms, "term", "left_semi").select("term", "doc_id")
+        return self.blocks.select("term", "docs").join(terms, "term", "left_semi").select("term", F.explode("docs").alias("doc_id"))
+
     def matrix(self, terms: list[str]) -> DataFrame:
         """The incidence of the given terms: doc_id and a 0/1 column for each. All documents have a row."""
         flags = self.tokens.where(F.col("term").isin(terms)).groupBy("doc_id").pivot("term", terms).agg(F.first(F.lit(1)))
@@ -144,7 +157,7 @@ def build_index(documents: DataFrame, id_col: str = "doc_id", text: str = "text"
     docs = documents.select(F.col(id_col).alias("doc_id"), name.alias("filename"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("size_bytes"))
     if stem:
         return Index(docs, tokenise(documents, id_col, text, stem), zones)
-    analysed = documents.where(F.col(text).isNotNull()).select(F.col(id_col).alias("doc_id"), words(text).alias("words"))
+    analysed = documents.where(F.col(text).isNotNull()).select(F.col(id_col).alias("doc_id"), words(text).alias("words"), plain(text).alias("plain"))
     return Index(docs, analysed.select("doc_id", F.posexplode("words").alias("pos", "term")).where("term <> ''"), zones, analysed)
 
 
@@ -156,38 +169,96 @@ def from_postings(docs: DataFrame, postings: DataFrame) -> Index:
 
 #: What an index on disk holds besides postings and documents: each table sorted by its first column, so that lookups and prefixes skip row groups.
 VIEWS = {"lexicon": "term", "reverse_terms": "rev", "permuterm": "rotation", "trigrams": "gram", "biwords": "biword"}
+#: Columns of the postings on disk: those of Index.blocks.
+BLOCKS = ("term", "docs", "ends", "positions", "n", "cf")
 
 
-def index_on_disk(index: Index, path: str, partitions: int | None = None) -> Index:
-    """Build by a range shuffle: postings are written sorted by term, so that a lookup reads the row groups whose range holds its term; then the
-    views, of which those of terms are made from the written lexicon."""
-    spark = index.docs.sparkSession
+class DiskIndex(Index):
+    """An index in a folder. Postings are rows of terms sorted by term; the views are sorted tables. A table that isn't in the folder yet is made of `source`, or of other
+    tables in the folder, and written, when it is first asked for: all others are read."""
+
+    def __init__(self, docs: DataFrame, path: str, source: Index | None = None, partitions: int | None = None):
+        self.path, self.source, self.partitions, self.spark = path, source, partitions, docs.sparkSession
+        self.zones = self.analysed = None
+        self.docs, self.on_disk = docs, True
 
-    def put(df: DataFrame, name: str, order: list[str]) -> DataFrame:
-        dealt = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
-        dealt.sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/{name}")
-        return spark.read.parquet(f"{path}/{name}")
+    def _table(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        where = f"{self.path}/{name}"
+        if self.source is not None:
+            make().write.mode("overwrite").parquet(where)
+        return self.spark.read.parquet(where)
+
+    def _ranged(self, df: DataFrame, *order: str) -> DataFrame:
+        return df.repartitionByRange(self._count, *order).sortWithinPartitions(*order)
+
+    @cached_property
+    def _count(self) -> int:
+        return self.partitions or partitions_for(self.source.tokens)
+
+    def _inverted_by(self, key: str) -> DataFrame:
+        """The source's blocks in order."""
+        if self.source.blocks is not None:
+            return sorted_blocks(self.source.analysed, key, self.source.docs.count(), self._count)
+        if key == "biword":
+            return self._ranged(self.source.biwords, key, "doc_id").select(key, F.array("doc_id").alias("docs"))
+        own = self._ranged(self.source.postings, key, "doc_id")
+        return own.select("term", F.array("doc_id").alias("docs"), F.array("tf").alias("ends"), "positions", F.lit(1).cast("long").alias("n"), F.col("tf").cast("long").alias("cf"))
+
+    @cached_property
+    def blocks(self) -> DataFrame:
+        return self._table("postings", lambda: self._inverted_by("term").select(*BLOCKS))
 
+    @cached_property
+    def inverted(self) -> DataFrame:
+        return self.blocks.select("term", F.explode("docs").alias("doc_id"))
+
+    @cached_property
+    def biwords(self) -> DataFrame:
+        return self._table("biwords", lambda: self._inverted_by("biword")).select("biword", F.explode("docs").alias("doc_id"))
+
+    @cached_property
+    def tokens(self) -> DataFrame:
+        return self.postings.select("doc_id", F.explode("positions").alias("pos"), "term")
+
+    @cached_property
+    def lexicon(self) -> DataFrame:
+        return self._table("lexicon", lambda: self._ranged(super(DiskIndex, self).lexicon, "term"))
+
+    @cached_property
+    def terms(self) -> DataFrame:
+        return self.lexicon.select("term")
+
+    @cached_property
+    def reverse_terms(self) -> DataFrame:
+        return self._table("reverse_terms", lambda: self._ranged(super(DiskIndex, self).reverse_terms, "rev", "term"))
+
+    @cached_property
+    def permuterm(self) -> DataFrame:
+        return self._table("permuterm", lambda: sorted_keys(self.terms, "rotation", self._count))
+
+    @cached_property
+    def trigrams(self) -> DataFrame:
+        return self._table("trigrams", lambda: sorted_keys(self.terms, "gram", self._count))
+
+
+def index_on_disk(index: Index, path: str, partitions: int | None = None, lazy: bool = False) -> DiskIndex:
+    """Written so that a lookup reads the row groups whose range holds its term: the documents, the postings and, made of these, the views; biwords come from the documents' words.
+
+    lazy: postings and views are written when a query first asks for them, so a folder that one query is asked of holds what that query reads. Else all are there on return.
+    """
+    spark = index.docs.sparkSession
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
-    put(index.biwords, "biwords", ["biword", "doc_id"])
-    postings = put(index.postings, "postings", ["term", "doc_id"])
-    lexicon = put(postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), "lexicon", ["term"])
-    terms = Index(index.docs, lexicon)  # a row for each term will do for what follows from terms
-    terms.__dict__["terms"] = lexicon.select("term")
-    for name in ("reverse_terms", "permuterm", "trigrams"):
-        put(getattr(terms, name), name, [VIEWS[name], "term"])
+    made = DiskIndex(spark.read.parquet(f"{path}/docs"), path, index, partitions)
+    if lazy:
+        return made
+    for name in ("blocks", *VIEWS):
+        getattr(made, name)
     return open_on_disk(spark, path)
 
 
-def open_on_disk(spark: SparkSession, path: str) -> Index:
-    """An index whose queries read the sorted tables; only tokens are taken from the positions."""
-    read = lambda name: spark.read.parquet(f"{path}/{name}")
-    postings = read("postings")
-    index = from_postings(read("docs"), postings)
-    index.on_disk = True
-    index.__dict__ |= {name: read(name) for name in VIEWS}
-    index.__dict__ |= {"postings": postings, "inverted": postings.select("term", "doc_id"), "frequencies": postings.select("term", "doc_id", F.col("tf").cast("long").alias("tf")), "terms": index.__dict__["lexicon"].select("term")}
-    return index
+def open_on_disk(spark: SparkSession, path: str) -> DiskIndex:
+    """A whole index that was written; its queries read the sorted tables."""
+    return DiskIndex(spark.read.parquet(f"{path}/docs"), path)
 
 
 def disk_statistics(spark: SparkSession, path: str) -> dict[str, int]:

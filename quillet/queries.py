@@ -143,10 +143,10 @@ over_table("reindexed", reindexed, SQL["inverted_index"])
 
 
 def disk_of(spark: SparkSession, sf_dir: str) -> Index:
-    """The index written sorted to the shared folder, and opened."""
+    """The index written sorted to the shared folder: each table when the query first reads it."""
     import uuid
 
-    return index_on_disk(index_of(spark, sf_dir), f"{shared_dir(spark)}/disk-{uuid.uuid4().hex}")
+    return index_on_disk(index_of(spark, sf_dir), f"{shared_dir(spark)}/disk-{uuid.uuid4().hex}", lazy=True)
 
 
 over_index("disk_index_search", lambda i: retrieval.term_search(i, "from"), "SELECT doc_id FROM inv WHERE term = 'from'", make=disk_of)

@@ -31,6 +31,22 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files and local rows that df reads, as Spark knows them without reading; a table whose size isn't known counts as none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
+
+
+#: Bytes of input for a partition of what is made of it, where that is dealt by other keys.
+SHARE = 16 << 20
+
+
+def partitions_for(df: DataFrame) -> int:
+    """The session's number of shuffle partitions, or more where the input is large: what a task sorts then doesn't grow with the input."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // SHARE))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset and Spark runs in one process (tests)."""
     sc = spark.sparkContext
