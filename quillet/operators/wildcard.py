@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillet.operators.index import Index
+from quillet.session import checkpoint
 
+#: Terms that are broadcast, some 30 MB; more are joined over a shuffle.
+BROADCAST_TERMS = 200_000
 STRATEGIES = ("permuterm", "btree", "three_gram", "scan")
 
 
@@ -77,6 +80,10 @@ def wildcard_terms(index: Index, query: str, strategy: str = "permuterm", single
 
 
 def wildcard_search(index: Index, query: str, strategy: str = "permuterm", single: bool = False) -> DataFrame:
-    """term, doc_id; distinct, sorted by term."""
-    terms = wildcard_terms(index, query, strategy, single)
-    return index.inverted.join(terms, "term", "left_semi").select("term", "doc_id").orderBy("term", "doc_id")
+    """term, doc_id; distinct, sorted by term.
+
+    The terms and what is found are written before they are used again: the order's ranges are told from what it sorts, which would be made twice.
+    """
+    terms = checkpoint(wildcard_terms(index, query, strategy, single).select("term"))
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    return checkpoint(index.holding(F.broadcast(terms) if few else terms)).orderBy("term", "doc_id")
