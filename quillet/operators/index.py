@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillet.functions.text import tokens as tokenise
+from quillet.functions.porter2 import stem_column
 from quillet.functions.text import plain, words
 from quillet.operators.blocks import blocks_of, can_block, frequencies_of, postings_of, sorted_blocks, sorted_keys
 from quillet.session import partitions_for
@@ -156,7 +157,13 @@ def build_index(documents: DataFrame, id_col: str = "doc_id", text: str = "text"
     name = F.col(filename) if filename else F.concat(F.lit("doc-"), F.col(id_col).cast("string"))
     docs = documents.select(F.col(id_col).alias("doc_id"), name.alias("filename"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("size_bytes"))
     if stem:
-        return Index(docs, tokenise(documents, id_col, text, stem), zones)
+        index = Index(docs, tokenise(documents, id_col, text, stem), zones)
+        whole = build_index(documents, id_col, text, filename)
+        if whole.blocks is not None:
+            # rows of terms meet their stems before their documents are opened
+            stems = whole.terms.select("term", stem_column("term").alias("stem"))
+            index.__dict__["inverted"] = whole.blocks.select("term", "docs").join(stems, "term").select(F.col("stem").alias("term"), F.explode("docs").alias("doc_id")).distinct()
+        return index
     analysed = documents.where(F.col(text).isNotNull()).select(F.col(id_col).alias("doc_id"), words(text).alias("words"), plain(text).alias("plain"))
     return Index(docs, analysed.select("doc_id", F.posexplode("words").alias("pos", "term")).where("term <> ''"), zones, analysed)
 

@@ -4,16 +4,17 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from quillet.operators import blocks, retrieval, wildcard
+from quillet.operators import blocks, compressed, retrieval, wildcard
 from quillet.operators.index import VIEWS, Index, build_index, index_on_disk
 from quillet.session import SHARE, partitions_for
+from quillet.sources import storage
 
 TEXTS = [" ".join(random.Random(k).choices(["a", "ab", "b", "é́x", "$c", "ß"] + [f"w{k}"], k=40 + k)) for k in range(60)] + ["", None, " \t\x0b", "x\x1cy z", "a  a\n\na", "ΣΑΣ İ"]
 
 
 @pytest.fixture(scope="module")
 def index(spark):
-    rows = list(enumerate(TEXTS, -3))
+    rows = list(enumerate(TEXTS))
     random.Random(1).shuffle(rows)
     return build_index(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
 
@@ -84,3 +85,37 @@ def test_wildcard_joins_rows_before_documents(index, monkeypatch):
         monkeypatch.setattr(wildcard, "BROADCAST_TERMS", limit)
         got = [tuple(r) for r in wildcard.wildcard_search(index, "a*").collect()]
         assert got == sorted((r.term, r.doc_id) for r in index.inverted.where("term like 'a%'").collect())
+
+
+def test_stems_are_made_of_distinct_terms(spark):
+    """A condition on stems stays above what makes terms distinct."""
+    docs = spark.createDataFrame([(1, "things thing"), (2, "Thinging other"), (3, None)], "doc_id bigint, text string")
+    found = retrieval.term_search(build_index(docs, stem=True), "thing")
+    assert sorted(r.doc_id for r in found.collect()) == [1, 2]
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    stems = next(k for k, line in enumerate(lines) if "ArrowEvalPython" in line)
+    assert any("Aggregate [term" in line for line in lines[stems:])
+
+
+@pytest.mark.parametrize("fmt", storage.FORMATS)
+def test_saving_moves_nothing(spark, index, tmp_path, fmt):
+    """Blocks are written where they are made, and folders with a row for each posting are still read."""
+    storage.save(index, str(tmp_path / "new"), fmt)
+    storage.save(Index(index.docs, index.tokens), str(tmp_path / "old"), fmt)
+    for name in ("new", "old"):
+        assert same(storage.load(spark, str(tmp_path / name), fmt).tokens, index.tokens), name
+    assert "hashpartitioning" not in storage.block_lines(index)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("width", [4, 1 << 20])
+def test_lines_and_parts(index, width):
+    plain = Index(index.docs, index.tokens)
+    assert same(storage.index_lines(index, width), storage.term_lines(plain.postings, width))
+    assert same(compressed.index_parts(index, width), compressed.posting_parts(plain.inverted, width))
+
+
+def test_codes_without_dictionary(index, spark):
+    """The dictionary isn't made for a search, and rows go to Python by small batches."""
+    made = compressed.compress(index, "gamma", width=2000)
+    assert made.term_search("ab").count() == index.inverted.where("term = 'ab'").count() and "dictionary" not in made.__dict__
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(1 << 20)
