@@ -285,7 +285,7 @@ def saved(fmt: str) -> Query:
 
 for _fmt in storage.FORMATS:
     over_table(f"save_load_{_fmt}", saved(_fmt), TOKENS + "SELECT doc_id, pos, term FROM tokens")
-over_index("text_format", lambda i: storage.term_lines(i.postings), "SELECT term || ': ' || string_agg(doc_id || '[' || ps || ']', '; ' ORDER BY doc_id) AS value FROM (SELECT term, doc_id, string_agg(pos, ', ' ORDER BY pos) AS ps FROM tokens GROUP BY term, doc_id) GROUP BY term")
+over_index("text_format", storage.index_lines, "SELECT term || ': ' || string_agg(doc_id || '[' || ps || ']', '; ' ORDER BY doc_id) AS value FROM (SELECT term, doc_id, string_agg(pos, ', ' ORDER BY pos) AS ps FROM tokens GROUP BY term, doc_id) GROUP BY term")
 over_table("compare_formats", lambda s, d: storage.compare_formats(s.createDataFrame([("parquet", 9.0, 4.0, 100), ("text", 5.0, 6.0, 300), ("json", 7.0, 4.0, 200)], "fmt string, save_ms double, load_ms double, size_bytes bigint")), "SELECT * FROM (VALUES ('parquet', 9.0::DOUBLE, 4.0::DOUBLE, 100::BIGINT, 7, true), ('text', 5.0, 6.0, 300, 5, false), ('json', 7.0, 4.0, 200, 6, false)) v(fmt, save_ms, load_ms, size_bytes, points, best)")
 
 

@@ -1,19 +1,25 @@
 """Saving an index and reading it back as parquet (binary), text or json; everything but postings and documents is derived again.
 
 Each format is a folder that many tasks write, in sections: metadata (the next free doc_id), postings, and the registry of documents. parquet: a table each. text: `nextDocID: n`, lines
-`term: 1[0, 5]; 2[3]` (a line for the documents of each RANGE ids, so that no row holds a frequent term's whole list), and the registry twice, by id (`id: name`) and by name (`name: size`). json:
-lines with the same fields. Zones aren't saved.
+`term: 1[0, 5]; 2[3]`, and the registry twice, by id (`id: name`) and by name (`name: size`). json: lines with the same fields. Zones aren't saved. A term has a row or line for some of its
+documents in each block of documents (operators.blocks), so that none holds a frequent term's whole list and saving moves nothing between tasks. Folders with a row for each term and document are read as well.
 """
 
 from __future__ import annotations
 
 import time
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillet.operators.blocks import postings_of
 from quillet.operators.index import Index, from_postings
+from quillet.session import lean
 
 FORMATS = ("parquet", "text", "json")
 DOCS = "doc_id bigint, filename string, size_bytes bigint"
@@ -30,6 +36,43 @@ def term_lines(postings: DataFrame, width: int = RANGE) -> DataFrame:
     return gathered.select(F.concat("term", F.lit(": "), F.array_join(F.transform("ps", lambda x: x["p"]), "; ")).alias("value"))
 
 
+def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """term, docs, ps: the text `1[0, 5]` of each doc."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        term, docs, ends, positions = (batch.column(n) for n in ("term", "docs", "ends", "positions"))
+        sizes = ends.flatten().to_numpy().astype(np.int64)
+        first = np.zeros(len(sizes), bool)
+        first[np.cumsum(docs.value_lengths().to_numpy())[:-1]] = first[0] = True
+        sizes = np.where(first, sizes, np.diff(sizes, prepend=0))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), positions.flatten().cast(pa.string()))
+        one = pc.binary_join_element_wise(docs.flatten().cast(pa.string()), "[", pc.binary_join(lists, ", "), "]", "")
+        edges = pa.array(np.concatenate([[0], np.cumsum(docs.value_lengths().to_numpy())]).astype(np.int32))
+        yield pa.RecordBatch.from_pydict({"term": term, "docs": pa.ListArray.from_arrays(edges, docs.flatten()), "ps": pa.ListArray.from_arrays(edges, one)})
+
+
+def block_texts(index: Index) -> DataFrame:
+    kind = index.blocks.schema["docs"].dataType.elementType.simpleString()
+    return index.blocks.select("term", "docs", "ends", "positions").mapInArrow(lean(_texts), f"term string, docs array<{kind}>, ps array<string>")
+
+
+def index_lines(index: Index, width: int = RANGE) -> DataFrame:
+    """term_lines() of an index; the texts of a block's documents are made at once, and rows of blocks are gathered."""
+    if index.blocks is None:
+        return term_lines(index.postings, width)
+    held = block_texts(index).select("term", F.arrays_zip("docs", "ps").alias("xs"))
+    own = held.select("term", "xs", F.explode(F.expr(f"array_distinct(transform(xs, x -> x.docs div {width}))")).alias("part"))
+    one = own.select("term", "part", F.expr(f"filter(xs, x -> x.docs div {width} = part)").alias("xs"))
+    gathered = one.groupBy("term", "part").agg(F.sort_array(F.flatten(F.collect_list("xs"))).alias("xs"))
+    return gathered.select(F.concat("term", F.lit(": "), F.array_join(F.transform("xs", lambda x: x["ps"]), "; ")).alias("value"))
+
+
+def block_lines(index: Index) -> DataFrame:
+    """value: a line for each row of a block."""
+    return block_texts(index).select(F.concat("term", F.lit(": "), F.array_join("ps", "; ")).alias("value"))
+
+
 def next_doc_id(docs: DataFrame) -> DataFrame:
     """nextDocID: one row; 0 without documents."""
     return docs.agg((F.coalesce(F.max("doc_id"), F.lit(-1)) + 1).alias("nextDocID"))
@@ -48,11 +91,11 @@ def save(index: Index, path: str, fmt: str = "parquet") -> None:
         raise ValueError(f"no format named {fmt}")
     docs = index.docs.select("doc_id", "filename", "size_bytes")
     if fmt == "text":
-        sections = {"metadata": next_doc_id(docs).select(F.concat(F.lit("nextDocID: "), F.col("nextDocID").cast("string")).alias("value")), "postings": term_lines(index.postings)}
+        sections = {"metadata": next_doc_id(docs).select(F.concat(F.lit("nextDocID: "), F.col("nextDocID").cast("string")).alias("value")), "postings": block_lines(index) if index.blocks is not None else term_lines(index.postings)}
         sections["names"] = docs.select(F.concat_ws(": ", F.col("doc_id").cast("string"), "filename").alias("value"))
         sections["sizes"] = docs.select(F.concat_ws(": ", "filename", F.col("size_bytes").cast("string")).alias("value"))
     else:
-        sections = {"metadata": next_doc_id(docs), "postings": index.postings, "docs": docs}
+        sections = {"metadata": next_doc_id(docs), "postings": index.blocks.select("term", "docs", "ends", "positions") if index.blocks is not None else index.postings, "docs": docs}
     for name, df in sections.items():
         writer = df.write.mode("overwrite")
         (writer.option("compression", "gzip") if fmt == "parquet" else writer).format(fmt).save(f"{path}/{name}")
@@ -63,8 +106,11 @@ def load(spark: SparkSession, path: str, fmt: str = "parquet") -> Index:
         raise ValueError(f"no format named {fmt}")
     if fmt == "parquet":
         docs, postings = spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings")
+        postings = postings_of(postings) if "docs" in postings.columns else postings
     elif fmt == "json":
-        docs, postings = spark.read.schema(DOCS).json(f"{path}/docs"), spark.read.schema("term string, doc_id bigint, tf int, positions array<int>").json(f"{path}/postings")
+        docs = spark.read.schema(DOCS).json(f"{path}/docs")
+        either = spark.read.schema("term string, doc_id bigint, tf int, docs array<bigint>, ends array<int>, positions array<int>").json(f"{path}/postings")
+        postings = postings_of(either.select("term", F.coalesce("docs", F.array("doc_id")).alias("docs"), F.coalesce("ends", F.array("tf")).alias("ends"), "positions"))
     else:
         names = spark.read.text(f"{path}/names").select(F.substring_index("value", ": ", 1).cast("bigint").alias("doc_id"), F.expr("substring(value, instr(value, ': ') + 2)").alias("filename"))
         # a name may hold the separator, a size doesn't
