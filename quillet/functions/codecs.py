@@ -190,8 +190,8 @@ def _decoder(back, gaps: bool, add: int):
 
 
 def _gamma_lists(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    parts = [gamma_back(c) for c in codes]  # a code's length is known when it is read, so one after another
-    return np.array([n for p in parts for n in p], np.int64), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+    parts = [np.array(gamma_back(c), np.int64) for c in codes]  # a code's length is known when it is read, so one after another
+    return np.concatenate([np.zeros(0, np.int64), *parts]), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
 def vbyte_encode(column: Column | str, gaps: bool = False) -> Column:

@@ -7,12 +7,14 @@ are, the first as a gap to 0.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillet.functions import codecs
 from quillet.operators.index import Index
+from quillet.session import small_batches
 
 METHODS = ("vbyte", "gamma")
 #: doc_ids of a part.
@@ -24,13 +26,28 @@ def posting_parts(inverted: DataFrame, width: int = PART) -> DataFrame:
     return inverted.groupBy("term", F.expr(f"doc_id div {width}").alias("part")).agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
 
 
+def index_parts(index: Index, width: int = PART) -> DataFrame:
+    """posting_parts() of an index; rows of blocks are gathered, not pairs. Rows are handed to Python by small batches, as one may hold `width` ids."""
+    small_batches(index.docs.sparkSession)
+    if index.blocks is None:
+        return posting_parts(index.inverted, width)
+    held = index.blocks.select("term", "docs", F.explode(F.array_distinct(F.expr(f"transform(docs, d -> d div {width})"))).alias("part"))
+    own = held.select("term", "part", F.expr(f"filter(docs, d -> d div {width} = part)").alias("docs"))
+    return own.groupBy("term", "part").agg(F.sort_array(F.flatten(F.collect_list("docs"))).alias("ids"))
+
+
 @dataclass
 class CompressedIndex:
-    """dictionary (block, code, original, coded) and postings (term, part, code, n)."""
+    """dictionary (block, code, original, coded), made when first asked for, and postings (term, part, code, n)."""
 
-    dictionary: DataFrame
+    words: DataFrame
     postings: DataFrame
     method: str
+    block: int = 8
+
+    @cached_property
+    def dictionary(self) -> DataFrame:
+        return codecs.front_code(self.words, self.block)
 
     def _decoded(self, postings: DataFrame) -> DataFrame:
         decode = codecs.vbyte_decode if self.method == "vbyte" else codecs.gamma_decode
@@ -60,5 +77,5 @@ def compress(index: Index, method: str = "vbyte", block: int = 8, width: int = P
     if method not in METHODS:
         raise ValueError(f"no method named {method}")
     encode = codecs.vbyte_encode if method == "vbyte" else codecs.gamma_encode
-    parts = posting_parts(index.inverted, width)
-    return CompressedIndex(codecs.front_code(index.terms, block), parts.select("term", "part", encode("ids", gaps=True).alias("code"), F.size("ids").cast("long").alias("n")), method)
+    parts = index_parts(index, width)
+    return CompressedIndex(index.terms, parts.select("term", "part", encode("ids", gaps=True).alias("code"), F.size("ids").cast("long").alias("n")), method, block)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillet.functions import codecs
 from quillet.operators import retrieval
-from quillet.operators.compressed import METHODS, posting_parts
+from quillet.operators.compressed import METHODS, index_parts
 from quillet.operators.index import Index
 
 #: Runs before the timed ones, and timed runs, of a search; runs of a codec, of which the fastest and the slowest are left out.
@@ -62,7 +62,7 @@ def trimmed_mean(times: list[float]) -> float:
 
 def codec_times(index: Index, runs: int = CODEC_RUNS) -> DataFrame:
     """method, encode_ms, decode_ms, original_bytes, coded_bytes and correct, for the postings of all terms."""
-    ids = posting_parts(index.inverted).persist()
+    ids = index_parts(index).persist()
     rows = []
     try:
         for method in METHODS:

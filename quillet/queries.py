@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillet.functions import codecs
 from quillet.operators import cluster, ranking, retrieval, stats, wildcard
-from quillet.operators.compressed import METHODS, compress, posting_parts
+from quillet.operators.compressed import METHODS, compress, index_parts
 from quillet.operators.index import Index, build_index, from_postings, index_on_disk
 from quillet.plans.boolean import to_rpn
 from quillet.session import shared_dir
@@ -263,7 +263,7 @@ over_index("gap_roundtrip", stats.roundtrip_errors, "SELECT CAST(0 AS BIGINT) AS
 
 def code_bytes(index: Index) -> DataFrame:
     """Both byte codes of each term's documents by ranges of ids, decoded again: whether they are the same, and the sizes."""
-    coded = posting_parts(index.inverted).withColumns({"v": codecs.vbyte_encode("ids", gaps=True), "g": codecs.gamma_encode("ids", gaps=True)})
+    coded = index_parts(index).withColumns({"v": codecs.vbyte_encode("ids", gaps=True), "g": codecs.gamma_encode("ids", gaps=True)})
     same = (codecs.vbyte_decode("v", gaps=True) == F.col("ids")) & (codecs.gamma_decode("g", gaps=True) == F.col("ids"))
     return coded.groupBy("term").agg(F.sum(F.octet_length("v").cast("long")).alias("vbyte"), F.sum(F.octet_length("g").cast("long")).alias("gamma"), F.bool_and(same).alias("same"))
 
