@@ -109,13 +109,13 @@ def _dealt(batch: pa.RecordBatch, edges: Edges) -> pa.RecordBatch:
     return batch.append_column("part", pa.array(out))
 
 
-def _by_blocks(work: Callable[[list[pa.RecordBatch]], pa.RecordBatch]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _by_blocks(work: Callable[[list[pa.RecordBatch]], pa.RecordBatch], most: int = BLOCK) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             held.append(batch)
             size += batch.nbytes
-            if size >= BLOCK:
+            if size >= most:
                 yield from _slices(work(held))
                 held, size = [], 0
         if held:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillet.functions import codecs
 from quillet.operators import cluster, ranking, retrieval, stats, wildcard
 from quillet.operators.compressed import METHODS, compress, index_parts
+from quillet.operators.docvectors import DocumentVectors, kmeans_of, members_of
 from quillet.operators.index import Index, build_index, from_postings, index_on_disk
 from quillet.plans.boolean import to_rpn
 from quillet.session import shared_dir
@@ -205,18 +206,20 @@ SEEDS = [1, 3, 5]
 SEED_SQL = f", {NORMS}, c AS (SELECT CAST(s.k AS INTEGER) AS cluster_id, term, tfidf AS weight FROM vec JOIN (VALUES (1, 0), (3, 1), (5, 2)) s(d, k) ON doc_id = s.d), cn AS (SELECT cluster_id, sqrt(sum(weight * weight)) AS n FROM c GROUP BY cluster_id), sims AS (SELECT doc_id, cluster_id, round(sum(tfidf * weight) / (any_value(nrm.n) * any_value(cn.n)), 12) AS sim FROM vec JOIN c USING (term) JOIN cn USING (cluster_id) JOIN nrm USING (doc_id) GROUP BY doc_id, cluster_id), m AS (SELECT v.doc_id, CAST(coalesce(b.cluster_id, 0) AS INTEGER) AS cluster_id FROM (SELECT DISTINCT doc_id FROM vec) v LEFT JOIN (SELECT doc_id, cluster_id FROM sims WHERE sim > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, cluster_id) = 1) b ON v.doc_id = b.doc_id)"
 
 
-def one_assign(index: Index) -> tuple[DataFrame, DataFrame, DataFrame]:
-    vectors = ranking.tfidf(index)
-    seeds = cluster.initial_centroids(vectors, SEEDS)
-    return vectors, seeds, cluster.assign(vectors, seeds, len(SEEDS))
+def one_step(index: Index, sums: bool) -> tuple[DocumentVectors, DataFrame, DataFrame]:
+    vectors = DocumentVectors(index)
+    seeds = vectors.seeds(SEEDS)
+    stepped = vectors.step(seeds, len(SEEDS), sums)
+    vectors.close()
+    return vectors, seeds, stepped
 
 
 def one_update(index: Index) -> DataFrame:
-    vectors, seeds, members = one_assign(index)
-    return cluster.update(vectors, members, seeds).select("cluster_id", "term", F.round("weight", 6).alias("weight"))
+    vectors, seeds, stepped = one_step(index, True)
+    return vectors.named(vectors.means(stepped, seeds)).select("cluster_id", "term", F.round("weight", 6).alias("weight"))
 
 
-over_index("kmeans_assign_step", lambda i: one_assign(i)[2], SEED_SQL + " SELECT doc_id, cluster_id FROM m")
+over_index("kmeans_assign_step", lambda i: members_of(one_step(i, False)[2]), SEED_SQL + " SELECT doc_id, cluster_id FROM m")
 over_index("kmeans_centroid_step", one_update, SEED_SQL + " SELECT cluster_id, term, round(avg(tfidf), 6) AS weight FROM vec JOIN m USING (doc_id) GROUP BY cluster_id, term")
 
 
@@ -232,8 +235,8 @@ def kmeans_sql(rounds: int) -> str:
     return out
 
 
-over_index("kmeans", lambda i: cluster.kmeans(ranking.tfidf(i), 3, 5, SEEDS), kmeans_sql(5) + " SELECT doc_id, cluster_id FROM m4")
-over_index("cluster_sizes", lambda i: cluster.cluster_sizes(cluster.kmeans(ranking.tfidf(i), 3, 5, SEEDS)), kmeans_sql(5) + " SELECT cluster_id, count(*) AS docs FROM m4 GROUP BY cluster_id")
+over_index("kmeans", lambda i: kmeans_of(i, 3, 5, SEEDS), kmeans_sql(5) + " SELECT doc_id, cluster_id FROM m4")
+over_index("cluster_sizes", lambda i: cluster.cluster_sizes(kmeans_of(i, 3, 5, SEEDS)), kmeans_sql(5) + " SELECT cluster_id, count(*) AS docs FROM m4 GROUP BY cluster_id")
 
 # statistics
 for _kind in ("index", "matrix"):
