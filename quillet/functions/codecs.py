@@ -194,6 +194,18 @@ def _gamma_lists(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, np.int64), *parts]), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
+def running_sums(column: Column | str, start: Column | str) -> Column:
+    """The sums of a list's numbers up to each of them, and a start."""
+
+    @F.pandas_udf("array<bigint>")
+    def run(lists: pd.Series, starts: pd.Series) -> pd.Series:
+        numbers, edges = _flat(lists)
+        sums = _sums(numbers, edges) + np.repeat(starts.to_numpy(np.int64), np.diff(edges))
+        return pd.Series([sums[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], dtype=object)
+
+    return run(column, start)
+
+
 def vbyte_encode(column: Column | str, gaps: bool = False) -> Column:
     return _encoder(vbyte_batch, gaps, 0)(column)
 

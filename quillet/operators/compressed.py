@@ -6,15 +6,16 @@ are, the first as a gap to 0.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillet.functions import codecs
 from quillet.operators.index import Index
-from quillet.session import small_batches
+from quillet.session import Stored, small_batches
 
 METHODS = ("vbyte", "gamma")
 #: doc_ids of a part.
@@ -36,6 +37,39 @@ def index_parts(index: Index, width: int = PART) -> DataFrame:
     return own.groupBy("term", "part").agg(F.sort_array(F.flatten(F.collect_list("docs"))).alias("ids"))
 
 
+def _carried(lists: DataFrame, value: Column, name: str, how: Callable[[Column], Column]) -> DataFrame:
+    """lists with what the parts before each one leave to it: a narrow row for each part is ordered, lists stay where they are."""
+    before = Window.partitionBy("term").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    narrow = lists.select("term", "part", value.alias("__v")).withColumn(name, F.coalesce(how(F.col("__v")).over(before), F.lit(0))).drop("__v")
+    return lists.join(narrow, ["term", "part"])
+
+
+def gap_lists(index: Index, width: int = PART) -> DataFrame:
+    """term, part, ids, gaps: the difference of each id to the term's id before it, which may be the last of an earlier part; the first: to 0."""
+    held = Stored(index_parts(index, width), "parts").df
+    led = _carried(held, F.element_at("ids", -1), "led", lambda v: F.last(v))
+    # pairs of neighbours, the first with the id that came before the part
+    return led.select("term", "part", "ids", F.zip_with(F.slice(F.concat(F.array("led"), "ids"), 1, F.size("ids")), "ids", lambda a, b: b - a).alias("gaps"))
+
+
+def posting_gaps(index: Index) -> DataFrame:
+    """term, doc_id, gap."""
+    if index.blocks is None:
+        return codecs.posting_gaps(index.inverted)
+    return gap_lists(index).select("term", F.explode(F.arrays_zip("ids", "gaps")).alias("p")).select("term", F.col("p.ids").alias("doc_id"), F.col("p.gaps").alias("gap"))
+
+
+def lost_by_gaps(index: Index, width: int = PART) -> DataFrame:
+    """wrong: how many postings the running sums of gap_lists() don't give back at their place, those that no list holds among them; one row."""
+    lists = Stored(gap_lists(index, width), "gaps").df
+    total = F.aggregate("gaps", F.lit(0).cast("bigint"), lambda a, g: a + g)
+    back = _carried(lists, total, "carried", lambda v: F.sum(v)).select("ids", codecs.running_sums("gaps", "carried").alias("back"))
+    kept = back.agg(F.coalesce(F.sum(F.aggregate(F.zip_with("ids", "back", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0).cast("bigint"), lambda a, x: a + x)), F.lit(0)).alias("kept"))
+    there = index.blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("there"))
+    # one row with one row
+    return there.join(F.broadcast(kept)).select((F.col("there") - F.col("kept")).alias("wrong"))
+
+
 @dataclass
 class CompressedIndex:
     """dictionary (block, code, original, coded), made when first asked for, and postings (term, part, code, n)."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillet.functions import codecs
+from quillet.operators.compressed import lost_by_gaps, posting_gaps
 from quillet.operators.index import Index
 
 
@@ -62,7 +63,7 @@ def measured_build(index: Index, path: str) -> dict[str, float]:
 
 def compression_report(index: Index, block: int = 8) -> DataFrame:
     """method (vbyte, gamma), and the sizes of dictionary (front coded, characters) and postings (4 bytes an id before), with percentages."""
-    gaps = codecs.posting_gaps(index.inverted)
+    gaps = posting_gaps(index)
     per_term = gaps.groupBy("term").agg(F.count("*").alias("n"), F.sum(codecs.vbyte_size(F.col("gap"))).alias("v"), F.sum(codecs.gamma_size(F.col("gap") + 1)).alias("g"))
     totals = per_term.agg(F.sum(F.col("n") * 4).alias("original_postings"), F.sum("v").alias("vbyte"), F.sum(4 + F.ceil(F.col("g") / 8)).cast("long").alias("gamma"))
     words = codecs.front_code(index.terms, block).agg(F.sum("original").alias("original_dictionary"), F.sum("coded").alias("coded_dictionary"))
@@ -74,5 +75,7 @@ def compression_report(index: Index, block: int = 8) -> DataFrame:
 
 def roundtrip_errors(index: Index) -> DataFrame:
     """wrong: postings that gaps and their running sums don't give back; one row."""
+    if index.blocks is not None:
+        return lost_by_gaps(index)
     back = codecs.undo_gaps(codecs.posting_gaps(index.inverted))
     return index.inverted.select("term", "doc_id").exceptAll(back).agg(F.count("*").alias("wrong"))

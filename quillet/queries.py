@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillet.functions import codecs
 from quillet.operators import cluster, ranking, retrieval, stats, wildcard
-from quillet.operators.compressed import METHODS, compress, index_parts
+from quillet.operators.compressed import METHODS, compress, index_parts, posting_gaps
 from quillet.operators.docvectors import DocumentVectors, kmeans_of, members_of
 from quillet.operators.index import Index, build_index, from_postings, index_on_disk
 from quillet.plans.boolean import to_rpn
@@ -255,8 +255,8 @@ GAPS = """, g AS (SELECT term, doc_id, doc_id - coalesce(lag(doc_id) OVER (PARTI
 """
 over_index("front_coding", lambda i: codecs.front_code(i.terms), FRONT + "SELECT block, code, original, length(code) AS coded FROM fc")
 over_index("front_decode", lambda i: codecs.front_decode(codecs.front_code(i.terms)).select("term"), "SELECT term FROM lex")
-over_index("vbyte_gaps", lambda i: codecs.posting_gaps(i.inverted).groupBy("term").agg(F.sum(codecs.vbyte_size(F.col("gap"))).alias("bytes")), GAPS + "SELECT term, CAST(sum(greatest(1, ceil(length(bin(gap)) / 7.0))) AS BIGINT) AS bytes FROM g GROUP BY term")
-over_index("gamma_gaps", lambda i: codecs.posting_gaps(i.inverted).groupBy("term").agg((4 + F.ceil(F.sum(codecs.gamma_size(F.col("gap") + 1)) / 8)).cast("long").alias("bytes")), GAPS + "SELECT term, CAST(4 + ceil(sum(2 * length(bin(gap + 1)) - 1) / 8.0) AS BIGINT) AS bytes FROM g GROUP BY term")
+over_index("vbyte_gaps", lambda i: posting_gaps(i).groupBy("term").agg(F.sum(codecs.vbyte_size(F.col("gap"))).alias("bytes")), GAPS + "SELECT term, CAST(sum(greatest(1, ceil(length(bin(gap)) / 7.0))) AS BIGINT) AS bytes FROM g GROUP BY term")
+over_index("gamma_gaps", lambda i: posting_gaps(i).groupBy("term").agg((4 + F.ceil(F.sum(codecs.gamma_size(F.col("gap") + 1)) / 8)).cast("long").alias("bytes")), GAPS + "SELECT term, CAST(4 + ceil(sum(2 * length(bin(gap + 1)) - 1) / 8.0) AS BIGINT) AS bytes FROM g GROUP BY term")
 over_index("compression_report", stats.compression_report, FRONT + GAPS + """, d AS (SELECT CAST(sum(original) AS BIGINT) AS od, CAST(sum(length(code)) AS BIGINT) AS cd FROM fc),
 t AS (SELECT term, count(*) * 4 AS o, sum(greatest(1, ceil(length(bin(gap)) / 7.0))) AS v, 4 + ceil(sum(2 * length(bin(gap + 1)) - 1) / 8.0) AS m FROM g GROUP BY term), s AS (SELECT CAST(sum(o) AS BIGINT) AS o, CAST(sum(v) AS BIGINT) AS v, CAST(sum(m) AS BIGINT) AS m FROM t),
 e AS (SELECT 'vbyte' AS method, o, v AS c FROM s UNION ALL SELECT 'gamma', o, m FROM s)

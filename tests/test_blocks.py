@@ -4,6 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from quillet.functions import codecs
 from quillet.operators import blocks, compressed, retrieval, wildcard
 from quillet.operators.index import VIEWS, Index, build_index, index_on_disk
 from quillet.session import SHARE, partitions_for
@@ -119,3 +120,14 @@ def test_codes_without_dictionary(index, spark):
     made = compressed.compress(index, "gamma", width=2000)
     assert made.term_search("ab").count() == index.inverted.where("term = 'ab'").count() and "dictionary" not in made.__dict__
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(1 << 20)
+
+
+@pytest.mark.parametrize("width", [7, 1 << 20])
+def test_gaps_by_lists(index, width, monkeypatch):
+    """Gaps of a term go on over its parts, and what they don't give back is counted."""
+    pairs = compressed.gap_lists(index, width).select("term", F.explode(F.arrays_zip("ids", "gaps")).alias("p")).select("term", F.col("p.ids").alias("doc_id"), F.col("p.gaps").alias("gap"))
+    assert same(pairs, codecs.posting_gaps(Index(index.docs, index.tokens).inverted))
+    assert compressed.lost_by_gaps(index, width).collect() == [(0,)] and "RangePartitioning" not in pairs._jdf.queryExecution().executedPlan().toString()
+    whole = compressed.gap_lists
+    monkeypatch.setattr(compressed, "gap_lists", lambda i, w: whole(i, w).where("term <> 'w3'").withColumn("gaps", F.when(F.col("term") == "w5", F.transform("gaps", lambda g: g + 1)).otherwise(F.col("gaps"))))
+    assert compressed.lost_by_gaps(index, width).first().wrong == index.inverted.where("term in ('w3', 'w5')").count() == 2
