@@ -63,6 +63,11 @@ def phrase_search(index: Index, phrase: str, method: str = "positional", stem: b
         hits = index.biwords.where(F.col("biword").isin(pairs))
         return hits.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") == len(pairs)).select("doc_id")
     places = index.docs.sparkSession.createDataFrame([(t, i) for i, t in enumerate(terms)], "term string, off int")
+    if index.on_disk:
+        # a row for each of the phrase's places in a document, with where the phrase would begin: lists are met, so no task counts the places of a frequent word one by one
+        rows = index.postings.where(F.col("term").isin(terms)).join(F.broadcast(places), "term").select("doc_id", F.expr("transform(positions, p -> p - off)").alias("starts"))
+        met = rows.repartition("doc_id").groupBy("doc_id").agg(F.collect_list("starts").alias("all")).where(F.size("all") == len(terms))
+        return met.where(F.size(F.expr("aggregate(slice(all, 2, size(all)), all[0], (a, b) -> array_intersect(a, b))")) > 0).select("doc_id")
     starts = places_of(index, terms).join(F.broadcast(places), "term").groupBy("doc_id", (F.col("pos") - F.col("off")).alias("start")).agg(F.count("*").alias("n"))
     return starts.where(F.col("n") == len(terms)).select("doc_id").distinct()
 

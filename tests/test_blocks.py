@@ -131,3 +131,16 @@ def test_gaps_by_lists(index, width, monkeypatch):
     whole = compressed.gap_lists
     monkeypatch.setattr(compressed, "gap_lists", lambda i, w: whole(i, w).where("term <> 'w3'").withColumn("gaps", F.when(F.col("term") == "w5", F.transform("gaps", lambda g: g + 1)).otherwise(F.col("gaps"))))
     assert compressed.lost_by_gaps(index, width).first().wrong == index.inverted.where("term in ('w3', 'w5')").count() == 2
+
+
+@pytest.mark.parametrize("phrase", ["a b", "a ab a", "b", "a a", "w7 none", "ab ab ab b"])
+def test_phrases_on_disk(index, disk, phrase):
+    """As from tokens, words that repeat among them; lists of places are met, their places aren't counted."""
+    want = sorted(r.doc_id for r in retrieval.phrase_search(Index(index.docs, index.tokens), phrase, raw=True).collect())
+    found = retrieval.phrase_search(disk, phrase, raw=True)
+    assert sorted(r.doc_id for r in found.collect()) == want and "count(1)" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def disk(index, tmp_path_factory):
+    return index_on_disk(index, str(tmp_path_factory.mktemp("disk")), 3, lazy=True)
